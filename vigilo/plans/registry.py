@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vigilo.plans import scoring_oracle, scoring_queries
+from vigilo.plans import food_oracle, food_queries, scoring_oracle, scoring_queries
 
 QUERIES = {}
 ORACLE_SQL = {}
 
 for _queries, _oracle in [
     (scoring_queries.QUERIES, scoring_oracle.ORACLE),
+    (food_queries.QUERIES, food_oracle.ORACLE),
 ]:
     QUERIES.update(_queries)
     ORACLE_SQL.update(_oracle)
