@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from vigilo.plans import food_oracle, food_queries, scoring_oracle, scoring_queries
+from vigilo.plans import (food_oracle, food_queries, metric_oracle, metric_queries,
+                          scoring_oracle, scoring_queries)
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -10,6 +11,7 @@ ORACLE_SQL = {}
 for _queries, _oracle in [
     (scoring_queries.QUERIES, scoring_oracle.ORACLE),
     (food_queries.QUERIES, food_oracle.ORACLE),
+    (metric_queries.QUERIES, metric_oracle.ORACLE),
 ]:
     QUERIES.update(_queries)
     ORACLE_SQL.update(_oracle)
