@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vigilo.plans import (food_oracle, food_queries, metric_oracle, metric_queries,
-                          scoring_oracle, scoring_queries)
+from vigilo.plans import (food_oracle, food_queries, io_oracle, io_queries, metric_oracle,
+                          metric_queries, scoring_oracle, scoring_queries)
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -12,6 +12,7 @@ for _queries, _oracle in [
     (scoring_queries.QUERIES, scoring_oracle.ORACLE),
     (food_queries.QUERIES, food_oracle.ORACLE),
     (metric_queries.QUERIES, metric_oracle.ORACLE),
+    (io_queries.QUERIES, io_oracle.ORACLE),
 ]:
     QUERIES.update(_queries)
     ORACLE_SQL.update(_oracle)
