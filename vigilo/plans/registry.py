@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from vigilo.plans import (food_oracle, food_queries, io_oracle, io_queries, metric_oracle,
-                          metric_queries, scoring_oracle, scoring_queries)
+                          metric_queries, scoring_oracle, scoring_queries, stream_oracle,
+                          stream_queries)
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -13,6 +14,7 @@ for _queries, _oracle in [
     (food_queries.QUERIES, food_oracle.ORACLE),
     (metric_queries.QUERIES, metric_oracle.ORACLE),
     (io_queries.QUERIES, io_oracle.ORACLE),
+    (stream_queries.QUERIES, stream_oracle.ORACLE),
 ]:
     QUERIES.update(_queries)
     ORACLE_SQL.update(_oracle)
