@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vigilo.plans import ml_queries
 from vigilo.plans import (food_oracle, food_queries, io_oracle, io_queries, metric_oracle,
                           metric_queries, scoring_oracle, scoring_queries, stream_oracle,
                           stream_queries)
@@ -15,6 +16,7 @@ for _queries, _oracle in [
     (metric_queries.QUERIES, metric_oracle.ORACLE),
     (io_queries.QUERIES, io_oracle.ORACLE),
     (stream_queries.QUERIES, stream_oracle.ORACLE),
+    (ml_queries.QUERIES, {}),
 ]:
     QUERIES.update(_queries)
     ORACLE_SQL.update(_oracle)

@@ -33,7 +33,8 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
 
 def build_session(master: str | None = None, app: str = "vigilo",
                   shuffle_partitions: int | None = None,
-                  extra: dict[str, str] | None = None) -> SparkSession:
+                  extra: dict[str, str] | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -46,6 +47,9 @@ def build_session(master: str | None = None, app: str = "vigilo",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # local mode: driver and executors share this one heap.
+        conf["spark.driver.memory"] = driver_memory or os.environ.get("VIGILO_DRIVER_MEMORY", "12g")
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
