@@ -20,8 +20,15 @@ USER_FIELDS = ["user_id", "action", "page_id"]
 
 
 def _error(doc: Column, fields: list[str], int_values: dict[str, Column]) -> Column:
-    """Why a record cannot be used, or NULL when it can."""
-    expr = F.when(doc.isNull(), F.lit("unparseable"))
+    """Why a record cannot be used, or NULL when it can.
+
+    The common case (an object holding every field) is decided first by
+    field lookups alone; the document's shape is inspected only for
+    records that fail."""
+    usable = C.all_present(doc, fields)
+    for value in int_values.values():
+        usable = usable & value.isNotNull()
+    expr = F.when(doc.isNull(), F.lit("unparseable")).when(usable, F.lit(None).cast("string"))
     expr = expr.when(~F.schema_of_variant(doc).startswith("OBJECT"), F.lit("not_an_object"))
     for name in fields:
         expr = expr.when(~C.has_field(doc, name), F.lit(f"missing_field:{name}"))
@@ -34,16 +41,20 @@ def _parse(messages: DataFrame, value_col: str, fields: dict[str, Column],
            error: Column) -> DataFrame:
     """Parse once, then emit ``parse_error``/``parse_ok`` and the fields.
 
-    The JSON text is parsed a single time (``__doc``).  The derived columns
-    come out of a one-element ``inline`` generator: a filter on them (the
-    dead-letter split, the rule filter) cannot be pushed below the
+    The JSON text is parsed a single time (``__doc``) and every field is
+    computed in ordinary projections, where generated code shares common
+    subexpressions.  The results then pass through a one-element
+    ``inline`` generator that only repackages those columns: a filter on
+    them (the dead-letter split, the rule filter) cannot be pushed below a
     generator, so the optimizer never copies the parse into the filter.
     """
-    out = F.struct(error.alias("parse_error"), error.isNull().alias("parse_ok"),
-                   *[F.when(error.isNull(), expr).alias(name) for name, expr in fields.items()])
+    ok = F.col("parse_error").isNull()
     keep = [c for c in messages.columns if c not in fields]
-    return (messages.withColumn("__doc", C.json_doc(F.col(value_col)))
-            .select(*keep, F.inline(F.array(out))))
+    computed = (messages.withColumn("__doc", C.json_doc(F.col(value_col)))
+                .withColumn("parse_error", error)
+                .withColumns({name: F.when(ok, expr) for name, expr in fields.items()}))
+    out = F.struct(F.col("parse_error"), ok.alias("parse_ok"), *[F.col(n) for n in fields])
+    return computed.select(*keep, F.inline(F.array(out)))
 
 
 def parse_sensor(messages: DataFrame, value_col: str = "value") -> DataFrame:

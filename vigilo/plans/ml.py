@@ -45,15 +45,18 @@ TREE_PASS_MEMORY_MB = 1024
 def calorie_forest(label: str = "calories", num_trees: int = 50, max_depth: int = 10,
                    exclude_leaky: bool = False, handle_invalid: str = "error") -> Pipeline:
     numeric = [c for c in CALORIE_NUMERIC if not (exclude_leaky and c == LEAKY)]
-    indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_indexed", handleInvalid=handle_invalid)
-                for c in CALORIE_CATEGORICAL]
+    # One indexer over all three columns: one pass over the data to fit.
+    indexers = [StringIndexer(inputCols=CALORIE_CATEGORICAL,
+                              outputCols=[f"{c}_indexed" for c in CALORIE_CATEGORICAL],
+                              handleInvalid=handle_invalid)]
     assembler = VectorAssembler(inputCols=numeric + [f"{c}_indexed" for c in CALORIE_CATEGORICAL],
                                 outputCol="features_raw")
     scaler = StandardScaler(inputCol="features_raw", outputCol="features", withMean=True,
                             withStd=True)
     forest = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=num_trees,
                                    maxDepth=max_depth, seed=SEED,
-                                   maxMemoryInMB=TREE_PASS_MEMORY_MB)
+                                   maxMemoryInMB=TREE_PASS_MEMORY_MB, cacheNodeIds=True,
+                                   checkpointInterval=10)
     return Pipeline(stages=[*indexers, assembler, scaler, forest])
 
 
@@ -71,8 +74,8 @@ def nutrition_forest(max_bins: int, num_trees: int = 100, max_depth: int = 15,
                      label: str = "calories") -> Pipeline:
     """``max_bins`` must be at least the largest category count (the
     encoded columns carry nominal metadata, so trees split them as sets)."""
-    encoders = [StringIndexer(inputCol=c, outputCol=o, stringOrderType="alphabetAsc",
-                              handleInvalid=handle_invalid) for c, o in ENCODED.items()]
+    encoders = [StringIndexer(inputCols=list(ENCODED), outputCols=list(ENCODED.values()),
+                              stringOrderType="alphabetAsc", handleInvalid=handle_invalid)]
     profile = VectorAssembler(inputCols=NUTRITION_PROFILE, outputCol="nutrition_features")
     clusters = KMeans(featuresCol="nutrition_features", predictionCol="nutrition_cluster", k=5,
                       seed=SEED)
@@ -102,6 +105,18 @@ def importances(model: PipelineModel, names: list[str]) -> list[tuple[str, float
     return [(n, float(v)) for n, v in zip(names, forest.featureImportances.toArray())]
 
 
+def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """Fit with the training rows persisted for MLlib's several passes
+    (indexer, scaler, split finding, tree points).  MEMORY_AND_DISK: a lost
+    executor's blocks are recomputed from the plan, nothing is lost."""
+    from pyspark import StorageLevel
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipeline.fit(train)
+    finally:
+        train.unpersist()
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -46,7 +46,7 @@ def _fitted(key: tuple, fit):
 
 def fit_calorie_forest(spark, sf_dir):
     train, test = calorie_split(spark, sf_dir)
-    model = _fitted((id(spark), sf_dir, "calorie_forest"), lambda: ml.calorie_forest().fit(train))
+    model = _fitted((id(spark), sf_dir, "calorie_forest"), lambda: ml.fit(ml.calorie_forest(), train))
     return model, model.transform(test)
 
 
@@ -58,8 +58,8 @@ def nutrition_split(spark, sf_dir):
 def fit_nutrition_forest(spark, sf_dir, handle_invalid: str = "keep"):
     train, test = nutrition_split(spark, sf_dir)
     model = _fitted((id(spark), sf_dir, "nutrition_forest", handle_invalid),
-                    lambda: ml.nutrition_forest(ml.required_bins(train),
-                                                handle_invalid=handle_invalid).fit(train))
+                    lambda: ml.fit(ml.nutrition_forest(ml.required_bins(train),
+                                                       handle_invalid=handle_invalid), train))
     return model, train, test
 
 
@@ -70,7 +70,7 @@ def q_rf_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clustered(spark, sf_dir):
     df = clean_food(spark, sf_dir)
-    model = _fitted((id(spark), sf_dir, "scaled_kmeans"), lambda: ml.scaled_kmeans().fit(df))
+    model = _fitted((id(spark), sf_dir, "scaled_kmeans"), lambda: ml.fit(ml.scaled_kmeans(), df))
     return model.transform(df)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilo.functions.rules import SENSOR_SOURCE, USER_SOURCE
-from vigilo.sources.tables import read_table
+from vigilo.sources.tables import read_table, spread
 
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 _WITH_NULLS = {"ignoreNullFields": "false"}
@@ -59,7 +59,7 @@ def _sensor_text(r: dict[str, Column]) -> Column:
 
 
 def sensor_messages(spark: SparkSession, sf_dir: str, varied: bool = False) -> DataFrame:
-    readings = sensor_readings(read_table(spark, sf_dir, "events", EVENT_COLUMNS))
+    readings = sensor_readings(spread(read_table(spark, sf_dir, "events", EVENT_COLUMNS)))
     cols = {c: F.col(c) for c in ("timestamp", "sensor_id", "temperature", "humidity")}
     clean = _sensor_text(cols)
     value = clean
@@ -87,7 +87,7 @@ def sensor_messages(spark: SparkSession, sf_dir: str, varied: bool = False) -> D
 
 
 def user_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actions = user_actions(read_table(spark, sf_dir, "events", EVENT_COLUMNS))
+    actions = user_actions(spread(read_table(spark, sf_dir, "events", EVENT_COLUMNS)))
     return actions.select(
         F.lit(USER_SOURCE).alias("topic"),
         F.col("user_id").cast("string").alias("key"),

@@ -11,6 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigilo.session import table_path
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """At least ``min_partitions`` (default: the cluster's parallelism)
+    partitions, like the Kafka source's ``minPartitions``.
+
+    A file that is one parquet row group is one split, so a small input
+    would run in a single task.  Only then is it spread round-robin (a
+    shuffle of that small input); a large table already has many more
+    splits than cores and is returned unchanged.  Used in front of
+    CPU-heavy per-row work (JSON message parsing), where a single task
+    would be the bottleneck; cheap scans are not spread.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
