@@ -100,8 +100,10 @@ def user_score_columns() -> dict[str, Column]:
 
 
 def iso_instant(ts: Column) -> Column:
-    """ISO-8601 text of a processing instant (UTC session: ``...Z``)."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    """ISO-8601 UTC text of an instant (``...Z``), whatever the session
+    time zone is."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()),
+                         "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def java_double_text(x: Column) -> Column:

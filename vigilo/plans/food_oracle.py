@@ -105,6 +105,10 @@ ORACLE = {
       SELECT count(DISTINCT category) AS category_nunique FROM clean""",
     "category_counts": f"""WITH {V_FOOD}
       SELECT category, count(*) AS "count" FROM clean GROUP BY category""",
+    "category_counts_map": f"""WITH {V_FOOD},
+      c AS (SELECT category, count(*) AS n FROM clean GROUP BY category)
+      SELECT CAST(to_json(map(list(category ORDER BY category), list(n ORDER BY category)))
+                  AS VARCHAR) AS category_counts FROM c""",
     "food_features": f"WITH {V_FEATURES} SELECT * FROM features",
     "food_features_sql": f"WITH {V_FEATURES} SELECT * FROM features",
     "food_features_ext": f"""WITH {V_FOOD}

@@ -61,7 +61,10 @@ def q_category_counts(spark, sf_dir):
 
 
 def q_category_counts_map(spark, sf_dir):
-    return P.value_counts_map(clean_food(spark, sf_dir), "category")
+    """Value counts as one map, rendered as JSON text with sorted keys."""
+    counts = P.value_counts_map(clean_food(spark, sf_dir), "category")
+    return counts.select(F.to_json(F.map_from_entries(F.sort_array(F.map_entries(
+        "category_counts")))).alias("category_counts"))
 
 
 def q_food_features(spark, sf_dir):

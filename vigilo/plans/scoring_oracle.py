@@ -182,7 +182,34 @@ SELECT event_id,
   'user-events' AS source
 FROM v_user"""
 
+PINNED_ISO = "2024-02-01T00:00:00.000000Z"
+PINNED_EPOCH = 1706745600
+
+PREDICTION_MESSAGES = f"""
+WITH {V_SENSOR},
+readings AS (SELECT event_id, sensor_id AS "key", "timestamp" AS original_timestamp, sensor_id,
+                    temperature, humidity FROM v_sensor),
+{_sensor_rules('readings')},
+{USER_OUT}
+SELECT 'ml-predictions' AS topic, "key",
+  json_object('timestamp', '{PINNED_ISO}', 'original_timestamp', original_timestamp,
+    'processor', processor, 'ml_model', ml_model, 'source', source, 'sensor_id', sensor_id,
+    'temperature', temperature, 'humidity', humidity, 'ml_prediction', ml_prediction,
+    'alert_level', alert_level, 'anomaly_score', anomaly_score,
+    'anomaly_reasons', anomaly_reasons, 'processing_epoch', {PINNED_EPOCH})::VARCHAR AS value,
+  event_id
+FROM sensor_out
+UNION ALL
+SELECT 'ml-predictions', "key",
+  json_object('timestamp', '{PINNED_ISO}', 'processor', processor, 'ml_model', ml_model,
+    'source', source, 'user_id', user_id, 'action', action, 'page_id', page_id,
+    'ml_prediction', ml_prediction, 'alert_level', alert_level, 'anomaly_score', anomaly_score,
+    'anomaly_reasons', anomaly_reasons, 'processing_epoch', {PINNED_EPOCH})::VARCHAR,
+  event_id
+FROM user_out"""
+
 ORACLE = {
+    "prediction_messages": PREDICTION_MESSAGES,
     "sensor_anomalies": SENSOR_ANOMALIES,
     "sensor_parse": SENSOR_PARSE,
     "user_parse": USER_PARSE,

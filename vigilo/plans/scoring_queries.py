@@ -57,11 +57,22 @@ def q_all_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _no_processing_time(S.all_predictions(sensor, user))
 
 
+# Processing time pinned for the reproducible form of the output records
+# (an instant with an explicit zone, so the session time zone is irrelevant).
+PINNED_NOW = "2024-02-01T00:00:00Z"
+
+
+def pinned_now():
+    return F.lit(PINNED_NOW).cast("timestamp")
+
+
 def q_prediction_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Output topic records: both flows as JSON text (with processing time)."""
-    sensor = S.prediction_messages(S.sensor_anomalies(sensor_readings(spark, sf_dir)),
+    """Output topic records: both flows as JSON text, processing time pinned."""
+    now = pinned_now()
+    sensor = S.prediction_messages(S.sensor_anomalies(sensor_readings(spark, sf_dir), now),
                                    S.SENSOR_OUTPUT)
-    user = S.prediction_messages(S.user_anomalies(user_events(spark, sf_dir)), S.USER_OUTPUT)
+    user = S.prediction_messages(S.user_anomalies(user_events(spark, sf_dir), now),
+                                 S.USER_OUTPUT)
     return sensor.unionByName(user)
 
 

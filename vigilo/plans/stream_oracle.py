@@ -1,11 +1,13 @@
 """Oracle SQL for the streaming queries: a stream run must equal the
 batch result over the same records, so the batch oracles apply."""
 
-from vigilo.plans.scoring_oracle import DEAD_LETTERS, SENSOR_ANOMALIES, USER_ANOMALIES
+from vigilo.plans.scoring_oracle import (DEAD_LETTERS, PREDICTION_MESSAGES, SENSOR_ANOMALIES,
+                                         USER_ANOMALIES)
 
 ORACLE = {
     "stream_sensor": SENSOR_ANOMALIES,
     "stream_user": USER_ANOMALIES,
     "stream_dead_letters": DEAD_LETTERS,
     "stream_resume": SENSOR_ANOMALIES,
+    "stream_sink": PREDICTION_MESSAGES,
 }

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilo.operators import scoring as S
+from vigilo.plans.scoring_queries import pinned_now
 from vigilo.session import scratch_path
 from vigilo.sources.messages import sensor_messages, user_messages
 from vigilo.streaming import io as SIO
@@ -70,13 +71,15 @@ def q_stream_resume(spark, sf_dir):
 
 
 def q_stream_sink(spark, sf_dir):
-    """Both flows into one output "topic" as JSON text records."""
+    """Both flows into one output "topic" as JSON text records (processing
+    time pinned so the records are reproducible)."""
     root = scratch_path(spark, "stream-topic")
     _stage(sensor_messages(spark, sf_dir), f"{root}/sensor/in")
     _stage(user_messages(spark, sf_dir), f"{root}/user/in")
     for name, flow in (("sensor", SF.sensor_output_records), ("user", SF.user_output_records)):
         src = _stream_of(spark, f"{root}/{name}", name)
-        q = SIO.write_stream(flow(src), f"{root}/out/{name}", f"{root}/checkpoint/{name}",
+        q = SIO.write_stream(flow(src, pinned_now()), f"{root}/out/{name}",
+                             f"{root}/checkpoint/{name}",
                              fmt="json")
         SIO.run_until_caught_up(q)
     return spark.read.schema("topic string, key string, value string, event_id long") \

@@ -28,10 +28,10 @@ def sensor_dead_letter_flow(messages: DataFrame) -> DataFrame:
     return M.dead_letters(M.parse_sensor(messages))
 
 
-def sensor_output_records(messages: DataFrame) -> DataFrame:
+def sensor_output_records(messages: DataFrame, now: Column | None = None) -> DataFrame:
     """Output-topic records ``(topic, key, value)`` of the sensor flow."""
-    return S.prediction_messages(sensor_flow(messages), S.SENSOR_OUTPUT)
+    return S.prediction_messages(sensor_flow(messages, now), S.SENSOR_OUTPUT)
 
 
-def user_output_records(messages: DataFrame) -> DataFrame:
-    return S.prediction_messages(user_flow(messages), S.USER_OUTPUT)
+def user_output_records(messages: DataFrame, now: Column | None = None) -> DataFrame:
+    return S.prediction_messages(user_flow(messages, now), S.USER_OUTPUT)
