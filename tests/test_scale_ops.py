@@ -51,7 +51,11 @@ def _brute_rate(samples, w):
     return sorted(out)
 
 
-def test_chunked_rate_matches_brute_force(spark):
+import pytest
+
+
+@pytest.mark.parametrize("chunk_windows", [1, 2, 5])
+def test_chunked_rate_matches_brute_force(spark, chunk_windows):
     rng = random.Random(3)
     base = dt.datetime(2024, 1, 1)
     rows, value = [], {}
@@ -59,6 +63,8 @@ def test_chunked_rate_matches_brute_force(spark):
         pod = "pod-hot" if i % 2 else f"pod-{rng.randint(0, 5)}"
         ts = base + dt.timedelta(seconds=rng.randint(0, 6 * 3600))
         rows.append((pod, ts))
+    for i in range(40):   # a sparse series: gaps often longer than the window
+        rows.append(("pod-sparse", base + dt.timedelta(seconds=rng.randint(0, 6 * 3600))))
     rows = sorted(set(rows), key=lambda r: (r[0], r[1]))
     data = []
     for pod, ts in rows:
@@ -70,7 +76,7 @@ def test_chunked_rate_matches_brute_force(spark):
         F.lit("m").alias("metric"), F.create_map(F.lit("pod"), F.col("pod")).alias("labels"),
         "ts", "value")
     w = 600
-    got = MT.rate(df, w, chunk_windows=2).select(MT.label("pod").alias("pod"), "ts", "rate")
+    got = MT.rate(df, w, chunk_windows=chunk_windows).select(MT.label("pod").alias("pod"), "ts", "rate")
     got = sorted((r["pod"], r["ts"], round(r["rate"], 9)) for r in got.collect())
     want = _brute_rate(pd.DataFrame(data, columns=["pod", "ts", "value"]), dt.timedelta(seconds=w))
     assert got == want

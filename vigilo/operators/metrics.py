@@ -102,45 +102,34 @@ def rate(df: DataFrame, window_seconds: int, chunk_windows: int = 8) -> DataFram
 
     Scale: a series may be arbitrarily long (even a third of all rows), so
     no window is partitioned by series alone.  Time is cut into chunks of
-    ``chunk_windows * w``; windows run per (series, chunk):
-
-    * the previous sample of each chunk's first sample is the last sample
-      of the series' previous non-empty chunk -- taken from a per-chunk
-      ``max_by`` summary (one row per series-chunk) and joined back;
-    * a window ``(t-w, t]`` reaches at most into the previous chunk, so
-      samples within ``w`` of a chunk's end are copied into the next chunk
-      as context rows; they feed the window sums but are not emitted.
+    ``chunk_windows * w`` and all windows run per (series, chunk).  A step
+    is only ever used when its predecessor lies in the same window, i.e.
+    less than ``w`` earlier, and a window reaches at most ``w`` into the
+    previous chunk.  So each sample within ``w`` of its chunk's end is
+    also emitted (one ``explode``) into the next chunk as a context row:
+    it supplies predecessors and window members there but is not output.
+    Lag and range frame share one partitioning, so the whole operator is a
+    single shuffle with no join and no second pass over the input.
     """
     w_us = window_seconds * MICROS
     chunk_us = chunk_windows * w_us
     s = _by_series(df).select("metric", "series", "labels", "ts", "value",
-                  epoch_micros(F.col("ts")).alias("t_us"))
-    s = s.withColumn("chunk", F.floor(F.col("t_us") / F.lit(chunk_us)).cast("long"))
-    series = ["metric", "series"]
-
-    # 1. previous value of each sample (within a chunk by lag; across
-    #    chunks from the summary of the previous non-empty chunk).
-    in_chunk = Window.partitionBy(*series, "chunk").orderBy("t_us")
-    s = s.withColumn("prev", F.lag("value").over(in_chunk))
-    tails = s.groupBy(*series, "chunk").agg(F.max_by("value", "t_us").alias("tail"))
-    by_chunk = Window.partitionBy(*series).orderBy("chunk")
-    heads = tails.select(*series, "chunk", F.lag("tail").over(by_chunk).alias("carry"))
-    s = s.join(heads, [*series, "chunk"], "left") \
-        .withColumn("prev", F.when(F.col("prev").isNull(), F.col("carry")).otherwise(F.col("prev")))
-    step = F.when(F.col("prev").isNull(), F.lit(None).cast("double")) \
-        .when(F.col("value") < F.col("prev"), F.col("value")) \
-        .otherwise(F.col("value") - F.col("prev"))
-    s = s.withColumn("step", step).drop("carry", "prev")
-
-    # 2. trailing windows per (series, chunk) with the previous chunk's
-    #    tail (samples within w of the chunk end) as context rows.
-    own = s.withColumn("context", F.lit(False))
-    halo = s.where(F.col("t_us") > (F.col("chunk") + 1) * F.lit(chunk_us) - F.lit(w_us)) \
-        .withColumn("chunk", F.col("chunk") + 1).withColumn("context", F.lit(True))
-    rows = own.unionByName(halo)
-    frame = Window.partitionBy(*series, "chunk").orderBy("t_us").rangeBetween(-(w_us - 1), 0)
+                              epoch_micros(F.col("ts")).alias("t_us"))
+    own_chunk = F.floor(F.col("t_us") / F.lit(chunk_us)).cast("long")
+    near_end = F.col("t_us") > (own_chunk + 1) * F.lit(chunk_us) - F.lit(w_us)
+    copies = F.when(near_end, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = (s.withColumn("__copy", F.explode(copies))
+            .withColumn("chunk", own_chunk + F.col("__copy"))
+            .withColumn("context", F.col("__copy") == 1).drop("__copy"))
+    series = ["metric", "series", "chunk"]
+    ordered = Window.partitionBy(*series).orderBy("t_us")
+    prev = F.lag("value").over(ordered)
+    step = F.when(prev.isNull(), F.lit(None).cast("double")) \
+        .when(F.col("value") < prev, F.col("value")).otherwise(F.col("value") - prev)
+    rows = rows.withColumn("step", step)
+    frame = ordered.rangeBetween(-(w_us - 1), 0)
     out = rows.select(
-        *series, "labels", "ts", "t_us", "context",
+        "metric", "series", "labels", "ts", "t_us", "context",
         F.count(F.lit(1)).over(frame).alias("n"),
         F.sum("step").over(frame).alias("steps"),
         F.first("step").over(frame).alias("first_step"),
@@ -148,7 +137,7 @@ def rate(df: DataFrame, window_seconds: int, chunk_windows: int = 8) -> DataFram
     ).where(~F.col("context") & (F.col("n") >= 2))
     increase = F.col("steps") - F.coalesce(F.col("first_step"), F.lit(0.0))
     seconds = (F.col("t_us") - F.col("first_us")) / F.lit(float(MICROS))
-    return out.select(*series, "labels", "ts", (increase / seconds).alias("rate"))
+    return out.select("metric", "series", "labels", "ts", (increase / seconds).alias("rate"))
 
 
 def series_name(template: str) -> Column:

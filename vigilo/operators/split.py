@@ -11,6 +11,7 @@ stratum into one task (a stratum may hold a third of all rows):
 
 1. rows go to buckets by their leading order column
    (``bucket = key div width``), a monotone map, so buckets are ordered;
+   ``width`` is chosen from the key range for about sqrt(n) buckets;
 2. one aggregation counts rows per (stratum, bucket);
 3. a running sum over those *counts* gives each bucket's offset;
 4. the rank is offset + ``row_number`` inside (stratum, bucket), a window
@@ -19,10 +20,11 @@ stratum into one task (a stratum may hold a third of all rows):
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilo.functions.joins import join_dimension
 
 
 def hash_fraction(keys: list[str], seed: int = 42, buckets: int = 10_000) -> Column:
@@ -41,10 +43,30 @@ def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 42):
     return df.randomSplit(list(weights), seed)
 
 
+def bucket_width(df: DataFrame, lead: str) -> int:
+    """Key-range width for about sqrt(n) buckets (one small aggregation).
+
+    With b buckets, the offset window of a stratum sees at most b count
+    rows and a (stratum, bucket) group about n_s / b rows; b = sqrt(n)
+    keeps both near sqrt(n) -- some 5e5 rows for a 3e11-row stratum --
+    however much of the data one stratum holds."""
+    row = df.agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"),
+                 F.count(F.lit(1)).alias("n")).first()
+    if row["lo"] is None:
+        return 1
+    target = max(64, min(1 << 20, math.isqrt(int(row["n"]))))
+    span = int(row["hi"]) - int(row["lo"]) + 1
+    return max(1, -(-span // target))
+
+
 def stratified_rank(df: DataFrame, strata: list[str], order: list[str],
-                    width: int = 4096, name: str = "rank") -> DataFrame:
-    """1-based rank of each row inside its stratum by ``order`` (total)."""
+                    width: int | None = None, name: str = "rank") -> DataFrame:
+    """1-based rank of each row inside its stratum by ``order`` (total).
+
+    ``order[0]`` must be numeric (it defines the buckets); ``width`` is
+    derived from its range when not given."""
     lead = order[0]
+    width = width or bucket_width(df, lead)
     bucketed = df.withColumn("__bucket", F.floor(F.col(lead) / F.lit(width)).cast("long"))
     counts = bucketed.groupBy(*strata, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     running = Window.partitionBy(*strata).orderBy("__bucket") \
@@ -52,14 +74,17 @@ def stratified_rank(df: DataFrame, strata: list[str], order: list[str],
     offsets = counts.select(*strata, "__bucket",
                             (F.sum("__n").over(running) - F.col("__n")).alias("__offset"),
                             F.sum("__n").over(Window.partitionBy(*strata)).alias("__stratum_n"))
-    ranked = join_dimension(bucketed, offsets, [*strata, "__bucket"])
+    # ``offsets`` is an aggregate: AQE sees its real size after its shuffle
+    # and broadcasts it when small, keeping the shuffle join when not.  (A
+    # row-count check here would cost an extra pass over the data.)
+    ranked = bucketed.join(offsets, [*strata, "__bucket"])
     inner = Window.partitionBy(*strata, "__bucket").orderBy(*order)
     return (ranked.withColumn(name, F.col("__offset") + F.row_number().over(inner))
             .drop("__bucket", "__offset"))
 
 
 def stratified_split(df: DataFrame, strata: list[str], order: list[str], train_pct: int = 80,
-                     width: int = 4096, name: str = "split") -> DataFrame:
+                     width: int | None = None, name: str = "split") -> DataFrame:
     ranked = stratified_rank(df, strata, order, width)
     # ceil(train_pct% of n) in integer arithmetic, identical on every engine.
     quota = F.floor((F.col("__stratum_n") * train_pct + 99) / 100)
