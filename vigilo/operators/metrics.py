@@ -64,8 +64,13 @@ def time_range(df: DataFrame, end: Column, span: str) -> DataFrame:
 
 
 def latest_ts(df: DataFrame) -> Column:
-    """The newest sample time as a scalar subquery (evaluated once)."""
-    return df.select(F.max("ts")).scalar()
+    """The newest sample time, resolved first (one aggregation over the
+    ``ts`` column) and used as a literal, so both bounds of a time range
+    reach the parquet scan as pushed filters (row groups and files outside
+    the range are skipped)."""
+    end = df.agg(F.max("ts").alias("end")).first()["end"]
+    dtype = dict(df.dtypes)["ts"]
+    return F.lit(end).cast(dtype) if end is not None else F.lit(None).cast(dtype)
 
 
 def instant_vector(df: DataFrame, at: Column, lookback: str = "5 minutes") -> DataFrame:

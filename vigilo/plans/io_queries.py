@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vigilo.operators import features as FT
+from vigilo.operators import profile as P
 from vigilo.plans.food_queries import KEYS, _food, clean_food
 from vigilo.session import scratch_path
 from vigilo.sources import lake as L
@@ -46,7 +47,7 @@ def q_latest_file_rows(spark, sf_dir):
     food = _food(spark, sf_dir)
     L.write_csv(food, f"{root}/large_food_dataset_20240101-000000.csv")
     L.write_csv(clean_food(spark, sf_dir), f"{root}/large_food_dataset_latest.csv")
-    L.write_csv(food.select("category"), f"{root}/category_notes.csv")
+    L.write_csv(P.distribution(food, "category"), f"{root}/category_counts.csv")
     return L.latest_dataset(spark, root, food.schema, "large_food_dataset")
 
 

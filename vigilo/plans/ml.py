@@ -42,8 +42,27 @@ LEAKY = "calorie_density"  # contains the label (calories / weight)
 TREE_PASS_MEMORY_MB = 1024
 
 
+def _memory_mb(text: str) -> int:
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    text = text.strip().lower().rstrip("b")
+    if text and text[-1] in units:
+        return int(float(text[:-1]) * units[text[-1]])
+    return int(int(text) / (1024 * 1024))
+
+
+def tree_pass_memory(spark) -> int:
+    """An eighth of the task heap (executor memory, or the driver's in
+    local mode), between MLlib's default 256 MB and 1 GB."""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local")
+    key = "spark.driver.memory" if local else "spark.executor.memory"
+    heap = _memory_mb(conf.get(key, "1g"))
+    return max(256, min(TREE_PASS_MEMORY_MB, heap // 8))
+
+
 def calorie_forest(label: str = "calories", num_trees: int = 50, max_depth: int = 10,
-                   exclude_leaky: bool = False, handle_invalid: str = "error") -> Pipeline:
+                   exclude_leaky: bool = False, handle_invalid: str = "error",
+                   pass_memory_mb: int = TREE_PASS_MEMORY_MB) -> Pipeline:
     numeric = [c for c in CALORIE_NUMERIC if not (exclude_leaky and c == LEAKY)]
     # One indexer over all three columns: one pass over the data to fit.
     indexers = [StringIndexer(inputCols=CALORIE_CATEGORICAL,
@@ -55,7 +74,7 @@ def calorie_forest(label: str = "calories", num_trees: int = 50, max_depth: int
                             withStd=True)
     forest = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=num_trees,
                                    maxDepth=max_depth, seed=SEED,
-                                   maxMemoryInMB=TREE_PASS_MEMORY_MB, cacheNodeIds=True,
+                                   maxMemoryInMB=pass_memory_mb, cacheNodeIds=True,
                                    checkpointInterval=10)
     return Pipeline(stages=[*indexers, assembler, scaler, forest])
 
@@ -71,7 +90,8 @@ def scaled_kmeans(k: int = 5, cols: list[str] = CLUSTER_COLUMNS) -> Pipeline:
 
 def nutrition_forest(max_bins: int, num_trees: int = 100, max_depth: int = 15,
                      min_instances: int = 5, handle_invalid: str = "error",
-                     label: str = "calories") -> Pipeline:
+                     label: str = "calories",
+                     pass_memory_mb: int = TREE_PASS_MEMORY_MB) -> Pipeline:
     """``max_bins`` must be at least the largest category count (the
     encoded columns carry nominal metadata, so trees split them as sets)."""
     encoders = [StringIndexer(inputCols=list(ENCODED), outputCols=list(ENCODED.values()),
@@ -83,7 +103,7 @@ def nutrition_forest(max_bins: int, num_trees: int = 100, max_depth: int = 15,
     forest = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=num_trees,
                                    maxDepth=max_depth, minInstancesPerNode=min_instances,
                                    featureSubsetStrategy="all", maxBins=max_bins, seed=SEED,
-                                   maxMemoryInMB=TREE_PASS_MEMORY_MB, cacheNodeIds=True,
+                                   maxMemoryInMB=pass_memory_mb, cacheNodeIds=True,
                                    checkpointInterval=10)
     return Pipeline(stages=[*encoders, profile, clusters, assembler, forest])
 

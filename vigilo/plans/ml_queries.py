@@ -46,7 +46,8 @@ def _fitted(key: tuple, fit):
 
 def fit_calorie_forest(spark, sf_dir):
     train, test = calorie_split(spark, sf_dir)
-    model = _fitted((id(spark), sf_dir, "calorie_forest"), lambda: ml.fit(ml.calorie_forest(), train))
+    pipeline = ml.calorie_forest(pass_memory_mb=ml.tree_pass_memory(spark))
+    model = _fitted((id(spark), sf_dir, "calorie_forest"), lambda: ml.fit(pipeline, train))
     return model, model.transform(test)
 
 
@@ -58,8 +59,9 @@ def nutrition_split(spark, sf_dir):
 def fit_nutrition_forest(spark, sf_dir, handle_invalid: str = "keep"):
     train, test = nutrition_split(spark, sf_dir)
     model = _fitted((id(spark), sf_dir, "nutrition_forest", handle_invalid),
-                    lambda: ml.fit(ml.nutrition_forest(ml.required_bins(train),
-                                                       handle_invalid=handle_invalid), train))
+                    lambda: ml.fit(ml.nutrition_forest(
+                        ml.required_bins(train), handle_invalid=handle_invalid,
+                        pass_memory_mb=ml.tree_pass_memory(spark)), train))
     return model, train, test
 
 

@@ -18,12 +18,13 @@ from vigilo.sources.messages import sensor_messages, user_messages
 from vigilo.streaming import io as SIO
 from vigilo.streaming import scoring as SF
 
-FILES_PER_BATCH = {"maxFilesPerTrigger": "2"}
+MICRO_BATCHES = 4
 
 
-def _stage(df: DataFrame, path: str, files: int = 6) -> None:
-    """Write topic records as a few files (the stream's input)."""
-    df.repartition(files).write.mode("append").parquet(path)
+def _stage(df: DataFrame, path: str) -> None:
+    """Write topic records as the stream's input files (one file per
+    partition: as parallel as the data already is)."""
+    df.write.mode("append").parquet(path)
 
 
 def _run(flow: DataFrame, root: str) -> None:
@@ -32,8 +33,12 @@ def _run(flow: DataFrame, root: str) -> None:
 
 
 def _stream_of(spark: SparkSession, root: str, topic: str) -> DataFrame:
+    """File stand-in for the topic; files per trigger are chosen so the
+    available input is consumed in about ``MICRO_BATCHES`` micro-batches."""
+    files = len(spark.read.parquet(f"{root}/in").inputFiles())
+    per_trigger = max(1, -(-files // MICRO_BATCHES))
     return SIO.read_topic_stream(spark, topic, fmt="parquet", path=f"{root}/in",
-                                 options=FILES_PER_BATCH)
+                                 options={"maxFilesPerTrigger": str(per_trigger)})
 
 
 def q_stream_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +68,9 @@ def q_stream_resume(spark, sf_dir):
     root = scratch_path(spark, "stream-resume")
     messages = sensor_messages(spark, sf_dir)
     half = F.col("event_id") % 2 == 0
-    _stage(messages.where(half), f"{root}/in", files=3)
+    _stage(messages.where(half), f"{root}/in")
     _run(SF.sensor_flow(_stream_of(spark, root, "sensor-data")), root)
-    _stage(messages.where(~half), f"{root}/in", files=3)
+    _stage(messages.where(~half), f"{root}/in")
     _run(SF.sensor_flow(_stream_of(spark, root, "sensor-data")), root)
     return spark.read.parquet(f"{root}/sink").drop(*S.PROCESSING_TIME)
 
