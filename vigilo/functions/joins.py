@@ -17,8 +17,21 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
+# Results of the row-count check per (session, canonical plan, bound): the
+# inputs of one job do not change while it runs, so a dimension used by
+# several queries is checked once.
+_CHECKED: dict[tuple, list[tuple[DataFrame, bool]]] = {}
+
+
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    seen = _CHECKED.setdefault(key, [])
+    for other, result in seen:
+        if df.sameSemantics(other):      # equal plans, not just equal hashes
+            return result
+    result = df.limit(max_rows + 1).count() <= max_rows
+    seen.append((df, result))
+    return result
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

@@ -2,9 +2,18 @@
 batch result over the same records, so the batch oracles apply."""
 
 from vigilo.plans.scoring_oracle import (DEAD_LETTERS, PREDICTION_MESSAGES, SENSOR_ANOMALIES,
-                                         USER_ANOMALIES)
+                                         USER_ANOMALIES, V_SENSOR)
+
+STREAM_SOURCE = f"""
+WITH {V_SENSOR}
+SELECT 'sensor-data' AS topic, sensor_id AS "key",
+  json_object('timestamp', "timestamp", 'sensor_id', sensor_id, 'temperature', temperature,
+              'humidity', humidity)::VARCHAR AS value,
+  event_id
+FROM v_sensor"""
 
 ORACLE = {
+    "stream_source": STREAM_SOURCE,
     "stream_sensor": SENSOR_ANOMALIES,
     "stream_user": USER_ANOMALIES,
     "stream_dead_letters": DEAD_LETTERS,

@@ -41,6 +41,15 @@ def _stream_of(spark: SparkSession, root: str, topic: str) -> DataFrame:
                                  options={"maxFilesPerTrigger": str(per_trigger)})
 
 
+def q_stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic source alone: records read as a stream from the earliest
+    position and landed unchanged (key and value as text)."""
+    root = scratch_path(spark, "stream-source")
+    _stage(sensor_messages(spark, sf_dir), f"{root}/in")
+    _run(_stream_of(spark, root, "sensor-data"), root)
+    return spark.read.parquet(f"{root}/sink")
+
+
 def q_stream_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "stream-sensor")
     _stage(sensor_messages(spark, sf_dir), f"{root}/in")
@@ -92,6 +101,7 @@ def q_stream_sink(spark, sf_dir):
 
 
 QUERIES = {
+    "stream_source": q_stream_source,
     "stream_sensor": q_stream_sensor,
     "stream_user": q_stream_user,
     "stream_dead_letters": q_stream_dead_letters,
