@@ -59,34 +59,47 @@ def bucket_width(df: DataFrame, lead: str) -> int:
     return max(1, -(-span // target))
 
 
-def stratified_rank(df: DataFrame, strata: list[str], order: list[str],
-                    width: int | None = None, name: str = "rank") -> DataFrame:
-    """1-based rank of each row inside its stratum by ``order`` (total).
-
-    ``order[0]`` must be numeric (it defines the buckets); ``width`` is
-    derived from its range when not given."""
+def running_total(df: DataFrame, groups: list[str], order: list[str], value: Column,
+                  name: str, width: int | None = None) -> DataFrame:
+    """Running sum of ``value`` inside each group by ``order`` (total),
+    without gathering a group into one task.
+
+    ``order[0]`` must be numeric; it defines key-range buckets (about
+    sqrt(n) of them unless ``width`` is given).  The total is the sum of
+    the group's earlier buckets (a running sum over one-row-per-bucket
+    aggregates) plus a running sum inside (group, bucket).
+    """
     lead = order[0]
     width = width or bucket_width(df, lead)
-    bucketed = df.withColumn("__bucket", F.floor(F.col(lead) / F.lit(width)).cast("long"))
-    counts = bucketed.groupBy(*strata, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    running = Window.partitionBy(*strata).orderBy("__bucket") \
+    bucketed = df.withColumn("__bucket", F.floor(F.col(lead) / F.lit(width)).cast("long")) \
+        .withColumn("__v", value)
+    sums = bucketed.groupBy(*groups, "__bucket").agg(F.sum("__v").alias("__s"))
+    earlier = Window.partitionBy(*groups).orderBy("__bucket") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select(*strata, "__bucket",
-                            (F.sum("__n").over(running) - F.col("__n")).alias("__offset"),
-                            F.sum("__n").over(Window.partitionBy(*strata)).alias("__stratum_n"))
+    offsets = sums.select(*groups, "__bucket",
+                          (F.sum("__s").over(earlier) - F.col("__s")).alias("__offset"),
+                          F.sum("__s").over(Window.partitionBy(*groups)).alias("__group_total"))
     # ``offsets`` is an aggregate: AQE sees its real size after its shuffle
     # and broadcasts it when small, keeping the shuffle join when not.  (A
     # row-count check here would cost an extra pass over the data.)
-    ranked = bucketed.join(offsets, [*strata, "__bucket"])
-    inner = Window.partitionBy(*strata, "__bucket").orderBy(*order)
-    return (ranked.withColumn(name, F.col("__offset") + F.row_number().over(inner))
-            .drop("__bucket", "__offset"))
+    joined = bucketed.join(offsets, [*groups, "__bucket"])
+    inner = Window.partitionBy(*groups, "__bucket").orderBy(*order) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (joined.withColumn(name, F.col("__offset") + F.sum("__v").over(inner))
+            .drop("__bucket", "__offset", "__v"))
+
+
+def stratified_rank(df: DataFrame, strata: list[str], order: list[str],
+                    width: int | None = None, name: str = "rank") -> DataFrame:
+    """1-based rank of each row inside its stratum by ``order`` (total):
+    the running count.  Adds ``__group_total`` (rows in the stratum)."""
+    return running_total(df, strata, order, F.lit(1).cast("long"), name, width)
 
 
 def stratified_split(df: DataFrame, strata: list[str], order: list[str], train_pct: int = 80,
                      width: int | None = None, name: str = "split") -> DataFrame:
     ranked = stratified_rank(df, strata, order, width)
     # ceil(train_pct% of n) in integer arithmetic, identical on every engine.
-    quota = F.floor((F.col("__stratum_n") * train_pct + 99) / 100)
+    quota = F.floor((F.col("__group_total") * train_pct + 99) / 100)
     return (ranked.withColumn(name, F.when(F.col("rank") <= quota, "train").otherwise("test"))
-            .drop("rank", "__stratum_n"))
+            .drop("rank", "__group_total"))

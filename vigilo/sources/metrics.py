@@ -5,15 +5,18 @@
 * gauge ``events_value``: the raw ``value``.
 
 Labels: ``pod = 'pod-' || user_id``, ``namespace = phase = event_type``.
-The running sum is a window per (series, day), so no group is larger than
-one series-day.
+The running sum is computed per (series, day) by key-range buckets
+(:func:`vigilo.operators.split.running_total`), so no task holds a whole
+series-day.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilo.operators.metrics import epoch_micros
+from vigilo.operators.split import running_total
 from vigilo.sources.tables import read_table
 
 COUNTER = "requests_total"
@@ -30,9 +33,12 @@ def metric_samples(spark: SparkSession, sf_dir: str, kind: str = "counter") -> D
     events = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type",
                                                   "value"])
     if kind == "counter":
-        day = Window.partitionBy("user_id", "event_type", F.to_date("ts")) \
-            .orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        value, name = F.sum("value").over(day), COUNTER
+        # Running sum per (user, type, day), computed by key-range buckets so
+        # one busy series-day is still spread over many tasks.
+        events = running_total(
+            events.withColumn("day", F.to_date("ts")).withColumn("t_us", epoch_micros(F.col("ts"))),
+            ["user_id", "event_type", "day"], ["t_us", "event_id"], F.col("value"), "counter")
+        value, name = F.col("counter"), COUNTER
     elif kind == "gauge":
         value, name = F.col("value"), GAUGE
     else:

@@ -29,7 +29,7 @@ def topic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Offsets: a rank inside (topic, partition) that never gathers a whole
     # partition of the topic into one task.
     ranked = stratified_rank(shaped, ["topic", "partition"], ["event_id"], name="rank")
-    return ranked.select("topic", "partition", (F.col("rank") - 1).alias("offset"),
+    return ranked.select("topic", "partition", (F.col("rank") - 1).cast("long").alias("offset"),
                          "timestamp", "key", "value", "event_id")
 
 
