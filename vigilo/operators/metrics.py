@@ -70,7 +70,13 @@ def latest_ts(df: DataFrame) -> Column:
     the range are skipped)."""
     end = df.agg(F.max("ts").alias("end")).first()["end"]
     dtype = dict(df.dtypes)["ts"]
-    return F.lit(end).cast(dtype) if end is not None else F.lit(None).cast(dtype)
+    if end is None:
+        return F.lit(None).cast(dtype)
+    if dtype == "timestamp_ntz":
+        # From text: a Python datetime literal would pass through the
+        # driver process's local zone.
+        return F.lit(end.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(end).cast(dtype)
 
 
 def instant_vector(df: DataFrame, at: Column, lookback: str = "5 minutes") -> DataFrame:

@@ -15,6 +15,7 @@ from vigilo.operators import scoring as S
 from vigilo.plans.scoring_queries import pinned_now
 from vigilo.session import scratch_path
 from vigilo.sources.messages import sensor_messages, user_messages
+from vigilo.sources.tables import read_table
 from vigilo.streaming import io as SIO
 from vigilo.streaming import scoring as SF
 
@@ -75,11 +76,16 @@ def q_stream_resume(spark, sf_dir):
     """Two arrivals, two runs on one checkpoint: the second run processes
     only the new files, so the sink holds every anomaly exactly once."""
     root = scratch_path(spark, "stream-resume")
-    messages = sensor_messages(spark, sf_dir)
-    half = F.col("event_id") % 2 == 0
-    _stage(messages.where(half), f"{root}/in")
+    # Older records arrive first: split at the middle of the event-time range.
+    span = read_table(spark, sf_dir, "events", ["ts"]).agg(
+        F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    mid = F.lit((span["lo"] + (span["hi"] - span["lo"]) / 2).isoformat(sep=" ")) \
+        .cast("timestamp_ntz")
+    first = sensor_messages(spark, sf_dir, where=F.col("ts") <= mid)
+    later = sensor_messages(spark, sf_dir, where=F.col("ts") > mid)
+    _stage(first, f"{root}/in")
     _run(SF.sensor_flow(_stream_of(spark, root, "sensor-data")), root)
-    _stage(messages.where(~half), f"{root}/in")
+    _stage(later, f"{root}/in")
     _run(SF.sensor_flow(_stream_of(spark, root, "sensor-data")), root)
     return spark.read.parquet(f"{root}/sink").drop(*S.PROCESSING_TIME)
 

@@ -58,8 +58,16 @@ def _sensor_text(r: dict[str, Column]) -> Column:
                               r["humidity"].alias("humidity")), _WITH_NULLS)
 
 
-def sensor_messages(spark: SparkSession, sf_dir: str, varied: bool = False) -> DataFrame:
-    readings = sensor_readings(spread(read_table(spark, sf_dir, "events", EVENT_COLUMNS)))
+def _events(spark: SparkSession, sf_dir: str, where: Column | None) -> DataFrame:
+    events = read_table(spark, sf_dir, "events", EVENT_COLUMNS)
+    return spread(events.where(where) if where is not None else events)
+
+
+def sensor_messages(spark: SparkSession, sf_dir: str, varied: bool = False,
+                    where: Column | None = None) -> DataFrame:
+    """``where`` (on the ``events`` columns) selects which records exist,
+    e.g. the ones that have arrived by some time."""
+    readings = sensor_readings(_events(spark, sf_dir, where))
     cols = {c: F.col(c) for c in ("timestamp", "sensor_id", "temperature", "humidity")}
     clean = _sensor_text(cols)
     value = clean
@@ -86,8 +94,8 @@ def sensor_messages(spark: SparkSession, sf_dir: str, varied: bool = False) -> D
     )
 
 
-def user_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actions = user_actions(spread(read_table(spark, sf_dir, "events", EVENT_COLUMNS)))
+def user_messages(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    actions = user_actions(_events(spark, sf_dir, where))
     return actions.select(
         F.lit(USER_SOURCE).alias("topic"),
         F.col("user_id").cast("string").alias("key"),
