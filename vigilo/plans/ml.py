@@ -126,11 +126,15 @@ def importances(model: PipelineModel, names: list[str]) -> list[tuple[str, float
 
 
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    """Fit with the training rows persisted for MLlib's several passes
-    (indexer, scaler, split finding, tree points).  MEMORY_AND_DISK: a lost
+    """Fit with the training rows spread over the cluster and persisted for
+    MLlib's several passes (indexer, scaler, split finding, tree points).  MEMORY_AND_DISK: a lost
     executor's blocks are recomputed from the plan, nothing is lost."""
     from pyspark import StorageLevel
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+
+    from vigilo.sources.tables import spread
+    # Every pass of the fit runs one task per partition: spread an input
+    # coarser than the cluster (a no-op for a large table).
+    train = spread(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return pipeline.fit(train)
     finally:
