@@ -92,3 +92,16 @@ def test_topic_peek_and_totals(spark):
         [("t1", 0, 0), ("t1", 0, 1), ("t1", 0, 2), ("t2", 0, 0), ("t2", 0, 1), ("t2", 0, 2)]
     totals = {r["topic"]: r["messages"] for r in T.totals(recs).collect()}
     assert totals == {"t1": sum(1 for r in rows if r[0] == "t1"), "t2": sum(1 for r in rows if r[0] == "t2")}
+
+
+def test_running_total_matches_cumsum(spark):
+    rng = random.Random(11)
+    rows = [("hot" if i % 3 else rng.choice("xy"), rng.randint(0, 10_000), i, rng.random() * 10)
+            for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, t long, i long, v double")
+    got = {r["i"]: r["total"] for r in
+           SP.running_total(df, ["g"], ["t", "i"], F.col("v"), "total").collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "t", "i", "v"]).sort_values(["g", "t", "i"])
+    pdf["total"] = pdf.groupby("g")["v"].cumsum()
+    for i, want in zip(pdf["i"], pdf["total"]):
+        assert abs(got[i] - want) < 1e-6 * max(1.0, want)

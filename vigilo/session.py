@@ -25,6 +25,40 @@ RUNTIME_CONF = {
 }
 
 
+MB = 1 << 20
+
+
+def cluster_profile(input_bytes: int, executors: int = 1000, cores_per_executor: int = 8
+                    ) -> dict[str, str]:
+    """Settings for a large cluster, sized from the bytes a job reads.
+
+    * shuffle partitions: about 256 MB of input per partition before AQE
+      coalesces (the default 200 would make 500 GB partitions at 100 TB),
+      at least two waves of tasks;
+    * scan splits of 256 MB (about 400k scan tasks for 100 TB);
+    * AQE coalesces to 256 MB and splits skewed join partitions;
+    * failure tolerance: task retries, decommissioning with shuffle and
+      cache block migration, so a lost executor costs a retry, not the job.
+    """
+    slots = executors * cores_per_executor
+    partitions = max(2 * slots, min(1_000_000, input_bytes // (256 * MB)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * MB),
+        "spark.sql.files.maxPartitionBytes": str(256 * MB),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * MB),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * MB),
+        "spark.task.maxFailures": "8",
+        "spark.stage.maxConsecutiveAttempts": "8",
+        "spark.decommission.enabled": "true",
+        "spark.storage.decommission.enabled": "true",
+        "spark.storage.decommission.shuffleBlocks.enabled": "true",
+        "spark.storage.decommission.rddBlocks.enabled": "true",
+        "spark.sql.streaming.minBatchesToRetain": "100",
+    }
+
+
 def apply_runtime_conf(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
