@@ -116,9 +116,60 @@ DEAD_LETTERS = f"""
 WITH {V_SENSOR_MSG}
 SELECT topic, "key", value, event_id, parse_error AS error FROM sensor_parsed WHERE NOT parse_ok"""
 
+V_USER_MSG = V_USER + """,
+user_text AS (
+  SELECT *, json_object('timestamp', "timestamp", 'user_id', user_id, 'action', action,
+                        'page_id', page_id)::VARCHAR AS clean
+  FROM v_user),
+v_user_msg AS (
+  SELECT event_id, 'user-events' AS topic, CAST(user_id AS VARCHAR) AS "key",
+    CASE
+      WHEN action = 'error' AND page_id < 10 THEN
+        json_object('timestamp', "timestamp", 'user_id', user_id, 'action', action,
+                    'page_id', CAST(page_id AS VARCHAR) || '.7')::VARCHAR
+      WHEN action = 'click' AND page_id < 10 THEN
+        json_object('timestamp', "timestamp", 'user_id', user_id, 'action', action,
+                    'page_id', page_id + 0.9::DOUBLE)::VARCHAR
+      WHEN action = 'view' AND page_id < 5 THEN
+        json_object('timestamp', "timestamp", 'user_id', CAST(user_id AS BIGINT) + 1000000000000,
+                    'action', action, 'page_id', page_id)::VARCHAR
+      WHEN action = 'purchase' AND page_id < 5 THEN
+        json_object('timestamp', "timestamp", 'user_id', user_id, 'page_id', page_id)::VARCHAR
+      WHEN action = 'signup' AND page_id < 5 THEN '[' || clean || ']'
+      ELSE clean END AS value
+  FROM user_text),
+user_num AS (
+  SELECT *,
+    CASE WHEN json_valid(value) AND json_type(value) = 'OBJECT' THEN
+      coalesce(TRY_CAST(json_extract_string(value, '$.user_id') AS DOUBLE), 0.0) END AS uid_d,
+    CASE WHEN json_valid(value) AND json_type(value) = 'OBJECT' THEN
+      coalesce(TRY_CAST(json_extract_string(value, '$.page_id') AS DOUBLE), 0.0) END AS pid_d
+  FROM v_user_msg),
+user_checked AS (
+  SELECT *,
+    CASE WHEN NOT json_valid(value) THEN 'unparseable'
+         WHEN json_type(value) <> 'OBJECT' THEN 'not_an_object'
+         WHEN NOT json_exists(value, '$.user_id') THEN 'missing_field:user_id'
+         WHEN NOT json_exists(value, '$.action') THEN 'missing_field:action'
+         WHEN NOT json_exists(value, '$.page_id') THEN 'missing_field:page_id'
+         WHEN trunc(uid_d) NOT BETWEEN -2147483648 AND 2147483647 THEN 'bad_integer:user_id'
+         WHEN trunc(pid_d) NOT BETWEEN -2147483648 AND 2147483647 THEN 'bad_integer:page_id'
+    END AS parse_error
+  FROM user_num),
+user_parsed AS (
+  SELECT event_id, topic, "key", value, parse_error, parse_error IS NULL AS parse_ok,
+    CASE WHEN parse_error IS NULL THEN CAST(trunc(uid_d) AS INTEGER) END AS user_id,
+    CASE WHEN parse_error IS NULL THEN json_extract_string(value, '$.action') END AS action,
+    CASE WHEN parse_error IS NULL THEN CAST(trunc(pid_d) AS INTEGER) END AS page_id
+  FROM user_checked)"""
+
 USER_PARSE = f"""
-WITH {V_USER}
-SELECT event_id, TRUE AS parse_ok, user_id, action, page_id FROM v_user"""
+WITH {V_USER_MSG}
+SELECT event_id, parse_ok, user_id, action, page_id FROM user_parsed"""
+
+USER_DEAD_LETTERS = f"""
+WITH {V_USER_MSG}
+SELECT topic, "key", value, event_id, parse_error AS error FROM user_parsed WHERE NOT parse_ok"""
 
 USER_OUT = f"""
 {V_USER},
@@ -214,6 +265,7 @@ ORACLE = {
     "sensor_parse": SENSOR_PARSE,
     "user_parse": USER_PARSE,
     "dead_letters": DEAD_LETTERS,
+    "user_dead_letters": USER_DEAD_LETTERS,
     "varied_anomalies": VARIED_ANOMALIES,
     "user_anomalies": USER_ANOMALIES,
     "all_predictions": ALL_PREDICTIONS,

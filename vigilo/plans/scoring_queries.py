@@ -34,10 +34,14 @@ def q_sensor_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_user_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = M.parse_user(user_messages(spark, sf_dir))
+    parsed = M.parse_user(user_messages(spark, sf_dir, varied=True))
     return parsed.select("event_id", "parse_ok", "user_id", "action", "page_id")
 
 
+def q_user_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.dead_letters(M.parse_user(user_messages(spark, sf_dir, varied=True)))
+
+
 def q_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.dead_letters(M.parse_sensor(sensor_messages(spark, sf_dir, varied=True)))
 
@@ -88,6 +92,7 @@ QUERIES = {
     "sensor_parse": q_sensor_parse,
     "user_parse": q_user_parse,
     "dead_letters": q_dead_letters,
+    "user_dead_letters": q_user_dead_letters,
     "varied_anomalies": q_varied_anomalies,
     "user_anomalies": q_user_anomalies,
     "all_predictions": q_all_predictions,

@@ -94,11 +94,32 @@ def sensor_messages(spark: SparkSession, sf_dir: str, varied: bool = False,
     )
 
 
-def user_messages(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+def user_messages(spark: SparkSession, sf_dir: str, where: Column | None = None,
+                  varied: bool = False) -> DataFrame:
+    """User-event messages; ``varied=True`` adds the integer shapes the
+    lenient reader must handle (numeric text, fractional numbers, a value
+    beyond 32 bits) and some unusable records."""
     actions = user_actions(_events(spark, sf_dir, where))
+    value = F.to_json(F.struct("timestamp", "user_id", "action", "page_id"))
+    if varied:
+        kind, k = F.col("action"), F.col("page_id")
+        text_page = F.to_json(F.struct("timestamp", "user_id", "action",
+                                       F.concat(k.cast("string"), F.lit(".7")).alias("page_id")))
+        frac_page = F.to_json(F.struct("timestamp", "user_id", "action",
+                                       (k + F.lit(0.9)).alias("page_id")))
+        huge_user = F.to_json(F.struct("timestamp",
+                                       (F.col("user_id") + F.lit(10 ** 12)).alias("user_id"),
+                                       "action", "page_id"))
+        no_action = F.to_json(F.struct("timestamp", "user_id", "page_id"))
+        value = (F.when((kind == "error") & (k < 10), text_page)
+                 .when((kind == "click") & (k < 10), frac_page)
+                 .when((kind == "view") & (k < 5), huge_user)
+                 .when((kind == "purchase") & (k < 5), no_action)
+                 .when((kind == "signup") & (k < 5), F.concat(F.lit("["), value, F.lit("]")))
+                 .otherwise(value))
     return actions.select(
         F.lit(USER_SOURCE).alias("topic"),
         F.col("user_id").cast("string").alias("key"),
-        F.to_json(F.struct("timestamp", "user_id", "action", "page_id")).alias("value"),
+        value.alias("value"),
         "event_id",
     )
