@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vigilo.operators import features as FT
 from vigilo.plans import ml, ml_queries
 from vigilo.session import scratch_path
+from vigilo.sources.food import ORDER_KEY
 
 from conftest import SF_SMALL
 
@@ -40,3 +41,20 @@ def test_string_indexer_matches_frequency_codes(spark):
     codes = {r["label"]: r["code"] for r in
              q_index_frequency(spark, SF_SMALL).where("column = 'meal_time'").collect()}
     assert {lab: i for i, lab in enumerate(model.labels)} == codes
+
+
+def test_fits_are_deterministic(spark):
+    train, test = ml_queries.calorie_split(spark, SF_SMALL)
+    keys = ORDER_KEY   # the four line-item keys alone repeat once at sf0.001
+    runs = []
+    for _ in range(2):
+        model = ml.fit(ml.calorie_forest(), train)
+        runs.append(model.transform(test).select(*keys, "prediction"))
+    a, b = runs[0].withColumnRenamed("prediction", "a"), runs[1].withColumnRenamed("prediction", "b")
+    joined = a.join(b, keys)
+    assert joined.count() == test.count()
+    assert joined.where(F.abs(F.col("a") - F.col("b")) > 1e-9).count() == 0
+    clean = ml_queries.clean_food(spark, SF_SMALL)
+    c1 = ml.fit(ml.scaled_kmeans(), clean).stages[-1].clusterCenters()
+    c2 = ml.fit(ml.scaled_kmeans(), clean).stages[-1].clusterCenters()
+    assert all((x == y).all() for x, y in zip(c1, c2))

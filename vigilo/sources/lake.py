@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vigilo.functions.rules import iso_instant
+
 # Fixed folder names of the lake layout.
 RAW, PROCESSED, MODELS = "raw-data", "processed-data", "ml-models"
 
@@ -133,7 +135,7 @@ def ingest_metadata(df: DataFrame, fmt: str, source: str, now: Column | None = N
     """One-row metadata record with the real row count (one aggregation)."""
     now = now if now is not None else F.current_timestamp()
     return df.agg(F.count(F.lit(1)).alias("total_records")).select(
-        F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ingestion_timestamp"),
+        iso_instant(now).alias("ingestion_timestamp"),
         "total_records", F.lit(fmt).alias("data_format"), F.lit(source).alias("source"),
         F.to_json(schema_map(df)).alias("schema"))
 
