@@ -7,8 +7,6 @@ recomputed by the aggregate form equal ``RegressionEvaluator``.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +15,7 @@ from vigilo.operators import split as SP
 from vigilo.plans import ml
 from vigilo.plans.food_queries import KEYS, clean_food
 from vigilo.session import scratch_path
+from vigilo.sources import lake as L
 from vigilo.sources.food import ORDER_KEY
 
 
@@ -121,13 +120,16 @@ def q_batch_scoring(spark, sf_dir):
 
 
 def q_training_report(spark, sf_dir):
-    """The training result record (metrics, parameters, features, clustering)."""
+    """The training result record (metrics, parameters, features, clustering),
+    written as ``spark_ml_results_<run>.json`` and as the ``_latest`` copy,
+    and returned as read back from the latest copy."""
     _, predictions = fit_calorie_forest(spark, sf_dir)
+    run = L.run_id()
     metrics = FT.regression_metrics(predictions, "calories", "prediction", digits=None)
-    return metrics.select(F.to_json(F.struct(
+    record = metrics.select(F.to_json(F.struct(
         F.lit("RandomForestRegressor").alias("model_type"),
         F.lit(spark.version).alias("spark_version"),
-        F.lit(_dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d-%H%M%S")).alias("training_timestamp"),
+        F.lit(run).alias("training_timestamp"),
         F.struct("rmse", "mae", "r2").alias("metrics"),
         F.array(*[F.lit(c) for c in ["weight_grams", "protein_g", "carbs_g", "fat_g", "category",
                                      "meal_time", "preparation_method"]]).alias("features_used"),
@@ -137,19 +139,39 @@ def q_training_report(spark, sf_dir):
                  F.array(*[F.lit(c) for c in ml.CLUSTER_COLUMNS]).alias("features"))
         .alias("clustering"),
     )).alias("report"))
+    root = scratch_path(spark, "lake") + "/" + L.PROCESSED
+    record.coalesce(1).write.mode("errorifexists").text(f"{root}/spark_ml_results_{run}.json")
+    spark.read.text(f"{root}/spark_ml_results_{run}.json") \
+        .write.mode("overwrite").text(f"{root}/spark_ml_results_latest.json")
+    return spark.read.text(f"{root}/spark_ml_results_latest.json").withColumnRenamed("value", "report")
 
 
 def q_scoring_report(spark, sf_dir):
-    """Pipeline metadata: performance, importances as records, error stats.
+    """Pipeline metadata: performance, importances as records, error
+    statistics and the map of files written (training data, predictions,
+    model), saved as ``ml_pipeline_metadata_<run>.json`` and read back.
 
     Each part is a one-row aggregate (or the model's 12 importances); the
     record is assembled from those scalars, no data rows are joined."""
     model, train, scored = _scored_new_rows(spark, sf_dir)
+    run = L.run_id()
+    lake = scratch_path(spark, "lake")
+    files = {
+        "processed_training_data": f"processed_training_data_{run}.csv",
+        "batch_predictions": f"batch_predictions_{run}.csv",
+        "model": f"random_forest_model_{run}",
+    }
+    L.write_csv(train.drop("split"), f"{lake}/{L.PROCESSED}/{files['processed_training_data']}")
+    L.write_csv(scored.select(*KEYS, "food_item", "category", "nutrition_cluster", "calories",
+                              "predicted_calories", "prediction_error", "prediction_error_pct"),
+                f"{lake}/{L.PROCESSED}/{files['batch_predictions']}")
+    ml.save(model, f"{lake}/{L.MODELS}/{files['model']}")
     perf = FT.regression_metrics(scored, "calories", "predicted_calories").first()
     stats = FT.prediction_stats(scored).first()
     n_train = train.count()
     imp = sorted(ml.importances(model, ml.NUTRITION_FEATURES), key=lambda r: -r[1])
     record = F.struct(
+        F.lit(run).alias("pipeline_timestamp"),
         F.lit(n_train).cast("long").alias("training_samples"),
         F.lit(perf["n"]).cast("long").alias("prediction_samples"),
         F.struct(*[F.lit(perf[k]).cast("double").alias(k) for k in ("rmse", "mae", "r2")])
@@ -159,8 +181,12 @@ def q_scoring_report(spark, sf_dir):
         F.struct(*[F.lit(stats[k]).cast("double").alias(k) for k in
                    ("mean_error_kcal", "mean_error_percent", "accuracy_within_10_percent")])
         .alias("prediction_statistics"),
+        F.struct(*[F.lit(v).alias(k) for k, v in files.items()]).alias("data_lake_files"),
     )
-    return spark.range(1).select(F.to_json(record).alias("report"))
+    path = f"{lake}/{L.PROCESSED}/ml_pipeline_metadata_{run}.json"
+    spark.range(1).select(F.to_json(record).alias("report")).coalesce(1) \
+        .write.mode("errorifexists").text(path)
+    return spark.read.text(path).withColumnRenamed("value", "report")
 
 
 def q_model_roundtrip(spark, sf_dir):
