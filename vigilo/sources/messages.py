@@ -60,7 +60,7 @@ def _sensor_text(r: dict[str, Column]) -> Column:
 
 def _events(spark: SparkSession, sf_dir: str, where: Column | None) -> DataFrame:
     events = read_table(spark, sf_dir, "events", EVENT_COLUMNS)
-    return spread(events.where(where) if where is not None else events)
+    return spread(events.where(where) if where is not None else events, key="event_id")
 
 
 def sensor_messages(spark: SparkSession, sf_dir: str, varied: bool = False,

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigilo.session import table_path
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None,
+           key: str | None = None) -> DataFrame:
     """At least ``min_partitions`` (default: the cluster's parallelism)
     partitions, like the Kafka source's ``minPartitions``.
 
@@ -20,13 +21,16 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     shuffle of that small input); a large table already has many more
     splits than cores and is returned unchanged.  Used in front of
     CPU-heavy per-row work (JSON message parsing), where a single task
-    would be the bottleneck; cheap scans are not spread.
+    would be the bottleneck; cheap scans are not spread.  ``key``, when
+    given, should be (nearly) unique, e.g. a record id.
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
-    return df.repartition(want)
+    # Hash on a (near-)unique key is as even as round-robin and, unlike
+    # round-robin, needs no local sort to stay deterministic on a retry.
+    return df.repartition(want, key) if key else df.repartition(want)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
