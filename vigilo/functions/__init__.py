@@ -1,0 +1 @@
+"""Column expressions: lenient JSON reads, scoring rules, features, joins."""

@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators, shared by batch and streaming."""

@@ -1,0 +1 @@
+"""Named queries, DuckDB oracle SQL and MLlib pipelines."""

@@ -1,0 +1 @@
+"""Bindings of the provided tables, lake reads/writes and topic records."""

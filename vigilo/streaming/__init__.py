@@ -1,0 +1 @@
+"""Structured Streaming sources, sinks and the scoring flows."""
