@@ -52,12 +52,13 @@ def _memory_mb(text: str) -> int:
 
 def tree_pass_memory(spark) -> int:
     """An eighth of the task heap (executor memory, or the driver's in
-    local mode), between MLlib's default 256 MB and 1 GB."""
+    local mode), between 64 MB and 1 GB: a small heap gets more, smaller
+    passes instead of running out of memory."""
     conf = spark.sparkContext.getConf()
     local = spark.sparkContext.master.startswith("local")
     key = "spark.driver.memory" if local else "spark.executor.memory"
     heap = _memory_mb(conf.get(key, "1g"))
-    return max(256, min(TREE_PASS_MEMORY_MB, heap // 8))
+    return max(64, min(TREE_PASS_MEMORY_MB, heap // 8))
 
 
 def calorie_forest(label: str = "calories", num_trees: int = 50, max_depth: int = 10,
