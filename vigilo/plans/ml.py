@@ -47,7 +47,7 @@ def _memory_mb(text: str) -> int:
     text = text.strip().lower().rstrip("b")
     if text and text[-1] in units:
         return int(float(text[:-1]) * units[text[-1]])
-    return int(int(text) / (1024 * 1024))
+    return int(text)   # a bare number means MiB for Spark memory settings
 
 
 def tree_pass_memory(spark) -> int:
