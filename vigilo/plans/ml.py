@@ -51,14 +51,22 @@ def _memory_mb(text: str) -> int:
 
 
 def tree_pass_memory(spark) -> int:
-    """An eighth of the task heap (executor memory, or the driver's in
-    local mode), between 64 MB and 1 GB: a small heap gets more, smaller
-    passes instead of running out of memory."""
-    conf = spark.sparkContext.getConf()
-    local = spark.sparkContext.master.startswith("local")
-    key = "spark.driver.memory" if local else "spark.executor.memory"
-    heap = _memory_mb(conf.get(key, "1g"))
-    return max(64, min(TREE_PASS_MEMORY_MB, heap // 8))
+    """Per-task memory for one pass of tree statistics.
+
+    Every task that runs concurrently in a JVM builds its own statistics
+    array of this size, so the heap (executor memory, or the driver's in
+    local mode) is divided by the task slots of that JVM and kept at a
+    quarter of the heap overall; between 32 MB and 1 GB.
+    """
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    if sc.master.startswith("local"):
+        heap = _memory_mb(conf.get("spark.driver.memory", "1g"))
+        slots = sc.defaultParallelism
+    else:
+        heap = _memory_mb(conf.get("spark.executor.memory", "1g"))
+        slots = int(conf.get("spark.executor.cores", "1"))
+    return max(32, min(TREE_PASS_MEMORY_MB, heap // (4 * max(1, slots))))
 
 
 def calorie_forest(label: str = "calories", num_trees: int = 50, max_depth: int = 10,
