@@ -97,3 +97,23 @@ def test_ingest_metadata_counts_rows(spark):
     row = L.ingest_metadata(df, "csv", "unit").first()
     assert row["total_records"] == 4
     assert row["schema"] == '{"food_item":"string","calories":"double"}'
+
+
+def test_memory_sizing_helpers(spark):
+    from vigilo.plans import ml
+    assert [ml._memory_mb(t) for t in ("1g", "12g", "512m", "2048", "4096mb")] == \
+        [1024, 12288, 512, 2048, 4096]
+    per_task = ml.tree_pass_memory(spark)
+    heap = ml._memory_mb(spark.sparkContext.getConf().get("spark.driver.memory", "1g"))
+    assert 32 <= per_task <= 1024
+    assert per_task * spark.sparkContext.defaultParallelism <= heap // 4 or per_task == 32
+
+
+def test_cluster_profile_sizes_shuffles():
+    from vigilo.session import cluster_profile
+    conf = cluster_profile(100 * 2 ** 40, executors=1000, cores_per_executor=8)
+    parts = int(conf["spark.sql.shuffle.partitions"])
+    assert parts == 409600                          # 100 TB / 256 MB
+    assert conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == str(parts)
+    small = cluster_profile(10 * 2 ** 30, executors=10, cores_per_executor=4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 80   # at least two waves of 40 slots
