@@ -60,8 +60,8 @@ def main(argv=None):
     text = ["# Physical plans (static, before AQE), sf 0.01", "",
             "Generated by `python tests/plan_report.py`.  Shuffles = Exchange operators "
             "(hash, range, single-partition, round-robin); broadcast exchanges are listed with "
-            "the joins.  The one round-robin shuffle of the message queries is `spread()` "
-            "(the sf 0.01 input is a single split; a large table skips it).  No query uses a "
+            "the joins.  The one shuffle of the message queries is `spread()` (hash on "
+            "event_id; the sf 0.01 input is a single split, a large table skips it).  No query uses a "
             "cartesian product or a nested-loop join.  MLlib queries are omitted (their cost "
             "is the fit).", "",
             "| Query | Shuffles | Joins | Windows / generators / top-k | Filters pushed to parquet |",
