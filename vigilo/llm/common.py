@@ -33,15 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_batch(df: DataFrame, fn: Callable[[list, list], dict[str, list]], schema: str) -> DataFrame:
-    """Row-wise Python over (key, text): ``fn`` gets the keys and the texts of
-    one Arrow batch and returns the output columns by name."""
+def by_batch_of(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str) -> DataFrame:
+    """Row-wise Python in Arrow batches, without a shuffle: ``fn`` gets a list
+    for each column of ``df`` and returns the output columns by name."""
     out = pa.schema([(n, _arrow(t)) for n, t in (c.strip().split(" ", 1) for c in schema.split(","))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cols = fn(batch.column("key").to_pylist(), batch.column("text").to_pylist())
+                cols = fn(*[c.to_pylist() for c in batch.columns])
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, f.type)
                      for c, f in ((cols[f.name], f) for f in out)], schema=out)

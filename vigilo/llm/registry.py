@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vigilo.llm import simhash
+from vigilo.llm import decontaminate, simhash
 
 QUERIES = {
     "op3_simhash": simhash.op3,
+    "op8_decontaminate": decontaminate.op8,
 }
 
 ORACLE_SQL: dict[str, str] = {}

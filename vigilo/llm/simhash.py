@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import by_batch, pick, written
+from vigilo.llm.common import by_batch_of, documents, pick, written
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 GOLAY_BITS, GOLAY_RADIUS, GOLAY_POLY = 23, 3, 0b101011100011
@@ -66,7 +66,7 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) ->
     def run(keys: list, texts: list) -> dict[str, list]:
         fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
         return {"key": keys, "fp": pa.array(fps)}
-    return by_batch(pick(df, key, text), run, "key long, fp long")
+    return by_batch_of(pick(df, key, text), run, "key long, fp long")
 
 
 def _syndromes(width: int) -> np.ndarray:
@@ -286,7 +286,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
 def op3(spark, sf_dir: str) -> DataFrame:
     """``op3_simhash``: fingerprint and component of every document."""
-    from vigilo.llm.common import documents
     out = near_duplicates(documents(spark, sf_dir))
     return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                       F.col("component").alias("component_id"))
