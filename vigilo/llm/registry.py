@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vigilo.llm import decontaminate, simhash
+from vigilo.llm import decontaminate, langid, simhash
 
 QUERIES = {
     "op3_simhash": simhash.op3,
+    "op5_langid": langid.op5,
     "op8_decontaminate": decontaminate.op8,
 }
 
