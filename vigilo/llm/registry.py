@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vigilo.llm import decontaminate, langid, simhash
+from vigilo.llm import bpe, decontaminate, langid, simhash
 
 QUERIES = {
     "op3_simhash": simhash.op3,
     "op5_langid": langid.op5,
+    "op6_bpe": bpe.op6,
     "op8_decontaminate": decontaminate.op8,
 }
 
