@@ -61,6 +61,7 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for token, i in self.added.items():
             self.tokens[i] = token
+        self.token_array = np.array(self.tokens, dtype=object)
         symbols = byte_symbols()
         self.inner = np.array([ids[s] for s in symbols], dtype=np.int32)
         self.final = np.array([ids[s + suffix] for s in symbols], dtype=np.int32)
@@ -277,16 +278,19 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
 
 def decode(df: DataFrame, path: str, key: str = "key", ids: str = "ids") -> DataFrame:
     """(key, ids, text): the decoded text, special tokens included.  Null ids are empty."""
-    def run(keys: list, rows: list) -> dict[str, list]:
-        tokens = encoder(path).vocabulary.tokens
-        return {"key": keys, "ids": rows, "text": [" ".join([tokens[i] for i in r or ()]) for r in rows]}
-    return by_batch_of(df.select(F.col(key).alias("key"), F.col(ids).alias("ids")), run, "key long, ids array<int>, text string")
+    def run(keys: pa.Array, rows: pa.ListArray) -> dict[str, list]:
+        tokens = encoder(path).vocabulary.token_array
+        ends, flat = rows.offsets.to_numpy(), rows.values.to_numpy(zero_copy_only=False)
+        texts = [" ".join(tokens[flat[s:e]]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        return {"key": keys, "ids": rows, "text": texts}
+    rows = df.select(F.col(key).alias("key"), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+    return by_batch_of(rows, run, "key long, ids array<int>, text string", lists=False)
 
 
 def digest(decoded: DataFrame) -> DataFrame:
-    joined = F.array_join(F.coalesce("ids", F.array().cast("array<int>")).cast("array<string>"), " ")
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(
-        F.col("key").alias("doc_id"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

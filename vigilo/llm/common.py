@@ -33,15 +33,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_batch_of(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str) -> DataFrame:
+SLICE_ROWS = 512
+
+
+def by_batch_of(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, lists: bool = True) -> DataFrame:
     """Row-wise Python in Arrow batches, without a shuffle: ``fn`` gets a list
-    for each column of ``df`` and returns the output columns by name."""
+    (or, without ``lists``, an Arrow array) for each column of ``df`` and
+    returns the output columns by name.  Batches are cut into slices of
+    ``SLICE_ROWS`` rows, which bounds what a worker holds as Python objects."""
     out = pa.schema([(n, _arrow(t)) for n, t in (c.strip().split(" ", 1) for c in schema.split(","))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cols = fn(*[c.to_pylist() for c in batch.columns])
+            for s in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(s, SLICE_ROWS)
+                cols = fn(*[c.to_pylist() if lists else c for c in part.columns])
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, f.type)
                      for c, f in ((cols[f.name], f) for f in out)], schema=out)
