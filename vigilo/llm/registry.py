@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vigilo.llm import bpe, decontaminate, langid, simhash
+from vigilo.llm import bpe, decontaminate, langid, pii, simhash
 
 QUERIES = {
     "op3_simhash": simhash.op3,
     "op5_langid": langid.op5,
     "op6_bpe": bpe.op6,
+    "op7_pii": pii.op7,
     "op8_decontaminate": decontaminate.op8,
 }
 
