@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vigilo.llm import bpe, decontaminate, langid, pii, simhash
+from vigilo.llm import bpe, decontaminate, langid, pii, simhash, suffix_dedup
 
 QUERIES = {
     "op3_simhash": simhash.op3,
+    "op4_suffix_dedup": suffix_dedup.op4,
     "op5_langid": langid.op5,
     "op6_bpe": bpe.op6,
     "op7_pii": pii.op7,
