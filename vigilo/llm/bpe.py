@@ -21,6 +21,7 @@ pattern, byte-level symbols, added tokens.  Null texts are empty: no ids.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable
@@ -31,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import by_batch_of, documents, pick
+from vigilo.llm.common import by_batch_of, documents, pick, with_columns
 
 LANE = 64
 CACHE = 1 << 18
@@ -62,6 +63,7 @@ class Vocabulary:
         for token, i in self.added.items():
             self.tokens[i] = token
         self.token_array = np.array(self.tokens, dtype=object)
+        self.id_names = np.array([str(i) for i in range(len(self.tokens))], dtype=object)
         symbols = byte_symbols()
         self.inner = np.array([ids[s] for s in symbols], dtype=np.int32)
         self.final = np.array([ids[s + suffix] for s in symbols], dtype=np.int32)
@@ -287,6 +289,23 @@ def decode(df: DataFrame, path: str, key: str = "key", ids: str = "ids") -> Data
     return by_batch_of(rows, run, "key long, ids array<int>, text string", lists=False)
 
 
+def tokenized(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``df`` with ``n_tokens``, ``ids`` and the digests of ids and decoded text."""
+    def run(texts: list) -> dict[str, list]:
+        enc = encoder(path)
+        return {"ids": lists([ids for part in in_parts(texts) for ids in enc.encode(part)])}
+
+    def back(rows: list) -> dict[str, list]:
+        tokens = encoder(path).vocabulary.token_array
+        names = encoder(path).vocabulary.id_names
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        return {"n_tokens": [len(r) for r in rows], "ids_sha256": [sha(" ".join(names[np.array(r, dtype=np.int32)])) for r in rows],
+                "decoded_sha256": [sha(" ".join(tokens[np.array(r, dtype=np.int32)])) for r in rows]}
+
+    return with_columns(with_columns(df, text, run, "ids array<int>"), "ids", back,
+                        "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def digest(decoded: DataFrame) -> DataFrame:
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilo.session import scratch_path
 from vigilo.sources.tables import read_table
@@ -24,6 +25,16 @@ def pick(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
+#: Bytes of rows handed to a Python worker at once; two workers share an executor.
+BATCH_BYTES = 8 << 20
+
+
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes as well as rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared scratch folder: lineage ends here, and a
     lost executor costs the tasks that read it, not the work before it."""
@@ -52,7 +63,29 @@ def by_batch_of(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str,
                     [c if isinstance(c, pa.Array) else pa.array(c, f.type)
                      for c, f in ((cols[f.name], f) for f in out)], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
+
+
+def with_columns(df: DataFrame, text: str, fn: Callable[[list], dict[str, list]], schema: str) -> DataFrame:
+    """``df`` with more columns, computed by ``fn`` from the list of a slice's
+    texts; columns of the same names are replaced, the others pass through."""
+    new = [(n, t.strip()) for n, t in (c.strip().split(" ", 1) for c in schema.split(","))]
+    names = [n for n, _ in new]
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names or c == text])
+    at = kept.columns.index(text)
+    fields = [f for f in kept.schema if f.name not in names]
+    shape = T.StructType([*fields, *T.StructType.fromDDL(schema).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(s, SLICE_ROWS)
+                cols = fn(part.column(at).to_pylist())
+                more = [cols[n] if isinstance(cols[n], pa.Array) else pa.array(cols[n], _arrow(t)) for n, t in new]
+                passed = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n not in names]
+                yield pa.RecordBatch.from_arrays([*(c for _, c in passed), *more], names=[*(n for n, _ in passed), *names])
+
+    return in_arrow(kept, run, shape)
 
 
 def _arrow(kind: str) -> pa.DataType:

@@ -27,7 +27,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import by_batch_of, documents, pick
+from vigilo.llm.common import by_batch_of, documents, pick, with_columns
 from vigilo.sources.tables import read_table
 
 WINDOW = 10
@@ -101,6 +101,13 @@ def _patterns(bench: DataFrame, size: int, parts: int, part: int) -> dict[str, l
     return {line: sorted(items) for line, items in found.items()}
 
 
+def _tests(bench: DataFrame, item: str, item_text: str, automaton_bytes: int) -> tuple[DataFrame, int]:
+    """Items under fixed names and the number of automata they need."""
+    tests = bench.select(F.col(f"`{item}`").cast("string").alias("key"), F.col(f"`{item_text}`").alias("text"))
+    held = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return tests, max(1, -(-held // automaton_bytes))
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text",
                   item: str = "item_id", item_text: str = "text", window: int = WINDOW,
                   automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -109,9 +116,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     the items found and the hit spans in code points of the original text."""
     spark = docs.sparkSession
     rows = pick(docs, key, text)
-    tests = bench.select(F.col(f"`{item}`").cast("string").alias("key"), F.col(f"`{item_text}`").alias("text"))
-    held = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-held // automaton_bytes))
+    tests, parts = _tests(bench, item, item_text, automaton_bytes)
     state = rows.withColumns({"runs": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     for part in range(parts):
         state = _scanned(state, spark.sparkContext.broadcast(_patterns(tests, window, parts, part)))
@@ -141,6 +146,27 @@ def _scanned(state: DataFrame, sent) -> DataFrame:
     return by_batch_of(state, run, "key long, text string, runs array<int>, items array<string>")
 
 
+def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+          window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of ``docs`` without any hit word, all columns as they are."""
+    tests, parts = _tests(bench, item, item_text, automaton_bytes)
+    for part in range(parts):
+        docs = _unhit(docs, text, docs.sparkSession.sparkContext.broadcast(_patterns(tests, window, parts, part)))
+    return docs
+
+
+def _unhit(docs: DataFrame, text: str, sent) -> DataFrame:
+    made = []
+
+    def run(texts: list) -> dict[str, list]:
+        if not made:
+            made.append(_automaton(sent.value))
+        return {flag: [bool(scan(t, made[0])[0]) for t in texts]}
+
+    flag = next(f for f in ("hit" + "_" * i for i in range(99)) if f not in docs.columns)
+    return with_columns(docs, text, run, f"{flag} boolean").filter(~F.col(flag)).drop(flag)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns of ``decontaminate``'s result."""
     hit = F.aggregate(F.sequence(F.lit(0), (F.size("hit_words") / 2).cast("int") - 1), F.lit(0).cast("long"),

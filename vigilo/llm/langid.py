@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import by_batch_of, documents
+from vigilo.llm.common import by_batch_of, documents, pick, with_columns
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
@@ -185,19 +185,23 @@ def fit(df: DataFrame, lang: str = "lang", text: str = "text") -> Filters:
     return Filters([r["lang"] for r in rows], [np.array(sorted(r["cells"]), dtype=np.int64) for r in rows], order)
 
 
-def identify(df: DataFrame, model: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) for every row."""
+def label(df: DataFrame, model: Filters, text: str = "text", lang: str = "lang", score: str = "score") -> DataFrame:
+    """``df`` with the predicted language and its score in two columns."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     made = []
 
-    def run(keys: list, texts: list) -> dict[str, list]:
+    def run(texts: list) -> dict[str, list]:
         if not made:
             made.append(sent.value.tables())
         found = [sent.value.decide(t, made[0]) for t in texts]
-        return {"key": keys, "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
+        return {lang: [f[0] for f in found], score: [f[1] for f in found]}
+
+    return with_columns(df, text, run, f"{lang} string, {score} double")
 
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return by_batch_of(rows, run, "key long, lang_pred string, score double")
+
+def identify(df: DataFrame, model: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, lang_pred, score) for every row."""
+    return label(pick(df, key, text), model, lang="lang_pred").select("key", "lang_pred", "score")
 
 
 def held_out(key: str):

@@ -30,10 +30,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import by_batch_of, documents, pick, written
+from vigilo.llm.common import by_batch_of, documents, in_arrow, pick, written
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 GOLAY_BITS, GOLAY_RADIUS, GOLAY_POLY = 23, 3, 0b101011100011
@@ -62,11 +62,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
-    """(key, fp): one row per input row, fp the fingerprint as a signed long."""
+    """(key, mark, fp): one row per input row, fp the fingerprint as a signed
+    long, mark Spark's xxhash64 of the text (rows that share a key differ by it)."""
     def run(keys: list, texts: list) -> dict[str, list]:
         fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-        return {"key": keys, "fp": pa.array(fps)}
-    return by_batch_of(pick(df, key, text), run, "key long, fp long")
+        marks = np.array([SEED if t is None else xxhash.xxh64_intdigest(t, SEED) for t in texts], dtype=np.uint64).view(np.int64)
+        return {"key": keys, "mark": pa.array(marks), "fp": pa.array(fps)}
+    return by_batch_of(pick(df, key, text), run, "key long, mark long, fp long")
 
 
 def _syndromes(width: int) -> np.ndarray:
@@ -208,10 +210,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS
                     yield pa.RecordBatch.from_pydict({
                         "anchor": key[r], "task": task, "home": np.full(len(r), as_home), "fp": fp[r]})
 
-    sizes = fps.mapInArrow(lambda it: visits(it, None), "anchor long").groupBy("anchor").count()
+    sizes = in_arrow(fps, lambda it: visits(it, None), "anchor long").groupBy("anchor").count()
     # At most 2 * 4096 + 2^18 anchors exist; only those over the block size come here.
     blocks = {r["anchor"]: -(-r["count"] // block_rows) for r in sizes.filter(F.col("count") > block_rows).collect()}
-    dealt = (fps.mapInArrow(lambda it: visits(it, blocks), "anchor long, task long, home boolean, fp long")
+    dealt = (in_arrow(fps, lambda it: visits(it, blocks), "anchor long, task long, home boolean, fp long")
              .repartition("anchor", "task").sortWithinPartitions("anchor", "task"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +247,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS
                 yield from groups(False)
         yield from groups(True)
 
-    return dealt.mapInArrow(compare, "a long, b long").filter("a <> b")
+    return in_arrow(dealt, compare, "a long, b long").filter("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -272,16 +274,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
-    """(key, fp, component): one row per input row; component is the smallest
-    key reachable over links of at most ``max_bits`` differing bits."""
+    """(key, mark, fp, root, component): one row per input row; component is the
+    smallest key reachable over links of at most ``max_bits`` differing bits,
+    root names the component also where no key does."""
     rows = written(fingerprints(df, key, text, shingle), "simhash-fp")
     values = written(rows.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n")), "simhash-values")
     roots = components(links(values.select("fp"), max_bits))
     placed = written(values.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                      .select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-placed")
     low = placed.groupBy("root").agg(F.min("low").alias("component"))
-    of = placed.join(low, "root").select("fp", "component")
-    return rows.join(of, "fp").select("key", "fp", "component")
+    of = placed.join(low, "root").select("fp", "root", "component")
+    return rows.join(of, "fp").select("key", "mark", "fp", "root", "component")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``df`` for each component, all columns as they are: the one with
+    the smallest key (none last), then the smallest text hash; of rows that
+    share both, the first by its other columns."""
+    cols = df.columns
+    found = near_duplicates(df, key, text, shingle, max_bits)
+    same = found.groupBy("root", "key", "mark").agg(F.count("*").alias("rows"))
+    low = same.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark", "rows")).alias("low"))
+    keep = low.select(*[F.col(f"low.{c}").alias(f"__{c}") for c in ("key", "mark", "rows")])
+    kept = df.join(keep, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__mark")))
+    # Equal rows are rare; only those are put in order.
+    by = Window.partitionBy("__key", "__mark").orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in cols if c not in (key, text)], F.lit(0))
+    again = kept.filter("__rows > 1").withColumn("__nth", F.row_number().over(by)).filter("__nth = 1")
+    return kept.filter("__rows = 1").select(*[F.col(f"`{c}`") for c in cols]).unionAll(again.select(*[F.col(f"`{c}`") for c in cols]))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
