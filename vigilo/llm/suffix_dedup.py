@@ -45,12 +45,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import documents, pick, written
+from vigilo.llm.common import documents, in_arrow, pick, written
 
 LENGTH, PREFIX = 50, 20
 PIECE = 1 << 19          # bytes hashed at once
 CHUNK = 8 << 20          # bytes of text that one task decides on its own
-BUCKET_BYTES = 12 << 20  # bytes of text per bucket
+BUCKET_BYTES = 6 << 20  # bytes of text per bucket
 NULL_KEY = np.iinfo(np.int64).max
 _BASE = 6364136223846793005
 _U = np.uint64
@@ -498,16 +498,16 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     def in_buckets(some: DataFrame) -> DataFrame:
         return some.repartition(n, "bucket").sortWithinPartitions("bucket")
 
-    blocks = rows.mapInArrow(lambda it: _round_one(it, n, length, prefix), _SCHEMA)
-    judged = written(in_buckets(blocks).mapInArrow(lambda it: _judge(it, n, length), _SCHEMA), "repeats-judged")
-    texts = rows.mapInArrow(_packed_texts, "key long, mark long, no_key boolean, zipped binary")
-    still = in_buckets(judged.filter(F.col("kind") == OPEN)).mapInArrow(
-        lambda it: _per_document(it, length, OPEN), "key long, mark long, list binary")
-    opened = texts.join(still, ["key", "mark"]).mapInArrow(lambda it: _open_blocks(it, n, length), _SCHEMA)
-    strings = in_buckets(opened).mapInArrow(lambda it: _judge_strings(it, n, length), _SCHEMA)
-    spans = in_buckets(judged.filter(F.col("kind") == SPANS).unionAll(strings)).mapInArrow(
-        lambda it: _per_document(it, length, SPANS), "key long, mark long, list binary")
-    return texts.join(spans, ["key", "mark"], "left").mapInArrow(_removed, "key long, n_bytes long, spans array<long>, kept binary")
+    blocks = in_arrow(rows, lambda it: _round_one(it, n, length, prefix), _SCHEMA)
+    judged = written(in_arrow(in_buckets(blocks), lambda it: _judge(it, n, length), _SCHEMA), "repeats-judged")
+    texts = in_arrow(rows, _packed_texts, "key long, mark long, no_key boolean, zipped binary")
+    per_document = "key long, mark long, list binary"
+    still = in_arrow(in_buckets(judged.filter(F.col("kind") == OPEN)), lambda it: _per_document(it, length, OPEN), per_document)
+    opened = in_arrow(texts.join(still, ["key", "mark"]), lambda it: _open_blocks(it, n, length), _SCHEMA)
+    strings = in_arrow(in_buckets(opened), lambda it: _judge_strings(it, n, length), _SCHEMA)
+    spans = in_arrow(in_buckets(judged.filter(F.col("kind") == SPANS).unionAll(strings)),
+                     lambda it: _per_document(it, length, SPANS), per_document)
+    return in_arrow(texts.join(spans, ["key", "mark"], "left"), _removed, "key long, n_bytes long, spans array<long>, kept binary")
 
 
 def digest(found: DataFrame) -> DataFrame:
