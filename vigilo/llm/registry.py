@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilo.llm import bpe, decontaminate, langid, pii, quality, simhash, suffix_dedup
+from vigilo.llm import bpe, decontaminate, html_text, langid, pii, quality, simhash, suffix_dedup
 
 QUERIES = {
     "op2_quality": quality.op2,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_bpe": bpe.op6,
     "op7_pii": pii.op7,
     "op8_decontaminate": decontaminate.op8,
+    "op9_html": html_text.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {}
