@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vigilo.llm import bpe, decontaminate, html_text, langid, pii, quality, simhash, suffix_dedup
+from vigilo.llm import bpe, decontaminate, html_text, langid, lm_score, pii, quality, simhash, suffix_dedup
 
 QUERIES = {
+    "op1_lm": lm_score.op1,
     "op2_quality": quality.op2,
     "op3_simhash": simhash.op3,
     "op4_suffix_dedup": suffix_dedup.op4,
