@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilo.llm import bpe, decontaminate, html_text, langid, lm_score, pii, quality, simhash, suffix_dedup
+from vigilo.llm import bpe, decontaminate, html_text, langid, lm_score, pii, quality, simhash, suffix_dedup, token_file
 
 QUERIES = {
     "op1_lm": lm_score.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_pii": pii.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_html": html_text.op9,
+    "op10_token_file": token_file.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
