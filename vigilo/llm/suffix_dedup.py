@@ -213,6 +213,11 @@ def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> _U(33)) * _U(n) >> _U(31)).astype(np.int64)
 
 
+def _prefix_buckets(kh: np.ndarray, n: int) -> np.ndarray:
+    """Even over anchors, which all have small values of the hash that chose them."""
+    return _buckets(_mix((kh ^ _U(0xA0761D6478BD642F)) * _U(0xE7037ED1A0B428DB)), n)
+
+
 def _mark(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=4).digest(), "little")
 
@@ -270,7 +275,7 @@ def _round_one(batches: Iterator[pa.RecordBatch], n: int, length: int, prefix: i
             out = _span_rows(k, m, *merged(doc[later], at[later], at[later] + count[later] - 1 + length), n, length)
             rest = np.nonzero(keep)[0]
             rest = rest[np.argsort(kh[rest], kind="stable")]
-            for b, part in _by_bucket(_buckets(_mix(kh[rest]), n)):
+            for b, part in _by_bucket(_prefix_buckets(kh[rest], n)):
                 r = rest[part]
                 out.append((b, ROWS, pack(k, m, {"kh": kh[r], "block": block[r], "doc": doc[r], "at": at[r], "n": count[r]})))
             yield _rows(out)
@@ -408,7 +413,7 @@ def _open_blocks(batches: Iterator[pa.RecordBatch], n: int, length: int) -> Iter
             kh = np.array([r[0] for r in rows], dtype=np.int64).view(_U)
             doc, at, count = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
             out = []
-            for b, part in _by_bucket(_buckets(_mix(kh), n)):
+            for b, part in _by_bucket(_prefix_buckets(kh, n)):
                 part = part[np.argsort(kh[part], kind="stable")]
                 out.append((b, OPEN, pack(k, m, {"kh": kh[part], "doc": doc[part], "at": at[part], "n": count[part]},
                                           b"".join([rows[i][4] for i in part]))))
