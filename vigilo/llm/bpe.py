@@ -8,9 +8,8 @@ until the root holds no mergeable pair.  Words of up to ``LANE`` symbols are
 merged side by side, one tree per row of a numpy array; longer ones by a tree
 of their own in plain Python.
 
-A text is cut at white space, which no pre-token spans, and the ids of the
-pieces are remembered in a bounded cache of each worker, so frequent words are
-merged once.  The work is per row, without a shuffle; a hot source or a group
+The ids of words are remembered in a bounded cache of each worker, so frequent
+words are merged once.  The work is per row, without a shuffle; a hot source or a group
 of copies only makes the cache hit more often.
 
 The vocabulary is read from a tokenizers JSON file of the kind ``BPE`` with an
@@ -23,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
 
@@ -38,9 +38,9 @@ LANE = 64
 CACHE = 1 << 18
 PART_CHARS = 1 << 20
 NONE = np.iinfo(np.int32).max
-# str.split() also splits at these, which are no white space to the tokenizer.
-_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
-_WHITE = regex.compile(r"\p{White_Space}+")
+# Texts without these are split by a plain character class, which is faster.
+_BEYOND = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0300-\U0010ffff]")
+_LATIN = "".join(chr(c) for c in range(0x300) if chr(c).isalpha())
 
 
 def byte_symbols() -> list[str]:
@@ -74,7 +74,9 @@ class Vocabulary:
         self.pairs = np.array([k for k, _ in keys], dtype=np.int64)
         self.ranks = np.array([r for _, r in keys], dtype=np.int32)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        pattern = split["pattern"]["Regex"]
+        self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        self.latin = re.compile(pattern.replace(r"\p{L}", _LATIN).replace(r"\p{N}", "0-9"))
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,7 +85,7 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
         return np.where((self.pairs[at] == want) & (a >= 0) & (b >= 0), self.ranks[at], NONE)
 
-    def merge_lanes(self, words: list[bytes], width: int) -> list[np.ndarray]:
+    def merge_lanes(self, words: list[bytes], width: int) -> list[bytes]:
         """Ids of words of at most ``width`` bytes (a power of two), in lockstep."""
         n = len(words)
         size = np.array([len(w) for w in words])
@@ -127,8 +129,9 @@ class Vocabulary:
                     tree[live, at] = np.minimum(tree[live, 2 * at], tree[live, 2 * at + 1])
             live = live[tree[live, 1] != NONE]
         keep = sym[:, :-1] >= 0
-        ids = sym[:, :-1][keep].astype(np.int32)
-        return np.split(ids, np.cumsum(keep.sum(axis=1))[:-1])
+        ids = sym[:, :-1][keep].astype(np.int32).tobytes()
+        ends = np.cumsum(4 * keep.sum(axis=1)).tolist()
+        return [ids[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
     def merge_long(self, word: bytes) -> np.ndarray:
         """Ids of one word of any length: a segment tree in plain Python."""
@@ -188,53 +191,49 @@ class Vocabulary:
         for width, some in lanes.items():
             for s in range(0, len(some), 8192):
                 part = some[s:s + 8192]
-                for w, ids in zip(part, self.merge_lanes([w.encode() for w in part], width), strict=True):
-                    out[w] = ids.tobytes()
+                out.update(zip(part, self.merge_lanes([w.encode() for w in part], width), strict=True))
         return out
 
 
 class Encoder:
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+    """Encodes texts; the ids of words met before are remembered up to a bound."""
 
-    def _parts(self, piece: str) -> list[str | int]:
-        """Pre-tokens of a piece without white space; added tokens as ids."""
+    def __init__(self, path: str):
+        self.vocabulary = v = Vocabulary(path)
+        self.added = {token: np.int32(i).tobytes() for token, i in v.added.items()}
+        self.known = dict(self.added)
+        self.merge = v.merge
+
+    def words(self, text: str | None) -> list[str]:
+        """Pre-tokens of a text; added tokens stand as they are, which no pre-token can."""
+        if not text:
+            return []
         v, out, at = self.vocabulary, [], 0
-        for m in v.special.finditer(piece) if v.special and "<" in piece else ():
-            out += v.split.findall(self._plain(piece[at:m.start()]))
-            out.append(v.added[m[0]])
+        for m in v.special.finditer(text) if v.special and v.special.search(text) else ():
+            out += self._split(text[at:m.start()])
+            out.append(m[0])
             at = m.end()
-        return out + v.split.findall(self._plain(piece[at:]))
-
-    @staticmethod
-    def _plain(s: str) -> str:
-        # Character by character, the tokenizer knows no final sigma.
-        return (s if s.isascii() else unicodedata.normalize("NFC", s).replace("Σ", "σ")).lower()
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        parts = {p: self._parts(p) for p in new}
-        words, known = {w for ps in parts.values() for w in ps if isinstance(w, str)}, self.words
-        known.update(self.vocabulary.merge(words - known.keys()))
-        for p, ps in parts.items():
-            self.pieces[p] = b"".join([known[w] if isinstance(w, str) else np.int32(w).tobytes() for w in ps])
+        return out + self._split(text[at:]) if at else self._split(text)
+
+    def _split(self, s: str) -> list[str]:
+        if not s.isascii():
+            # Character by character, the tokenizer knows no final sigma.
+            s = unicodedata.normalize("NFC", s).replace("Σ", "σ")
+        s = s.lower()
+        return (self.vocabulary.split if _BEYOND.search(s) else self.vocabulary.latin).findall(s)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        cut = [(_WHITE.split(t) if _SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
-        have = self.pieces
-        new = {p for c in cut for p in c if p not in have}
-        if new:
-            self._learn(new)
-            have = self.pieces
-            if any(p not in have for c in cut for p in c):  # the cache was emptied before
-                self._learn({p for c in cut for p in c if p not in have})
-        return [np.frombuffer(b"".join([have[p] for p in c]), dtype=np.int32) for c in cut]
+        cut = [self.words(t) for t in texts]
+        new = set().union(*cut)
+        if len(self.known) + len(new) > CACHE:
+            new -= self.added.keys()
+            self.known = dict(self.added)
+        else:
+            new -= self.known.keys()
+        self.known.update(self.merge(new))
+        ids = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids, c)), dtype=np.int32) for c in cut]
 
 
 _encoders: dict[str, Encoder] = {}
