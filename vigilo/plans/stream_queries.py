@@ -2,8 +2,8 @@
 
 Input records are topic-shaped files that Spark derives from ``events``;
 each stream runs with ``trigger(availableNow=True)`` (a bounded number of
-files per micro-batch, so several batches run) into a file sink with a
-checkpoint, and the query returns the sink's contents.
+bytes per micro-batch, whatever the size of the input) into a file sink
+with a checkpoint, and the query returns the sink's contents.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from vigilo.sources.tables import read_table
 from vigilo.streaming import io as SIO
 from vigilo.streaming import scoring as SF
 
-MICRO_BATCHES = 4
+# Input of one micro-batch; a larger backlog takes more batches, not larger ones.
+BYTES_PER_TRIGGER = 64 << 30
 
 
 def _stage(df: DataFrame, path: str) -> None:
@@ -33,13 +34,11 @@ def _run(flow: DataFrame, root: str) -> None:
     SIO.run_until_caught_up(q)
 
 
-def _stream_of(spark: SparkSession, root: str, topic: str) -> DataFrame:
-    """File stand-in for the topic; files per trigger are chosen so the
-    available input is consumed in about ``MICRO_BATCHES`` micro-batches."""
-    files = len(spark.read.parquet(f"{root}/in").inputFiles())
-    per_trigger = max(1, -(-files // MICRO_BATCHES))
+def _stream_of(spark: SparkSession, root: str, topic: str,
+               bytes_per_trigger: int = BYTES_PER_TRIGGER) -> DataFrame:
+    """File stand-in for the topic."""
     return SIO.read_topic_stream(spark, topic, fmt="parquet", path=f"{root}/in",
-                                 options={"maxFilesPerTrigger": str(per_trigger)})
+                                 options={"maxBytesPerTrigger": str(bytes_per_trigger)})
 
 
 def q_stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +101,10 @@ def q_stream_sink(spark, sf_dir):
                              f"{root}/checkpoint/{name}",
                              fmt="json")
         SIO.run_until_caught_up(q)
-    return spark.read.schema("topic string, key string, value string, event_id long") \
-        .json(f"{root}/out/*")
+    # Each folder is read by itself: only then does Spark follow the sink's commit log.
+    sinks = [spark.read.schema("topic string, key string, value string, event_id long")
+             .json(f"{root}/out/{name}") for name in ("sensor", "user")]
+    return sinks[0].unionByName(sinks[1])
 
 
 QUERIES = {

@@ -34,15 +34,17 @@ def topic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peek(records: DataFrame, n: int) -> DataFrame:
-    """First ``n`` records of each topic by (partition, offset).
-
-    Offsets are dense from 0 in every partition, so the first ``n`` of a
-    topic all have ``offset < n``: that filter leaves at most
-    ``n * partitions`` rows per topic before the (now tiny) ranking window.
-    """
-    head = records.where(F.col("offset") < n)
-    w = Window.partitionBy("topic").orderBy("partition", "offset")
-    return head.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+    """First ``n`` retained records of each topic by (partition, offset).
+
+    Offsets need not start at 0 or be dense (retention, compaction,
+    transactions), so records are ranked: first within each partition of a
+    topic, where Spark limits every task to ``n`` rows per partition before
+    the shuffle, then within the topic over what is left."""
+    rank = F.row_number()
+    head = records.withColumn("__rn", rank.over(Window.partitionBy("topic", "partition").orderBy("offset"))) \
+        .where(F.col("__rn") <= n)
+    topic = Window.partitionBy("topic").orderBy("partition", "offset")
+    return head.withColumn("__rn", rank.over(topic)).where(F.col("__rn") <= n).drop("__rn")
 
 
 def totals(records: DataFrame) -> DataFrame:

@@ -54,9 +54,12 @@ def write_stream(df: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet"
     return writer.start()
 
 
-def run_until_caught_up(query: StreamingQuery, timeout_s: float = 600) -> None:
-    """Wait for an ``availableNow`` run to finish (and surface its error)."""
-    query.awaitTermination(timeout_s)
+def run_until_caught_up(query: StreamingQuery, timeout_s: float | None = None) -> None:
+    """Wait for an ``availableNow`` run to finish (and surface its error).
+
+    Without ``timeout_s`` it waits as long as the run takes; a caller that
+    passes one gets a ``TimeoutError`` and a stopped query beyond it."""
+    query.awaitTermination(timeout_s) if timeout_s else query.awaitTermination()
     if query.isActive:
         query.stop()
         raise TimeoutError(f"stream {query.name or query.id} did not finish in {timeout_s}s")
