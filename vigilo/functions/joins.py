@@ -1,44 +1,13 @@
-"""Dimension joins with a checked broadcast.
+"""Dimension joins, planned by Spark.
 
-A side is broadcast only after a cheap check proves it has at most
-``max_rows`` rows (``limit(max_rows + 1).count()`` reads no more than that
-many rows).  Beyond the bound the join is left to Spark's shuffle join
-(sort-merge), where AQE can still split skewed partitions or switch to a
-broadcast at runtime from real shuffle sizes.
+No side is forced: the automatic broadcast threshold (bytes) and adaptive
+execution (real shuffle sizes, skewed partitions split) choose the join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Rows a broadcast side may have.  With the few narrow columns we project
-# before joining (< 100 bytes/row) this keeps a broadcast under ~100 MB.
-DEFAULT_BROADCAST_ROWS = 1_000_000
 
-
-# Results of the row-count check per (session, canonical plan, bound): the
-# inputs of one job do not change while it runs, so a dimension used by
-# several queries is checked once.
-_CHECKED: dict[tuple, list[tuple[DataFrame, bool]]] = {}
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
-    seen = _CHECKED.setdefault(key, [])
-    for other, result in seen:
-        if df.sameSemantics(other):      # equal plans, not just equal hashes
-            return result
-    result = df.limit(max_rows + 1).count() <= max_rows
-    seen.append((df, result))
-    return result
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` is proven small, else ``df`` unchanged."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
-def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
-                   max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    return fact.join(bounded_broadcast(dim, max_rows), on=on, how=how)
+def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner") -> DataFrame:
+    return fact.join(dim, on=on, how=how)

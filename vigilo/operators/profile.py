@@ -33,6 +33,14 @@ def profile(df: DataFrame, cols: list[str], digits: int | None = 6) -> DataFrame
     return _long_format(df.agg(*aggs), cols, ["count", "mean", "stddev", "min", "max"])
 
 
+def text_profile(df: DataFrame, cols: list[str]) -> DataFrame:
+    """count, min and max of text columns, what ``describe()`` says of them."""
+    aggs = []
+    for c in cols:
+        aggs += [F.count(c).alias(f"{c}__count"), F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max")]
+    return _long_format(df.agg(*aggs), cols, ["count", "min", "max"])
+
+
 def missing_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One row: the number of NULLs in each column (same column names)."""
     cols = cols or df.columns
@@ -49,14 +57,6 @@ def distinct_count(df: DataFrame, col: str, exact: bool = True, name: str | None
     return df.agg(agg.alias(name or f"{col}_nunique"))
 
 
-def value_counts_map(df: DataFrame, col: str) -> DataFrame:
-    """One row holding ``map(value -> count)``.  The map has one entry per
-    distinct value, so use it only on low-cardinality columns."""
-    counts = df.groupBy(col).count()
-    return counts.agg(F.map_from_entries(F.collect_list(F.struct(F.col(col), F.col("count"))))
-                      .alias(f"{col}_counts"))
-
-
 def food_keep() -> Column:
     """Outlier and null filter for food rows (NULL numbers fail it too)."""
     return ((F.col("calories") > 0) & (F.col("calories") < 2000)
@@ -82,10 +82,11 @@ def clean_counts(df: DataFrame, keep: Column | None = None,
 def min_rows_gate(df: DataFrame, min_rows: int, fallback: DataFrame | None = None) -> DataFrame:
     """Admit ``df`` when it has at least ``min_rows`` rows.
 
-    The check reads at most ``min_rows`` rows.  An empty input is an error;
-    a short one is replaced by ``fallback`` when given, else an error.
+    The check takes rows until there are enough, so a long input is read in
+    few partitions only.  An empty input is an error; a short one is
+    replaced by ``fallback`` when given, else an error.
     """
-    seen = df.limit(min_rows).count()
+    seen = len(df.select(F.lit(1)).take(min_rows))
     if seen == 0:
         raise ValueError("empty input")
     if seen < min_rows:

@@ -1,21 +1,24 @@
-"""Reproducible train/test splits.
+"""Reproducible train/test splits and skew-safe running totals.
 
-``hash_split`` assigns each row by a seeded hash of its key columns: no
-shuffle, stable across reruns and partitionings (unlike ``randomSplit``,
-whose result depends on partition layout).
+Both splits order rows by a seeded hash of integer key columns that any
+engine can compute: the first 15 hex digits of an MD5 over the keys and the
+seed.  ``hash_split`` cuts that number; no shuffle, stable across reruns
+and partitionings (unlike ``randomSplit``, whose result depends on the
+partition layout).
 
 ``stratified_split`` puts exactly ``ceil(pct% of n_s)`` rows of every
-stratum ``s`` in the train set: the first rows in a given total order.
-The rank of a row inside its stratum is computed without gathering a
-stratum into one task (a stratum may hold a third of all rows):
+stratum ``s`` in the train set: the first ones in hash order, i.e. a seeded
+random choice.  No stratum is gathered into one task:
 
-1. rows go to buckets by their leading order column
-   (``bucket = key div width``), a monotone map, so buckets are ordered;
-   ``width`` is chosen from the key range for about sqrt(n) buckets;
+1. the leading bits of the hash are a row's bucket (even by construction,
+   whatever the keys look like);
 2. one aggregation counts rows per (stratum, bucket);
-3. a running sum over those *counts* gives each bucket's offset;
-4. the rank is offset + ``row_number`` inside (stratum, bucket), a window
-   whose groups hold at most ``width`` keys' rows, spread over all tasks.
+3. a running sum over those counts finds each stratum's *cut* bucket, in
+   which the quota is reached;
+4. rows in earlier buckets are train and later ones test, a narrow map;
+   only the rows of cut buckets are shuffled and ranked.
+
+NULL strata are a stratum of their own, NULL keys hash like a value.
 """
 
 from __future__ import annotations
@@ -25,81 +28,137 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilo.session import scratch_path
+
+HASH_BITS, BUCKET_BITS = 60, 16
+SEGMENTS = 64
 
 
-def hash_fraction(keys: list[str], seed: int = 42, buckets: int = 10_000) -> Column:
-    """A stable pseudo-random value in [0, buckets) per key tuple."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(buckets))
+def portable_hash(keys: list[str], seed: int = 42) -> Column:
+    """A 60-bit number per tuple of integer keys, the same on every engine:
+    ``CAST('0x' || substr(md5(concat_ws('|', k1, ..., seed)), 1, 15) AS BIGINT)``."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def hash_split(df: DataFrame, keys: list[str], train_fraction: float = 0.8,
                seed: int = 42, name: str = "split") -> DataFrame:
     cut = int(round(train_fraction * 10_000))
-    return df.withColumn(name, F.when(hash_fraction(keys, seed) < cut, "train").otherwise("test"))
+    return df.withColumn(name, F.when(portable_hash(keys, seed) % 10_000 < cut, "train").otherwise("test"))
+
 
+def _segments(df: DataFrame, lead: str) -> tuple[list[int], int]:
+    """(quantiles of ``lead``, sub-buckets per segment) from one aggregation.
 
-def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 42):
-    """Spark's own seeded random split (for parity with jobs that use it)."""
-    return df.randomSplit(list(weights), seed)
+    Segments between approximate quantiles hold like numbers of rows
+    whatever the values are, so an outlier key only widens its own; cut
+    evenly they make about sqrt(n) buckets in all."""
+    at = [i / SEGMENTS for i in range(SEGMENTS + 1)]
+    row = df.agg(F.percentile_approx(F.col(lead).cast("long"), at, 1000).alias("q"), F.count(F.lit(1)).alias("n")).first()
+    return sorted(set(row["q"] or [])), max(1, math.isqrt(int(row["n"])) // SEGMENTS)
 
 
-def bucket_width(df: DataFrame, lead: str) -> int:
-    """Key-range width for about sqrt(n) buckets (one small aggregation).
+def _bucket(lead: str, quantiles: list[int], parts: int) -> Column:
+    """Order-preserving bucket of a row: its segment, found by a balanced
+    CASE, then an equal part of the segment.  NULL keys come first."""
+    x = F.col(lead)
 
-    With b buckets, the offset window of a stratum sees at most b count
-    rows and a (stratum, bucket) group about n_s / b rows; b = sqrt(n)
-    keeps both near sqrt(n) -- some 5e5 rows for a 3e11-row stratum --
-    however much of the data one stratum holds."""
-    row = df.agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"),
-                 F.count(F.lit(1)).alias("n")).first()
-    if row["lo"] is None:
-        return 1
-    target = max(64, min(1 << 20, math.isqrt(int(row["n"]))))
-    span = int(row["hi"]) - int(row["lo"]) + 1
-    return max(1, -(-span // target))
+    def place(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            start, end = quantiles[lo], quantiles[hi]
+            width = max(1, -(-(end - start) // parts))
+            inner = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((x - F.lit(start)) / F.lit(width))))
+            return F.lit(lo * parts) + inner
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(quantiles[mid]), place(lo, mid)).otherwise(place(mid, hi))
+
+    if len(quantiles) < 2:
+        return F.when(x.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
+    return F.when(x.isNull(), F.lit(-1)).otherwise(place(0, len(quantiles) - 1)).cast("long")
 
 
 def running_total(df: DataFrame, groups: list[str], order: list[str], value: Column,
-                  name: str, width: int | None = None) -> DataFrame:
+                  name: str) -> DataFrame:
     """Running sum of ``value`` inside each group by ``order`` (total),
     without gathering a group into one task.
 
-    ``order[0]`` must be numeric; it defines key-range buckets (about
-    sqrt(n) of them unless ``width`` is given).  The total is the sum of
-    the group's earlier buckets (a running sum over one-row-per-bucket
-    aggregates) plus a running sum inside (group, bucket).
+    ``order[0]`` must be numeric; it defines order-preserving buckets.  The
+    total is the sum of the group's earlier buckets (a running sum over
+    one-row-per-bucket aggregates) plus a running sum inside (group,
+    bucket).  NULL groups are a group; a NULL ``order[0]`` comes first.
     """
-    lead = order[0]
-    width = width or bucket_width(df, lead)
-    bucketed = df.withColumn("__bucket", F.floor(F.col(lead) / F.lit(width)).cast("long")) \
-        .withColumn("__v", value)
+    quantiles, parts = _segments(df, order[0])
+    bucketed = df.withColumn("__bucket", _bucket(order[0], quantiles, parts)).withColumn("__v", value)
     sums = bucketed.groupBy(*groups, "__bucket").agg(F.sum("__v").alias("__s"))
     earlier = Window.partitionBy(*groups).orderBy("__bucket") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sums.select(*groups, "__bucket",
+    offsets = sums.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__bucket").alias("__b"),
                           (F.sum("__s").over(earlier) - F.col("__s")).alias("__offset"),
                           F.sum("__s").over(Window.partitionBy(*groups)).alias("__group_total"))
     # ``offsets`` is an aggregate: AQE sees its real size after its shuffle
-    # and broadcasts it when small, keeping the shuffle join when not.  (A
-    # row-count check here would cost an extra pass over the data.)
-    joined = bucketed.join(offsets, [*groups, "__bucket"])
+    # and broadcasts it when small, keeping the shuffle join when not.
+    on = F.col("__bucket") == F.col("__b")
+    for i, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    joined = bucketed.join(offsets, on).drop("__b", *[f"__g{i}" for i in range(len(groups))])
     inner = Window.partitionBy(*groups, "__bucket").orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (joined.withColumn(name, F.col("__offset") + F.sum("__v").over(inner))
             .drop("__bucket", "__offset", "__v"))
 
 
-def stratified_rank(df: DataFrame, strata: list[str], order: list[str],
-                    width: int | None = None, name: str = "rank") -> DataFrame:
+def stratified_rank(df: DataFrame, strata: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """1-based rank of each row inside its stratum by ``order`` (total):
     the running count.  Adds ``__group_total`` (rows in the stratum)."""
-    return running_total(df, strata, order, F.lit(1).cast("long"), name, width)
-
-
-def stratified_split(df: DataFrame, strata: list[str], order: list[str], train_pct: int = 80,
-                     width: int | None = None, name: str = "split") -> DataFrame:
-    ranked = stratified_rank(df, strata, order, width)
+    return running_total(df, strata, order, F.lit(1).cast("long"), name)
+
+
+def ranked(df: DataFrame, groups: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with the 1-based rank of each row inside its group by ``order``
+    (total), for orders that are no numbers.
+
+    Rows are range-partitioned by (group, order) and written to the shared
+    folder with their partition number; then the rank is the number of the
+    group's rows in earlier partitions plus the place in its own, so a group
+    of any size is spread over all partitions."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ranked")
+    df.repartitionByRange(parts, *groups, *order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    counts = rows.groupBy(*groups, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    offsets = counts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__p"), before.alias("__before"))
+    on = F.col("__part") == F.col("__p")
+    for i, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    place = F.row_number().over(Window.partitionBy(*groups, "__part").orderBy(*order))
+    return rows.join(offsets, on).withColumn(name, F.col("__before") + place).select(*df.columns, name)
+
+
+def stratified_split(df: DataFrame, strata: list[str], keys: list[str], ties: list[str] | None = None,
+                     train_pct: int = 80, seed: int = 42, name: str = "split") -> DataFrame:
+    """``df`` with train / test; ``keys`` are integer columns, ``ties`` order
+    rows whose keys are equal."""
+    cols = df.columns
+    hashed = df.withColumn("__h", portable_hash(keys, seed)) \
+        .withColumn("__b", F.shiftright("__h", HASH_BITS - BUCKET_BITS))
+    per_bucket = hashed.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*strata).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("__n").over(Window.partitionBy(*strata))
     # ceil(train_pct% of n) in integer arithmetic, identical on every engine.
-    quota = F.floor((F.col("__group_total") * train_pct + 99) / 100)
-    return (ranked.withColumn(name, F.when(F.col("rank") <= quota, "train").otherwise("test"))
-            .drop("rank", "__group_total"))
+    quota = F.floor((total * train_pct + 99) / 100)
+    cuts = (per_bucket.withColumn("__upto", upto).withColumn("__quota", quota)
+            .where((F.col("__upto") >= F.col("__quota")) & (F.col("__upto") - F.col("__n") < F.col("__quota")))
+            .select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)], F.col("__b").alias("__cut"),
+                    (F.col("__quota") - F.col("__upto") + F.col("__n")).alias("__left")))
+    on = F.lit(True)
+    for i, c in enumerate(strata):
+        on = on & F.col(c).eqNullSafe(F.col(f"__s{i}"))
+    placed = hashed.join(cuts, on)
+    clear = placed.where(F.col("__b") != F.col("__cut")) \
+        .select(*cols, F.when(F.col("__b") < F.col("__cut"), "train").otherwise("test").alias(name))
+    within = Window.partitionBy(*strata).orderBy("__h", *(ties or keys))
+    cut = placed.where(F.col("__b") == F.col("__cut")).withColumn("__rn", F.row_number().over(within)) \
+        .select(*cols, F.when(F.col("__rn") <= F.col("__left"), "train").otherwise("test").alias(name))
+    return clear.unionByName(cut)

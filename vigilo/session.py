@@ -6,7 +6,9 @@ supplies it.  Only tests and ``bench.py`` pass ``master`` explicitly.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -97,8 +99,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object
-    store) folder and is used as is.  Only when it is unset -- local runs
-    and tests -- do we create a private one.
+    store) folder and is used as is; without it a cluster run fails here,
+    since executors cannot see a folder of the driver's machine.  Only on a
+    local master (runs on one machine, tests) is a private one created; it
+    is deleted when the process ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -107,7 +111,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="vigilo-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -122,14 +129,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/vigilo/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python-side helpers can inspect a path."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return path
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

@@ -11,23 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigilo.session import table_path
 
-def spread(df: DataFrame, min_partitions: int | None = None,
-           key: str | None = None) -> DataFrame:
-    """At least ``min_partitions`` (default: the cluster's parallelism)
-    partitions, like the Kafka source's ``minPartitions``.
+def spread(df: DataFrame, partitions: int | None = None, key: str | None = None) -> DataFrame:
+    """Spread an input of less than one scan split over the cluster, like the
+    Kafka source's ``minPartitions``.
 
     A file that is one parquet row group is one split, so a small input
-    would run in a single task.  Only then is it spread round-robin (a
-    shuffle of that small input); a large table already has many more
-    splits than cores and is returned unchanged.  Used in front of
-    CPU-heavy per-row work (JSON message parsing), where a single task
-    would be the bottleneck; cheap scans are not spread.  ``key``, when
-    given, should be (nearly) unique, e.g. a record id.
+    would run in a single task.  Only such an input is repartitioned, in
+    front of CPU-heavy per-row work; anything larger has more splits already
+    and is returned as it is.  The size is the optimizer's estimate from the
+    file listing, so nothing runs.  ``key`` should be (nearly) unique.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    split = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > split:
         return df
+    want = partitions or spark.sparkContext.defaultParallelism
     # Hash on a (near-)unique key is as even as round-robin and, unlike
     # round-robin, needs no local sort to stay deterministic on a retry.
     return df.repartition(want, key) if key else df.repartition(want)
