@@ -35,12 +35,40 @@ def test_latest_dataset_and_ingest_if_absent(spark):
 def test_versioned_write_and_verify(spark):
     root = scratch_path(spark, "versions")
     df = spark.range(10)
-    v, latest = L.versioned_write(spark, df, root, "20240101-000000")
-    assert spark.read.parquet(latest).count() == 10 and spark.read.parquet(v).count() == 10
+    v = L.versioned_write(spark, df, root, "20240101-000000")
+    L.versioned_write(spark, spark.range(4), root, "20240202-000000")
+    assert spark.read.parquet(v).count() == 10
+    assert L.read_latest(spark, root, df.schema).count() == 4
     row = L.verify_write(spark, df, f"{root}/verify").first()
     assert row["verified"] and row["rows_read"] == 10
 
 
+def test_fallback_only_for_missing_or_short_data(spark):
+    path = scratch_path(spark, "fallback-test") + "/x.csv"
+    schema = spark.range(1).schema
+    assert L.read_or_fallback(spark, path, schema, 5, spark.range(3)).count() == 3     # missing
+    assert L.read_or_fallback(spark, path, schema, 5, spark.range(8)).count() == 8     # too short
+    assert L.read_or_fallback(spark, path, schema, 5, spark.range(1)).count() == 8     # long enough
+
+
+def test_replay_after_a_lost_commit(spark):
+    """A run that fails after writing a batch but before committing it writes
+    the batch again; the file sink's log keeps every record once."""
+    root = scratch_path(spark, "replay-test")
+    sensor_messages(spark, SF_SMALL).repartition(3).write.parquet(f"{root}/in")
+
+    def run():
+        src = SIO.read_topic_stream(spark, "sensor-data", fmt="parquet", path=f"{root}/in", options={"maxFilesPerTrigger": "1"})
+        SIO.run_until_caught_up(SIO.write_stream(SF.sensor_flow(src), f"{root}/sink", f"{root}/ckpt"))
+        return spark.read.parquet(f"{root}/sink").count()
+
+    first = run()
+    fs, where = L._folder(spark, f"{root}/ckpt/commits")
+    newest = max(str(s.getPath().getName()) for s in fs.listStatus(where) if s.getPath().getName().isdigit())
+    assert fs.delete(spark._jvm.org.apache.hadoop.fs.Path(where, newest), False)
+    assert run() == first == scoring_queries.q_sensor_anomalies(spark, SF_SMALL).count()
+
+
 def test_stream_equals_batch_and_resumes(spark):
     root = scratch_path(spark, "stream-test")
     msgs = sensor_messages(spark, SF_SMALL)

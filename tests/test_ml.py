@@ -48,13 +48,13 @@ def test_fits_are_deterministic(spark):
     keys = ORDER_KEY   # the four line-item keys alone repeat once at sf0.001
     runs = []
     for _ in range(2):
-        model = ml.fit(ml.calorie_forest(), train)
+        model = ml.fit(ml.calorie_forest(), train, [*ml.CALORIE_NUMERIC, *ml.CALORIE_CATEGORICAL, "calories"])
         runs.append(model.transform(test).select(*keys, "prediction"))
     a, b = runs[0].withColumnRenamed("prediction", "a"), runs[1].withColumnRenamed("prediction", "b")
     joined = a.join(b, keys)
     assert joined.count() == test.count()
     assert joined.where(F.abs(F.col("a") - F.col("b")) > 1e-9).count() == 0
     clean = ml_queries.clean_food(spark, SF_SMALL)
-    c1 = ml.fit(ml.scaled_kmeans(), clean).stages[-1].clusterCenters()
-    c2 = ml.fit(ml.scaled_kmeans(), clean).stages[-1].clusterCenters()
+    c1 = ml.fit(ml.scaled_kmeans(), clean, ml.CLUSTER_COLUMNS).stages[-1].clusterCenters()
+    c2 = ml.fit(ml.scaled_kmeans(), clean, ml.CLUSTER_COLUMNS).stages[-1].clusterCenters()
     assert all((x == y).all() for x, y in zip(c1, c2))

@@ -16,7 +16,7 @@ def test_stratified_rank_matches_row_number(spark):
     rng = random.Random(7)
     rows = [("hot" if i % 3 else rng.choice("abc"), rng.randint(0, 500), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "s string, k long, i long")
-    got = {r["i"]: r["rank"] for r in SP.stratified_rank(df, ["s"], ["k", "i"], width=16).collect()}
+    got = {r["i"]: r["rank"] for r in SP.stratified_rank(df, ["s"], ["k", "i"]).collect()}
     pdf = pd.DataFrame(rows, columns=["s", "k", "i"]).sort_values(["s", "k", "i"])
     pdf["rank"] = pdf.groupby("s").cumcount() + 1
     assert got == dict(zip(pdf["i"], pdf["rank"]))
@@ -25,13 +25,49 @@ def test_stratified_rank_matches_row_number(spark):
 def test_stratified_split_quota(spark):
     rows = [("hot" if i % 4 else "cold", i, i) for i in range(1001)]
     df = spark.createDataFrame(rows, "s string, k long, i long")
-    out = SP.stratified_split(df, ["s"], ["k", "i"], width=8).groupBy("s", "split").count()
+    out = SP.stratified_split(df, ["s"], ["k", "i"]).groupBy("s", "split").count()
     counts = {(r["s"], r["split"]): r["count"] for r in out.collect()}
     for s in ("hot", "cold"):
         n = counts[(s, "train")] + counts[(s, "test")]
         assert counts[(s, "train")] == (n * 80 + 99) // 100
 
 
+def test_stratified_split_is_random_and_keeps_every_row(spark):
+    rows = [(None if i % 5 == 0 else "s" if i % 3 else "t", None if i % 50 == 7 else 10 ** 15 if i == 9 else i, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "s string, k long, i long").repartition(6)
+    out = SP.stratified_split(df, ["s"], ["k"], ["k", "i"]).collect()
+    assert sorted(r["i"] for r in out) == list(range(4000))
+    for s in (None, "s", "t"):
+        part = [r for r in out if r["s"] == s]
+        train = [r["i"] for r in part if r["split"] == "train"]
+        assert len(train) == (len(part) * 80 + 99) // 100
+        # Both sides cover the whole key range.
+        for side in ("train", "test"):
+            ids = [r["i"] for r in part if r["split"] == side]
+            assert min(ids) < 400 and max(ids) > 3600
+    again = SP.stratified_split(df.repartition(3), ["s"], ["k"], ["k", "i"]).collect()
+    assert {(r["i"], r["split"]) for r in out} == {(r["i"], r["split"]) for r in again}
+
+
+def test_running_total_with_null_groups_null_and_outlier_keys(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot", "hot", "a", None]), None if i % 40 == 3 else rng.choice([10 ** 12, -5, 7]) if i % 90 == 1 else rng.randint(0, 300), i, 1.0)
+            for i in range(2500)]
+    df = spark.createDataFrame(rows, "g string, t long, i long, v double")
+    got = {r["i"]: r["total"] for r in SP.running_total(df, ["g"], ["t", "i"], F.col("v"), "total").collect()}
+    assert len(got) == 2500
+    for g in ("hot", "a", None):
+        part = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in part] == [float(n) for n in range(1, len(part) + 1)]
+
+
+def test_peek_with_late_first_offsets_and_gaps(spark):
+    rows = [("t", 0, o) for o in range(100, 120)] + [("t", 1, o) for o in (5, 90, 7000)] + [("u", 3, 42), (None, 0, 9), ("t", None, 1)]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset long")
+    got = sorted(((r["topic"] or "", r["offset"]) for r in T.peek(df, 3).collect()))
+    assert got == [("", 9), ("t", 1), ("t", 100), ("t", 101), ("u", 42)]
+
+
 def _brute_rate(samples, w):
     out = []
     for key, grp in samples.groupby("pod"):
@@ -85,7 +121,7 @@ def test_chunked_rate_matches_brute_force(spark, chunk_windows):
 def test_topic_peek_and_totals(spark):
     rows = [("t1" if i % 3 else "t2", i % 4, i, f"v{i}") for i in range(400)]
     recs = spark.createDataFrame(rows, "topic string, partition int, event_id long, value string")
-    ranked = SP.stratified_rank(recs, ["topic", "partition"], ["event_id"], width=8)
+    ranked = SP.stratified_rank(recs, ["topic", "partition"], ["event_id"])
     recs = ranked.withColumn("offset", F.col("rank") - 1).drop("rank")
     peek = T.peek(recs, 3).orderBy("topic", "partition", "offset").collect()
     assert [(r["topic"], r["partition"], r["offset"]) for r in peek] == \

@@ -4,19 +4,20 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from vigilo.functions.joins import bounded_broadcast, has_at_most
 from vigilo.operators import encode as E
 from vigilo.operators import metrics as MT
 from vigilo.operators import profile as P
 from vigilo.operators import split as SP
 from vigilo.sources import lake as L
 
+from conftest import SF_SMALL
+
 
 def _samples(spark):
-    rows = [({"pod": "caloguessr-1", "container": "app"}, 1.0),
-            ({"pod": "caloguessr-2", "container": "POD"}, 2.0),
+    rows = [({"pod": "shopfront-1", "container": "app"}, 1.0),
+            ({"pod": "shopfront-2", "container": "POD"}, 2.0),
             ({"pod": "other-1"}, 3.0),
-            ({"pod": "xcaloguessr"}, 4.0)]
+            ({"pod": "xshopfront"}, 4.0)]
     return spark.createDataFrame([("m", lab, v) for lab, v in rows],
                                  "metric string, labels map<string,string>, value double")
 
@@ -24,11 +25,11 @@ def _samples(spark):
 def test_label_matchers(spark):
     df = _samples(spark)
     got = lambda ms: sorted(r["value"] for r in MT.select_series(df, "m", ms).collect())
-    assert got([("pod", "=~", "caloguessr.*")]) == [1.0, 2.0]          # anchored
-    assert got([("pod", "=~", "caloguessr.*"), ("container", "!=", "POD")]) == [1.0]
+    assert got([("pod", "=~", "shopfront.*")]) == [1.0, 2.0]          # anchored
+    assert got([("pod", "=~", "shopfront.*"), ("container", "!=", "POD")]) == [1.0]
     assert got([("container", "!=", "")]) == [1.0, 2.0]                # missing = empty
     assert got([("container", "=", "")]) == [3.0, 4.0]
-    assert got([("pod", "!~", "caloguessr.*")]) == [3.0, 4.0]
+    assert got([("pod", "!~", "shopfront.*")]) == [3.0, 4.0]
 
 
 def test_series_name_thresholds_and_mapping(spark):
@@ -37,8 +38,8 @@ def test_series_name_thresholds_and_mapping(spark):
         MT.threshold_class(F.col("value") * 3, [(5.0, "yellow"), (8.0, "red")]).alias("c"),
         MT.map_values(F.col("value"), {"1.0": "one"}).alias("t"))
     rows = [(r["name"], r["c"], r["t"]) for r in df.collect()]
-    assert rows[0] == ("caloguessr-1 - RX", "green", "one")
-    assert rows[1] == ("caloguessr-2 - RX", "yellow", "2.0")
+    assert rows[0] == ("shopfront-1 - RX", "green", "one")
+    assert rows[1] == ("shopfront-2 - RX", "yellow", "2.0")
     assert rows[2][1] == "red" and rows[3][1] == "red"
 
 
@@ -75,12 +76,36 @@ def test_hash_split_is_stable_across_partitionings(spark):
     assert 0.75 < share < 0.85
 
 
-def test_broadcast_only_when_bounded(spark):
-    small = spark.range(10)
-    assert has_at_most(small, 10) and not has_at_most(spark.range(11), 10)
-    plan = spark.range(100).join(bounded_broadcast(small, 10), "id")._jdf.queryExecution() \
-        .executedPlan().toString()
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+def test_building_queries_runs_no_probing_jobs(spark):
+    """Building a query starts no job but the one that reads a table's schema."""
+    from vigilo.plans import food_queries, metric_queries, scoring_queries
+    queries = {**food_queries.QUERIES, **metric_queries.QUERIES, **scoring_queries.QUERIES}
+    jobs = lambda: set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    for name, tables in (("food_features", 2), ("portion_nutrients", 2), ("stratified_split", 2), ("random_split", 2),
+                         ("metric_select", 1), ("sensor_anomalies", 1)):
+        before = jobs()
+        queries[name](spark, SF_SMALL)
+        assert len(jobs() - before) <= tables, name
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from vigilo.session import ensure_checkpoint_dir
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_ranked_over_many_partitions(spark):
+    rows = [("a", f"w{i % 700}", i) for i in range(1400)] + [("b", "x", 1), (None, "n", 0), (None, "m", 5)]
+    df = spark.createDataFrame(rows, "g string, w string, i long").repartition(5)
+    got = {(r["g"], r["w"], r["i"]): r["rank"] for r in SP.ranked(df, ["g"], [F.desc("w"), F.asc("i")]).collect()}
+    for g in ("a", "b", None):
+        want = sorted((r for r in rows if r[0] == g), key=lambda r: ([-ord(c) for c in r[1]] + [1], r[2]))
+        want = sorted(sorted((r for r in rows if r[0] == g), key=lambda r: r[2]), key=lambda r: r[1], reverse=True)
+        assert [got[r] for r in want] == list(range(1, len(want) + 1))
 
 
 def test_profile_and_missing(spark):

@@ -21,26 +21,28 @@ def macro_sum() -> Column:
     return F.col("protein_g") + F.col("carbs_g") + F.col("fat_g") + F.lit(MACRO_EPSILON)
 
 
-def base_features() -> dict[str, Column]:
-    """Features of the batch Spark job, in their order."""
-    total = macro_sum()
-    cal = F.col("calories")
-    protein = F.col("protein_g")
+def _steps(column: str, steps: list[tuple[str, str]], last: str) -> str:
+    """A CASE over one column: the first (condition, text) that holds."""
+    return "CASE " + " ".join(f"WHEN {column} {test} THEN '{text}'" for test, text in steps) + f" ELSE '{last}' END"
+
+
+def base_feature_sql() -> dict[str, str]:
+    """Features of the batch Spark job, in their order, as SQL expressions."""
+    shares = {f"{name}_ratio": f"{column} / (protein_g + carbs_g + fat_g + {MACRO_EPSILON}D)"
+              for name, column in (("protein", "protein_g"), ("carb", "carbs_g"), ("fat", "fat_g"))}
     return {
-        "weight_normalized": F.col("weight_grams") / 100,
-        "calorie_density": F.try_divide(cal, F.col("weight_grams")),
-        "protein_ratio": protein / total,
-        "carb_ratio": F.col("carbs_g") / total,
-        "fat_ratio": F.col("fat_g") / total,
-        "calorie_category": F.when(cal < CALORIE_LOW, "low_calorie")
-                             .when(cal < CALORIE_MEDIUM, "medium_calorie")
-                             .otherwise("high_calorie"),
-        "protein_category": F.when(protein > PROTEIN_HIGH, "high_protein")
-                             .when(protein > PROTEIN_MEDIUM, "medium_protein")
-                             .otherwise("low_protein"),
+        "weight_normalized": "weight_grams / 100",
+        "calorie_density": "try_divide(calories, weight_grams)",
+        **shares,
+        "calorie_category": _steps("calories", [(f"< {CALORIE_LOW}", "low_calorie"), (f"< {CALORIE_MEDIUM}", "medium_calorie")], "high_calorie"),
+        "protein_category": _steps("protein_g", [(f"> {PROTEIN_HIGH}", "high_protein"), (f"> {PROTEIN_MEDIUM}", "medium_protein")], "low_protein"),
     }
 
 
+def base_features() -> dict[str, Column]:
+    return {name: F.expr(text) for name, text in base_feature_sql().items()}
+
+
 def extended_features() -> dict[str, Column]:
     """Numeric features of the tabular job (no category buckets)."""
     total = macro_sum()

@@ -84,7 +84,7 @@ def instant_vector(df: DataFrame, at: Column, lookback: str = "5 minutes") -> Da
     window = _by_series(time_range(df, at, lookback))
     return window.groupBy("metric", "series").agg(
         F.any_value("labels").alias("labels"),
-        F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
+        F.max_by("value", F.struct("ts", "value")).alias("value"), F.max("ts").alias("ts"))
 
 
 def sum_by(vector: DataFrame, by: list[str], digits: int | None = 6) -> DataFrame:
@@ -98,7 +98,7 @@ def last_not_null(df: DataFrame) -> DataFrame:
     """The "last not null" reduction per series."""
     return _by_series(df).where(F.col("value").isNotNull() & ~F.isnan("value")) \
         .groupBy("metric", "series").agg(F.any_value("labels").alias("labels"),
-                                         F.max_by("value", "ts").alias("value"),
+                                         F.max_by("value", F.struct("ts", "value")).alias("value"),
                                          F.max("ts").alias("ts"))
 
 
@@ -134,7 +134,8 @@ def rate(df: DataFrame, window_seconds: int, chunk_windows: int = 8) -> DataFram
             .withColumn("context", F.col("__copy") == 1).drop("__copy"))
     series = ["metric", "series", "chunk"]
     ordered = Window.partitionBy(*series).orderBy("t_us")
-    prev = F.lag("value").over(ordered)
+    # Samples at the same time come in the order of their values.
+    prev = F.lag("value").over(Window.partitionBy(*series).orderBy("t_us", "value"))
     step = F.when(prev.isNull(), F.lit(None).cast("double")) \
         .when(F.col("value") < prev, F.col("value")).otherwise(F.col("value") - prev)
     rows = rows.withColumn("step", step)
@@ -151,6 +152,11 @@ def rate(df: DataFrame, window_seconds: int, chunk_windows: int = 8) -> DataFram
     return out.select("metric", "series", "labels", "ts", (increase / seconds).alias("rate"))
 
 
+def reference_series(df: DataFrame, value: float) -> DataFrame:
+    """A constant series: ``value`` at every sample time of ``df``."""
+    return df.select("ts").distinct().withColumn("value", F.lit(float(value)))
+
+
 def series_name(template: str) -> Column:
     """Legend text from a ``{{label}}`` template, e.g. ``{{pod}} - RX``."""
     import re

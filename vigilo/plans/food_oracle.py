@@ -16,7 +16,7 @@ v_food AS (
     p_name AS food_item, p_type AS category, l_quantity * 10 AS weight_grams,
     {sr('l_extendedprice / 40', 1)} AS calories,
     l_discount * 100 AS protein_g, l_tax * 100 AS carbs_g, CAST(p_size AS DOUBLE) AS fat_g,
-    l_returnflag AS meal_time, l_linestatus AS preparation_method, l_discount
+    l_returnflag AS meal_time, l_linestatus AS preparation_method, l_shipdate AS timestamp, l_discount
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 food AS (SELECT * EXCLUDE (l_discount) FROM v_food),
 clean AS (
@@ -42,6 +42,8 @@ features AS (
 
 KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 ORDER_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
+# The seeded hash of the splits: 15 hex digits of an MD5 over the integer keys.
+SPLIT_HASH = f"CAST('0x' || substr(md5(concat_ws('|', {KEYS}, 42)), 1, 15) AS BIGINT)"
 
 
 def _profile(src: str, cols: list[str]) -> str:
@@ -79,12 +81,12 @@ ALPHA_CODES = f"""
 codes AS (
   SELECT "column", label, "count",
     CAST(row_number() OVER (PARTITION BY "column" ORDER BY label) - 1 AS INTEGER) AS code
-  FROM ({_labels('clean', ['food_item', 'category'])}))"""
+  FROM ({_labels('(SELECT * FROM clean WHERE CAST(l_shipdate AS DATE) = (SELECT min(CAST(l_shipdate AS DATE)) FROM clean))', ['food_item', 'category'])}))"""
 
 ORACLE = {
     "food_clean": f"WITH {V_FOOD} SELECT * FROM clean",
     "clean_counts": f"""WITH {V_FOOD}
-      SELECT count(*) AS total_rows, CAST(9 AS INTEGER) AS column_count,
+      SELECT count(*) AS total_rows, CAST(10 AS INTEGER) AS column_count,
         count(*) FILTER (WHERE calories > 0 AND calories < 2000 AND weight_grams > 5
           AND weight_grams < 2000 AND food_item IS NOT NULL AND category IS NOT NULL) AS kept_rows,
         count(*) - count(*) FILTER (WHERE calories > 0 AND calories < 2000 AND weight_grams > 5
@@ -92,11 +94,16 @@ ORACLE = {
       FROM food""",
     "food_profile": f"WITH {V_FOOD} "
                     + _profile("food", ["weight_grams", "calories", "protein_g", "carbs_g", "fat_g"]),
-    "food_missing": f"WITH {V_FOOD} SELECT "
+    "food_text_profile": f"WITH {V_FOOD} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS \"count\", min({c}) AS min, max({c}) AS max FROM food"
+        for c in ["food_item", "category", "meal_time", "preparation_method"]),
+    "food_missing": f"""WITH {V_FOOD}, holed AS (SELECT * REPLACE (
+        CASE WHEN calories < 2000 THEN calories END AS calories,
+        CASE WHEN meal_time <> 'R' THEN preparation_method END AS preparation_method) FROM food) SELECT """
                     + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in
-                                ["food_item", "category", "weight_grams", "calories", "protein_g",
-                                 "carbs_g", "fat_g", "meal_time", "preparation_method"])
-                    + " FROM food",
+                                ["food_item", "category", "weight_grams", "calories", "protein_g", "carbs_g",
+                                 "fat_g", "meal_time", "preparation_method", "timestamp"])
+                    + " FROM holed",
     "category_distribution": f"""WITH {V_FOOD}
       SELECT category, count(*) AS "count" FROM food GROUP BY category""",
     "meal_distribution": f"""WITH {V_FOOD}
@@ -105,10 +112,6 @@ ORACLE = {
       SELECT count(DISTINCT category) AS category_nunique FROM clean""",
     "category_counts": f"""WITH {V_FOOD}
       SELECT category, count(*) AS "count" FROM clean GROUP BY category""",
-    "category_counts_map": f"""WITH {V_FOOD},
-      c AS (SELECT category, count(*) AS n FROM clean GROUP BY category)
-      SELECT CAST(to_json(map(list(category ORDER BY category), list(n ORDER BY category)))
-                  AS VARCHAR) AS category_counts FROM c""",
     "food_features": f"WITH {V_FEATURES} SELECT * FROM features",
     "food_features_sql": f"WITH {V_FEATURES} SELECT * FROM features",
     "food_features_ext": f"""WITH {V_FOOD}
@@ -203,10 +206,13 @@ ORACLE = {
       SELECT {KEYS}, """ + ", ".join(
         f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 9) AS {c}_z"
         for c in ["calories", "protein_g", "carbs_g", "fat_g", "weight_grams"]) + " FROM clean",
-    "stratified_split": f"""WITH {V_FOOD}
+    "stratified_split": f"""WITH {V_FOOD}, hashed AS (SELECT *, {SPLIT_HASH} AS h FROM clean)
       SELECT {ORDER_KEY}, category,
-        CASE WHEN row_number() OVER (PARTITION BY category ORDER BY {ORDER_KEY})
+        CASE WHEN row_number() OVER (PARTITION BY category ORDER BY h, {ORDER_KEY})
                   <= (count(*) OVER (PARTITION BY category) * 80 + 99) // 100
              THEN 'train' ELSE 'test' END AS split
+      FROM hashed""",
+    "random_split": f"""WITH {V_FOOD}
+      SELECT {ORDER_KEY}, CASE WHEN {SPLIT_HASH} % 10000 < 8000 THEN 'train' ELSE 'test' END AS split
       FROM clean""",
 }

@@ -40,8 +40,17 @@ def q_food_profile(spark, sf_dir):
     return P.profile(_food(spark, sf_dir), NUMERIC_FOOD)
 
 
+def q_food_text_profile(spark, sf_dir):
+    return P.text_profile(_food(spark, sf_dir), CATEGORICAL_FOOD)
+
+
 def q_food_missing(spark, sf_dir):
-    return P.missing_counts(_food(spark, sf_dir), FOOD_COLUMNS)
+    """Missing values, in a frame that has some: calories out of range and the
+    preparation of returned items are unknown."""
+    food = _food(spark, sf_dir).withColumns({
+        "calories": F.when(F.col("calories") < 2000, F.col("calories")),
+        "preparation_method": F.when(F.col("meal_time") != "R", F.col("preparation_method"))})
+    return P.missing_counts(food, FOOD_COLUMNS)
 
 
 def q_category_distribution(spark, sf_dir):
@@ -60,13 +69,6 @@ def q_category_counts(spark, sf_dir):
     return clean_food(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("count"))
 
 
-def q_category_counts_map(spark, sf_dir):
-    """Value counts as one map, rendered as JSON text with sorted keys."""
-    counts = P.value_counts_map(clean_food(spark, sf_dir), "category")
-    return counts.select(F.to_json(F.map_from_entries(F.sort_array(F.map_entries(
-        "category_counts")))).alias("category_counts"))
-
-
 def q_food_features(spark, sf_dir):
     return FT.add_features(clean_food(spark, sf_dir))
 
@@ -182,18 +184,27 @@ def _catalog_labels(spark, sf_dir):
         "part_key", F.col("name").alias("food_item"), "category")
 
 
+def first_day(df: DataFrame) -> DataFrame:
+    """Rows shipped on the first day: what there is before later rows come."""
+    day = df.agg(F.min(F.to_date("l_shipdate"))).first()[0]
+    return df.where(F.to_date("l_shipdate") == F.lit(day))
+
+
+def _early_codes(spark, sf_dir) -> DataFrame:
+    return E.code_table(first_day(clean_food(spark, sf_dir)), ["food_item", "category"], "alphabetical")
+
+
 def q_encode_new(spark, sf_dir):
-    """Codes fitted on the food rows applied to every catalogue part;
-    labels never seen in fitting get the next free code."""
-    codes = E.code_table(clean_food(spark, sf_dir), ["food_item", "category"], "alphabetical")
+    """Codes fitted on the first day's food rows applied to every catalogue
+    part; labels never seen in fitting get the next free code."""
+    codes = _early_codes(spark, sf_dir)
     df = _catalog_labels(spark, sf_dir)
     df = E.apply_codes(df, codes, "food_item", handle_invalid="keep")
     return E.apply_codes(df, codes, "category", handle_invalid="keep")
 
 
 def q_encode_unseen(spark, sf_dir):
-    codes = E.code_table(clean_food(spark, sf_dir), ["food_item", "category"], "alphabetical")
-    return E.unseen_labels(_catalog_labels(spark, sf_dir), codes, ["food_item", "category"]) \
+    return E.unseen_labels(_catalog_labels(spark, sf_dir), _early_codes(spark, sf_dir), ["food_item", "category"]) \
         .select("column", "label")
 
 
@@ -205,24 +216,24 @@ def q_standardize(spark, sf_dir):
 
 def q_stratified_split(spark, sf_dir):
     df = clean_food(spark, sf_dir)
-    return SP.stratified_split(df, ["category"], ORDER_KEY).select(*ORDER_KEY, "category", "split")
+    return SP.stratified_split(df, ["category"], KEYS, ORDER_KEY).select(*ORDER_KEY, "category", "split")
 
 
 def q_random_split(spark, sf_dir):
-    """Seeded hash split (stable); a rows-only check, as the hash is Spark's."""
-    return SP.hash_split(clean_food(spark, sf_dir), ORDER_KEY).select(*ORDER_KEY, "split")
+    """Seeded hash split by the integer keys (stable, portable)."""
+    return SP.hash_split(clean_food(spark, sf_dir), KEYS).select(*ORDER_KEY, "split")
 
 
 QUERIES = {
     "food_clean": q_food_clean,
     "clean_counts": q_clean_counts,
     "food_profile": q_food_profile,
+    "food_text_profile": q_food_text_profile,
     "food_missing": q_food_missing,
     "category_distribution": q_category_distribution,
     "meal_distribution": q_meal_distribution,
     "category_nunique": q_category_nunique,
     "category_counts": q_category_counts,
-    "category_counts_map": q_category_counts_map,
     "food_features": q_food_features,
     "food_features_sql": q_food_features_sql,
     "food_features_ext": q_food_features_ext,

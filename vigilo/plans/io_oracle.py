@@ -1,6 +1,6 @@
 """DuckDB oracle SQL for the lake and topic queries."""
 
-from vigilo.plans.food_oracle import KEYS, V_FEATURES, V_FOOD, V_SCORED
+from vigilo.plans.food_oracle import KEYS, V_CATALOG, V_FEATURES, V_FOOD, V_SCORED, sr
 
 V_TOPIC = """
 v_topic AS (
@@ -13,7 +13,8 @@ v_topic AS (
 
 FOOD_SCHEMA_JSON = ('{"food_item":"string","category":"string","weight_grams":"double",'
                     '"calories":"double","protein_g":"double","carbs_g":"double",'
-                    '"fat_g":"double","meal_time":"string","preparation_method":"string"}')
+                    '"fat_g":"double","meal_time":"string","preparation_method":"string",'
+                    '"timestamp":"timestamp_ntz"}')
 
 ORACLE = {
     "csv_scan": f"WITH {V_FOOD} SELECT * FROM food",
@@ -29,6 +30,14 @@ ORACLE = {
     "ingest_metadata": f"""WITH {V_FOOD}
       SELECT count(*) AS total_records, 'csv' AS data_format, 'lineitem_part' AS source,
         '{FOOD_SCHEMA_JSON}' AS schema FROM food""",
+    "fallback_dataset": f"""WITH {V_CATALOG},
+      portions AS (
+        SELECT l_orderkey, l_linenumber, l_partkey AS part_key,
+          {sr('least(greatest(l_quantity * 10, 10.0), 1000.0)', 1)} AS weight_grams
+        FROM lineitem)
+      SELECT l_orderkey, l_linenumber, name AS food_item, category, weight_grams,
+        {sr('greatest(base_cal * (weight_grams / 100), 1.0)', 1)} AS calories
+      FROM portions JOIN catalog USING (part_key)""",
     "topic_records": f"WITH {V_TOPIC} SELECT * FROM v_topic",
     "topic_peek": f"""WITH {V_TOPIC}
       SELECT * EXCLUDE (rn) FROM (

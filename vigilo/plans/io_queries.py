@@ -8,6 +8,7 @@ result can be compared with SQL over the same tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vigilo.operators import features as FT
 from vigilo.operators import profile as P
@@ -15,7 +16,7 @@ from vigilo.plans.food_queries import KEYS, _food, clean_food
 from vigilo.session import scratch_path
 from vigilo.sources import lake as L
 from vigilo.sources import topics as T
-from vigilo.sources.food import FOOD_COLUMNS, scored_rows
+from vigilo.sources.food import FOOD_COLUMNS, catalog_rows, portion_rows, scored_rows
 
 
 def q_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +63,10 @@ def q_ingest_if_absent(spark, sf_dir):
 
 def q_versioned_write(spark, sf_dir):
     root = scratch_path(spark, "versioned") + "/" + L.PROCESSED + "/food"
-    _, latest = L.versioned_write(spark, clean_food(spark, sf_dir), root, L.run_id())
-    return spark.read.parquet(latest)
+    clean = clean_food(spark, sf_dir)
+    L.versioned_write(spark, _food(spark, sf_dir).select(clean.columns), root, "20240101-000000")
+    L.versioned_write(spark, clean, root, L.run_id())
+    return L.read_latest(spark, root, clean.schema)
 
 
 def q_write_verify(spark, sf_dir):
@@ -71,8 +74,25 @@ def q_write_verify(spark, sf_dir):
 
 
 def q_ingest_metadata(spark, sf_dir):
+    """The metadata record, written to the lake and read back from there."""
     food = _food(spark, sf_dir).select(*FOOD_COLUMNS)
-    return L.ingest_metadata(food, "csv", "lineitem_part").drop("ingestion_timestamp")
+    record = L.ingest_metadata(food, "csv", "lineitem_part")
+    path = scratch_path(spark, "metadata") + "/ingestion_metadata.json"
+    L.write_json_record(record, path)
+    return spark.read.schema(record.schema).json(path).drop("ingestion_timestamp")
+
+
+def q_fallback_dataset(spark, sf_dir):
+    """A data set that is missing, then one that is too short: both times the
+    generated portions take its place in the lake, the third read finds them."""
+    path = scratch_path(spark, "fallback") + "/large_food_dataset_latest.csv"
+    portions = FT.scale_portions(portion_rows(spark, sf_dir), catalog_rows(spark, sf_dir)) \
+        .select("l_orderkey", "l_linenumber", F.col("name").alias("food_item"), "category", "weight_grams", "calories")
+    schema, least = portions.schema, 5000
+    few = portions.where("l_orderkey < 0")
+    L.read_or_fallback(spark, path, schema, least, few)
+    L.read_or_fallback(spark, path, schema, least, portions)
+    return L.read_or_fallback(spark, path, schema, least, few)
 
 
 def q_topic_records(spark, sf_dir):
@@ -96,6 +116,7 @@ QUERIES = {
     "versioned_write": q_versioned_write,
     "write_verify": q_write_verify,
     "ingest_metadata": q_ingest_metadata,
+    "fallback_dataset": q_fallback_dataset,
     "topic_records": q_topic_records,
     "topic_peek": q_topic_peek,
     "topic_totals": q_topic_totals,

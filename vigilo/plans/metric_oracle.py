@@ -1,28 +1,52 @@
 """DuckDB oracle SQL for the metric queries (series keyed by pod, namespace)."""
 
-V_METRIC = """
+LABELS = """'pod-' || CAST(user_id AS VARCHAR) AS pod, event_type AS namespace,
+    CASE event_type WHEN 'view' THEN 'Running' WHEN 'click' THEN 'Pending' WHEN 'error' THEN 'Failed'
+      WHEN 'purchase' THEN 'Succeeded' ELSE 'Unknown' END AS phase,
+    CASE WHEN user_id % 5 = 0 THEN 'POD' ELSE 'app' END AS container, ts"""
+
+V_METRIC = f"""
 v_metric AS (
-  SELECT 'pod-' || CAST(user_id AS VARCHAR) AS pod, event_type AS namespace,
-    event_type AS phase, ts,
+  SELECT {LABELS},
     sum(value) OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id
                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
   FROM events),
-v_gauge AS (
-  SELECT 'pod-' || CAST(user_id AS VARCHAR) AS pod, event_type AS namespace,
-    event_type AS phase, ts, value
-  FROM events)"""
+v_gauge AS (SELECT {LABELS}, value FROM events)"""
 
 RATE_W_US = 6 * 86400 * 1_000_000
 
 LAST = """
 last AS (
-  SELECT pod, namespace, arg_max(value, ts) AS value, max(ts) AS ts
-  FROM v_gauge WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY pod, namespace)"""
+  SELECT pod, namespace, phase, arg_max(value, ts) AS value, max(ts) AS ts
+  FROM v_gauge WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY pod, namespace, phase)"""
+
+def _rates(scale: int) -> str:
+    return f"""WITH {V_METRIC},
+      scaled AS (SELECT * REPLACE (value * {scale} AS value) FROM v_metric WHERE container <> 'POD'),
+      prev AS (SELECT *, lag(value) OVER (PARTITION BY pod, namespace ORDER BY ts) AS p,
+                      epoch_us(ts) AS t_us FROM scaled),
+      steps AS (SELECT *, CASE WHEN p IS NULL THEN NULL WHEN value < p THEN value
+                               ELSE value - p END AS step FROM prev),
+      win AS (
+        SELECT pod, namespace, ts, t_us,
+          count(*) OVER w AS n, sum(step) OVER w AS steps,
+          first_value(step) OVER w AS first_step, min(t_us) OVER w AS first_us
+        FROM steps
+        WINDOW w AS (PARTITION BY pod, namespace ORDER BY t_us
+                     RANGE BETWEEN {RATE_W_US - 1} PRECEDING AND CURRENT ROW)),
+      rates AS (SELECT pod, namespace, ts,
+        round((steps - coalesce(first_step, 0.0)) / ((t_us - first_us) / 1000000.0::DOUBLE), 6) AS rate
+        FROM win WHERE n >= 2)"""
+
+
+def _rate(legend: str, scale: int = 1) -> str:
+    return f"{_rates(scale)} SELECT pod, namespace, ts, pod || ' - {legend}' AS name, rate FROM rates"
+
 
 ORACLE = {
     "metric_select": f"""WITH {V_METRIC}
-      SELECT pod, namespace, ts, round(value, 6) AS value FROM v_metric
-      WHERE namespace = 'view' AND regexp_full_match(pod, 'pod-1.*')""",
+      SELECT pod, namespace, ts, round(value, 6) AS value FROM v_gauge
+      WHERE namespace = 'view' AND regexp_full_match(pod, 'pod-1.*') AND container <> 'POD'""",
     "metric_range": f"""WITH {V_METRIC}
       SELECT pod, namespace, ts, round(value, 6) AS value FROM v_gauge
       WHERE ts > (SELECT max(ts) FROM v_gauge) - INTERVAL 1 DAY
@@ -34,28 +58,24 @@ ORACLE = {
           AND ts <= (SELECT max(ts) FROM v_gauge)
         GROUP BY pod, namespace, phase)
       SELECT phase, round(sum(value), 6) AS value FROM vec GROUP BY phase""",
-    "metric_rate": f"""WITH {V_METRIC},
-      prev AS (SELECT *, lag(value) OVER (PARTITION BY pod, namespace ORDER BY ts) AS p,
-                      epoch_us(ts) AS t_us FROM v_metric),
-      steps AS (SELECT *, CASE WHEN p IS NULL THEN NULL WHEN value < p THEN value
-                               ELSE value - p END AS step FROM prev),
-      win AS (
-        SELECT pod, namespace, ts, t_us,
-          count(*) OVER w AS n, sum(step) OVER w AS steps,
-          first_value(step) OVER w AS first_step, min(t_us) OVER w AS first_us
-        FROM steps
-        WINDOW w AS (PARTITION BY pod, namespace ORDER BY t_us
-                     RANGE BETWEEN {RATE_W_US - 1} PRECEDING AND CURRENT ROW))
-      SELECT pod, namespace, ts, pod || ' - RX' AS name,
-        round((steps - coalesce(first_step, 0.0)) / ((t_us - first_us) / 1000000.0::DOUBLE), 6) AS rate
-      FROM win WHERE n >= 2""",
+    "metric_rate": _rate("RX"),
+    "metric_tx": _rate("TX", 2),
+    "metric_cpu": f"""{_rates(500)}, r AS (SELECT pod, namespace, ts, rate AS value FROM rates),
+      both_ AS (SELECT pod, namespace, ts, value, 'sample' AS series FROM r UNION ALL
+        SELECT NULL, NULL, ts, 0.1::DOUBLE, 'CPU Target' FROM (SELECT DISTINCT ts FROM r))
+      SELECT *, CASE WHEN value >= 0.1 THEN 'red' ELSE 'green' END AS color FROM both_""",
+    "metric_memory": f"""WITH {V_METRIC},
+      g AS (SELECT pod, namespace, ts, round(value * 10000000, 3) AS value FROM v_gauge WHERE container <> 'POD'),
+      both_ AS (SELECT pod, namespace, ts, value, 'sample' AS series FROM g UNION ALL
+        SELECT NULL, NULL, ts, 358400000.0::DOUBLE, 'Memory Target' FROM (SELECT DISTINCT ts FROM g))
+      SELECT *, CASE WHEN value >= 358400000 THEN 'red' ELSE 'green' END AS color FROM both_""",
     "metric_last": f"""WITH {V_METRIC}, {LAST}
       SELECT pod, namespace, ts, round(value, 6) AS value FROM last""",
     "metric_thresholds": f"""WITH {V_METRIC}, {LAST}
       SELECT pod, namespace, value,
         CASE WHEN value >= 8 THEN 'red' WHEN value >= 5 THEN 'yellow' ELSE 'green' END AS color,
-        CASE WHEN namespace IN ('Running', 'Pending', 'Failed', 'Succeeded') THEN namespace
-             ELSE namespace END AS phase_text,
+        CASE phase WHEN 'Running' THEN 'Running' WHEN 'Pending' THEN 'Pending' WHEN 'Failed' THEN 'Failed'
+             WHEN 'Succeeded' THEN 'Succeeded' ELSE phase END AS phase_text,
         5.0::DOUBLE AS target, value > 5.0 AS above_target
       FROM last""",
     "metric_overlay": f"""WITH {V_METRIC}
@@ -63,5 +83,8 @@ ORACLE = {
       FROM v_gauge WHERE namespace = 'view'
       UNION ALL
       SELECT pod, namespace, ts, round(value, 6) AS value, 'Desired Replicas' AS series
-      FROM v_gauge WHERE namespace = 'click'""",
+      FROM v_gauge WHERE namespace = 'click'
+      UNION ALL
+      SELECT pod, namespace, ts, round(value, 6) AS value, 'Max Replicas' AS series
+      FROM v_gauge WHERE namespace = 'signup'""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilo.operators import metrics as MT
-from vigilo.sources.metrics import COUNTER, GAUGE, metric_samples
+from vigilo.sources.metrics import COUNTER, CPU, GAUGE, MEMORY, TRANSMIT, metric_samples
 
 SELECTOR = [("namespace", "=", "view"), ("pod", "=~", "pod-1.*"), ("container", "!=", "POD")]
 RATE_SELECTOR = [("pod", "=~", "pod-.*"), ("container", "!=", "POD")]
@@ -20,6 +20,8 @@ RATE_WINDOW_S = 6 * 86400
 REPLICA_STEPS = [(5.0, "yellow"), (8.0, "red")]
 PHASE_TEXT = {"Running": "Running", "Pending": "Pending", "Failed": "Failed",
               "Succeeded": "Succeeded"}
+CPU_TARGET, MEMORY_TARGET = 0.1, 358400000.0
+CPU_STEPS, MEMORY_STEPS = [(CPU_TARGET, "red")], [(MEMORY_TARGET, "red")]
 REFERENCE_LINE = 5.0
 
 
@@ -30,35 +32,62 @@ def _flat(df: DataFrame, value: str = "value", digits: int | None = 6) -> DataFr
 
 
 def q_metric_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = MT.select_series(metric_samples(spark, sf_dir, "counter"), COUNTER, SELECTOR)
+    df = MT.select_series(metric_samples(spark, sf_dir, GAUGE), GAUGE, SELECTOR)
     return _flat(df)
 
 
 def q_metric_range(spark, sf_dir):
-    gauge = metric_samples(spark, sf_dir, "gauge")
+    gauge = metric_samples(spark, sf_dir, GAUGE)
     return _flat(MT.time_range(gauge, MT.latest_ts(gauge), "1 day"))
 
 
 def q_metric_sum_by(spark, sf_dir):
-    gauge = MT.select_series(metric_samples(spark, sf_dir, "gauge"), GAUGE,
+    gauge = MT.select_series(metric_samples(spark, sf_dir, GAUGE), GAUGE,
                              [("pod", "=~", "pod-.*")])
     vector = MT.instant_vector(gauge, MT.latest_ts(gauge), lookback="1 day")
     return MT.sum_by(vector, ["phase"])
 
 
-def q_metric_rate(spark, sf_dir):
-    counter = MT.select_series(metric_samples(spark, sf_dir, "counter"), COUNTER, RATE_SELECTOR)
+def _rate(spark, sf_dir, name: str, legend: str) -> DataFrame:
+    counter = MT.select_series(metric_samples(spark, sf_dir, name), name, RATE_SELECTOR)
     r = MT.rate(counter, RATE_WINDOW_S, chunk_windows=2)
     return r.select(MT.label("pod").alias("pod"), MT.label("namespace").alias("namespace"), "ts",
-                    MT.series_name("{{pod}} - RX").alias("name"), F.round("rate", 6).alias("rate"))
+                    MT.series_name(legend).alias("name"), F.round("rate", 6).alias("rate"))
+
+
+def q_metric_rate(spark, sf_dir):
+    return _rate(spark, sf_dir, COUNTER, "{{pod}} - RX")
+
+
+def q_metric_tx(spark, sf_dir):
+    return _rate(spark, sf_dir, TRANSMIT, "{{pod}} - TX")
+
+
+def _panel(samples: DataFrame, target: float, title: str, steps) -> DataFrame:
+    """The samples of a panel with their colours, and its target series."""
+    reference = MT.reference_series(samples, target).withColumns(
+        {"pod": F.lit(None).cast("string"), "namespace": F.lit(None).cast("string")})
+    both = MT.overlay([("sample", samples), (title, reference.select(samples.columns))])
+    return both.withColumn("color", MT.threshold_class(F.col("value"), steps))
+
+
+def q_metric_cpu(spark, sf_dir):
+    r = _rate(spark, sf_dir, CPU, "{{pod}}")
+    samples = r.select("pod", "namespace", "ts", F.col("rate").alias("value"))
+    return _panel(samples, CPU_TARGET, "CPU Target", CPU_STEPS)
+
+
+def q_metric_memory(spark, sf_dir):
+    gauge = MT.select_series(metric_samples(spark, sf_dir, MEMORY), MEMORY, RATE_SELECTOR)
+    return _panel(_flat(gauge, digits=3), MEMORY_TARGET, "Memory Target", MEMORY_STEPS)
 
 
 def q_metric_last(spark, sf_dir):
-    return _flat(MT.last_not_null(metric_samples(spark, sf_dir, "gauge")))
+    return _flat(MT.last_not_null(metric_samples(spark, sf_dir, GAUGE)))
 
 
 def q_metric_thresholds(spark, sf_dir):
-    last = MT.last_not_null(metric_samples(spark, sf_dir, "gauge"))
+    last = MT.last_not_null(metric_samples(spark, sf_dir, GAUGE))
     v = F.col("value")
     return last.select(
         MT.label("pod").alias("pod"), MT.label("namespace").alias("namespace"), "value",
@@ -68,9 +97,10 @@ def q_metric_thresholds(spark, sf_dir):
 
 
 def q_metric_overlay(spark, sf_dir):
-    gauge = metric_samples(spark, sf_dir, "gauge")
+    gauge = metric_samples(spark, sf_dir, GAUGE)
     panels = [("Current Replicas", MT.select_series(gauge, GAUGE, [("namespace", "=", "view")])),
-              ("Desired Replicas", MT.select_series(gauge, GAUGE, [("namespace", "=", "click")]))]
+              ("Desired Replicas", MT.select_series(gauge, GAUGE, [("namespace", "=", "click")])),
+              ("Max Replicas", MT.select_series(gauge, GAUGE, [("namespace", "=", "signup")]))]
     return MT.overlay([(name, _flat(df)) for name, df in panels])
 
 
@@ -79,6 +109,9 @@ QUERIES = {
     "metric_range": q_metric_range,
     "metric_sum_by": q_metric_sum_by,
     "metric_rate": q_metric_rate,
+    "metric_tx": q_metric_tx,
+    "metric_cpu": q_metric_cpu,
+    "metric_memory": q_metric_memory,
     "metric_last": q_metric_last,
     "metric_thresholds": q_metric_thresholds,
     "metric_overlay": q_metric_overlay,

@@ -9,20 +9,22 @@ Two parameter sets mirror the two batch jobs:
 
 * ``calorie_forest``: frequency-indexed categories + 9 numeric features,
   standardised, forest of 50 trees of depth 10, seed 42;
-* ``nutrition_forest``: alphabetical label codes of 4 categories, 7
-  numeric features and a k-means (k=5) nutrition cluster as a feature,
-  forest of 100 trees of depth 15, every feature considered at each split.
+* ``nutrition_forest``: alphabetical label codes of 4 categories (as
+  numbers, from a code table, so a vocabulary of any size needs no bins of
+  its own), 7 numeric features and a k-means (k=5) nutrition cluster as a
+  feature, forest of 100 trees of depth 15, every feature considered at
+  each split.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Fixed model settings.
 SEED = 42
@@ -97,30 +99,22 @@ def scaled_kmeans(k: int = 5, cols: list[str] = CLUSTER_COLUMNS) -> Pipeline:
     ])
 
 
-def nutrition_forest(max_bins: int, num_trees: int = 100, max_depth: int = 15,
-                     min_instances: int = 5, handle_invalid: str = "error",
-                     label: str = "calories",
+def nutrition_clusters(k: int = 5) -> Pipeline:
+    """The nutrition cluster of a row, fitted on the whole frame."""
+    return Pipeline(stages=[VectorAssembler(inputCols=NUTRITION_PROFILE, outputCol="nutrition_features"),
+                            KMeans(featuresCol="nutrition_features", predictionCol="nutrition_cluster", k=k, seed=SEED)])
+
+
+def nutrition_forest(num_trees: int = 100, max_depth: int = 15, min_instances: int = 5, label: str = "calories",
                      pass_memory_mb: int = TREE_PASS_MEMORY_MB) -> Pipeline:
-    """``max_bins`` must be at least the largest category count (the
-    encoded columns carry nominal metadata, so trees split them as sets)."""
-    encoders = [StringIndexer(inputCols=list(ENCODED), outputCols=list(ENCODED.values()),
-                              stringOrderType="alphabetAsc", handleInvalid=handle_invalid)]
-    profile = VectorAssembler(inputCols=NUTRITION_PROFILE, outputCol="nutrition_features")
-    clusters = KMeans(featuresCol="nutrition_features", predictionCol="nutrition_cluster", k=5,
-                      seed=SEED)
+    """The forest over encoded columns and the cluster, both plain numbers."""
     assembler = VectorAssembler(inputCols=NUTRITION_FEATURES, outputCol="features")
     forest = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=num_trees,
                                    maxDepth=max_depth, minInstancesPerNode=min_instances,
-                                   featureSubsetStrategy="all", maxBins=max_bins, seed=SEED,
+                                   featureSubsetStrategy="all", seed=SEED,
                                    maxMemoryInMB=pass_memory_mb, cacheNodeIds=True,
                                    checkpointInterval=10)
-    return Pipeline(stages=[*encoders, profile, clusters, assembler, forest])
-
-
-def required_bins(df: DataFrame, cols: list[str] = list(ENCODED)) -> int:
-    """Largest number of distinct labels among ``cols`` (one aggregation)."""
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-    return max(32, *[int(row[c]) for c in cols]) + 1
+    return Pipeline(stages=[assembler, forest])
 
 
 def evaluate(predictions: DataFrame, label: str = "calories",
@@ -134,20 +128,17 @@ def importances(model: PipelineModel, names: list[str]) -> list[tuple[str, float
     return [(n, float(v)) for n, v in zip(names, forest.featureImportances.toArray())]
 
 
-def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    """Fit with the training rows spread over the cluster and persisted for
-    MLlib's several passes (indexer, scaler, split finding, tree points).  MEMORY_AND_DISK: a lost
+def fit(pipeline: Pipeline, train: DataFrame, inputs: list[str], partitions: int | None = None) -> PipelineModel:
+    """Fit on the named columns of the training rows, spread over
+    ``partitions`` tasks (default: the session's shuffle partitions) and
+    persisted once for MLlib's several passes.  MEMORY_AND_DISK: a lost
     executor's blocks are recomputed from the plan, nothing is lost."""
-    from pyspark import StorageLevel
-
-    from vigilo.sources.tables import spread
-    # Every pass of the fit runs one task per partition: spread an input
-    # coarser than the cluster (a no-op for a large table).
-    train = spread(train).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = train.select(*inputs).repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return pipeline.fit(train)
+        return pipeline.fit(rows)
     finally:
-        train.unpersist()
+        rows.unpersist()
 
 
 def save(model: PipelineModel, path: str) -> None:

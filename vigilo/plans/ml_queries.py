@@ -7,16 +7,19 @@ recomputed by the aggregate form equal ``RegressionEvaluator``.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilo.operators import encode as E
 from vigilo.operators import features as FT
 from vigilo.operators import split as SP
 from vigilo.plans import ml
 from vigilo.plans.food_queries import KEYS, clean_food
 from vigilo.session import scratch_path
 from vigilo.sources import lake as L
-from vigilo.sources.food import ORDER_KEY
+from vigilo.sources.food import ORDER_KEY, catalog_rows, portion_rows
+from vigilo.sources.tables import read_table
 
 
 def features_base(spark, sf_dir) -> DataFrame:
@@ -28,16 +31,19 @@ def features_ext(spark, sf_dir) -> DataFrame:
 
 
 def calorie_split(spark, sf_dir):
-    df = SP.hash_split(features_base(spark, sf_dir), ORDER_KEY, 0.8, seed=ml.SEED)
+    df = SP.hash_split(features_base(spark, sf_dir), KEYS, 0.8, seed=ml.SEED)
     return df.where("split = 'train'"), df.where("split = 'test'")
 
 
 _FITTED: dict[tuple, object] = {}
 
 
-def _fitted(key: tuple, fit):
-    """Fit once per (session, data, model) and reuse: several queries
-    report on the same fitted pipeline."""
+def _fitted(spark, sf_dir: str, name: str, fit):
+    """Fit once per (application, input files, model) and reuse: several
+    queries report on the same fitted pipeline.  Rewritten files have other
+    names, so changed data is fitted anew."""
+    files = tuple(sorted(f for t in ("lineitem", "part") for f in read_table(spark, sf_dir, t).inputFiles()))
+    key = (spark.sparkContext.applicationId, hash(files), name)
     if key not in _FITTED:
         _FITTED[key] = fit()
     return _FITTED[key]
@@ -46,21 +52,38 @@ def _fitted(key: tuple, fit):
 def fit_calorie_forest(spark, sf_dir):
     train, test = calorie_split(spark, sf_dir)
     pipeline = ml.calorie_forest(pass_memory_mb=ml.tree_pass_memory(spark))
-    model = _fitted((id(spark), sf_dir, "calorie_forest"), lambda: ml.fit(pipeline, train))
+    inputs = [*ml.CALORIE_NUMERIC, *ml.CALORIE_CATEGORICAL, "calories"]
+    model = _fitted(spark, sf_dir, "calorie_forest", lambda: ml.fit(pipeline, train, inputs))
     return model, model.transform(test)
 
 
+def _encoded(df: DataFrame, codes: DataFrame, handle_invalid: str = "error") -> DataFrame:
+    for column, out in ml.ENCODED.items():
+        df = E.apply_codes(df, codes, column, out, handle_invalid)
+    return df
+
+
+def nutrition_frame(spark, sf_dir) -> DataFrame:
+    """All clean rows with their nutrition cluster, fitted on all of them."""
+    df = features_ext(spark, sf_dir)
+    model = _fitted(spark, sf_dir, "nutrition_clusters", lambda: ml.fit(ml.nutrition_clusters(), df, ml.NUTRITION_PROFILE))
+    return model.transform(df).drop("nutrition_features")
+
+
+def nutrition_codes(spark, sf_dir) -> DataFrame:
+    return _fitted(spark, sf_dir, "nutrition_codes", lambda: E.code_table(features_ext(spark, sf_dir), list(ml.ENCODED), "alphabetical"))
+
+
 def nutrition_split(spark, sf_dir):
-    df = SP.stratified_split(features_ext(spark, sf_dir), ["category"], ORDER_KEY)
+    df = _encoded(nutrition_frame(spark, sf_dir), nutrition_codes(spark, sf_dir))
+    df = SP.stratified_split(df, ["category"], KEYS, ORDER_KEY)
     return df.where("split = 'train'"), df.where("split = 'test'")
 
 
-def fit_nutrition_forest(spark, sf_dir, handle_invalid: str = "keep"):
+def fit_nutrition_forest(spark, sf_dir):
     train, test = nutrition_split(spark, sf_dir)
-    model = _fitted((id(spark), sf_dir, "nutrition_forest", handle_invalid),
-                    lambda: ml.fit(ml.nutrition_forest(
-                        ml.required_bins(train), handle_invalid=handle_invalid,
-                        pass_memory_mb=ml.tree_pass_memory(spark)), train))
+    model = _fitted(spark, sf_dir, "nutrition_forest", lambda: ml.fit(
+        ml.nutrition_forest(pass_memory_mb=ml.tree_pass_memory(spark)), train, [*ml.NUTRITION_FEATURES, "calories"]))
     return model, train, test
 
 
@@ -71,7 +94,7 @@ def q_rf_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clustered(spark, sf_dir):
     df = clean_food(spark, sf_dir)
-    model = _fitted((id(spark), sf_dir, "scaled_kmeans"), lambda: ml.fit(ml.scaled_kmeans(), df))
+    model = _fitted(spark, sf_dir, "scaled_kmeans", lambda: ml.fit(ml.scaled_kmeans(), df, ml.CLUSTER_COLUMNS))
     return model.transform(df)
 
 
@@ -89,8 +112,8 @@ def q_cluster_summary(spark, sf_dir):
 
 
 def q_kmeans_profile(spark, sf_dir):
-    model, train, _ = fit_nutrition_forest(spark, sf_dir)
-    return model.transform(train).select(*KEYS, *ml.NUTRITION_PROFILE, "nutrition_cluster")
+    """Every clean row with its cluster."""
+    return nutrition_frame(spark, sf_dir).select(*KEYS, *ml.NUTRITION_PROFILE, "nutrition_cluster")
 
 
 def q_rf_predictions_ext(spark, sf_dir):
@@ -105,17 +128,34 @@ def q_topk_importance(spark, sf_dir):
             .orderBy(F.desc("importance"), "feature").limit(5))
 
 
+def new_rows(spark, sf_dir) -> DataFrame:
+    """Rows no model has seen: catalogue portions, some with labels that the
+    training rows lack (they carry no meal or preparation of their own)."""
+    portions = FT.scale_portions(portion_rows(spark, sf_dir), catalog_rows(spark, sf_dir))
+    rows = portions.select("l_orderkey", "l_linenumber", "part_key", F.col("name").alias("food_item"), "category",
+                           F.lit("snack").alias("meal_time"), F.lit("raw").alias("preparation_method"),
+                           "weight_grams", "calories", "protein_g", "carbs_g", "fat_g")
+    return FT.add_extended_features(rows)
+
+
 def _scored_new_rows(spark, sf_dir):
-    """Batch scoring: the fitted encoders + clusterer + forest applied to
-    rows the model has not seen (the held-out split)."""
-    model, train, test = fit_nutrition_forest(spark, sf_dir)
-    scored = model.transform(test).withColumnRenamed("prediction", "predicted_calories")
+    """Batch scoring: the fitted codes (unseen labels get the next free
+    code), clusterer and forest applied to new rows."""
+    model, train, _ = fit_nutrition_forest(spark, sf_dir)
+    rows = new_rows(spark, sf_dir)
+    clusters = _fitted(spark, sf_dir, "nutrition_clusters", lambda: None)
+    rows = clusters.transform(rows).drop("nutrition_features")
+    rows = _encoded(rows, nutrition_codes(spark, sf_dir), handle_invalid="keep")
+    scored = model.transform(rows).withColumnRenamed("prediction", "predicted_calories")
     return model, train, FT.add_prediction_errors(scored)
 
 
+NEW_KEYS = ["l_orderkey", "l_linenumber", "part_key"]
+
+
 def q_batch_scoring(spark, sf_dir):
     _, _, scored = _scored_new_rows(spark, sf_dir)
-    return scored.select(*KEYS, "food_item", "category", "nutrition_cluster", "calories",
+    return scored.select(*NEW_KEYS, "food_item", "category", "nutrition_cluster", "calories",
                          "predicted_calories", "prediction_error", "prediction_error_pct")
 
 
@@ -123,8 +163,14 @@ def q_training_report(spark, sf_dir):
     """The training result record (metrics, parameters, features, clustering),
     written as ``spark_ml_results_<run>.json`` and as the ``_latest`` copy,
     and returned as read back from the latest copy."""
-    _, predictions = fit_calorie_forest(spark, sf_dir)
+    model, predictions = fit_calorie_forest(spark, sf_dir)
+    clusterer = _fitted(spark, sf_dir, "scaled_kmeans", lambda: ml.fit(ml.scaled_kmeans(), clean_food(spark, sf_dir), ml.CLUSTER_COLUMNS))
     run = L.run_id()
+    lake = scratch_path(spark, "lake")
+    model_file, cluster_file = f"{L.MODELS}/calorie_forest_{run}", f"{L.MODELS}/food_clusters_{run}"
+    ml.save(model, f"{lake}/{model_file}")
+    ml.save(clusterer, f"{lake}/{cluster_file}")
+    forest, kmeans = model.stages[-1], clusterer.stages[-1]
     metrics = FT.regression_metrics(predictions, "calories", "prediction", digits=None)
     record = metrics.select(F.to_json(F.struct(
         F.lit("RandomForestRegressor").alias("model_type"),
@@ -133,13 +179,14 @@ def q_training_report(spark, sf_dir):
         F.struct("rmse", "mae", "r2").alias("metrics"),
         F.array(*[F.lit(c) for c in ["weight_grams", "protein_g", "carbs_g", "fat_g", "category",
                                      "meal_time", "preparation_method"]]).alias("features_used"),
-        F.struct(F.lit(50).alias("numTrees"), F.lit(10).alias("maxDepth"),
-                 F.lit(ml.SEED).alias("seed")).alias("model_parameters"),
-        F.struct(F.lit("KMeans").alias("algorithm"), F.lit(5).alias("k"),
+        F.struct(F.lit(forest.getNumTrees).alias("numTrees"), F.lit(forest.getMaxDepth()).alias("maxDepth"),
+                 F.lit(forest.getSeed()).alias("seed")).alias("model_parameters"),
+        F.lit(model_file).alias("model_file"), F.lit(cluster_file).alias("cluster_file"),
+        F.struct(F.lit("KMeans").alias("algorithm"), F.lit(kmeans.getK()).alias("k"),
                  F.array(*[F.lit(c) for c in ml.CLUSTER_COLUMNS]).alias("features"))
         .alias("clustering"),
     )).alias("report"))
-    root = scratch_path(spark, "lake") + "/" + L.PROCESSED
+    root = f"{lake}/{L.PROCESSED}"
     record.coalesce(1).write.mode("errorifexists").text(f"{root}/spark_ml_results_{run}.json")
     spark.read.text(f"{root}/spark_ml_results_{run}.json") \
         .write.mode("overwrite").text(f"{root}/spark_ml_results_latest.json")
@@ -162,7 +209,7 @@ def q_scoring_report(spark, sf_dir):
         "model": f"random_forest_model_{run}",
     }
     L.write_csv(train.drop("split"), f"{lake}/{L.PROCESSED}/{files['processed_training_data']}")
-    L.write_csv(scored.select(*KEYS, "food_item", "category", "nutrition_cluster", "calories",
+    L.write_csv(scored.select(*NEW_KEYS, "food_item", "category", "nutrition_cluster", "calories",
                               "predicted_calories", "prediction_error", "prediction_error_pct"),
                 f"{lake}/{L.PROCESSED}/{files['batch_predictions']}")
     ml.save(model, f"{lake}/{L.MODELS}/{files['model']}")
@@ -199,7 +246,90 @@ def q_model_roundtrip(spark, sf_dir):
     return again.select(*KEYS, "calories", "prediction")
 
 
+def q_rf_prediction_check(spark, sf_dir):
+    """Rows and labels of the held-out split, and whether each prediction lies
+    between the smallest and largest training label (a forest averages them)."""
+    train, _ = calorie_split(spark, sf_dir)
+    span = train.agg(F.min("calories").alias("lo"), F.max("calories").alias("hi")).first()
+    return q_rf_predictions(spark, sf_dir).select(
+        *KEYS, "calories", F.col("prediction").between(span["lo"] - 1e-6, span["hi"] + 1e-6).alias("in_range"))
+
+
+def q_rf_ext_check(spark, sf_dir):
+    model, train, test = fit_nutrition_forest(spark, sf_dir)
+    span = train.agg(F.min("calories").alias("lo"), F.max("calories").alias("hi")).first()
+    return model.transform(test).select(
+        *KEYS, "calories", *ml.ENCODED.values(), F.col("prediction").between(span["lo"] - 1e-6, span["hi"] + 1e-6).alias("in_range"))
+
+
+def q_cluster_check(spark, sf_dir):
+    """Every clean row, and whether no other centre is nearer than its own."""
+    model = _fitted(spark, sf_dir, "scaled_kmeans", lambda: ml.fit(ml.scaled_kmeans(), clean_food(spark, sf_dir), ml.CLUSTER_COLUMNS))
+    rows = model.transform(clean_food(spark, sf_dir)).withColumn("x", vector_to_array("scaled_features"))
+    far = [sum((F.get("x", F.lit(i)) - float(v)) ** 2 for i, v in enumerate(c)) for c in model.stages[-1].clusterCenters()]
+    own = F.coalesce(*[F.when(F.col("cluster") == k, d) for k, d in enumerate(far)])
+    return rows.select(*KEYS, "calories", (own <= F.least(*far) + 1e-9).alias("nearest"))
+
+
+def q_cluster_counts_check(spark, sf_dir):
+    return q_cluster_summary(spark, sf_dir).agg(F.count(F.lit(1)).alias("clusters"), F.sum("count").alias("rows"))
+
+
+def q_model_same(spark, sf_dir):
+    """Whether the saved and reloaded model predicts the same, per held-out row."""
+    model, predictions = fit_calorie_forest(spark, sf_dir)
+    path = scratch_path(spark, "ml-models") + "/calorie_forest"
+    ml.save(model, path)
+    return ml.load(path).transform(predictions.withColumnRenamed("prediction", "first").drop(
+        "features", "features_raw", *[f"{c}_indexed" for c in ml.CALORIE_CATEGORICAL])) \
+        .select(*KEYS, "calories", (F.col("prediction") == F.col("first")).alias("same"))
+
+
+def q_batch_scoring_check(spark, sf_dir):
+    """Rows of the batch scoring with their nutrients, and whether the error
+    columns follow from the prediction."""
+    _, _, scored = _scored_new_rows(spark, sf_dir)
+    err = F.abs(F.col("calories") - F.col("predicted_calories"))
+    return scored.select(*NEW_KEYS, "food_item", "calories", F.col("nutrition_cluster").between(0, 4).alias("has_cluster"),
+                         (F.abs(F.col("prediction_error") - err) < 1e-9).alias("error_right"))
+
+
+def q_training_report_check(spark, sf_dir):
+    """The determined fields of the training record, and whether its models load."""
+    report = q_training_report(spark, sf_dir)
+    return report.select(
+        F.get_json_object("report", "$.model_type").alias("model_type"),
+        F.get_json_object("report", "$.model_parameters").alias("model_parameters"),
+        F.get_json_object("report", "$.clustering.k").cast("int").alias("k"),
+        F.get_json_object("report", "$.model_file").startswith(f"{L.MODELS}/").alias("has_model"),
+        (F.get_json_object("report", "$.metrics.rmse").cast("double") > 0).alias("has_metrics"))
+
+
+def q_scoring_report_check(spark, sf_dir):
+    report = q_scoring_report(spark, sf_dir)
+    return report.select(
+        F.get_json_object("report", "$.training_samples").cast("long").alias("training_samples"),
+        F.get_json_object("report", "$.prediction_samples").cast("long").alias("prediction_samples"),
+        F.size(F.from_json(F.get_json_object("report", "$.feature_importance"), "array<struct<feature:string>>")).alias("features"))
+
+
+def q_importance_check(spark, sf_dir):
+    model, _, _ = fit_nutrition_forest(spark, sf_dir)
+    rows = ml.importances(model, ml.NUTRITION_FEATURES)
+    total = sum(v for _, v in rows)
+    return spark.createDataFrame([(f, 0 <= v <= 1 and abs(total - 1) < 1e-6) for f, v in rows], "feature string, in_unit boolean")
+
+
 QUERIES = {
+    "rf_prediction_check": q_rf_prediction_check,
+    "rf_ext_check": q_rf_ext_check,
+    "cluster_check": q_cluster_check,
+    "cluster_counts_check": q_cluster_counts_check,
+    "model_same": q_model_same,
+    "batch_scoring_check": q_batch_scoring_check,
+    "training_report_check": q_training_report_check,
+    "scoring_report_check": q_scoring_report_check,
+    "importance_check": q_importance_check,
     "rf_predictions": q_rf_predictions,
     "kmeans_scaled": q_kmeans_scaled,
     "cluster_summary": q_cluster_summary,

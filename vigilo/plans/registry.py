@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from vigilo.plans import ml_queries
 from vigilo.plans import (food_oracle, food_queries, io_oracle, io_queries, metric_oracle,
-                          metric_queries, scoring_oracle, scoring_queries, stream_oracle,
+                          metric_queries, ml_oracle, ml_queries, scoring_oracle, scoring_queries, stream_oracle,
                           stream_queries)
 
 QUERIES = {}
@@ -16,7 +15,7 @@ for _queries, _oracle in [
     (metric_queries.QUERIES, metric_oracle.ORACLE),
     (io_queries.QUERIES, io_oracle.ORACLE),
     (stream_queries.QUERIES, stream_oracle.ORACLE),
-    (ml_queries.QUERIES, {}),
+    (ml_queries.QUERIES, ml_oracle.ORACLE),
 ]:
     QUERIES.update(_queries)
     ORACLE_SQL.update(_oracle)

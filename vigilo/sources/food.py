@@ -16,7 +16,7 @@ from vigilo.functions.joins import join_dimension
 from vigilo.sources.tables import read_table
 
 FOOD_COLUMNS = ["food_item", "category", "weight_grams", "calories", "protein_g", "carbs_g",
-                "fat_g", "meal_time", "preparation_method"]
+                "fat_g", "meal_time", "preparation_method", "timestamp"]
 NUMERIC_FOOD = ["weight_grams", "calories", "protein_g", "carbs_g", "fat_g"]
 CATEGORICAL_FOOD = ["food_item", "category", "meal_time", "preparation_method"]
 # No single line-item column is unique; these six together order every row.
@@ -47,6 +47,7 @@ def food_rows(spark: SparkSession, sf_dir: str, keys: bool = True) -> DataFrame:
         F.col("p_size").cast("double").alias("fat_g"),
         F.col("l_returnflag").alias("meal_time"),
         F.col("l_linestatus").alias("preparation_method"),
+        F.col("l_shipdate").alias("timestamp"),
     ]
     extra = [F.col(c) for c in ORDER_KEY] + [F.col("l_discount")] if keys else []
     return joined.select(*extra, *food)

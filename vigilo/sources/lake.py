@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,14 +38,31 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 def read_csv_or_none(spark: SparkSession, path: str,
                      schema: StructType | str | None = None) -> DataFrame | None:
-    """``None`` when the path does not exist, so a caller can fall back."""
-    try:
-        df = read_csv(spark, path, schema)
-        if schema is None:
-            df.schema  # resolves the files now
-        return df
-    except AnalysisException:
-        return None
+    """``None`` when the path does not exist, so a caller can fall back; any
+    other failure (permission, schema) surfaces."""
+    return read_csv(spark, path, schema) if _exists(spark, path) else None
+
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a lake path, whatever store it is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _folder(spark, path)
+    return fs.exists(where)
+
+
+def read_or_fallback(spark: SparkSession, path: str, schema: StructType | str, min_rows: int,
+                     fallback: DataFrame) -> DataFrame:
+    """The data set at ``path`` when it is there and long enough; otherwise
+    ``fallback``, which is written to ``path`` and read back from it."""
+    found = read_csv_or_none(spark, path, schema)
+    if found is not None and len(found.select(F.lit(1)).take(min_rows)) >= min_rows:
+        return found
+    write_csv(fallback, path)
+    return read_csv(spark, path, schema=fallback.schema)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -63,43 +79,44 @@ def write_if_absent(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def versioned_write(spark: SparkSession, df: DataFrame, root: str, version: str,
-                    fmt: str = "parquet") -> tuple[str, str]:
-    """Write ``root/v=<version>/`` once, then refresh ``root/latest/`` from
-    that written copy (not by recomputing ``df``)."""
-    versioned, latest = f"{root}/v={version}", f"{root}/latest"
-    df.write.mode("errorifexists").format(fmt).save(versioned)
-    spark.read.format(fmt).schema(df.schema).load(versioned) \
-        .write.mode("overwrite").format(fmt).save(latest)
-    return versioned, latest
+                    fmt: str = "parquet") -> str:
+    """Write ``root/v=<version>/`` once, then point ``root/latest/`` at it.
+
+    The pointer is a record of its own, added only when the version is
+    complete; nothing is copied and readers never find a gap."""
+    path = f"{root}/v={version}"
+    df.write.mode("errorifexists").format(fmt).save(path)
+    spark.createDataFrame([(version, path)], "version string, path string").coalesce(1) \
+        .write.mode("append").json(f"{root}/latest")
+    return path
+
+
+def read_latest(spark: SparkSession, root: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
+    """The version that ``root/latest/`` points at: the last by version text."""
+    newest = spark.read.schema("version string, path string").json(f"{root}/latest") \
+        .orderBy(F.desc("version")).first()
+    if newest is None:
+        raise FileNotFoundError(f"no version under {root}")
+    return spark.read.format(fmt).schema(schema).load(newest["path"])
 
 
 def verify_write(spark: SparkSession, df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
-    """Write, read back and compare row counts: one row
-    ``(rows_written, rows_read, verified)``."""
-    df.write.mode("overwrite").format(fmt).save(path)
-    written = df.count()
+    """Write, read back and compare row counts: one row ``(rows_written,
+    rows_read, verified)``.  The first count is observed on the write itself."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").format(fmt).save(path)
+    written = seen.get["rows"]
     read = spark.read.format(fmt).schema(df.schema).load(path).count()
     return spark.range(1).select(F.lit(written).cast("long").alias("rows_written"),
                                  F.lit(read).cast("long").alias("rows_read"),
                                  F.lit(written == read).alias("verified"))
 
 
-def dataset_names(spark: SparkSession, root: str) -> DataFrame:
-    """``(dataset, path)`` of every data set under ``root``: a file, or the
-    folder a Spark writer produced (``name.csv/part-...``).
-
-    Listed by Spark's ``binaryFile`` source with the ``content`` column
-    pruned, so only file metadata is read, in parallel for large folders.
-    """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-             .select("path"))
-    parent = F.regexp_extract("path", r"^(.*)/([^/]+)/[^/]+$", 2)
-    parent_path = F.regexp_extract("path", r"^(.*/[^/]+)/[^/]+$", 1)
-    own = F.regexp_extract("path", r"([^/]+)$", 1)
-    in_folder = parent.endswith(".csv") | parent.endswith(".parquet") | parent.endswith(".json")
-    return files.select(F.when(in_folder, parent).otherwise(own).alias("dataset"),
-                        F.when(in_folder, parent_path).otherwise(F.col("path")).alias("path")) \
-        .distinct()
+def dataset_names(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """``(dataset, path)`` of every data set in ``root``: a file, or the folder
+    a Spark writer produced.  One level is listed, no part files."""
+    fs, where = _folder(spark, root)
+    return [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(where)]
 
 
 def latest_dataset(spark: SparkSession, root: str, schema: StructType | str,
@@ -107,15 +124,13 @@ def latest_dataset(spark: SparkSession, root: str, schema: StructType | str,
     """Rows of the lexicographically last data set under ``root`` whose
     name contains ``contains`` and ends with ``suffix``.
 
-    One small job picks the name from the file listing (only one name and
-    path reach the driver); then only that data set is scanned.
+    The name is picked from the folder's own listing; then only that data
+    set is scanned.
     """
-    names = dataset_names(spark, root)
-    wanted = names.where(F.col("dataset").contains(contains) & F.col("dataset").endswith(suffix))
-    newest = wanted.orderBy(F.desc("dataset")).select("path").first()
-    if newest is None:
+    wanted = [n for n in dataset_names(spark, root) if contains in n[0] and n[0].endswith(suffix)]
+    if not wanted:
         raise FileNotFoundError(f"no data set matching {contains!r}*{suffix} under {root}")
-    return read_csv(spark, newest["path"], schema=schema)
+    return read_csv(spark, max(wanted)[1], schema=schema)
 
 
 def run_id(now: _dt.datetime | None = None) -> str:

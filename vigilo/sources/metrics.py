@@ -4,8 +4,11 @@
   type, day), ordered by (ts, event_id) -- it resets every day;
 * gauge ``events_value``: the raw ``value``.
 
-Labels: ``pod = 'pod-' || user_id``, ``namespace = phase = event_type``.
-The running sum is computed per (series, day) by key-range buckets
+* counters ``cpu_seconds_total`` and ``transmit_bytes_total``, gauge
+  ``memory_bytes``: the same numbers in the units of their panels.
+
+Labels: ``pod = 'pod-' || user_id``, ``namespace = event_type``, ``phase``
+by event type, ``container`` is ``POD`` for every fifth user.  The running sum is computed per (series, day) by key-range buckets
 (:func:`vigilo.operators.split.running_total`), so no task holds a whole
 series-day.
 """
@@ -23,25 +26,29 @@ COUNTER = "requests_total"
 GAUGE = "events_value"
 
 
+CPU, TRANSMIT, MEMORY = "cpu_seconds_total", "transmit_bytes_total", "memory_bytes"
+SCALE = {COUNTER: 1, GAUGE: 1, CPU: 500, TRANSMIT: 2, MEMORY: 10_000_000}
+PHASES = {"view": "Running", "click": "Pending", "error": "Failed", "purchase": "Succeeded"}
+
+
 def _labels():
+    phase = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in PHASES.items()], F.lit("Unknown"))
     return F.create_map(F.lit("pod"), F.concat(F.lit("pod-"), F.col("user_id").cast("string")),
                         F.lit("namespace"), F.col("event_type"),
-                        F.lit("phase"), F.col("event_type"))
+                        F.lit("phase"), phase,
+                        F.lit("container"), F.when(F.col("user_id") % 5 == 0, "POD").otherwise("app"))
 
 
-def metric_samples(spark: SparkSession, sf_dir: str, kind: str = "counter") -> DataFrame:
+def metric_samples(spark: SparkSession, sf_dir: str, name: str = COUNTER) -> DataFrame:
     events = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type",
                                                   "value"])
-    if kind == "counter":
+    value = F.col("value")
+    if name in (COUNTER, CPU, TRANSMIT):
         # Running sum per (user, type, day), computed by key-range buckets so
         # one busy series-day is still spread over many tasks.
         events = running_total(
             events.withColumn("day", F.to_date("ts")).withColumn("t_us", epoch_micros(F.col("ts"))),
             ["user_id", "event_type", "day"], ["t_us", "event_id"], F.col("value"), "counter")
-        value, name = F.col("counter"), COUNTER
-    elif kind == "gauge":
-        value, name = F.col("value"), GAUGE
-    else:
-        raise ValueError(kind)
+        value = F.col("counter")
     return events.select(F.lit(name).alias("metric"), _labels().alias("labels"),
-                         F.col("ts"), value.alias("value"))
+                         F.col("ts"), (value * SCALE[name]).alias("value"))
