@@ -16,9 +16,9 @@ Deciding: per language, the popcount over a text's n-grams divided by their
 number, corrected for the filter's false positives, ``(hits - f) / (1 - f)``
 with ``f = fill^HASHES``; the largest wins, the score is its part of the sum.
 
-The model is of fixed size (``HASHES * 2^FILTER_BITS`` integers for every 63
-languages), so it may be broadcast at any input size; the learned languages
-are the distinct labels.
+The filters are of fixed size (``HASHES * 2^FILTER_BITS`` integers for every 63
+languages).  What is broadcast is their answer for every n-gram cell, ``2^BITS``
+masks, at any input size; the learned languages are the distinct labels.
 
 Null texts and texts without a letter get ``und`` with score 0.  With letters
 but no n-gram known, the language with most training n-grams is returned with
@@ -148,6 +148,16 @@ class Filters:
         at = self.places(np.arange(1 << BITS))
         return np.stack([np.bitwise_and.reduce([s[h][at[h]] for h in range(HASHES)]) for s in self.slices])
 
+    def decider(self) -> Decider:
+        return Decider(self.names, self.fallback, self.false, self.tables())
+
+
+class Decider:
+    """What tasks need of the filters: their answer for every n-gram cell."""
+
+    def __init__(self, names: list[str], fallback: str, false: np.ndarray, tables: np.ndarray):
+        self.names, self.fallback, self.false, self.tables = names, fallback, false, tables
+
     def hits(self, masks: np.ndarray) -> np.ndarray:
         """Per language, how many of the n-gram masks have its bit."""
         out = np.zeros(len(self.names), dtype=np.int64)
@@ -156,13 +166,13 @@ class Filters:
                 out[i] = np.count_nonzero(mask & np.int64(1 << i % PER_MASK))
         return out
 
-    def decide(self, text: str | None, tables: np.ndarray) -> tuple[str, float]:
+    def decide(self, text: str | None) -> tuple[str, float]:
         if not text or not self.names:
             return UNKNOWN, 0.0
         n, hits = 0, np.zeros(len(self.names), dtype=np.int64)
         for c in cells(text):
             n += len(c)
-            hits += self.hits(tables[:, c])
+            hits += self.hits(self.tables[:, c])
         if not n:
             return UNKNOWN, 0.0
         rate = hits / n
@@ -187,13 +197,10 @@ def fit(df: DataFrame, lang: str = "lang", text: str = "text") -> Filters:
 
 def label(df: DataFrame, model: Filters, text: str = "text", lang: str = "lang", score: str = "score") -> DataFrame:
     """``df`` with the predicted language and its score in two columns."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    made = []
+    sent = df.sparkSession.sparkContext.broadcast(model.decider())
 
     def run(texts: list) -> dict[str, list]:
-        if not made:
-            made.append(sent.value.tables())
-        found = [sent.value.decide(t, made[0]) for t in texts]
+        found = [sent.value.decide(t) for t in texts]
         return {lang: [f[0] for f in found], score: [f[1] for f in found]}
 
     return with_columns(df, text, run, f"{lang} string, {score} double")
