@@ -111,32 +111,36 @@ def _kept(kind: Kind, match: Column, gaps: Column, i: Column) -> Column:
     return F.when(kind.check(match), _score(kind, F.get(gaps, i), F.get(gaps, i + 1)) >= KEEP).otherwise(False)
 
 
-def _blocks(kind: Kind, found: Column, gaps: Column) -> Column:
-    """Lengths, verdict and score of each match, in blocks with their total length."""
-    each = F.transform(found, lambda m, i: F.struct(
+def _judged(kind: Kind, found: Column, gaps: Column) -> Column:
+    """Lengths, verdict and score of each match."""
+    return F.transform(found, lambda m, i: F.struct(
         F.length(F.get(gaps, i)).cast("long").alias("lead"), F.length(m).cast("long").alias("size"),
         _kept(kind, m, gaps, i).alias("kept"), _score(kind, F.get(gaps, i), F.get(gaps, i + 1)).alias("score")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")),
-                         lambda b: F.slice(each, b * BLOCK + 1, BLOCK))
-    return F.transform(blocks, lambda b: F.struct(
-        F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x.lead + x.size).alias("size"), b.alias("each")))
 
 
-def _placed(kind: Kind, blocks: Column) -> Column:
-    """Kept spans of one kind: each block counts on from the lengths before it."""
-    none = F.array().cast(SPANS)
-    starts = F.aggregate(blocks, F.array(F.lit(0).cast("long")),
-                         lambda a, b: F.array_append(a, F.element_at(a, -1) + b.size))
+def _blocks(each: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(each) - 1) / BLOCK).cast("int")),
+                       lambda b: F.slice(each, b * BLOCK + 1, BLOCK))
+
+
+def _starts(blocks: Column) -> Column:
+    """Where each block begins: the lengths of those before it."""
+    size = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x.lead + x.size)
+    return F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda a, b: F.array_append(a, F.element_at(a, -1) + size(b)))
+
+
+def _placed(kind: Kind, blocks: Column, starts: Column) -> Column:
+    """Kept spans of one kind: each block counts on from where it begins."""
+    shape = f"struct<at:bigint,out:{SPANS}>"
 
     def step(acc: Column, x: Column) -> Column:
         start, end = acc.at + x.lead, acc.at + x.lead + x.size
         span = F.array(F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), x.score.alias("score"))).cast(SPANS)
-        return F.struct(end.alias("at"), F.when(x.kept, F.concat(acc.out, span)).otherwise(acc.out).alias("out"))
+        return F.struct(end.alias("at"), F.when(x.kept, F.concat(acc.out, span)).otherwise(acc.out).alias("out")).cast(shape)
 
     def block(b: Column, i: Column) -> Column:
-        first = F.struct(F.get(starts, i).alias("at"), none.alias("out"))
-        return F.aggregate(b.each, first.cast("struct<at:bigint,out:" + SPANS + ">"),
-                           lambda acc, x: step(acc, x).cast("struct<at:bigint,out:" + SPANS + ">"), lambda acc: acc.out)
+        first = F.struct(F.get(starts, i).alias("at"), F.array().cast(SPANS).alias("out")).cast(shape)
+        return F.aggregate(b, first, step, lambda acc: acc.out)
 
     return F.flatten(F.transform(blocks, block))
 
@@ -147,9 +151,16 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = rows.withColumns({f"m_{k.name}": _matches(k, F.col("text")) for k in KINDS})
     # Only texts with a match that passes its check are cut into pieces.
     rows = rows.withColumns({f"g_{k.name}": F.when(F.exists(f"m_{k.name}", k.check), _gaps(k, F.col("text"))) for k in KINDS})
-    rows = rows.withColumns({f"b_{k.name}": F.when(F.col(f"g_{k.name}").isNotNull(), _blocks(k, F.col(f"m_{k.name}"), F.col(f"g_{k.name}"))) for k in KINDS})
+    # One projection for each step: what a lambda uses again and again is a column.
+    for made, of, fn in (("e", ("m", "g"), None), ("b", ("e",), _blocks), ("s", ("b",), _starts), ("p", ("b", "s"), None)):
+        new = {}
+        for k in KINDS:
+            args = [F.col(f"{x}_{k.name}") for x in of]
+            value = fn(*args) if fn else (_judged if made == "e" else _placed)(k, *args)
+            new[f"{made}_{k.name}"] = F.when(F.col(f"g_{k.name}").isNotNull(), value)
+        rows = rows.withColumns(new)
     none = F.array().cast(SPANS)
-    parts = [F.when(F.col(f"b_{k.name}").isNotNull(), _placed(k, F.col(f"b_{k.name}"))).otherwise(none) for k in KINDS]
+    parts = [F.coalesce(F.col(f"p_{k.name}"), none) for k in KINDS]
     return rows.select("key", F.concat(*parts).alias("spans"))
 
 
