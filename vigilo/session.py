@@ -119,14 +119,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SCRATCH: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder.
 
     Used for sinks, stream checkpoints and round-trip checks, so that every
-    executor (and a restarted driver) can see what was written.
+    executor (and a restarted driver) can see what was written.  The
+    application's own scratch folder is deleted when its driver ends.
     """
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/vigilo/{name}-{uuid.uuid4().hex[:12]}"
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vigilo/{spark.sparkContext.applicationId}"
+    if base not in _SCRATCH:
+        where = spark._jvm.org.apache.hadoop.fs.Path(base)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        _SCRATCH.add(base)
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def table_path(sf_dir: str, name: str) -> str:
