@@ -162,4 +162,4 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
 
 def op2(spark, sf_dir: str) -> DataFrame:
     """``op2_quality``: counts and verdict for every document."""
-    return judge(documents(spark, sf_dir)).withColumnRenamed("key", "doc_id").drop("n_covered")
+    return judge(documents(spark, sf_dir)).withColumnRenamed("key", "doc_id").drop("n_covered", "longest_repeat")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilo.llm import bpe, decontaminate, html_text, langid, lm_score, pii, quality, simhash, suffix_dedup, token_file
+from vigilo.llm import bpe, decontaminate, html_text, langid, lm_score, oracle, pii, quality, simhash, suffix_dedup, token_file
 
 QUERIES = {
     "op1_lm": lm_score.op1,
@@ -17,4 +17,9 @@ QUERIES = {
     "op10_token_file": token_file.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others learn, hash or tokenize in ways that SQL has no words for.
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality": oracle.QUALITY,
+    "op4_suffix_dedup": oracle.REPEATS,
+    "op8_decontaminate": oracle.CONTAMINATION,
+}
