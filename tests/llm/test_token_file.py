@@ -82,3 +82,12 @@ def test_words_of_the_library_equal_whole_texts():
     tk = Tokenizer.from_file(bpe.default_path())
     for t, ids in zip(texts, tf.LibraryWords(bpe.default_path()).encode(texts), strict=True):
         assert ids.tolist() == tk.encode(t, add_special_tokens=False).ids, t
+
+
+def test_documents_that_two_tasks_share(spark, tmp_path):
+    """Files read in many splits: pieces meet again by their checksums."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(900))) for i in range(40)]
+    path = tf.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), bpe.default_path(), str(tmp_path / "f"))
+    again = str(tmp_path / "g")
+    spark.read.parquet(path).repartition(16, "block").write.parquet(again)
+    assert sorted(map(tuple, tf.index(spark, again).collect())) == brute(rows)

@@ -9,8 +9,8 @@ Model: the last one and two ids and the block itself (orders 1, 2 and 0) each
 predict one id, with a confidence.  For every order and confidence an adaptive
 probability tells how often it is right; the odds of equal predictions add up,
 and the mixed distribution over {order 2's id, order 1's id, order 0's id,
-another} drives a 32-bit carry-less range coder.  "Another" is followed by the
-id itself, all equally likely.  All arithmetic is on integers.
+another} drives a 64-bit carry-less range coder.  "Another" is followed by the
+id itself, all equally likely.
 
 The coder works on many blocks at once: step t codes the t-th id of each block
 of a group, as numpy operations over the blocks, in both directions.
@@ -42,15 +42,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilo.llm import bpe
-from vigilo.llm.common import documents, in_arrow, pick
+from vigilo.llm.common import documents, in_arrow, pick, written
 from vigilo.session import scratch_path
 
 END_ID = 1
 BLOCK_IDS, LANES = 1024, 4096
 SLOT_BITS, CONFIDENCE = 10, 8
 MAGIC = b"TKF1"
-_U = np.uint32
-_TOP, _BOTTOM, _SCALE = _U(1 << 24), _U(1 << 16), 14
+_W = np.uint64
+_SCALE = 14
+_SETTLED, _LEAST = _W(1 << 48), _W(1 << 32)
+#: Odds of a probability of 2^16, in steps of 2^6: what a mixed candidate weighs.
+_ODDS = np.array([max(p, 0.5) / (1024 - max(p, 0.5)) for p in range(1024)], dtype=np.float32)
 
 
 class Mixer:
@@ -59,147 +62,140 @@ class Mixer:
     def __init__(self, lanes: int):
         self.rows = np.arange(lanes, dtype=np.int64) << SLOT_BITS
         self.at_conf = np.arange(lanes, dtype=np.int64) * CONFIDENCE
-        self.slots = [np.zeros(lanes << SLOT_BITS, dtype=_U), np.zeros(lanes << SLOT_BITS, dtype=_U), np.zeros(lanes, dtype=_U)]
+        self.slots = [np.zeros(lanes << SLOT_BITS, dtype=np.uint32) for _ in range(2)] + [np.zeros(lanes, dtype=np.uint32)]
         first = np.array([(c + 1) * 6000 for c in range(CONFIDENCE)], dtype=np.int32)
         self.right = [np.tile(first, lanes) for _ in range(3)]
-        self.last, self.before = np.zeros(lanes, dtype=_U), np.zeros(lanes, dtype=_U)
+        self.last, self.before = np.zeros(lanes, dtype=np.uint32), np.zeros(lanes, dtype=np.uint32)
         self.whole = np.arange(lanes, dtype=np.int64)
 
     def predict(self) -> tuple[np.ndarray, ...]:
-        """(ids and frequencies of the three candidates, of 2^14)."""
-        one = self.last * _U(0x9E3779B1)
-        two = (one ^ self.before) * _U(0x85EBCA6B)
-        shift = _U(32 - SLOT_BITS)
-        self.places = [self.rows + (two >> shift), self.rows + (one >> shift), self.whole]
+        """(ids of the three candidates; where the shares of 2^14 end of the
+        first, the first two and all three).  A candidate that repeats another
+        adds to that one's share and has none itself."""
+        one = self.last * np.uint32(0x9E3779B1)
+        two = (one ^ self.before) * np.uint32(0x85EBCA6B)
+        self.places = [self.rows + (two >> np.uint32(32 - SLOT_BITS)), self.rows + (one >> np.uint32(32 - SLOT_BITS)), self.whole]
         self.found = [s[p] for s, p in zip(self.slots, self.places, strict=True)]
-        self.ids = [f >> _U(3) for f in self.found]
-        self.conf = [f & _U(7) for f in self.found]
+        self.ids = [f >> np.uint32(3) for f in self.found]
+        self.conf = [f & np.uint32(7) for f in self.found]
         self.prob_at = [self.at_conf + c for c in self.conf]
         self.prob = [r[p] for r, p in zip(self.right, self.prob_at, strict=True)]
-        odds = [((p << 6) // (65536 - p) + 1).astype(_U) for p in self.prob]
+        o2, o1, o0 = (_ODDS[p >> 6] for p in self.prob)
         p2, p1, p0 = self.ids
-        o2, o1, o0 = odds
-        same = p1 == p2
-        o2 = o2 + o1 * same
-        o1 = o1 * ~same
-        same2, same1 = p0 == p2, p0 == p1
-        o2 += o0 * same2
-        same1 &= ~same2
-        o1 += o0 * same1
+        same, same2, same1 = p1 == p2, p0 == p2, p0 == p1
+        o2 = o2 + o1 * same + o0 * same2
+        o1 = o1 * ~same + o0 * (same1 > same2)
         o0 = o0 * ~(same1 | same2)
-        total = o2 + o1 + o0 + _U(64)
-        return p2, p1, p0, (o2 << _U(_SCALE)) // total, (o1 << _U(_SCALE)) // total, (o0 << _U(_SCALE)) // total
+        # Single-precision sums and quotients are the same on every machine.
+        unit = np.float32((1 << _SCALE) - 1) / (o2 + o1 + o0 + np.float32(1))
+        f2, f1, f0 = ((o * unit).astype(np.uint32) for o in (o2, o1, o0))
+        c1 = f2 + f1
+        return p2, p1, p0, f2, c1, c1 + f0
 
     def update(self, ids: np.ndarray) -> None:
         for k in range(3):
             hit = ids == self.ids[k]
             p = self.prob[k]
-            p = p + ((hit * np.int32(65536) - p) >> 5)
-            self.right[k][self.prob_at[k]] = np.clip(p, 64, 65472)
+            self.right[k][self.prob_at[k]] = p + (((hit << np.int32(16)) - p) >> 5)
             conf = self.conf[k]
-            missed = np.where(conf > 0, self.ids[k] << _U(3) | conf >> _U(1), ids << _U(3))
+            missed = np.where(conf > 0, self.ids[k] << np.uint32(3) | conf >> np.uint32(1), ids << np.uint32(3))
             self.slots[k][self.places[k]] = np.where(hit, self.found[k] + (conf < 7), missed)
         self.before, self.last = self.last, ids
 
 
+class Lanes:
+    """The interval of each lane: 64-bit ``low`` and ``wide``, at least 2^32 wide
+    before each id, so an id's share and the id itself fit without a step
+    between.  Settled leading 16-bit words leave at the top."""
+
+    def __init__(self, lanes: int):
+        self.low, self.wide = np.zeros(lanes, dtype=_W), np.full(lanes, (1 << 64) - 1, dtype=_W)
+
+    def narrow(self, start: np.ndarray, size: np.ndarray, other: np.ndarray) -> None:
+        """To a share of 2^14; the last candidate's end to the top for others."""
+        unit = self.wide >> _W(_SCALE)
+        step = unit * start
+        self.low += step
+        self.wide = np.where(other, self.wide - step, unit * size)
+
+    def words(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(lanes, their settled words) until all are wide enough."""
+        low, wide = self.low, self.wide
+        rows = np.nonzero(((low ^ (low + wide)) < _SETTLED) | (wide < _LEAST))[0]
+        while len(rows):
+            l, w = low[rows], wide[rows]
+            # Narrow and unsettled: cut at the next boundary instead of carrying.
+            w = np.where((l ^ (l + w)) < _SETTLED, w, (~l + _W(1)) & (_LEAST - _W(1)))
+            yield rows, l >> _W(48)
+            l, w = l << _W(16), w << _W(16)
+            low[rows], wide[rows] = l, w
+            rows = rows[((l ^ (l + w)) < _SETTLED) | (w < _LEAST)]
+
+
 def code(ids: np.ndarray, lengths: np.ndarray, bound: int) -> list[bytes]:
     """Coded bytes of each row of ``ids`` [lanes, steps]; only the first
     ``lengths`` ids of a row matter.  Ids are below ``bound``."""
     lanes, steps = ids.shape
-    mixer = Mixer(lanes)
-    low, wide = np.zeros(lanes, dtype=_U), np.full(lanes, 0xFFFFFFFF, dtype=_U)
-    out, size = np.zeros((lanes, 5 * steps + 16), dtype=np.uint8), np.zeros(lanes, dtype=np.int64)
+    mixer, interval = Mixer(lanes), Lanes(lanes)
+    out, size = np.zeros((lanes, 2 * steps + 16), dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
     ends = np.zeros(lanes, dtype=np.int64)
-    columns = np.ascontiguousarray(ids.T).astype(_U)
-
-    def shift(rows: np.ndarray) -> None:
-        while len(rows):
-            l, w = low[rows], wide[rows]
-            settled = (l ^ (l + w)) < _TOP
-            need = settled | (w < _BOTTOM)
-            rows, l, w, settled = rows[need], l[need], w[need], settled[need]
-            w = np.where(settled, w, (~l + _U(1)) & (_BOTTOM - _U(1)))
-            out[rows, size[rows]] = l >> _U(24)
-            size[rows] += 1
-            low[rows], wide[rows] = l << _U(8), w << _U(8)
-
-    every = mixer.whole
+    columns = np.ascontiguousarray(ids.T).astype(np.uint32)
     for t in range(steps):
         x = columns[t]
-        p2, p1, p0, f2, f1, f0 = mixer.predict()
-        is2 = (x == p2) & (f2 > 0)
-        is1 = (x == p1) & (f1 > 0) & ~is2
-        is0 = (x == p0) & (f0 > 0) & ~is2 & ~is1
-        other = ~(is2 | is1 | is0)
-        start = (f2 * ~is2) + (f1 * (is0 | other)) + f0 * other
-        unit = wide >> _U(_SCALE)
-        step = unit * start
-        low += step
-        wide = np.where(other, wide - step, unit * (f2 * is2 + f1 * is1 + f0 * is0))
-        shift(every)
+        p2, p1, p0, c2, c1, c0 = mixer.predict()
+        # 0, 1, 2: the candidate with a share that is the id; 3: another id.
+        which = np.where((x == p2) & (c2 > 0), 0, np.where((x == p1) & (c1 > c2), 1, np.where((x == p0) & (c0 > c1), 2, 3)))
+        start = np.choose(which, (0, c2, c1, c0)).astype(_W)
+        other = which == 3
+        interval.narrow(start, np.choose(which, (c2, c1, c0, 0)).astype(_W) - start, other)
         rows = np.nonzero(other)[0]
-        unit = wide[rows] // _U(bound)
-        low[rows] += unit * x[rows]
-        wide[rows] = unit
-        shift(rows)
+        unit = interval.wide[rows] // _W(bound)
+        interval.low[rows] += unit * x[rows]
+        interval.wide[rows] = unit
+        for rows, word in interval.words():
+            out[rows, size[rows]] = word
+            size[rows] += 1
         done = lengths == t + 1
-        if done.any():
+        if done.any():  # what a finished lane goes on to write is past its end
             rows = np.nonzero(done)[0]
             for k in range(4):
-                out[rows, size[rows] + k] = low[rows] >> _U(24 - 8 * k) & _U(255)
-            ends[rows] = size[rows] + 4
-            # What a finished lane goes on to write is past its end.
+                out[rows, size[rows] + k] = interval.low[rows] >> _W(48 - 16 * k) & _W(0xFFFF)
             size[rows] += 4
+            ends[rows] = size[rows]
         mixer.update(x)
-    return [out[i, :e].tobytes() for i, e in enumerate(ends.tolist())]
+    return [out[i, :e].astype("<u2").tobytes() for i, e in enumerate(ends.tolist())]
 
 
 def decode(coded: list[bytes], lengths: np.ndarray, bound: int) -> np.ndarray:
     """The ids [lanes, steps] that ``code`` was given."""
     lanes, steps = len(coded), int(lengths.max()) if len(coded) else 0
-    mixer = Mixer(lanes)
-    room = max(map(len, coded), default=0) + 5 * 64
-    data = np.zeros((lanes, room), dtype=np.uint8)
+    mixer, interval = Mixer(lanes), Lanes(lanes)
+    room = max(map(len, coded), default=0) // 2 + 4
+    data = np.zeros((lanes, room), dtype=np.uint16)
     for i, c in enumerate(coded):
-        data[i, :len(c)] = np.frombuffer(c, dtype=np.uint8)
-    low, wide = np.zeros(lanes, dtype=_U), np.full(lanes, 0xFFFFFFFF, dtype=_U)
-    value = (data[:, 0].astype(_U) << _U(24)) | (data[:, 1].astype(_U) << _U(16)) | (data[:, 2].astype(_U) << _U(8)) | data[:, 3]
+        data[i, :len(c) // 2] = np.frombuffer(c, dtype="<u2")
+    value = np.zeros(lanes, dtype=_W)
+    for k in range(4):
+        value = value << _W(16) | data[:, k]
     at = np.full(lanes, 4, dtype=np.int64)
-    out = np.zeros((steps, lanes), dtype=_U)
-
-    def shift(rows: np.ndarray) -> None:
-        while len(rows):
-            l, w = low[rows], wide[rows]
-            settled = (l ^ (l + w)) < _TOP
-            need = settled | (w < _BOTTOM)
-            rows, l, w, settled = rows[need], l[need], w[need], settled[need]
-            w = np.where(settled, w, (~l + _U(1)) & (_BOTTOM - _U(1)))
-            value[rows] = value[rows] << _U(8) | data[rows, np.minimum(at[rows], room - 1)]
-            at[rows] += 1
-            low[rows], wide[rows] = l << _U(8), w << _U(8)
-
-    every = mixer.whole
+    out = np.zeros((steps, lanes), dtype=np.uint32)
     for t in range(steps):
-        p2, p1, p0, f2, f1, f0 = mixer.predict()
-        unit = wide >> _U(_SCALE)
-        v = (value - low) // unit
-        c1, c0 = f2 + f1, f2 + f1 + f0
-        is2, other = v < f2, v >= c0
-        is1 = (v < c1) & ~is2
-        is0 = ~(is2 | is1 | other)
-        start = (f2 * ~is2) + (f1 * (is0 | other)) + f0 * other
-        step = unit * start
-        low += step
-        wide = np.where(other, wide - step, unit * (f2 * is2 + f1 * is1 + f0 * is0))
-        shift(every)
-        x = np.where(is2, p2, np.where(is1, p1, p0))
+        p2, p1, p0, c2, c1, c0 = mixer.predict()
+        v = (value - interval.low) // (interval.wide >> _W(_SCALE))
+        which = (v >= c2).astype(np.int8) + (v >= c1) + (v >= c0)
+        start = np.choose(which, (0, c2, c1, c0)).astype(_W)
+        other = which == 3
+        interval.narrow(start, np.choose(which, (c2, c1, c0, 0)).astype(_W) - start, other)
+        x = np.choose(which, (p2, p1, p0, 0)).astype(np.uint32)
         rows = np.nonzero(other)[0]
-        unit = wide[rows] // _U(bound)
-        own = np.minimum((value[rows] - low[rows]) // unit, _U(bound - 1))
+        unit = interval.wide[rows] // _W(bound)
+        own = np.minimum((value[rows] - interval.low[rows]) // unit, _W(bound - 1))
         x[rows] = own
-        low[rows] += unit * own
-        wide[rows] = unit
-        shift(rows)
+        interval.low[rows] += unit * own
+        interval.wide[rows] = unit
+        for rows, _ in interval.words():
+            value[rows] = value[rows] << _W(16) | data[rows, np.minimum(at[rows], room - 1)]
+            at[rows] += 1
         out[t] = x
         mixer.update(x)
     return out.T
@@ -289,7 +285,7 @@ class Blocks:
         while len(self.full) >= self.lanes or last and self.full:
             group, self.full = self.full[:self.lanes], self.full[self.lanes:]
             lengths = np.array([len(x) for _, x in group])
-            ids = np.zeros((len(group), lengths.max()), dtype=_U)
+            ids = np.zeros((len(group), lengths.max()), dtype=np.uint32)
             for i, (_, x) in enumerate(group):
                 ids[i, :len(x)] = x
             coded = code(ids, lengths, self.bound)
@@ -389,24 +385,59 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int
     yield from out()
 
 
+class Runs:
+    """Joins the pieces of documents that follow each other in one task."""
+
+    def __init__(self):
+        self.open: tuple | None = None
+        self.done: list[tuple] = []
+
+    def add(self, row: tuple[int, int], docs: np.ndarray, ids: np.ndarray) -> None:
+        raw = ids.astype("<u4")
+        part, block = row
+        at = 0
+        for key, flags, ordinal, piece, n in docs.tolist():
+            data = raw[at:at + n].tobytes()
+            last = bool(flags & LAST_PIECE)
+            o = self.open
+            if o and (o[0], o[4], o[9] + 1) == (part, ordinal, piece):
+                self.open = (*o[:6], last, o[7] + n, zlib.crc32(data, o[8]), piece)
+            else:
+                self.close()
+                self.open = (part, block, at, None if flags & NO_KEY else key, ordinal, piece, last, n, zlib.crc32(data), piece)
+            if last:
+                self.close()
+            at += n
+
+    def close(self) -> None:
+        if self.open:
+            self.done.append(self.open[:9])
+            self.open = None
+
+    def rows(self) -> pa.RecordBatch:
+        names = ["part", "block", "at", "key", "ordinal", "piece", "last", "n", "crc"]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+        cols = list(zip(*self.done, strict=True)) if self.done else [[]] * len(names)
+        self.done = []
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+
 def index(spark, path: str) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every document, from the files alone."""
     files = spark.read.parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs()
         for row, docs, ids in _decoded(batches):
-            ends = np.cumsum([0, *docs["ids"].tolist()])
-            raw = ids.astype("<u4")
-            n = len(docs)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([row[0]] * n, pa.int32()), pa.array([row[1]] * n, pa.int32()), pa.array(ends[:-1], pa.int64()), _keys(docs),
-                pa.array(docs["ordinal"].astype(np.int64)), pa.array(docs["piece"].astype(np.int64)), pa.array((docs["flags"] & LAST_PIECE) > 0),
-                pa.array(docs["ids"].astype(np.int64)),
-                pa.array([zlib.crc32(raw[s:e].tobytes()) for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.int64())],
-                ["part", "block", "at", "key", "ordinal", "piece", "last", "n", "crc"])
-
-    pieces = in_arrow(files.select("part", "block", "payload"), run,
-                      "part int, block int, at long, key long, ordinal long, piece long, last boolean, n long, crc long")
+            runs.add(row, docs, ids)
+            if len(runs.done) >= 8192:
+                yield runs.rows()
+        runs.close()
+        yield runs.rows()
+
+    # Written, as it is read twice: whole documents and the few that two tasks share.
+    found = written(in_arrow(files.select("part", "block", "payload"), run,
+                             "part int, block int, at long, key long, ordinal long, piece long, last boolean, n long, crc long"), "token-index")
     sizes = files.select("part", "block", "n_ids")
     before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     # One row per part: their running sum is a small window.
@@ -414,7 +445,7 @@ def index(spark, path: str) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lead"))
     starts = sizes.withColumn("before", F.coalesce(before, F.lit(0))).join(parts, "part") \
         .select("part", "block", (F.col("lead") + F.col("before")).alias("lead"))
-    placed = pieces.join(starts, ["part", "block"]).select("part", "ordinal", "piece", "last", "key", (F.col("lead") + F.col("at")).alias("start"), "n", "crc")
+    placed = found.join(starts, ["part", "block"]).select("part", "ordinal", "piece", "last", "key", (F.col("lead") + F.col("at")).alias("start"), "n", "crc")
     whole = placed.filter("piece = 0 and last").select("key", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
