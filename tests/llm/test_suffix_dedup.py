@@ -37,7 +37,7 @@ def test_documents(spark):
     check(spark, [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()])
 
 
-def test_overlaps_of_random_pieces(spark, monkeypatch):
+def test_overlaps_of_random_pieces(spark):
     rnd = random.Random(2)
     base = "".join(rnd.choice("abcdé ") for _ in range(3000))
     low = "".join(rnd.choice("ab") for _ in range(4000))  # many equal prefixes in different blocks
@@ -52,9 +52,7 @@ def test_overlaps_of_random_pieces(spark, monkeypatch):
         rows.append((rnd.randrange(90), "".join(parts)))
     check(spark, rows)
     check(spark, rows, length=30, prefix=6)
-    for name, value in (("PIECE", 150), ("CHUNK", 2000)):
-        monkeypatch.setattr(sd, name, value)
-    check(spark, rows)
+    check(spark, rows, piece_bytes=150, chunk_bytes=2000, bucket_bytes=1500)
 
 
 def test_edges_and_periodic_texts(spark):

@@ -260,7 +260,7 @@ def _span_rows(keys: np.ndarray, marks: np.ndarray, doc: np.ndarray, start: np.n
     return out
 
 
-def _round_one(batches: Iterator[pa.RecordBatch], n: int, length: int, prefix: int) -> Iterator[pa.RecordBatch]:
+def _round_one(batches: Iterator[pa.RecordBatch], n: int, length: int, prefix: int, piece_bytes: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     """What a task decides on its own, and its distinct blocks by prefix bucket."""
     keys, marks, found, held = [], [], [], 0
 
@@ -296,15 +296,15 @@ def _round_one(batches: Iterator[pa.RecordBatch], n: int, length: int, prefix: i
                 continue
             keys.append(NULL_KEY if key is None else key)
             marks.append(_mark(raw))
-            for s in range(0, len(raw) - length + 1, PIECE):  # pieces share length - 1 bytes: no string is lost
-                piece = raw[s:s + PIECE + length - 1]
+            for s in range(0, len(raw) - length + 1, piece_bytes):  # pieces share length - 1 bytes: no string is lost
+                piece = raw[s:s + piece_bytes + length - 1]
                 wait.append((len(keys) - 1, s, piece))
                 size += len(piece)
                 held += len(piece)
-                if size >= PIECE:
+                if size >= piece_bytes:
                     gather(wait)
                     wait, size = [], 0
-            if held >= CHUNK:
+            if held >= chunk_bytes:
                 if wait:
                     gather(wait)
                     wait, size = [], 0
@@ -491,7 +491,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, prefix: int = PREFIX,
-                   bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                   bucket_bytes: int = BUCKET_BYTES, piece_bytes: int = PIECE, chunk_bytes: int = CHUNK) -> DataFrame:
     """(key, n_bytes, spans, kept): per input row its size, the removed byte
     spans [start, end) as a flat list, and the bytes that stay."""
     assert length - 255 < prefix < length
@@ -503,7 +503,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     def in_buckets(some: DataFrame) -> DataFrame:
         return some.repartition(n, "bucket").sortWithinPartitions("bucket")
 
-    blocks = in_arrow(rows, lambda it: _round_one(it, n, length, prefix), _SCHEMA)
+    blocks = in_arrow(rows, lambda it: _round_one(it, n, length, prefix, piece_bytes, chunk_bytes), _SCHEMA)
     judged = written(in_arrow(in_buckets(blocks), lambda it: _judge(it, n, length), _SCHEMA), "repeats-judged")
     texts = in_arrow(rows, _packed_texts, "key long, mark long, no_key boolean, zipped binary")
     per_document = "key long, mark long, list binary"
