@@ -23,12 +23,12 @@ rows get equal scores.  Without any token the untrained start is used.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ VOCABULARY = CLASSES * PER_CLASS
 KNOWN = 640
 BATCH, SCORED, RATE = 1 << 13, 1 << 15, 0.15
 START_DOCS, START_CHARS = 300, 20000
-COUNTED = 1 << 18
+COUNTED, REMEMBERED = 1 << 19, 1 << 18
 BLOCK = 4096
 PIECE = 1 << 17
 
@@ -81,23 +81,24 @@ def vocabulary(df: DataFrame, text: str = "text", known: int = KNOWN) -> dict[st
     return {r["word"]: i + 1 for i, r in enumerate(top)}
 
 
-class Words:
-    """Word ids of texts, remembering hashed words up to a bound."""
+class Words(dict):
+    """Word ids; a word without an id of its own gets that of its hash bucket,
+    remembered up to a bound."""
 
     def __init__(self, known: dict[str, int]):
-        self.first = len(known) + 1
-        self.known, self.ids = known, dict(known)
+        super().__init__(known)
+        self.known, self.first = known, len(known) + 1
 
-    def place(self, word: str) -> int:
-        i = self.first + xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % (VOCABULARY - self.first)
-        self.ids[word] = i
+    def __missing__(self, word: str) -> int:
+        i = self.first + zlib.crc32(word.encode("utf-8", "surrogatepass")) % (VOCABULARY - self.first)
+        self[word] = i
         return i
 
     def of(self, text: str | None) -> list[int]:
-        if len(self.ids) > COUNTED:
-            self.ids = dict(self.known)
-        get, place = self.ids.get, self.place
-        return [i if (i := get(w)) is not None else place(w) for w in tokens(text)]
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.update(self.known)
+        return list(map(self.__getitem__, tokens(text)))
 
 
 def pieces(words: Words, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
