@@ -34,7 +34,7 @@ def test_long_word_tree_equals_lanes():
 
 
 def test_cache_overflow(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe.Encoder, "remembered", 3)
     tk = Tokenizer.from_file(bpe.default_path())
     enc = bpe.Encoder(bpe.default_path())
     for t in ("alpha beta gamma delta", "epsilon alpha", "beta zeta eta theta alpha"):

@@ -56,6 +56,7 @@ class Vocabulary:
             spec = json.load(f)
         model = spec["model"]
         ids, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        self.suffix = suffix
         self.tokens: list[str] = [""] * (1 + max([*ids.values(), *(t["id"] for t in spec["added_tokens"])]))
         for token, i in ids.items():
             self.tokens[i] = token
@@ -198,6 +199,8 @@ class Vocabulary:
 class Encoder:
     """Encodes texts; the ids of words met before are remembered up to a bound."""
 
+    remembered = CACHE
+
     def __init__(self, path: str):
         self.vocabulary = v = Vocabulary(path)
         self.added = {token: np.int32(i).tobytes() for token, i in v.added.items()}
@@ -226,7 +229,7 @@ class Encoder:
         """The ids of each text."""
         cut = [self.words(t) for t in texts]
         new = set().union(*cut)
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) + len(new) > self.remembered:
             new -= self.added.keys()
             self.known = dict(self.added)
         else:

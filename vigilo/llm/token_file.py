@@ -223,7 +223,10 @@ def opened(value: bytes) -> tuple[np.ndarray, bytes, int]:
 
 
 class LibraryWords(bpe.Encoder):
-    """Encodes whole texts; words not met before go to the tokenizers library."""
+    """Encodes whole texts; words not met before go to the tokenizers library,
+    many in one call: the end-of-word suffix tells where each one's ids end."""
+
+    remembered = 1 << 20
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -232,15 +235,23 @@ class LibraryWords(bpe.Encoder):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        suffix = self.vocabulary.suffix
+        self.last = np.array([bool(suffix) and t.endswith(suffix) for t in self.vocabulary.tokens])
         self.merge = self._ask
 
     def _ask(self, words) -> dict[str, bytes]:
         words = list(words)
         out: dict[str, bytes] = {}
-        for s in range(0, len(words), 4096):
-            part = words[s:s + 4096]
-            found = self.library.encode_batch_fast(part, add_special_tokens=False)
-            out.update((w, np.array(f.ids, dtype=np.int32).tobytes()) for w, f in zip(part, found, strict=True))
+        for s in range(0, len(words), 1024):
+            part = words[s:s + 1024]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            ends = 4 * (np.nonzero(self.last[ids])[0] + 1)
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                out.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+            else:  # a vocabulary without such a suffix
+                found = self.library.encode_batch_fast(part, add_special_tokens=False)
+                out.update((w, np.array(f.ids, dtype=np.int32).tobytes()) for w, f in zip(part, found, strict=True))
         return out
 
 
