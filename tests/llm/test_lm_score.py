@@ -75,3 +75,50 @@ def test_counts_and_empty_table(spark):
     assert sorted(map(tuple, lm.word_counts(df).collect())) == [("a", 3), ("b", 2)]
     empty = df.filter("false")
     assert lm.score(empty, lm.fit(empty)).count() == 0
+
+
+def test_words_of_a_bucket_have_probabilities_of_their_own(spark, monkeypatch):
+    """Counts broadcast, joined and absent (a word never counted) against n(word) / (n(bucket) + 1)."""
+    rng = np.random.default_rng(5)
+    docs = [(i, " ".join(f"v{min(int(x), 4000)}" for x in rng.zipf(1.3, 400))) for i in range(60)] + [(60, None), (60, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    counts, w = lm.word_counts(df), random_weights(6)
+    known = lm.vocabulary(counts, 20)
+    n, words = dict(map(tuple, counts.collect())), lm.Words(known)
+    total = np.zeros(lm.VOCABULARY)
+    for word in n.keys() - known.keys():
+        total[words[word]] += n[word]
+    own = lambda t: sum(np.log(n.get(x, 1) / (total[words[x]] + 1)) for x in lm.tokens(t) if x not in known)
+    scored = [*docs, (61, "v1 neverseen Neverseen v2 xyzzy"), (None, "v1 v39")]
+    want = sorted((str(d), brute(w, words.of(t)) + own(t)) for d, t in scored)
+    for head, rest in ((1 << 18, False), (100, True), (0, True)):
+        monkeypatch.setattr(lm, "HEAD", head)
+        s = lm.shares(counts, known, lm.VOCABULARY)
+        assert (s.rest is not None) == rest and len(s.head) <= head
+        got = sorted((str(r["key"]), r["log_prob"]) for r in lm.score(spark.createDataFrame(scored, "doc_id long, text string"), (known, w), words=s).collect())
+        assert [g[0] for g in got] == [x[0] for x in want]
+        assert np.allclose([g[1] for g in got], [x[1] for x in want], rtol=1e-4)
+    codes = lm.Codes(known, lm.VOCABULARY, s.head, s.n, s.buckets)
+    before = codes.of("v1 aa bb"), codes.met
+    codes.forget()
+    assert before == (codes.of("v1 aa bb"), ["aa", "bb"]) and len(codes) == len(known) + 2
+
+
+def test_rare_words_score_below_frequent_ones_of_their_bucket(spark):
+    """Documents that differ only in bucketed words must differ in score."""
+    same = next(f"r{i}" for i in range(10**6) if lm.Words({})[f"r{i}"] == lm.Words({})["often"])
+    df = spark.createDataFrame([(1, "often " * 99), (2, same)], "doc_id long, text string")
+    s = lm.shares(lm.word_counts(df), {}, lm.VOCABULARY)
+    got = {r["key"]: r["log_prob"] for r in lm.score(spark.createDataFrame([(1, "a often b"), (2, f"a {same} b")], "doc_id long, text string"),
+                                                     ({}, random_weights(7)), words=s).collect()}
+    assert got[1] - got[2] == pytest.approx(np.log(99))
+
+
+def test_vocabulary_grows_with_the_corpus(spark, monkeypatch):
+    assert [np.prod(lm.sizes(n)) for n in (0, 1 << 23, 1 << 24, 1 << 28, 1 << 32)] == [1024, 1024, 2048, 4096, 8192]
+    monkeypatch.setattr(lm, "LEAST", 4000)
+    known, w = lm.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(400))
+    size = w["embed"].shape[1]
+    assert size > lm.VOCABULARY and len(known) == lm.KNOWN * size // lm.VOCABULARY
+    context = np.tile([3, 9, 0, size - 1], (size, 1))
+    assert np.exp(lm.log_probabilities(w, context, np.arange(size))).sum() == pytest.approx(1, abs=1e-4)

@@ -1,12 +1,19 @@
 """Masked pseudo-likelihood of documents (operator 1).
 
-Tokens are lower-cased words.  The ``KNOWN`` most frequent words of the whole
-corpus have ids of their own, all others share hash buckets.  A network looks at
+Tokens are lower-cased words.  The most frequent words of the whole corpus have
+ids of their own in the network, all others share its hash buckets; both grow
+with the corpus (``sizes``).  A network looks at
 ``SIDE`` words on either side of a place (a boundary id stands beyond the ends),
 adds one embedding per place and word, and predicts the word in the middle:
 first its class, then the word in the class, so a prediction costs two small
-softmaxes.  A document's score is the sum of the conditional log-probabilities
-of all its tokens, each given both sides.
+softmaxes.  A word in a bucket has the bucket's probability times its part of
+it, ``n(word) / (n(bucket) + 1)`` by the counts of all words; all words never
+counted have the one left over.  A document's score is the sum of the
+conditional log-probabilities of all its tokens, each given both sides.
+
+Counts of the ``HEAD`` most frequent bucketed words (whole ranks of equal counts)
+are broadcast.  Rarer words leave the scoring tasks as rows and are joined with
+the table of counts; a word counted once adds log 1 and needs no join.
 
 Training: word counts are gathered from all documents with Spark.  From a start
 fitted to a bounded sample (``START_DOCS``), every task runs one pass of AdaGrad
@@ -14,7 +21,8 @@ over all tokens of its partition in numpy, and the weights, averaged by token
 counts, become the model: every token of the corpus is trained on once.  A
 task sends its weights in blocks, which Spark sums by block, so what is gathered
 follows the number of partitions and no task or driver holds more than one
-model.  The model itself has a fixed size and is broadcast for scoring.
+model.  The model, whose vocabulary doubles with ``GROWTH`` times the tokens, is
+broadcast for scoring.
 
 Null or empty texts have no tokens: log-probability 0, mean null.  Very long
 texts are trained on and scored in pieces that see their neighbours.  Repeated
@@ -26,18 +34,21 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import by_batch_of, documents, in_arrow, pick
+from vigilo.llm.common import by_batch_of, documents, in_arrow, pick, written
 
 SIDE, HIDDEN = 2, 16
 CLASSES, PER_CLASS = 32, 32
 VOCABULARY = CLASSES * PER_CLASS
 KNOWN = 640
+LEAST, GROWTH = 1 << 20, 16
+HEAD = 1 << 18
 BATCH, SCORED, RATE = 1 << 13, 1 << 15, 0.15
 START_DOCS, START_CHARS = 300, 20000
 COUNTED, REMEMBERED = 1 << 19, 1 << 18
@@ -45,8 +56,23 @@ BLOCK = 4096
 PIECE = 1 << 17
 
 Weights = dict[str, np.ndarray]
-SHAPES = {"embed": (2 * SIDE, VOCABULARY, HIDDEN), "shift": (HIDDEN,), "to_class": (HIDDEN, CLASSES), "class_bias": (CLASSES,),
-          "to_word": (CLASSES, HIDDEN, PER_CLASS), "word_bias": (CLASSES, PER_CLASS)}
+
+
+def sizes(n_tokens: int) -> tuple[int, int]:
+    """(classes, words in a class): the vocabulary doubles at every ``GROWTH``
+    times the tokens, so the cost of a prediction grows as their eighth root."""
+    classes, per_class, limit = CLASSES, PER_CLASS, LEAST * GROWTH
+    while n_tokens >= limit:
+        classes, per_class, limit = per_class, 2 * classes, limit * GROWTH
+    return min(classes, per_class), max(classes, per_class)
+
+
+def shapes(classes: int = CLASSES, per_class: int = PER_CLASS) -> dict[str, tuple[int, ...]]:
+    return {"embed": (2 * SIDE, classes * per_class, HIDDEN), "shift": (HIDDEN,), "to_class": (HIDDEN, classes), "class_bias": (classes,),
+            "to_word": (classes, HIDDEN, per_class), "word_bias": (classes, per_class)}
+
+
+SHAPES = shapes()
 
 
 def tokens(text: str | None) -> list[str]:
@@ -75,9 +101,9 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return in_arrow(rows, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(df: DataFrame, text: str = "text", known: int = KNOWN) -> dict[str, int]:
+def vocabulary(counts: DataFrame, known: int = KNOWN) -> dict[str, int]:
     """Ids of the most frequent words; 0 is the boundary."""
-    top = word_counts(df, text).orderBy(F.desc("n"), "word").limit(known).collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(known).collect()
     return {r["word"]: i + 1 for i, r in enumerate(top)}
 
 
@@ -85,12 +111,12 @@ class Words(dict):
     """Word ids; a word without an id of its own gets that of its hash bucket,
     remembered up to a bound."""
 
-    def __init__(self, known: dict[str, int]):
+    def __init__(self, known: dict[str, int], size: int = VOCABULARY):
         super().__init__(known)
-        self.known, self.first = known, len(known) + 1
+        self.known, self.first, self.size = known, len(known) + 1, size
 
     def __missing__(self, word: str) -> int:
-        i = self.first + zlib.crc32(word.encode("utf-8", "surrogatepass")) % (VOCABULARY - self.first)
+        i = self.first + zlib.crc32(word.encode("utf-8", "surrogatepass")) % (self.size - self.first)
         self[word] = i
         return i
 
@@ -101,7 +127,70 @@ class Words(dict):
         return list(map(self.__getitem__, tokens(text)))
 
 
-def pieces(words: Words, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+@dataclass(frozen=True)
+class Shares:
+    """Counts of the words in hash buckets."""
+    head: list[str]
+    n: np.ndarray
+    buckets: np.ndarray             # tokens in each bucket, by id
+    rest: DataFrame | None          # (word, n) of those neither in ``head`` nor counted once
+
+
+def shares(counts: DataFrame, known: dict[str, int], size: int) -> Shares:
+    """What is needed of ``word_counts`` to part the buckets of a vocabulary."""
+    first, spark = len(known) + 1, counts.sparkSession
+    own = spark.createDataFrame([(w,) for w in known], "word string")
+    others = counts.join(F.broadcast(own), "word", "left_anti")
+    at = (F.lit(first) + F.crc32(F.col("word").cast("binary")) % (size - first)).alias("at")
+    buckets = np.zeros(size)
+    for r in others.groupBy(at).agg(F.sum("n").alias("n")).collect():
+        buckets[r["at"]] = r["n"]
+    ranks = sorted(map(tuple, others.groupBy("n").agg(F.count("*")).collect()), reverse=True)
+    fit_in = [n for (n, _), total in zip(ranks, np.cumsum([c for _, c in ranks]), strict=True) if total <= HEAD]
+    low = max(2, min(fit_in, default=ranks[0][0] + 1 if ranks else 2))
+    head = others.filter(F.col("n") >= low).collect()
+    rest = others.filter((F.col("n") > 1) & (F.col("n") < low)) if any(1 < n < low for n, _ in ranks) else None
+    return Shares([r["word"] for r in head], np.array([r["n"] for r in head], dtype=np.float64), buckets, rest)
+
+
+class Codes(dict):
+    """Codes of words: ids of the network, then words of ``head``, then other
+    words as they are met, remembered up to a bound."""
+
+    def __init__(self, known: dict[str, int], size: int, head: list[str], n: np.ndarray, buckets: np.ndarray):
+        super().__init__(known)
+        self.words, self.buckets, self.fixed = Words(known, size), buckets, size + len(head)
+        self.update(zip(head, range(size, self.fixed), strict=True))
+        at = np.array([self.words.__missing__(w) for w in head], dtype=np.int32)
+        self.words.clear()
+        self.at = np.concatenate([np.arange(size, dtype=np.int32), at])
+        self.own = np.concatenate([np.zeros(size), np.log(n) - np.log1p(buckets[at])])
+        self.met: list[str] = []
+        self.met_at: list[int] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = self.fixed + len(self.met)
+        self.met.append(word)
+        self.met_at.append(self.words.__missing__(word))
+        return code
+
+    def of(self, text: str | None) -> list[int]:
+        return list(map(self.__getitem__, tokens(text)))
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """By code: (id in the network, log of the part of its bucket); a word
+        that was met counts as one, its number of occurrences is joined."""
+        met = np.array(self.met_at, dtype=np.int32)
+        return np.concatenate([self.at, met]), np.concatenate([self.own, -np.log1p(self.buckets[met])])
+
+    def forget(self) -> None:
+        for w in self.met:
+            del self[w]
+        self.met, self.met_at = [], []
+        self.words.clear()
+
+
+def pieces(words: Words | Codes, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(context ids [n, 2 * SIDE], target ids, text numbers) of all tokens, about ``PIECE`` at a time."""
     ids: list[int] = [0] * SIDE
     runs: list[tuple[int, int, int]] = []
@@ -127,13 +216,13 @@ def pieces(words: Words, texts: list[str | None]) -> Iterator[tuple[np.ndarray,
         yield cut()
 
 
-def start(seed: int = 1) -> Weights:
+def start(seed: int = 1, classes: int = CLASSES, per_class: int = PER_CLASS) -> Weights:
     rng = np.random.default_rng(seed)
     return {k: (rng.normal(scale=0.1, size=s) if k in ("embed", "to_class", "to_word") else np.zeros(s)).astype(np.float32)
-            for k, s in SHAPES.items()}
+            for k, s in shapes(classes, per_class).items()}
 
 
-_ONES = np.ones(max(CLASSES, PER_CLASS), dtype=np.float32)
+_ONES = np.ones(1 << 16, dtype=np.float32)
 
 
 def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,31 +244,32 @@ def log_probabilities(w: Weights, context: np.ndarray, target: np.ndarray) -> np
     out = np.empty(len(target))
     for s in range(0, len(target), SCORED):
         c, y = context[s:s + SCORED], target[s:s + SCORED]
-        group, order, ends = _by_class(y)
+        group, order, ends = _by_class(w, y)
         h, y = _hidden(w, c[order]), y[order]
         e, total = _exp(h @ w["to_class"] + w["class_bias"])
         p = e[np.arange(len(y)), group[order]] / total
-        for k in range(CLASSES):
+        for k in range(len(ends) - 1):
             a, b = ends[k], ends[k + 1]
             if a < b:
                 e, total = _exp(h[a:b] @ w["to_word"][k] + w["word_bias"][k])
-                p[a:b] *= e[np.arange(b - a), y[a:b] % PER_CLASS] / total
+                p[a:b] *= e[np.arange(b - a), y[a:b] % e.shape[1]] / total
         out[s + order] = np.log(np.maximum(p, 1e-30))
     return out
 
 
-def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_class(w: Weights, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class of each row, rows by class, where each class starts)."""
-    group = (target // PER_CLASS).astype(np.int16)
+    classes, per_class = w["word_bias"].shape
+    group = (target // per_class).astype(np.int16)
     order = np.argsort(group, kind="stable")
-    return group, order, np.searchsorted(group[order], np.arange(CLASSES + 1))
+    return group, order, np.searchsorted(group[order], np.arange(classes + 1))
 
 
 def gradient(w: Weights, context: np.ndarray, target: np.ndarray) -> Weights:
     """Gradient of the mean negative log-probability."""
     g = {k: np.zeros_like(v) for k, v in w.items()}
     n = len(target)
-    group, order, ends = _by_class(target)
+    group, order, ends = _by_class(w, target)
     context, target, group = context[order], target[order], group[order]
     h = _hidden(w, context)
     d, total = _exp(h @ w["to_class"] + w["class_bias"])
@@ -188,19 +278,19 @@ def gradient(w: Weights, context: np.ndarray, target: np.ndarray) -> Weights:
     d /= n
     g["to_class"], g["class_bias"] = h.T @ d, d.sum(axis=0)
     dh = d @ w["to_class"].T
-    for k in range(CLASSES):
+    for k in range(len(ends) - 1):
         a, b = ends[k], ends[k + 1]
         if a < b:
             q, total = _exp(h[a:b] @ w["to_word"][k] + w["word_bias"][k])
             q /= total[:, None]
-            q[np.arange(b - a), target[a:b] % PER_CLASS] -= 1
+            q[np.arange(b - a), target[a:b] % q.shape[1]] -= 1
             q /= n
             g["to_word"][k], g["word_bias"][k] = h[a:b].T @ q, q.sum(axis=0)
             dh[a:b] += q @ w["to_word"][k].T
     dh *= 1 - h * h
     g["shift"] = dh.sum(axis=0)
     for s in range(2 * SIDE):
-        order = np.argsort(context[:, s].astype(np.int16), kind="stable")
+        order = np.argsort(context[:, s].astype(np.uint16 if w["embed"].shape[1] <= 1 << 16 else np.int32), kind="stable")
         ids = context[order, s]
         first = np.nonzero(np.append(True, ids[1:] != ids[:-1]))[0]
         g["embed"][s][ids[first]] = np.add.reduceat(dh[order], first, axis=0)
@@ -228,30 +318,34 @@ def flat(w: Weights) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in SHAPES])
 
 
-def shaped(x: np.ndarray) -> Weights:
+def shaped(x: np.ndarray, like: dict[str, tuple[int, ...]]) -> Weights:
     out, at = {}, 0
-    for k, s in SHAPES.items():
+    for k, s in like.items():
         size = int(np.prod(s))
         out[k] = x[at:at + size].reshape(s).astype(np.float32)
         at += size
     return out
 
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[dict[str, int], Weights]:
-    """(vocabulary, weights) learned from all rows."""
+def fit(df: DataFrame, key: str = "doc_id", text: str = "text", counts: DataFrame | None = None) -> tuple[dict[str, int], Weights]:
+    """(vocabulary, weights) learned from all rows; ``counts`` are their
+    ``word_counts`` if these are at hand."""
     spark = df.sparkSession
     rows = pick(df, key, text).filter("text is not null")
-    known = vocabulary(rows)
-    first = Trainer(start())
+    counts = written(word_counts(rows), "lm-words") if counts is None else counts
+    classes, per_class = sizes(counts.agg(F.sum("n")).first()[0] or 0)
+    size, like = classes * per_class, shapes(classes, per_class)
+    known = vocabulary(counts, KNOWN * size // VOCABULARY)
+    first = Trainer(start(1, classes, per_class))
     few = rows.filter(F.length("text") <= START_CHARS).limit(START_DOCS).select("text").collect()
     for _ in range(3):
-        for c, y, _ in pieces(Words(known), [r["text"] for r in few]):
+        for c, y, _ in pieces(Words(known, size), [r["text"] for r in few]):
             first.step(c, y)
     sent = spark.sparkContext.broadcast((known, first.w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_, w = sent.value
-        words, trainer = Words(known_), Trainer(w)
+        words, trainer = Words(known_, size), Trainer(w)
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 for c, y, _ in pieces(words, batch.column("text").slice(s, 512).to_pylist()):
@@ -273,33 +367,57 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[dict[st
                                          ["block", "part"])
 
     trained = in_arrow(rows, run, "block int, part binary, n long")
-    blocks = -(-sum(int(np.prod(s)) for s in SHAPES.values()) // BLOCK)
+    blocks = -(-sum(int(np.prod(s)) for s in like.values()) // BLOCK)
     mean = in_arrow(trained.repartition(blocks, "block"), add, "block int, part binary").orderBy("block").collect()
     if not mean:
         return known, first.w
-    return known, shaped(np.concatenate([np.frombuffer(r["part"], dtype=np.float64) for r in mean]))
+    return known, shaped(np.concatenate([np.frombuffer(r["part"], dtype=np.float64) for r in mean]), like)
 
 
-def score(df: DataFrame, model: tuple[dict[str, int], Weights], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, log_prob, mean_log_prob) for every row."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    made: list[Words] = []
+def score(df: DataFrame, model: tuple[dict[str, int], Weights], key: str = "doc_id", text: str = "text", words: Shares | None = None) -> DataFrame:
+    """(key, n_tokens, log_prob, mean_log_prob) for every row.  Without
+    ``words`` a word in a bucket counts as the bucket."""
+    known, size = model[0], model[1]["embed"].shape[1]
+    few = (words.head, words.n, words.buckets) if words else ([], np.zeros(0), np.zeros(size))
+    sent = df.sparkSession.sparkContext.broadcast((model, few))
+    joined = words is not None and words.rest is not None
+    made: list[Codes] = []
 
-    def run(keys: list, texts: list) -> dict[str, list]:
-        known, w = sent.value
+    def run(ids: list, keys: list, texts: list) -> dict[str, list]:
+        (known, w), own = sent.value
         if not made:
-            made.append(Words(known))
-        n, total = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
-        for c, y, of in pieces(made[0], texts):
+            made.append(Codes(known, size, *own))
+        codes = made[0]
+        if len(codes.met) > REMEMBERED:
+            codes.forget()
+        n, total, rest, of_rest = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), [], np.zeros(len(texts), dtype=np.int64)
+        for c, y, of in pieces(codes, texts):
+            at, part = codes.tables()
             n += np.bincount(of, minlength=len(texts))
-            total += np.bincount(of, weights=log_probabilities(w, c, y), minlength=len(texts))
-        return {"key": keys, "n_tokens": pa.array(n), "log_prob": pa.array(total)}
-
-    out = by_batch_of(pick(df, key, text), run, "key long, n_tokens long, log_prob double")
-    return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+            total += np.bincount(of, weights=log_probabilities(w, at[c], at[y]) + part[y], minlength=len(texts))
+            if joined:
+                met = y >= codes.fixed
+                rest.append(y[met] - codes.fixed)
+                of_rest += np.bincount(of[met], minlength=len(texts))
+        out = {"id": ids, "key": keys, "n_tokens": pa.array(n), "log_prob": pa.array(total)}
+        if joined:
+            met = pa.array(codes.met, pa.string()).take(pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *rest]), pa.int64()))
+            out["rest"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(of_rest)), pa.int32()), met)
+        return out
+
+    rows = pick(df, key, text).select(F.monotonically_increasing_id().alias("id"), "key", "text")
+    out = by_batch_of(rows, run, "id long, key long, n_tokens long, log_prob double" + (", rest array<string>" if joined else ""))
+    if joined:
+        out = written(out, "lm-scored")
+        more = out.select("id", F.explode("rest").alias("word")).join(words.rest, "word").groupBy("id").agg(F.sum(F.log("n")).alias("more"))
+        out = out.join(more, "id", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return out.select("key", "n_tokens", "log_prob").withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     """``op1_lm``: pseudo-log-likelihood of every document."""
     docs = documents(spark, sf_dir)
-    return score(docs, fit(docs)).withColumnRenamed("key", "doc_id")
+    counts = written(word_counts(docs), "lm-words")
+    model = fit(docs, counts=counts)
+    words = shares(counts, model[0], model[1]["embed"].shape[1])
+    return score(docs, model, words=words).withColumnRenamed("key", "doc_id")
