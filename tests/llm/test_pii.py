@@ -72,3 +72,20 @@ def test_redact(spark):
 
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_iban_before_other_words(spark):
+    """What follows an IBAN, or looks like the start of one before it, is not its part."""
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947",
+             "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S", "BE68 5390 0754 7034", "NL91ABNA0417164300"]
+    after = [" BIC COBADEFF", " EUR", " 2024", " 12 EUR", ", EUR", " GB82 WEST 1234 5698 7654 33", "."]
+    before = ["IBAN ", "BE12 IBAN ", "AB12 "]
+    texts = [(b, i, a) for b in before for i in ibans for a in after]
+    df = spark.createDataFrame([(n, "".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["key"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "iban"] for r in pii.find(df).collect()}
+    assert got == {n: [(len(b), len(b) + len(i))] for n, (b, i, _) in enumerate(texts)}
+    two = [(1, f"{ibans[2]} {ibans[4]} BIC"), (2, "DE89 3704 0044 0532 0130 0"), (3, "DE88370400440532013000 EUR"), (4, "DE893704004405320130001")]
+    out = dict(map(tuple, pii.redact(spark.createDataFrame(two, "doc_id long, text string")).collect()))
+    assert out[1] == "[IBAN] [IBAN] BIC" and all("[IBAN]" not in out[n] for n in (2, 3, 4))
+    codes = [c for table in (pii.IBAN_DIGITS, pii.IBAN_MIXED) for x in table.values() for c in x.split()]
+    assert len(codes) == len(set(codes))

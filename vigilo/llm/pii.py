@@ -6,7 +6,8 @@ overlap within the kind; a check (digit count, Luhn, mod 97, parts of an
 address) that drops what fails, without a second try; a score; and words that
 raise the score when they stand within ``NEAR`` characters.  A span is kept
 when its score reaches ``KEEP``.  The base kinds (email, ip, card, phone) start
-at that score, so context only ranks them; ``iban`` is confirmed by mod 97;
+at that score, so context only ranks them; ``iban`` has as many characters as
+its country gives it, whatever follows, and is confirmed by mod 97;
 ``pan`` (12 to 15 digits passing Luhn) and ``ssn`` need a context word as well.
 
 The expressions are written without nested backtracking: possessive repeats,
@@ -72,6 +73,20 @@ class Kind:
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: Length of an IBAN by country: of digits after the country code, and with letters.
+IBAN_DIGITS = {15: "NO", 16: "BE", 18: "DK FI FO GL SD", 19: "SI", 20: "AT BA EE LT MN XK", 21: "HR", 22: "CR DE ME RS VA",
+               23: "AE IL TL", 24: "CZ ES SE SK TN", 25: "LY PT ST", 26: "IS", 27: "BI MR", 28: "HU PL", 29: "EG"}
+IBAN_MIXED = {18: "FK NL", 19: "MK", 20: "KZ LU", 21: "CH LI LV", 22: "BG BH GB GE IE", 23: "GI IQ OM SO", 24: "AD MD PK RO SA VG",
+              25: "AO CV GW MZ", 26: "DZ IR TR", 27: "CF CG CM DJ FR GA GQ GR IT KM MC MG SM TD",
+              28: "AL AZ BF BJ BY CI CY DO GT HN LB MA ML NE NI SN SV TG", 29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    each = [rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?+{char}){{{size - 4}}}"
+            for table, char in ((IBAN_DIGITS, "[0-9]"), (IBAN_MIXED, "[A-Z0-9]")) for size, codes in table.items()]
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(each)})(?![A-Za-z0-9])"
+
+
 KINDS = (
     Kind("email", "@", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
          lambda m: F.lit(True), 0.9, "mail|contact|courriel|correo"),
@@ -81,7 +96,7 @@ KINDS = (
          lambda m: F.when(n_digits(m, 16, 19), luhn(m)).otherwise(False), 0.8, "card|visa|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]",
          lambda m: n_digits(m, 8, 15), 0.7, "phone|call|tel|mobil|anruf"),
-    Kind("iban", "[A-Z]{2}[0-9]{2}", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    Kind("iban", "[A-Z]{2}[0-9]{2}", _iban(),
          lambda m: mod97(m), 0.6, "iban|bank|account|konto|compte|cuenta"),
     Kind("pan", "[0-9][ -]?[0-9]", "[0-9](?:[ -]?+[0-9])++",
          lambda m: F.when(n_digits(m, 12, 15), luhn(m)).otherwise(False), 0.3, "card|visa|amex|maestro|karte|carte|tarjeta"),
