@@ -48,3 +48,12 @@ def test_pieces_and_many_languages(monkeypatch):
     tables = f.tables()
     for i in (0, 62, 63, 129):
         assert np.all(tables[i // 63][members[i]] >> (i % 63) & 1)
+
+
+def test_unlearned_script_knows_no_ngram(spark):
+    """Dozens of n-grams that no language was taught must hit none."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    decider = langid.fit(docs).decider()
+    for text in ("ვეფხისტყაოსანი არის ქართული ეპიკური პოემა და მისი ავტორია შოთა რუსთაველი", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ ᎤᏂᏬᏂᎯᏍᏗ ᎠᏂᏣᎳᎩ ᏧᎾᏓᎴᏅᏛ " * 9):
+        assert sum(map(len, langid.cells(text))) > 100
+        assert decider.decide(text) == (decider.fallback, 0.0)

@@ -2,8 +2,8 @@
 
 Learning: every labelled row is read.  Character n-grams (sizes ``SIZES``, over
 lower-cased letters, each run of other characters being one blank) are hashed
-to ``2^BITS`` cells and counted per language; partial counts are summed in
-Spark.  A cell belongs to a language when its share of that language's n-grams
+to 64 bits and counted per language; partial counts are summed in
+Spark.  An n-gram belongs to a language when its share of that language's n-grams
 is at least ``MIN_SHARE`` and at least ``REL_SHARE`` of the largest share any
 language has, so words quoted or labelled wrongly do not enter a filter.
 
@@ -17,8 +17,8 @@ number, corrected for the filter's false positives, ``(hits - f) / (1 - f)``
 with ``f = fill^HASHES``; the largest wins, the score is its part of the sum.
 
 The filters are of fixed size (``HASHES * 2^FILTER_BITS`` integers for every 63
-languages).  What is broadcast is their answer for every n-gram cell, ``2^BITS``
-masks, at any input size; the learned languages are the distinct labels.
+languages, 25 MB) and broadcast as they are, at any input size; the learned
+languages are the distinct labels.
 
 Null texts and texts without a letter get ``und`` with score 0.  With letters
 but no n-gram known, the language with most training n-grams is returned with
@@ -48,6 +48,7 @@ MIN_SHARE = 2e-6
 REL_SHARE = 0.25
 PER_MASK = 63
 PIECE = 1 << 18
+COUNTED = 1 << 20
 FOLDS, HELD_OUT = 3, 1
 _BLANK = 0
 _letters: np.ndarray | None = None
@@ -82,8 +83,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def cells(text: str) -> Iterator[np.ndarray]:
-    """Hash cells of the n-grams of a text, piece by piece, so that a very long
-    text needs no more memory than a piece; the n-gram size is hashed in."""
+    """64-bit hashes of the n-grams of a text, piece by piece, so that a very
+    long text needs no more memory than a piece; the n-gram size is hashed in."""
     cp = _points(text)
     for n in SIZES:
         for s in range(0, len(cp) - n + 1, PIECE):
@@ -91,31 +92,35 @@ def cells(text: str) -> Iterator[np.ndarray]:
             h = np.full(len(piece) - n + 1, n, dtype=np.uint64)
             for i in range(n):
                 h = (h ^ piece[i:len(piece) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-            yield (_mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
+            yield _mix(h).view(np.int64)
 
 
 def counts(df: DataFrame, lang: str, text: str) -> DataFrame:
-    """(lang, cell, n): n-grams per language and hash cell over all rows."""
+    """(lang, cell, n): n-grams per language and hash over all rows."""
     def run(langs: list, texts: list) -> dict[str, list]:
         by: dict[str, list[str]] = {}
         for lang_, t in zip(langs, texts, strict=True):
             by.setdefault(lang_, []).append(t)
         names, at_cells, sums = [], [], []
+
+        def add(lang_: str, held: list[np.ndarray]) -> None:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            names.extend([lang_] * len(at))
+            at_cells.append(at)
+            sums.append(n.astype(np.int64))
+
         for lang_, some in by.items():
-            total, held, size = np.zeros(1 << BITS, dtype=np.int64), [], 0
+            held, size = [], 0
             for c in chain.from_iterable(cells(t) for t in some):
                 held.append(c)
                 size += len(c)
-                if size >= PIECE:
-                    total += np.bincount(np.concatenate(held), minlength=1 << BITS)
+                if size >= COUNTED:
+                    add(lang_, held)
                     held, size = [], 0
             if held:
-                total += np.bincount(np.concatenate(held), minlength=1 << BITS)
-            at = np.nonzero(total)[0]
-            names += [lang_] * len(at)
-            at_cells.append(at)
-            sums.append(total[at])
-        return {"lang": names, "cell": pa.array(np.concatenate(at_cells)), "n": pa.array(np.concatenate(sums))}
+                add(lang_, held)
+        none = np.zeros(0, dtype=np.int64)
+        return {"lang": names, "cell": pa.array(np.concatenate([none, *at_cells])), "n": pa.array(np.concatenate([none, *sums]))}
 
     labelled = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")) \
         .filter("lang is not null and text is not null")
@@ -144,19 +149,23 @@ class Filters:
         return out
 
     def tables(self) -> np.ndarray:
-        """Mask of languages for every n-gram cell: the filters asked once for each."""
-        at = self.places(np.arange(1 << BITS))
-        return np.stack([np.bitwise_and.reduce([s[h][at[h]] for h in range(HASHES)]) for s in self.slices])
+        """Mask of languages for every number below ``2^BITS``."""
+        return self.decider().masks(np.arange(1 << BITS))
 
     def decider(self) -> Decider:
-        return Decider(self.names, self.fallback, self.false, self.tables())
+        return Decider(self.names, self.fallback, self.false, self.slices)
 
 
 class Decider:
-    """What tasks need of the filters: their answer for every n-gram cell."""
+    """What tasks need of the filters."""
+
+    def __init__(self, names: list[str], fallback: str, false: np.ndarray, slices: np.ndarray):
+        self.names, self.fallback, self.false, self.slices = names, fallback, false, slices
 
-    def __init__(self, names: list[str], fallback: str, false: np.ndarray, tables: np.ndarray):
-        self.names, self.fallback, self.false, self.tables = names, fallback, false, tables
+    def masks(self, cells: np.ndarray) -> np.ndarray:
+        """Masks of languages for every n-gram hash."""
+        at = Filters.places(cells)
+        return np.stack([np.bitwise_and.reduce([s[h][at[h]] for h in range(HASHES)]) for s in self.slices])
 
     def hits(self, masks: np.ndarray) -> np.ndarray:
         """Per language, how many of the n-gram masks have its bit."""
@@ -172,7 +181,7 @@ class Decider:
         n, hits = 0, np.zeros(len(self.names), dtype=np.int64)
         for c in cells(text):
             n += len(c)
-            hits += self.hits(self.tables[:, c])
+            hits += self.hits(self.masks(c))
         if not n:
             return UNKNOWN, 0.0
         rate = hits / n
@@ -184,7 +193,7 @@ class Decider:
 
 def fit(df: DataFrame, lang: str = "lang", text: str = "text") -> Filters:
     """Learn the filters from all labelled rows of ``df``.  What reaches the
-    driver is at most ``2^BITS`` cells a language."""
+    driver is at most ``1 / MIN_SHARE`` n-grams a language."""
     n = counts(df, lang, text)
     share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
     top = F.max("share").over(Window.partitionBy("cell"))
