@@ -10,7 +10,7 @@ from vigilo.sources.messages import sensor_messages
 from vigilo.streaming import io as SIO
 from vigilo.streaming import scoring as SF
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_read_csv_or_none_falls_back(spark):

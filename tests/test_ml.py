@@ -7,7 +7,7 @@ from vigilo.plans import ml, ml_queries
 from vigilo.session import scratch_path
 from vigilo.sources.food import ORDER_KEY
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_calorie_forest_metrics_and_roundtrip(spark):

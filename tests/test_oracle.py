@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 from oracle_harness import compare, duck_connect
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 ORACLE = E.oracle_sql()
 QUERIES = E.queries()

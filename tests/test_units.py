@@ -10,7 +10,7 @@ from vigilo.operators import profile as P
 from vigilo.operators import split as SP
 from vigilo.sources import lake as L
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _samples(spark):
