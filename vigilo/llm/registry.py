@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from vigilo.llm import bpe, decontaminate, html_text, langid, lm_score, oracle, pii, quality, simhash, suffix_dedup, token_file
+from vigilo.llm import (bpe, decontaminate, html_text, importance, langid, licenses, lm_score, oracle, pii, quality, simhash,
+                        spelling, suffix_dedup, token_file)
 
 QUERIES = {
     "op1_lm": lm_score.op1,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_html": html_text.op9,
     "op10_token_file": token_file.op10,
+    "op11_spelling": spelling.op11,
+    "op12_importance": importance.op12,
+    "op13_licenses": licenses.op13,
 }
 
 #: The others learn, hash or tokenize in ways that SQL has no words for.
@@ -22,4 +26,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality": oracle.QUALITY,
     "op4_suffix_dedup": oracle.REPEATS,
     "op8_decontaminate": oracle.CONTAMINATION,
+    "op11_spelling": oracle.SPELLING,
+    "op12_importance": oracle.IMPORTANCE,
+    "op13_licenses": oracle.LICENSES,
 }
