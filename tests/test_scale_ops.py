@@ -49,6 +49,28 @@ def test_stratified_split_is_random_and_keeps_every_row(spark):
     assert {(r["i"], r["split"]) for r in out} == {(r["i"], r["split"]) for r in again}
 
 
+def test_stratified_split_whatever_the_buckets_and_ties(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([1, 2, 2, 2, rng.randint(0, 900)]), rng.choice([None, 1, 2]), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "s string, k long, t int, i long").repartition(5)
+    sides = []
+    for bits in (4, 8, 20):
+        out = SP.stratified_split(df, ["s"], ["k"], ["t", "i"], train_pct=70, bits=bits)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        sides.append({r["i"]: r["split"] for r in out.collect()})
+    assert sides[0] == sides[1] == sides[2] and len(sides[0]) == 1500
+    # Rows that are equal in all order columns are parted by their number.
+    again = SP.stratified_split(df, ["s"], ["k"], ["t"], train_pct=70).collect()
+    assert sorted(r["i"] for r in again) == list(range(1500))
+    for s in ("hot", "a", None):
+        n = [r["split"] for r in again if r["s"] == s]
+        assert n.count("train") == (len(n) * 70 + 99) // 100 == sum(sides[0][r[3]] == "train" for r in rows if r[0] == s)
+    assert {r["split"] for r in SP.stratified_split(df, ["s"], ["k"], ["i"], train_pct=0).collect()} == {"test"}
+    assert {r["split"] for r in SP.stratified_split(df, ["s"], ["k"], ["i"], train_pct=100).collect()} == {"train"}
+    assert SP.stratified_split(df.where("i < 0"), ["s"], ["k"]).count() == 0
+
+
 def test_running_total_with_null_groups_null_and_outlier_keys(spark):
     rng = random.Random(11)
     rows = [(rng.choice(["hot", "hot", "a", None]), None if i % 40 == 3 else rng.choice([10 ** 12, -5, 7]) if i % 90 == 1 else rng.randint(0, 300), i, 1.0)

@@ -8,15 +8,16 @@ partition layout).
 
 ``stratified_split`` puts exactly ``ceil(pct% of n_s)`` rows of every
 stratum ``s`` in the train set: the first ones in hash order, i.e. a seeded
-random choice.  No stratum is gathered into one task:
+random choice.  It is a radix selection of each stratum's bound; no row is
+shuffled, ranked or gathered:
 
-1. the leading bits of the hash are a row's bucket (even by construction,
-   whatever the keys look like);
-2. one aggregation counts rows per (stratum, bucket);
-3. a running sum over those counts finds each stratum's *cut* bucket, in
-   which the quota is reached;
-4. rows in earlier buckets are train and later ones test, a narrow map;
-   only the rows of cut buckets are shuffled and ranked.
+1. one aggregation counts rows per (stratum, leading bits of the hash), which
+   are even by construction whatever the keys look like; a running sum over
+   the counts finds each stratum's *cut* bucket, in which the quota is reached;
+2. the rows of the cut buckets alone are counted by their full order; the
+   first place at which the quota is reached is the stratum's bound;
+3. a map compares each row with the bound of its stratum (one row a stratum,
+   joined as Spark sees fit: broadcast unless the strata are very many).
 
 NULL strata are a stratum of their own, NULL keys hash like a value.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vigilo.session import scratch_path
 
-HASH_BITS, BUCKET_BITS = 60, 16
+HASH_BITS, MOST_BUCKET_BITS = 60, 20
 SEGMENTS = 64
 
 
@@ -136,29 +137,66 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], name: str = "r
     return rows.join(offsets, on).withColumn(name, F.col("__before") + place).select(*df.columns, name)
 
 
-def stratified_split(df: DataFrame, strata: list[str], keys: list[str], ties: list[str] | None = None,
-                     train_pct: int = 80, seed: int = 42, name: str = "split") -> DataFrame:
-    """``df`` with train / test; ``keys`` are integer columns, ``ties`` order
-    rows whose keys are equal."""
-    cols = df.columns
-    hashed = df.withColumn("__h", portable_hash(keys, seed)) \
-        .withColumn("__b", F.shiftright("__h", HASH_BITS - BUCKET_BITS))
-    per_bucket = hashed.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__n"))
+def _bucket_bits(df: DataFrame) -> int:
+    """Leading bits that make about sqrt(n) buckets, by the optimizer's size of
+    the input; the split itself does not depend on them."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(4, min(MOST_BUCKET_BITS, (size // 64).bit_length() // 2))
+
+
+def _same(strata: list[str]) -> Column:
+    on = F.lit(True)
+    for i, c in enumerate(strata):
+        on = on & F.col(c).eqNullSafe(F.col(f"__s{i}"))
+    return on
+
+
+def stratum_bounds(hashed: DataFrame, strata: list[str], order: list[str], train_pct: int, bits: int) -> DataFrame:
+    """``(__s0 ..., __bound, __take, __tied)``: for every stratum the order value
+    of its last train row, how many of the rows that equal it in all of
+    ``order`` are train rows, and how many equal it.  ``order[0]`` is the hash."""
+    spark = hashed.sparkSession
+    named = [F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)]
+    leading = F.shiftright(F.col(order[0]), HASH_BITS - bits)
+    per_bucket = hashed.groupBy(*strata, leading.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
     upto = F.sum("__n").over(Window.partitionBy(*strata).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("__n").over(Window.partitionBy(*strata))
     # ceil(train_pct% of n) in integer arithmetic, identical on every engine.
     quota = F.floor((total * train_pct + 99) / 100)
     cuts = (per_bucket.withColumn("__upto", upto).withColumn("__quota", quota)
             .where((F.col("__upto") >= F.col("__quota")) & (F.col("__upto") - F.col("__n") < F.col("__quota")))
-            .select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)], F.col("__b").alias("__cut"),
-                    (F.col("__quota") - F.col("__upto") + F.col("__n")).alias("__left")))
-    on = F.lit(True)
-    for i, c in enumerate(strata):
-        on = on & F.col(c).eqNullSafe(F.col(f"__s{i}"))
-    placed = hashed.join(cuts, on)
-    clear = placed.where(F.col("__b") != F.col("__cut")) \
-        .select(*cols, F.when(F.col("__b") < F.col("__cut"), "train").otherwise("test").alias(name))
-    within = Window.partitionBy(*strata).orderBy("__h", *(ties or keys))
-    cut = placed.where(F.col("__b") == F.col("__cut")).withColumn("__rn", F.row_number().over(within)) \
-        .select(*cols, F.when(F.col("__rn") <= F.col("__left"), "train").otherwise("test").alias(name))
-    return clear.unionByName(cut)
+            .select(*named, F.col("__b").alias("__cut"), (F.col("__quota") - F.col("__upto") + F.col("__n")).alias("__left")))
+    path = scratch_path(spark, "stratum-cuts")
+    cuts.write.parquet(path)
+    in_cut = hashed.join(spark.read.schema(cuts.schema).parquet(path), _same(strata) & (leading == F.col("__cut")))
+    places = in_cut.groupBy(*[f"__s{i}" for i in range(len(strata))], *order).agg(
+        F.count(F.lit(1)).alias("__n"), F.first("__left").alias("__left"))
+    upto = F.sum("__n").over(Window.partitionBy(*[f"__s{i}" for i in range(len(strata))]).orderBy(*order)
+                             .rowsBetween(Window.unboundedPreceding, 0))
+    bounds = (places.withColumn("__upto", upto)
+              .where((F.col("__upto") >= F.col("__left")) & (F.col("__upto") - F.col("__n") < F.col("__left")))
+              .select(*[f"__s{i}" for i in range(len(strata))], F.struct(*order).alias("__bound"),
+                      (F.col("__left") - F.col("__upto") + F.col("__n")).alias("__take"), F.col("__n").alias("__tied")))
+    path = scratch_path(spark, "stratum-bounds")
+    bounds.write.parquet(path)
+    return spark.read.schema(bounds.schema).parquet(path)
+
+
+def stratified_split(df: DataFrame, strata: list[str], keys: list[str], ties: list[str] | None = None,
+                     train_pct: int = 80, seed: int = 42, name: str = "split", bits: int | None = None) -> DataFrame:
+    """``df`` with train / test; ``keys`` are integer columns, ``ties`` order
+    rows whose keys are equal.  With ``ties`` that order all rows nothing is
+    ranked; only where rows that equal a bound in all of them have to be parted
+    are those rows counted off, any of them first."""
+    order = ["__h", *[c for c in (ties or keys)]]
+    hashed = df.withColumn("__h", portable_hash(keys, seed))
+    bounds = stratum_bounds(hashed, strata, order, train_pct, bits or _bucket_bits(df))
+    placed = hashed.join(bounds, _same(strata), "left")
+    here = F.struct(*order)
+    train = F.coalesce(here <= F.col("__bound"), F.lit(False))
+    if bounds.where("__take < __tied").isEmpty():
+        return placed.select(*df.columns, F.when(train, "train").otherwise("test").alias(name))
+    at_bound = F.coalesce((here == F.col("__bound")) & (F.col("__take") < F.col("__tied")), F.lit(False))
+    clear = placed.where(~at_bound).select(*df.columns, F.when(train, "train").otherwise("test").alias(name))
+    equal = placed.where(at_bound).withColumn("__rn", F.row_number().over(Window.partitionBy(*strata).orderBy(F.lit(0))))
+    return clear.unionByName(equal.select(*df.columns, F.when(F.col("__rn") <= F.col("__take"), "train").otherwise("test").alias(name)))

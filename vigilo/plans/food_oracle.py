@@ -77,11 +77,16 @@ def _labels(src: str, cols: list[str]) -> str:
             FROM {src} WHERE {c} IS NOT NULL GROUP BY {c}""" for c in cols)
 
 
-ALPHA_CODES = f"""
+LABELS = ["food_item", "category", "product"]
+KNOWN = f"""
+labelled AS (SELECT *, food_item || ' ' || l_suppkey || ' ' || l_partkey AS product, epoch_us(l_shipdate) AS t_us FROM clean),
+span AS (SELECT min(t_us) + (max(t_us) - min(t_us)) * 8 // 10 AS cut FROM labelled),
+known AS (SELECT * FROM labelled, span WHERE t_us < cut),
+fresh AS (SELECT * FROM labelled, span WHERE t_us >= cut),
 codes AS (
   SELECT "column", label, "count",
     CAST(row_number() OVER (PARTITION BY "column" ORDER BY label) - 1 AS INTEGER) AS code
-  FROM ({_labels('(SELECT * FROM clean WHERE CAST(l_shipdate AS DATE) = (SELECT min(CAST(l_shipdate AS DATE)) FROM clean))', ['food_item', 'category'])}))"""
+  FROM ({_labels('known', LABELS)}))"""
 
 ORACLE = {
     "food_clean": f"WITH {V_FOOD} SELECT * FROM clean",
@@ -187,20 +192,12 @@ ORACLE = {
       SELECT "column", label, "count",
         CAST(row_number() OVER (PARTITION BY "column" ORDER BY "count" DESC, label) - 1 AS INTEGER) AS code
       FROM ({_labels('clean', ['category', 'meal_time', 'preparation_method'])})""",
-    "encode_new": f"""WITH {V_FOOD}, {ALPHA_CODES}, {V_CATALOG}
-      SELECT part_key, name AS food_item, category,
-        coalesce(f.code, CAST((SELECT count(*) FROM codes WHERE "column" = 'food_item') AS INTEGER))
-          AS food_item_encoded,
-        coalesce(c.code, CAST((SELECT count(*) FROM codes WHERE "column" = 'category') AS INTEGER))
-          AS category_encoded
-      FROM catalog
-      LEFT JOIN (SELECT label, code FROM codes WHERE "column" = 'food_item') f ON f.label = name
-      LEFT JOIN (SELECT label, code FROM codes WHERE "column" = 'category') c
-        ON c.label = catalog.category""",
-    "encode_unseen": f"""WITH {V_FOOD}, {ALPHA_CODES}, {V_CATALOG}
-      SELECT DISTINCT "column", label FROM (
-        SELECT 'food_item' AS "column", name AS label FROM catalog
-        UNION ALL SELECT 'category', category FROM catalog) x
+    "encode_new": f"""WITH {V_FOOD}, {KNOWN}
+      SELECT {ORDER_KEY}, food_item, category, product, {", ".join(
+        f'coalesce({c}_codes.code, CAST((SELECT count(*) FROM codes WHERE "column" = {c!r}) AS INTEGER)) AS {c}_encoded' for c in LABELS)}
+      FROM fresh {" ".join(f'LEFT JOIN (SELECT label, code FROM codes WHERE "column" = {c!r}) {c}_codes ON {c}_codes.label = {c}' for c in LABELS)}""",
+    "encode_unseen": f"""WITH {V_FOOD}, {KNOWN}
+      SELECT DISTINCT "column", label FROM ({" UNION ALL ".join(f"SELECT {c!r} AS \"column\", {c} AS label FROM fresh" for c in LABELS)}) x
       WHERE NOT EXISTS (SELECT 1 FROM codes c WHERE c."column" = x."column" AND c.label = x.label)""",
     "standardize": f"""WITH {V_FOOD}
       SELECT {KEYS}, """ + ", ".join(

@@ -10,6 +10,8 @@ from vigilo.operators import encode as E
 from vigilo.operators import features as FT
 from vigilo.operators import profile as P
 from vigilo.operators import split as SP
+from vigilo.operators.encoder_stage import CodeEncoder
+from vigilo.operators.metrics import epoch_micros
 from vigilo.sources.food import (CATEGORICAL_FOOD, FOOD_COLUMNS, NUMERIC_FOOD, ORDER_KEY,
                                  catalog_rows, food_rows, portion_rows, scored_rows)
 from vigilo.sources.tables import read_table
@@ -179,33 +181,32 @@ def q_index_frequency(spark, sf_dir):
         .select("column", "label", "count", "code")
 
 
-def _catalog_labels(spark, sf_dir):
-    return catalog_rows(spark, sf_dir).select(
-        "part_key", F.col("name").alias("food_item"), "category")
-
-
-def first_day(df: DataFrame) -> DataFrame:
-    """Rows shipped on the first day: what there is before later rows come."""
-    day = df.agg(F.min(F.to_date("l_shipdate"))).first()[0]
-    return df.where(F.to_date("l_shipdate") == F.lit(day))
+LABELS = ["food_item", "category", "product"]
 
 
-def _early_codes(spark, sf_dir) -> DataFrame:
-    return E.code_table(first_day(clean_food(spark, sf_dir)), ["food_item", "category"], "alphabetical")
+def known_and_new(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Clean rows with three label columns: those shipped in the first eight
+    tenths of the time range, and the later ones.  ``product`` (a part of a
+    supplier) has labels that only later rows carry."""
+    df = clean_food(spark, sf_dir).withColumn("product", F.concat_ws(" ", "food_item", "l_suppkey", "l_partkey"))
+    span = df.agg(F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi")).select(
+        *[epoch_micros(F.col(c)).alias(c) for c in ("lo", "hi")]).first()
+    at = epoch_micros(F.col("l_shipdate"))
+    cut = None if span["lo"] is None else span["lo"] + (span["hi"] - span["lo"]) * 8 // 10
+    return df.where(at < F.lit(cut)), df.where(at >= F.lit(cut))
 
 
 def q_encode_new(spark, sf_dir):
-    """Codes fitted on the first day's food rows applied to every catalogue
-    part; labels never seen in fitting get the next free code."""
-    codes = _early_codes(spark, sf_dir)
-    df = _catalog_labels(spark, sf_dir)
-    df = E.apply_codes(df, codes, "food_item", handle_invalid="keep")
-    return E.apply_codes(df, codes, "category", handle_invalid="keep")
+    """Codes fitted on the known rows applied to the new ones; labels that
+    fitting did not see get the next free code."""
+    known, new = known_and_new(spark, sf_dir)
+    encoder = CodeEncoder(inputCols=LABELS, outputCols=[f"{c}_encoded" for c in LABELS], handleInvalid="keep")
+    return encoder.fit(known).transform(new).select(*ORDER_KEY, *LABELS, *[f"{c}_encoded" for c in LABELS])
 
 
 def q_encode_unseen(spark, sf_dir):
-    return E.unseen_labels(_catalog_labels(spark, sf_dir), _early_codes(spark, sf_dir), ["food_item", "category"]) \
-        .select("column", "label")
+    known, new = known_and_new(spark, sf_dir)
+    return E.unseen_labels(new, E.code_table(known, LABELS), LABELS).select("column", "label")
 
 
 def q_standardize(spark, sf_dir):

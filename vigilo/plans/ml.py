@@ -26,6 +26,8 @@ from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 
+from vigilo.operators.encoder_stage import CodeEncoder
+
 # Fixed model settings.
 SEED = 42
 CALORIE_CATEGORICAL = ["category", "meal_time", "preparation_method"]
@@ -99,6 +101,11 @@ def scaled_kmeans(k: int = 5, cols: list[str] = CLUSTER_COLUMNS) -> Pipeline:
     ])
 
 
+def nutrition_encoder(handle_invalid: str = "error") -> CodeEncoder:
+    """Alphabetical codes of the four label columns."""
+    return CodeEncoder(inputCols=list(ENCODED), outputCols=list(ENCODED.values()), handleInvalid=handle_invalid)
+
+
 def nutrition_clusters(k: int = 5) -> Pipeline:
     """The nutrition cluster of a row, fitted on the whole frame."""
     return Pipeline(stages=[VectorAssembler(inputCols=NUTRITION_PROFILE, outputCol="nutrition_features"),

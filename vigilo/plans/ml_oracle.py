@@ -36,7 +36,16 @@ ORACLE = {
       SELECT l_orderkey, l_linenumber, part_key, food_item, calories, TRUE AS has_cluster, TRUE AS error_right FROM fresh""",
     "training_report_check": """SELECT 'RandomForestRegressor' AS model_type,
         '{"numTrees":50,"maxDepth":10,"seed":42}' AS model_parameters, CAST(5 AS INTEGER) AS k,
-        TRUE AS has_model, TRUE AS has_metrics""",
+        TRUE AS forest_loads, TRUE AS clusters_load, TRUE AS has_metrics""",
+    "kmeans_profile_check": f"WITH {V_FOOD} SELECT {KEYS}, calories, TRUE AS nearest FROM clean",
+    "scorer_reloaded": f"""WITH {V_FOOD}, {V_CATALOG}, {", ".join(
+        f"{o} AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT {c} AS label FROM clean))"
+        for c, o in ENCODED.items())},
+      fresh AS (SELECT l_orderkey, l_linenumber, l_partkey AS part_key, name AS food_item, category, 'snack' AS meal_time, 'raw' AS preparation_method
+        FROM lineitem JOIN catalog ON l_partkey = part_key)
+      SELECT l_orderkey, l_linenumber, part_key, food_item, category, meal_time, TRUE AS same, {", ".join(
+        f"coalesce({o}.code, CAST((SELECT count(*) FROM {o}) AS INTEGER)) AS {o}" for o in ENCODED.values())}
+      FROM fresh {" ".join(f"LEFT JOIN {o} ON {o}.label = fresh.{c}" for c, o in ENCODED.items())}""",
     "scoring_report_check": f"""WITH {STRATIFIED}
       SELECT (SELECT count(*) FROM split WHERE train) AS training_samples, count(*) AS prediction_samples,
         CAST({len(FEATURES)} AS INTEGER) AS features FROM lineitem JOIN part ON l_partkey = p_partkey""",

@@ -7,19 +7,19 @@ recomputed by the aggregate form equal ``RegressionEvaluator``.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilo.operators import encode as E
 from vigilo.operators import features as FT
 from vigilo.operators import split as SP
+from vigilo.operators.encoder_stage import CodeEncoderModel
 from vigilo.plans import ml
 from vigilo.plans.food_queries import KEYS, clean_food
-from vigilo.session import scratch_path
+from vigilo.session import scratch_path, table_path
 from vigilo.sources import lake as L
 from vigilo.sources.food import ORDER_KEY, catalog_rows, portion_rows
-from vigilo.sources.tables import read_table
 
 
 def features_base(spark, sf_dir) -> DataFrame:
@@ -38,12 +38,23 @@ def calorie_split(spark, sf_dir):
 _FITTED: dict[tuple, object] = {}
 
 
+def _state(spark, sf_dir: str) -> tuple:
+    """What the input tables are at this moment: modification time, number of
+    files and bytes of each, two calls a table."""
+    out = []
+    for table in ("lineitem", "part"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, table))
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        held = fs.getContentSummary(where)
+        out += [fs.makeQualified(where).toString(), fs.getFileStatus(where).getModificationTime(), held.getFileCount(), held.getLength()]
+    return tuple(out)
+
+
 def _fitted(spark, sf_dir: str, name: str, fit):
-    """Fit once per (application, input files, model) and reuse: several
-    queries report on the same fitted pipeline.  Rewritten files have other
-    names, so changed data is fitted anew."""
-    files = tuple(sorted(f for t in ("lineitem", "part") for f in read_table(spark, sf_dir, t).inputFiles()))
-    key = (spark.sparkContext.applicationId, hash(files), name)
+    """Fit once per (application, state of the input, model) and reuse: several
+    queries report on the same fitted pipeline.  A table that was written
+    again has another time or size and is fitted anew."""
+    key = (spark.sparkContext.applicationId, _state(spark, sf_dir), name)
     if key not in _FITTED:
         _FITTED[key] = fit()
     return _FITTED[key]
@@ -57,26 +68,33 @@ def fit_calorie_forest(spark, sf_dir):
     return model, model.transform(test)
 
 
-def _encoded(df: DataFrame, codes: DataFrame, handle_invalid: str = "error") -> DataFrame:
-    for column, out in ml.ENCODED.items():
-        df = E.apply_codes(df, codes, column, out, handle_invalid)
-    return df
+def nutrition_clusters(spark, sf_dir) -> PipelineModel:
+    """The clusterer, fitted on all clean rows."""
+    return _fitted(spark, sf_dir, "nutrition_clusters", lambda: ml.fit(
+        ml.nutrition_clusters(), features_ext(spark, sf_dir), ml.NUTRITION_PROFILE))
 
 
-def nutrition_frame(spark, sf_dir) -> DataFrame:
-    """All clean rows with their nutrition cluster, fitted on all of them."""
-    df = features_ext(spark, sf_dir)
-    model = _fitted(spark, sf_dir, "nutrition_clusters", lambda: ml.fit(ml.nutrition_clusters(), df, ml.NUTRITION_PROFILE))
-    return model.transform(df).drop("nutrition_features")
+def nutrition_encoder(spark, sf_dir) -> CodeEncoderModel:
+    """The code tables of the four label columns, fitted on all clean rows."""
+    return _fitted(spark, sf_dir, "nutrition_encoder", lambda: ml.nutrition_encoder().fit(features_ext(spark, sf_dir)))
 
 
-def nutrition_codes(spark, sf_dir) -> DataFrame:
-    return _fitted(spark, sf_dir, "nutrition_codes", lambda: E.code_table(features_ext(spark, sf_dir), list(ml.ENCODED), "alphabetical"))
+def nutrition_frame(spark, sf_dir) -> DataFrame:
+    """All clean rows with their nutrition cluster."""
+    return nutrition_clusters(spark, sf_dir).transform(features_ext(spark, sf_dir)).drop("nutrition_features")
 
 
 def nutrition_split(spark, sf_dir):
-    df = _encoded(nutrition_frame(spark, sf_dir), nutrition_codes(spark, sf_dir))
-    df = SP.stratified_split(df, ["category"], KEYS, ORDER_KEY)
+    """The encoded, clustered rows, split by category; written once, since
+    training, evaluation and reports all read them."""
+    def rows() -> DataFrame:
+        df = nutrition_encoder(spark, sf_dir).transform(nutrition_frame(spark, sf_dir))
+        df = SP.stratified_split(df, ["category"], KEYS, ORDER_KEY)
+        path = scratch_path(spark, "nutrition-rows")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    df = _fitted(spark, sf_dir, "nutrition_rows", rows)
     return df.where("split = 'train'"), df.where("split = 'test'")
 
 
@@ -87,6 +105,14 @@ def fit_nutrition_forest(spark, sf_dir):
     return model, train, test
 
 
+def nutrition_scorer(spark, sf_dir) -> PipelineModel:
+    """Encoder, clusterer and forest as one model that scores rows as they come
+    (with their numeric features); unseen labels get the next free code."""
+    forest, _, _ = fit_nutrition_forest(spark, sf_dir)
+    encoder = nutrition_encoder(spark, sf_dir).copy().setHandleInvalid("keep")
+    return PipelineModel([encoder, *nutrition_clusters(spark, sf_dir).stages, *forest.stages])
+
+
 def q_rf_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, predictions = fit_calorie_forest(spark, sf_dir)
     return predictions.select(*KEYS, "food_item", "category", "calories", "prediction")
@@ -139,22 +165,17 @@ def new_rows(spark, sf_dir) -> DataFrame:
 
 
 def _scored_new_rows(spark, sf_dir):
-    """Batch scoring: the fitted codes (unseen labels get the next free
-    code), clusterer and forest applied to new rows."""
-    model, train, _ = fit_nutrition_forest(spark, sf_dir)
-    rows = new_rows(spark, sf_dir)
-    clusters = _fitted(spark, sf_dir, "nutrition_clusters", lambda: None)
-    rows = clusters.transform(rows).drop("nutrition_features")
-    rows = _encoded(rows, nutrition_codes(spark, sf_dir), handle_invalid="keep")
-    scored = model.transform(rows).withColumnRenamed("prediction", "predicted_calories")
-    return model, train, FT.add_prediction_errors(scored)
+    """Batch scoring: the one fitted model applied to new rows."""
+    model = nutrition_scorer(spark, sf_dir)
+    scored = model.transform(new_rows(spark, sf_dir)).withColumnRenamed("prediction", "predicted_calories")
+    return model, FT.add_prediction_errors(scored)
 
 
 NEW_KEYS = ["l_orderkey", "l_linenumber", "part_key"]
 
 
 def q_batch_scoring(spark, sf_dir):
-    _, _, scored = _scored_new_rows(spark, sf_dir)
+    _, scored = _scored_new_rows(spark, sf_dir)
     return scored.select(*NEW_KEYS, "food_item", "category", "nutrition_cluster", "calories",
                          "predicted_calories", "prediction_error", "prediction_error_pct")
 
@@ -163,6 +184,11 @@ def q_training_report(spark, sf_dir):
     """The training result record (metrics, parameters, features, clustering),
     written as ``spark_ml_results_<run>.json`` and as the ``_latest`` copy,
     and returned as read back from the latest copy."""
+    return _training_report(spark, sf_dir)[0]
+
+
+def _training_report(spark, sf_dir) -> tuple[DataFrame, str]:
+    """The record as read back, and the lake it lies in."""
     model, predictions = fit_calorie_forest(spark, sf_dir)
     clusterer = _fitted(spark, sf_dir, "scaled_kmeans", lambda: ml.fit(ml.scaled_kmeans(), clean_food(spark, sf_dir), ml.CLUSTER_COLUMNS))
     run = L.run_id()
@@ -190,7 +216,7 @@ def q_training_report(spark, sf_dir):
     record.coalesce(1).write.mode("errorifexists").text(f"{root}/spark_ml_results_{run}.json")
     spark.read.text(f"{root}/spark_ml_results_{run}.json") \
         .write.mode("overwrite").text(f"{root}/spark_ml_results_latest.json")
-    return spark.read.text(f"{root}/spark_ml_results_latest.json").withColumnRenamed("value", "report")
+    return spark.read.text(f"{root}/spark_ml_results_latest.json").withColumnRenamed("value", "report"), lake
 
 
 def q_scoring_report(spark, sf_dir):
@@ -200,7 +226,8 @@ def q_scoring_report(spark, sf_dir):
 
     Each part is a one-row aggregate (or the model's 12 importances); the
     record is assembled from those scalars, no data rows are joined."""
-    model, train, scored = _scored_new_rows(spark, sf_dir)
+    model, scored = _scored_new_rows(spark, sf_dir)
+    train, _ = nutrition_split(spark, sf_dir)
     run = L.run_id()
     lake = scratch_path(spark, "lake")
     files = {
@@ -288,23 +315,51 @@ def q_model_same(spark, sf_dir):
 def q_batch_scoring_check(spark, sf_dir):
     """Rows of the batch scoring with their nutrients, and whether the error
     columns follow from the prediction."""
-    _, _, scored = _scored_new_rows(spark, sf_dir)
+    _, scored = _scored_new_rows(spark, sf_dir)
     err = F.abs(F.col("calories") - F.col("predicted_calories"))
     return scored.select(*NEW_KEYS, "food_item", "calories", F.col("nutrition_cluster").between(0, 4).alias("has_cluster"),
                          (F.abs(F.col("prediction_error") - err) < 1e-9).alias("error_right"))
 
 
 def q_training_report_check(spark, sf_dir):
-    """The determined fields of the training record, and whether its models load."""
-    report = q_training_report(spark, sf_dir)
+    """The determined fields of the training record, and whether the two models
+    it names load from the lake with the parameters it states."""
+    report, lake = _training_report(spark, sf_dir)
+    row = report.select(*[F.get_json_object("report", f"$.{p}").alias(n) for n, p in (
+        ("forest", "model_file"), ("clusters", "cluster_file"), ("trees", "model_parameters.numTrees"), ("k", "clustering.k"))]).first()
+    forest, clusters = ml.load(f"{lake}/{row['forest']}").stages[-1], ml.load(f"{lake}/{row['clusters']}").stages[-1]
+    stated = f'{{"numTrees":{forest.getNumTrees},"maxDepth":{forest.getMaxDepth()},"seed":{forest.getSeed()}}}'
     return report.select(
         F.get_json_object("report", "$.model_type").alias("model_type"),
         F.get_json_object("report", "$.model_parameters").alias("model_parameters"),
         F.get_json_object("report", "$.clustering.k").cast("int").alias("k"),
-        F.get_json_object("report", "$.model_file").startswith(f"{L.MODELS}/").alias("has_model"),
+        ((F.get_json_object("report", "$.model_parameters") == stated) & F.lit(len(forest.trees) == int(row["trees"]))).alias("forest_loads"),
+        F.lit(len(clusters.clusterCenters()) == int(row["k"])).alias("clusters_load"),
         (F.get_json_object("report", "$.metrics.rmse").cast("double") > 0).alias("has_metrics"))
 
 
+def q_kmeans_profile_check(spark, sf_dir):
+    """Every clean row, and whether no other centre is nearer than its own."""
+    model = nutrition_clusters(spark, sf_dir)
+    rows = model.transform(features_ext(spark, sf_dir)).withColumn("x", vector_to_array("nutrition_features"))
+    far = [sum((F.get("x", F.lit(i)) - float(v)) ** 2 for i, v in enumerate(c)) for c in model.stages[-1].clusterCenters()]
+    own = F.coalesce(*[F.when(F.col("nutrition_cluster") == k, d) for k, d in enumerate(far)])
+    return rows.select(*KEYS, "calories", (own <= F.least(*far) + 1e-9).alias("nearest"))
+
+
+def q_scorer_reloaded(spark, sf_dir):
+    """The whole scorer saved and loaded: the codes that the loaded one gives new
+    rows (an unseen label has the next free one), and whether both predict the
+    same."""
+    model = nutrition_scorer(spark, sf_dir)
+    path = scratch_path(spark, "ml-models") + "/nutrition_scorer"
+    ml.save(model, path)
+    added = ["nutrition_features", "features", "nutrition_cluster", *ml.ENCODED.values()]
+    first = model.transform(new_rows(spark, sf_dir)).withColumnRenamed("prediction", "first").drop(*added)
+    return ml.load(path).transform(first).select(
+        *NEW_KEYS, "food_item", "category", "meal_time", *ml.ENCODED.values(), (F.col("prediction") == F.col("first")).alias("same"))
+
+
 def q_scoring_report_check(spark, sf_dir):
     report = q_scoring_report(spark, sf_dir)
     return report.select(
@@ -321,6 +376,8 @@ def q_importance_check(spark, sf_dir):
 
 
 QUERIES = {
+    "kmeans_profile_check": q_kmeans_profile_check,
+    "scorer_reloaded": q_scorer_reloaded,
     "rf_prediction_check": q_rf_prediction_check,
     "rf_ext_check": q_rf_ext_check,
     "cluster_check": q_cluster_check,
