@@ -101,9 +101,11 @@ def user_score_columns() -> dict[str, Column]:
 
 def iso_instant(ts: Column) -> Column:
     """ISO-8601 UTC text of an instant (``...Z``), whatever the session
-    time zone is."""
-    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()),
+    time zone is, with 0, 3 or 6 fraction digits: as many groups of three as
+    it needs."""
+    text = F.date_format(F.to_utc_timestamp(ts, F.current_timezone()),
                          "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.regexp_replace(text, r"(?:\.000000|(?<=\.\d{3})000)Z$", "Z")
 
 
 def java_double_text(x: Column) -> Column:

@@ -201,11 +201,8 @@ SELECT event_id, "key", NULL, processor, ml_model, source, NULL, NULL, NULL, ml_
        alert_level, anomaly_score, anomaly_reasons, user_id, action, page_id
 FROM user_out"""
 
-AUDIT_LINES = f"""
-WITH {V_SENSOR},
-readings AS (SELECT event_id, sensor_id AS "key", "timestamp" AS original_timestamp, sensor_id,
-                    temperature, humidity FROM v_sensor),
-reasons AS (
+_AUDIT_SENSOR = """
+audit_reasons AS (
   SELECT *,
     CASE WHEN temperature > 35 THEN 3 WHEN temperature < 5 THEN 3
          WHEN temperature > 30 OR temperature < 10 THEN 1 ELSE 0 END AS t_pts,
@@ -220,7 +217,13 @@ lines AS (
     || ' (T:' || CAST(temperature AS VARCHAR) || '°C, H:' || CAST(CAST(humidity AS DOUBLE) AS VARCHAR)
     || '%, Score:' || CAST(t_pts + h_pts AS VARCHAR) || ')' AS line,
     'sensor-data' AS source
-  FROM reasons),
+  FROM audit_reasons)"""
+
+AUDIT_LINES = f"""
+WITH {V_SENSOR},
+readings AS (SELECT event_id, sensor_id AS "key", "timestamp" AS original_timestamp, sensor_id,
+                    temperature, humidity FROM v_sensor),
+{_AUDIT_SENSOR},
 {V_USER}
 SELECT * FROM lines
 UNION ALL
@@ -233,7 +236,13 @@ SELECT event_id,
   'user-events' AS source
 FROM v_user"""
 
-PINNED_ISO = "2024-02-01T00:00:00.000000Z"
+VARIED_AUDIT_LINES = f"""
+WITH {V_SENSOR_MSG},
+readings AS (SELECT * FROM sensor_parsed WHERE parse_ok),
+{_AUDIT_SENSOR}
+SELECT event_id, line FROM lines"""
+
+PINNED_ISO = "2024-02-01T00:00:00Z"
 PINNED_EPOCH = 1706745600
 
 PREDICTION_MESSAGES = f"""
@@ -259,7 +268,16 @@ SELECT 'ml-predictions', "key",
   event_id
 FROM user_out"""
 
+def _instant(expr: str) -> str:
+    micros = f"epoch_us({expr}) % 1000000"
+    return f"""strftime({expr}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN {micros} = 0 THEN ''
+      WHEN {micros} % 1000 = 0 THEN '.' || lpad(CAST({micros} // 1000 AS VARCHAR), 3, '0')
+      ELSE '.' || lpad(CAST({micros} AS VARCHAR), 6, '0') END || 'Z'"""
+
+
 ORACLE = {
+    "instant_text": f"""SELECT event_id, {_instant("ts")} AS micros, {_instant("date_trunc('millisecond', ts)")} AS millis,
+      {_instant("date_trunc('second', ts)")} AS seconds FROM events""",
     "prediction_messages": PREDICTION_MESSAGES,
     "sensor_anomalies": SENSOR_ANOMALIES,
     "sensor_parse": SENSOR_PARSE,

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilo.functions.rules import iso_instant
 from vigilo.operators import messages as M
 from vigilo.operators import scoring as S
+from vigilo.operators.metrics import epoch_micros
 from vigilo.sources.messages import sensor_messages, user_messages
+from vigilo.sources.tables import read_table
 
 
 def _no_processing_time(df: DataFrame) -> DataFrame:
@@ -87,7 +90,17 @@ def q_audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensor.unionByName(user)
 
 
+def q_instant_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times as the instant text of the output records: fractions of six,
+    three and no digits."""
+    ts = F.timestamp_micros(epoch_micros(F.col("ts")))
+    return read_table(spark, sf_dir, "events", ["event_id", "ts"]).select(
+        "event_id", iso_instant(ts).alias("micros"),
+        iso_instant(F.date_trunc("millisecond", ts)).alias("millis"), iso_instant(F.date_trunc("second", ts)).alias("seconds"))
+
+
 QUERIES = {
+    "instant_text": q_instant_text,
     "sensor_anomalies": q_sensor_anomalies,
     "sensor_parse": q_sensor_parse,
     "user_parse": q_user_parse,

@@ -2,7 +2,7 @@
 batch result over the same records, so the batch oracles apply."""
 
 from vigilo.plans.scoring_oracle import (DEAD_LETTERS, PREDICTION_MESSAGES, SENSOR_ANOMALIES,
-                                         USER_ANOMALIES, V_SENSOR)
+                                         USER_ANOMALIES, V_SENSOR, VARIED_ANOMALIES, VARIED_AUDIT_LINES)
 
 STREAM_SOURCE = f"""
 WITH {V_SENSOR}
@@ -13,6 +13,10 @@ SELECT 'sensor-data' AS topic, sensor_id AS "key",
 FROM v_sensor"""
 
 ORACLE = {
+    "fanout_anomalies": VARIED_ANOMALIES,
+    "fanout_dead_letters": DEAD_LETTERS,
+    "fanout_audit_lines": VARIED_AUDIT_LINES,
+    "topic_totals_kept": "SELECT event_type AS topic, count(*) AS messages FROM events GROUP BY event_type",
     "stream_source": STREAM_SOURCE,
     "stream_sensor": SENSOR_ANOMALIES,
     "stream_user": USER_ANOMALIES,

@@ -11,13 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilo.operators import messages as M
 from vigilo.operators import scoring as S
 from vigilo.plans.scoring_queries import pinned_now
 from vigilo.session import scratch_path
 from vigilo.sources.messages import sensor_messages, user_messages
 from vigilo.sources.tables import read_table
+from vigilo.streaming import fanout as FO
 from vigilo.streaming import io as SIO
 from vigilo.streaming import scoring as SF
+from vigilo.streaming import totals as KT
 
 # Input of one micro-batch; a larger backlog takes more batches, not larger ones.
 BYTES_PER_TRIGGER = 64 << 30
@@ -107,7 +110,51 @@ def q_stream_sink(spark, sf_dir):
     return sinks[0].unionByName(sinks[1])
 
 
+def _fanned_out(spark, sf_dir, output: str) -> DataFrame:
+    """One run of the sensor topology into its three sinks; one of them read back."""
+    root = scratch_path(spark, "stream-fanout")
+    messages = sensor_messages(spark, sf_dir, varied=True)
+    _stage(messages, f"{root}/in")
+    SIO.run_until_caught_up(FO.sensor_fan_out(_stream_of(spark, root, "sensor-data"), f"{root}/out"))
+    schema = FO.SENSOR_OUTPUTS[output](M.parse_sensor(messages)).schema
+    return FO.read_sink(spark, f"{root}/out/{output}", schema)
+
+
+def q_fanout_anomalies(spark, sf_dir):
+    return _fanned_out(spark, sf_dir, "anomalies").drop(*S.PROCESSING_TIME)
+
+
+def q_fanout_dead_letters(spark, sf_dir):
+    return _fanned_out(spark, sf_dir, "dead_letters")
+
+
+def q_fanout_audit_lines(spark, sf_dir):
+    return _fanned_out(spark, sf_dir, "audit_lines")
+
+
+TOPICS = ["click", "error", "purchase", "signup", "view"]
+
+
+def q_topic_totals_kept(spark, sf_dir):
+    """Messages per topic, counted while two arrivals are read in two runs on
+    one checkpoint."""
+    root = scratch_path(spark, "stream-totals")
+    events = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"]).select(
+        F.col("event_type").alias("topic"), F.col("user_id").cast("string").alias("key"),
+        F.col("value").cast("string").alias("value"), "event_id")
+    first = F.col("event_id") % 2 == 0
+    with KT.kept_totals(spark, f"{root}/totals"):
+        for part in (first, ~first):
+            _stage(events.where(part), f"{root}/in")
+            _run(KT.observed(_stream_of(spark, root, "events"), TOPICS), root)
+    return KT.totals(spark, f"{root}/totals")
+
+
 QUERIES = {
+    "fanout_anomalies": q_fanout_anomalies,
+    "fanout_dead_letters": q_fanout_dead_letters,
+    "fanout_audit_lines": q_fanout_audit_lines,
+    "topic_totals_kept": q_topic_totals_kept,
     "stream_source": q_stream_source,
     "stream_sensor": q_stream_sensor,
     "stream_user": q_stream_user,

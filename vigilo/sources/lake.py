@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -40,7 +41,7 @@ def read_csv_or_none(spark: SparkSession, path: str,
                      schema: StructType | str | None = None) -> DataFrame | None:
     """``None`` when the path does not exist, so a caller can fall back; any
     other failure (permission, schema) surfaces."""
-    return read_csv(spark, path, schema) if _exists(spark, path) else None
+    return read_csv(spark, path, schema) if exists(spark, path) else None
 
 
 def _folder(spark: SparkSession, path: str):
@@ -49,11 +50,41 @@ def _folder(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     fs, where = _folder(spark, path)
     return fs.exists(where)
 
 
+def put_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> bool:
+    """Write a small record as one file; whether it did.  Without ``overwrite``
+    a file that is there already is left as it is: of several writers of one
+    path only the first succeeds (the store's exclusive create)."""
+    fs, where = _folder(spark, path)
+    try:
+        out = fs.create(where, overwrite)
+    except Py4JJavaError as exc:
+        if not overwrite and fs.exists(where):
+            return False
+        raise exc
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    return True
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small record, ``None`` when there is none."""
+    fs, where = _folder(spark, path)
+    if not fs.exists(where):
+        return None
+    source = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
 def read_or_fallback(spark: SparkSession, path: str, schema: StructType | str, min_rows: int,
                      fallback: DataFrame) -> DataFrame:
     """The data set at ``path`` when it is there and long enough; otherwise
