@@ -43,7 +43,37 @@ def _rate(legend: str, scale: int = 1) -> str:
     return f"{_rates(scale)} SELECT pod, namespace, ts, pod || ' - {legend}' AS name, rate FROM rates"
 
 
+STEP_US, LOOKBACK_US = 43_200_000_000, 86_400_000_000
+V_GRID = f"""
+grid AS (SELECT make_timestamp(unnest(range((min(epoch_us(ts)) // {STEP_US}) * {STEP_US},
+    (max(epoch_us(ts)) + {STEP_US} - 1) // {STEP_US} * {STEP_US} + 1, {STEP_US}))) AS t FROM events)"""
+# An as-of join: each grid time with each series' last sample before it.
+V_INSTANT = f"""
+series AS (SELECT DISTINCT pod, namespace, phase FROM v_gauge),
+current AS (SELECT s.pod, s.namespace, s.phase, s.t, g.value FROM (SELECT * FROM series, grid) s
+  ASOF JOIN (SELECT pod, namespace, ts, max(value) AS value FROM v_gauge GROUP BY pod, namespace, ts) g
+    ON s.pod = g.pod AND s.namespace = g.namespace AND s.t >= g.ts
+  WHERE epoch_us(g.ts) > epoch_us(s.t) - {LOOKBACK_US})"""
+
 ORACLE = {
+    "metric_instant_grid": f"""WITH {V_METRIC}, {V_GRID}, {V_INSTANT}
+      SELECT pod, namespace, t AS ts, round(value, 6) AS value FROM current WHERE pod LIKE 'pod-1%'""",
+    "metric_sum_by_step": f"""WITH {V_METRIC}, {V_GRID}, {V_INSTANT}
+      SELECT t AS ts, phase, round(sum(value), 6) AS value FROM current GROUP BY t, phase""",
+    "metric_rate_grid": f"""WITH {V_METRIC}, {V_GRID},
+      samples AS (SELECT pod, namespace, epoch_us(ts) AS at_us, value,
+          coalesce(CASE WHEN value < lag(value) OVER w THEN lag(value) OVER w END, 0.0) AS lost
+        FROM v_metric WHERE container <> 'POD' WINDOW w AS (PARTITION BY pod, namespace ORDER BY ts, value)),
+      wins AS (SELECT pod, namespace, t, epoch_us(t) AS t_us, count(*) AS n, min(at_us) AS a, max(at_us) AS z,
+          arg_min(value, {'{'}'t': at_us, 'v': value{'}'}) AS first_v, arg_max(value, {'{'}'t': at_us, 'v': value{'}'}) AS last_v,
+          sum(lost) - arg_min(lost, {'{'}'t': at_us, 'v': value{'}'}) AS lost
+        FROM grid JOIN samples ON at_us <= epoch_us(t) AND at_us > epoch_us(t) - {RATE_W_US} GROUP BY pod, namespace, t HAVING count(*) >= 2),
+      parts AS (SELECT *, last_v - first_v + lost AS inc, (z - a) / 1000000.0::DOUBLE AS sampled, (z - a) / 1000000.0::DOUBLE / (n - 1) AS mean,
+          (a - (t_us - {RATE_W_US})) / 1000000.0::DOUBLE AS s, (t_us - z) / 1000000.0::DOUBLE AS e FROM wins WHERE z > a),
+      edges AS (SELECT *, CASE WHEN s >= 1.1 * mean THEN mean / 2 ELSE s END AS s2, CASE WHEN e >= 1.1 * mean THEN mean / 2 ELSE e END AS e2,
+          CASE WHEN inc > 0 AND first_v >= 0 THEN sampled * (first_v / inc) END AS zero FROM parts)
+      SELECT pod, namespace, t AS ts, pod || ' - RX' AS name,
+        round(inc * ((sampled + least(s2, coalesce(zero, s2)) + e2) / sampled) / {RATE_W_US / 1_000_000}, 10) AS rate FROM edges""",
     "metric_select": f"""WITH {V_METRIC}
       SELECT pod, namespace, ts, round(value, 6) AS value FROM v_gauge
       WHERE namespace = 'view' AND regexp_full_match(pod, 'pod-1.*') AND container <> 'POD'""",

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilo.operators import grids as GR
 from vigilo.operators import metrics as MT
 from vigilo.sources.metrics import COUNTER, CPU, GAUGE, MEMORY, TRANSMIT, metric_samples
+from vigilo.sources.tables import read_table
 
 SELECTOR = [("namespace", "=", "view"), ("pod", "=~", "pod-1.*"), ("container", "!=", "POD")]
 RATE_SELECTOR = [("pod", "=~", "pod-.*"), ("container", "!=", "POD")]
@@ -104,7 +106,45 @@ def q_metric_overlay(spark, sf_dir):
     return MT.overlay([(name, _flat(df)) for name, df in panels])
 
 
+# The grid of the stepped panels: every twelve hours over the samples' days.
+STEP_US, GRID_WINDOW_US, LOOKBACK_US = 43_200_000_000, RATE_WINDOW_S * 1_000_000, 86_400_000_000
+
+
+def _grid(samples: DataFrame) -> tuple[int, int]:
+    """First and last grid time: whole steps around the samples' time range."""
+    span = samples.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select(
+        *[MT.epoch_micros(F.col(c)).alias(c) for c in ("lo", "hi")]).first()
+    if span["lo"] is None:
+        return 0, 0
+    return span["lo"] // STEP_US * STEP_US, -(-span["hi"] // STEP_US) * STEP_US
+
+
+def q_metric_rate_grid(spark, sf_dir):
+    """``rate`` of a counter panel at every step."""
+    events = read_table(spark, sf_dir, "events", ["ts"])
+    counter = MT.select_series(metric_samples(spark, sf_dir, COUNTER), COUNTER, RATE_SELECTOR)
+    r = GR.rate_grid(counter, *_grid(events), STEP_US, GRID_WINDOW_US, chunk_reaches=1)
+    return r.select(MT.label("pod").alias("pod"), MT.label("namespace").alias("namespace"), "ts",
+                    MT.series_name("{{pod}} - RX").alias("name"), F.round("rate", 10).alias("rate"))
+
+
+def q_metric_instant_grid(spark, sf_dir):
+    """Each gauge's current value at every step."""
+    gauge = MT.select_series(metric_samples(spark, sf_dir, GAUGE), GAUGE, [("pod", "=~", "pod-1.*")])
+    return _flat(GR.instant_grid(gauge, *_grid(read_table(spark, sf_dir, "events", ["ts"])), STEP_US, LOOKBACK_US))
+
+
+def q_metric_sum_by_step(spark, sf_dir):
+    """``sum by (phase)`` of the current values at every step."""
+    gauge = MT.select_series(metric_samples(spark, sf_dir, GAUGE), GAUGE, [("pod", "=~", "pod-.*")])
+    vectors = GR.instant_grid(gauge, *_grid(read_table(spark, sf_dir, "events", ["ts"])), STEP_US, LOOKBACK_US)
+    return GR.sum_by_step(vectors, ["phase"]).withColumn("value", F.round("value", 6))
+
+
 QUERIES = {
+    "metric_rate_grid": q_metric_rate_grid,
+    "metric_instant_grid": q_metric_instant_grid,
+    "metric_sum_by_step": q_metric_sum_by_step,
     "metric_select": q_metric_select,
     "metric_range": q_metric_range,
     "metric_sum_by": q_metric_sum_by,
