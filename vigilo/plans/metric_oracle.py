@@ -73,7 +73,7 @@ ORACLE = {
       edges AS (SELECT *, CASE WHEN s >= 1.1 * mean THEN mean / 2 ELSE s END AS s2, CASE WHEN e >= 1.1 * mean THEN mean / 2 ELSE e END AS e2,
           CASE WHEN inc > 0 AND first_v >= 0 THEN sampled * (first_v / inc) END AS zero FROM parts)
       SELECT pod, namespace, t AS ts, pod || ' - RX' AS name,
-        round(inc * ((sampled + least(s2, coalesce(zero, s2)) + e2) / sampled) / {RATE_W_US / 1_000_000}, 10) AS rate FROM edges""",
+        round(inc * ((sampled + least(s2, coalesce(zero, s2)) + e2) / sampled) / {RATE_W_US / 1_000_000}, 12) AS rate FROM edges""",
     "metric_select": f"""WITH {V_METRIC}
       SELECT pod, namespace, ts, round(value, 6) AS value FROM v_gauge
       WHERE namespace = 'view' AND regexp_full_match(pod, 'pod-1.*') AND container <> 'POD'""",

@@ -125,7 +125,7 @@ def q_metric_rate_grid(spark, sf_dir):
     counter = MT.select_series(metric_samples(spark, sf_dir, COUNTER), COUNTER, RATE_SELECTOR)
     r = GR.rate_grid(counter, *_grid(events), STEP_US, GRID_WINDOW_US, chunk_reaches=1)
     return r.select(MT.label("pod").alias("pod"), MT.label("namespace").alias("namespace"), "ts",
-                    MT.series_name("{{pod}} - RX").alias("name"), F.round("rate", 10).alias("rate"))
+                    MT.series_name("{{pod}} - RX").alias("name"), F.round("rate", 12).alias("rate"))
 
 
 def q_metric_instant_grid(spark, sf_dir):
