@@ -17,6 +17,13 @@ FOOD_SCHEMA_JSON = ('{"food_item":"string","category":"string","weight_grams":"d
                     '"timestamp":"timestamp_ntz"}')
 
 ORACLE = {
+    "ingest_once": f"WITH {V_FOOD} SELECT * FROM clean",
+    "manifest_check": f"WITH {V_FOOD} SELECT count(*) AS rows, TRUE AS whole, TRUE AS change_found, TRUE AS loss_found FROM clean",
+    "version_log": f"""WITH {V_FOOD}
+      SELECT CAST(1 AS INTEGER) AS version, {KEYS}, calories, TRUE AS late_refused FROM food
+      UNION ALL SELECT 2, {KEYS}, calories, TRUE FROM clean""",
+    "distinct_by_range": " UNION ALL ".join(f"""SELECT '{u}' AS unit, CAST(CAST(date_trunc('{u}', l_shipdate) AS DATE) AS VARCHAR) AS start,
+        count(DISTINCT l_partkey) AS exact, TRUE AS within FROM lineitem GROUP BY ALL""" for u in ("month", "year")),
     "csv_scan": f"WITH {V_FOOD} SELECT * FROM food",
     "csv_roundtrip": f"""WITH {V_SCORED}
       SELECT {KEYS}, calories, predicted_calories, prediction_error, prediction_error_pct

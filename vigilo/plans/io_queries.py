@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from vigilo.operators import features as FT
 from vigilo.operators import profile as P
+from vigilo.operators import sketches as SK
 from vigilo.plans.food_queries import KEYS, _food, clean_food
 from vigilo.session import scratch_path
 from vigilo.sources import lake as L
 from vigilo.sources import topics as T
-from vigilo.sources.food import FOOD_COLUMNS, catalog_rows, portion_rows, scored_rows
+from vigilo.sources import versions as VL
+from vigilo.sources.food import FOOD_COLUMNS, ORDER_KEY, catalog_rows, portion_rows, scored_rows
+from vigilo.sources.tables import read_table
 
 
 def q_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +110,76 @@ def q_topic_totals(spark, sf_dir):
     return T.totals(T.topic_records(spark, sf_dir))
 
 
+def q_ingest_once(spark, sf_dir):
+    """A stopped ingest left half a data set: the next one replaces it, the one
+    after that (with other rows) finds it whole and leaves it."""
+    path = scratch_path(spark, "ingest") + "/food.csv"
+    clean = clean_food(spark, sf_dir)
+    L.write_csv(clean.where("l_linenumber < 3"), path)
+    L.ingest_once(clean, path, "csv")
+    L.ingest_once(clean.where("l_linenumber > 3"), path, "csv")
+    return L.read_dataset(spark, path, clean.schema, "csv")
+
+
+def q_manifest_check(spark, sf_dir):
+    """Rows by the manifest, and whether the data set is found whole as written,
+    changed after one value changed, and not whole after a row went."""
+    root, clean = scratch_path(spark, "manifest"), clean_food(spark, sf_dir)
+    rows = L.write_complete(clean, f"{root}/food")["rows"]
+    text = L.get_text(spark, f"{root}/food/{L.MANIFEST}")
+    one = clean.agg(F.min(F.struct(*ORDER_KEY)).alias("k")).select("k.*").first()
+    here = F.lit(True)
+    for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"):
+        here = here & (F.col(c) == F.lit(one[c]))
+    found = {}
+    for name, other in (("changed", clean.withColumn("fat_g", F.when(here, F.col("fat_g") + 1).otherwise(F.col("fat_g")))),
+                        ("shorter", clean.where(~here))):
+        L.write_parquet(other, f"{root}/{name}")
+        L.put_text(spark, f"{root}/{name}/{L.MANIFEST}", text)
+        found[name] = not L.is_complete(spark, f"{root}/{name}", clean.schema)
+    return spark.createDataFrame([(rows, L.is_complete(spark, f"{root}/food", clean.schema), found["changed"], found["shorter"])],
+                                 "rows long, whole boolean, change_found boolean, loss_found boolean")
+
+
+def q_version_log(spark, sf_dir):
+    """Two versions of the food table and a writer that came too late: the rows
+    of both versions as read back by number, and whether the late one was refused."""
+    root = scratch_path(spark, "version-log") + "/food"
+    food, clean = _food(spark, sf_dir), clean_food(spark, sf_dir)
+    first = VL.commit(food, root, parent=0)
+    VL.commit(clean, root, parent=first)
+    try:
+        VL.commit(food, root, parent=first)
+        refused = False
+    except VL.VersionConflict:
+        refused = True
+    versions = [VL.read(spark, root, v).select(F.lit(v).alias("version"), *KEYS, "calories", F.lit(refused).alias("late_refused")) for v in (1, 2)]
+    return versions[0].unionByName(versions[1])
+
+
+def q_distinct_by_range(spark, sf_dir):
+    """Distinct parts shipped, by day as stored sketches, merged to months and
+    years: the exact number, and whether the estimate lies within its bound."""
+    items = read_table(spark, sf_dir, "lineitem", ["l_shipdate", "l_partkey"]).withColumn("day", F.to_date("l_shipdate"))
+    path = scratch_path(spark, "sketches")
+    SK.sketches(items, ["day"], "l_partkey").write.parquet(path)
+    stored = spark.read.parquet(path)
+    out = None
+    for unit in ("month", "year"):
+        start = F.to_date(F.date_trunc(unit, "day"))
+        merged = SK.merged(stored.withColumn("start", start), ["start"])
+        exact = items.groupBy(start.alias("start")).agg(F.count_distinct("l_partkey").alias("exact"))
+        one = merged.join(exact, "start").select(F.lit(unit).alias("unit"), F.col("start").cast("string").alias("start"), "exact",
+                                                 SK.within(F.col("estimate"), F.col("exact")).alias("within"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
+    "ingest_once": q_ingest_once,
+    "manifest_check": q_manifest_check,
+    "version_log": q_version_log,
+    "distinct_by_range": q_distinct_by_range,
     "csv_scan": q_csv_scan,
     "csv_roundtrip": q_csv_roundtrip,
     "parquet_roundtrip": q_parquet_roundtrip,

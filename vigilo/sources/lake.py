@@ -9,6 +9,7 @@ Credentials come from the Spark/Hadoop configuration, never from code.
 from __future__ import annotations
 
 import datetime as _dt
+import json
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -143,6 +144,54 @@ def verify_write(spark: SparkSession, df: DataFrame, path: str, fmt: str = "parq
                                  F.lit(written == read).alias("verified"))
 
 
+# As text, times keep their microseconds (Spark's own CSV format has three digits).
+_CSV = {"header": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+MANIFEST = "_manifest.json"  # readers pass over names with an underscore
+
+
+def table_digest(columns: list[str]) -> list[Column]:
+    """``(rows, digest)`` aggregates of a table: the digest is the sum of the rows'
+    64-bit hashes, so it depends on every value and on no order or layout."""
+    total = F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(38,0)"))
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(total.cast("string"), F.lit("0")).alias("digest")]
+
+
+def write_complete(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
+    """Write a data set and then its manifest (rows and digest, observed on the
+    write itself).  The manifest is the last thing written and goes first when
+    a data set is replaced, so a folder without one is not whole."""
+    seen = Observation()
+    writer = df.observe(seen, *table_digest(df.columns)).write.mode("overwrite").format(fmt)
+    writer.options(**_CSV if fmt == "csv" else {}).save(path)
+    manifest = {"rows": seen.get["rows"], "digest": seen.get["digest"]}
+    put_text(df.sparkSession, f"{path}/{MANIFEST}", json.dumps(manifest), overwrite=True)
+    return manifest
+
+
+def read_dataset(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
+    """What ``write_complete`` wrote."""
+    return spark.read.schema(schema).format(fmt).options(**_CSV if fmt == "csv" else {}).load(path)
+
+
+def is_complete(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", content: bool = True) -> bool:
+    """Whether the data set at ``path`` was written to its end and, with
+    ``content`` (one scan), still holds the rows that were written."""
+    text = get_text(spark, f"{path}/{MANIFEST}")
+    if text is None or not content:
+        return text is not None
+    rows = read_dataset(spark, path, schema, fmt)
+    return rows.agg(*table_digest(rows.columns)).first().asDict() == json.loads(text)
+
+
+def ingest_once(df: DataFrame, path: str, fmt: str = "parquet", content: bool = True) -> bool:
+    """Write ``df`` unless a whole, unchanged data set is there; whether it did.
+    What a stopped run left behind is replaced."""
+    if is_complete(df.sparkSession, path, df.schema, fmt, content):
+        return False
+    write_complete(df, path, fmt)
+    return True
+
+
 def dataset_names(spark: SparkSession, root: str) -> list[tuple[str, str]]:
     """``(dataset, path)`` of every data set in ``root``: a file, or the folder
     a Spark writer produced.  One level is listed, no part files."""
