@@ -81,12 +81,27 @@ def regression_metrics(df: DataFrame, label: str = "calories", prediction: str =
     return agg.select(n.alias("n"), *[v.alias(k) for k, v in out.items()])
 
 
+def iso_local(t: Column) -> Column:
+    """ISO text of a timestamp, microseconds only when non-zero (like Python's
+    ``isoformat``)."""
+    return F.when(F.date_format(t, "SSSSSS") == "000000", F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")) \
+        .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+#: Fixed value: what the generated food rows name as their source.
+DATA_SOURCE = "big_data_generator"
+
+
+def with_provenance(df: DataFrame, now: Column | None = None, source: str = DATA_SOURCE) -> DataFrame:
+    """``created_at`` (processing time, injectable) and ``data_source``."""
+    return df.withColumns({"created_at": iso_local(now if now is not None else F.current_timestamp()), "data_source": F.lit(source)})
+
+
 def format_times(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Three text forms of a timestamp: log text, ISO (microseconds only
     when non-zero, like Python's ``isoformat``) and a run id."""
     t = F.col(ts)
-    iso = F.when(F.date_format(t, "SSSSSS") == "000000", F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")) \
-        .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    iso = iso_local(t)
     return df.withColumns({
         "ts_text": F.date_format(t, "yyyy-MM-dd HH:mm:ss"),
         "ts_iso": iso,

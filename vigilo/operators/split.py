@@ -138,9 +138,10 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], name: str = "r
 
 
 def _bucket_bits(df: DataFrame) -> int:
-    """Leading bits that make about sqrt(n) buckets, by the optimizer's size of
-    the input; the split itself does not depend on them."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Leading bits that make about sqrt(n) buckets, by the size of the largest
+    table that is read; the split itself does not depend on them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = max(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return max(4, min(MOST_BUCKET_BITS, (size // 64).bit_length() // 2))
 
 

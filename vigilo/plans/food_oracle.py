@@ -147,6 +147,13 @@ ORACLE = {
         {sr('greatest(carbs * (weight_grams / 100), 0.0)', 2)} AS carbs_g,
         {sr('greatest(fat * (weight_grams / 100), 0.0)', 2)} AS fat_g
       FROM portions JOIN catalog USING (part_key)""",
+    "food_provenance": f"""WITH {V_CATALOG},
+      portions AS (SELECT l_orderkey, l_linenumber, l_partkey AS part_key,
+        {sr('least(greatest(l_quantity * 10, 10.0), 1000.0)', 1)} AS weight_grams FROM lineitem)
+      SELECT l_orderkey, l_linenumber, printf('food_%06d', l_orderkey) AS sample_id,
+        {sr('greatest(base_cal * (weight_grams / 100), 1.0)', 1)} AS calories,
+        '2024-02-01T00:00:00.250000' AS created_at, 'big_data_generator' AS data_source
+      FROM portions JOIN catalog USING (part_key)""",
     "format_times": """
       SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text,
         CASE WHEN strftime(ts, '%f') = '000000' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')

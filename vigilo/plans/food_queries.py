@@ -106,6 +106,13 @@ def q_portion_nutrients(spark, sf_dir):
         "weight_grams", "calories", "protein_g", "carbs_g", "fat_g")
 
 
+def q_food_provenance(spark, sf_dir):
+    """The generated rows with their creation time (pinned) and source."""
+    now = F.lit("2024-02-01 00:00:00.25").cast("timestamp_ntz")
+    rows = FT.with_provenance(q_portion_nutrients(spark, sf_dir), now)
+    return rows.select("l_orderkey", "l_linenumber", "sample_id", "calories", "created_at", "data_source")
+
+
 def q_format_times(spark, sf_dir):
     events = read_table(spark, sf_dir, "events", ["event_id", "ts"])
     return FT.format_times(events).drop("ts")
@@ -241,6 +248,7 @@ QUERIES = {
     "feature_profile": q_feature_profile,
     "group_summary": q_group_summary,
     "portion_nutrients": q_portion_nutrients,
+    "food_provenance": q_food_provenance,
     "format_times": q_format_times,
     "prediction_errors": q_prediction_errors,
     "prediction_stats": q_prediction_stats,

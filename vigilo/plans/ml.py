@@ -19,7 +19,7 @@ Two parameter sets mirror the two batch jobs:
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
@@ -137,13 +137,23 @@ def importances(model: PipelineModel, names: list[str]) -> list[tuple[str, float
 
 def fit(pipeline: Pipeline, train: DataFrame, inputs: list[str], partitions: int | None = None) -> PipelineModel:
     """Fit on the named columns of the training rows, spread over
-    ``partitions`` tasks (default: the session's shuffle partitions) and
-    persisted once for MLlib's several passes.  MEMORY_AND_DISK: a lost
-    executor's blocks are recomputed from the plan, nothing is lost."""
+    ``partitions`` tasks (default: the session's shuffle partitions).
+
+    The feature stages take one pass each; then only what the last stage reads
+    (feature vector and label) is persisted for its many passes, the one copy
+    there is of the rows.  MEMORY_AND_DISK: a lost executor's blocks are
+    recomputed from the plan, nothing is lost."""
     parts = partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = train.select(*inputs).repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    frame = train.select(*inputs).repartition(parts)
+    *features, last = pipeline.getStages()
+    fitted = []
+    for stage in features:
+        fitted.append(stage.fit(frame) if isinstance(stage, Estimator) else stage)
+        frame = fitted[-1].transform(frame)
+    read = [last.getFeaturesCol(), *([last.getLabelCol()] if last.hasParam("labelCol") else [])]
+    rows = frame.select(*read).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return pipeline.fit(rows)
+        return PipelineModel([*fitted, last.fit(rows)])
     finally:
         rows.unpersist()
 

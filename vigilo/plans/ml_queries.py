@@ -17,9 +17,10 @@ from vigilo.operators import split as SP
 from vigilo.operators.encoder_stage import CodeEncoderModel
 from vigilo.plans import ml
 from vigilo.plans.food_queries import KEYS, clean_food
-from vigilo.session import scratch_path, table_path
+from vigilo.session import scratch_path
 from vigilo.sources import lake as L
 from vigilo.sources.food import ORDER_KEY, catalog_rows, portion_rows
+from vigilo.sources.tables import table_state
 
 
 def features_base(spark, sf_dir) -> DataFrame:
@@ -38,23 +39,11 @@ def calorie_split(spark, sf_dir):
 _FITTED: dict[tuple, object] = {}
 
 
-def _state(spark, sf_dir: str) -> tuple:
-    """What the input tables are at this moment: modification time, number of
-    files and bytes of each, two calls a table."""
-    out = []
-    for table in ("lineitem", "part"):
-        where = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, table))
-        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-        held = fs.getContentSummary(where)
-        out += [fs.makeQualified(where).toString(), fs.getFileStatus(where).getModificationTime(), held.getFileCount(), held.getLength()]
-    return tuple(out)
-
-
 def _fitted(spark, sf_dir: str, name: str, fit):
     """Fit once per (application, state of the input, model) and reuse: several
     queries report on the same fitted pipeline.  A table that was written
     again has another time or size and is fitted anew."""
-    key = (spark.sparkContext.applicationId, _state(spark, sf_dir), name)
+    key = (spark.sparkContext.applicationId, table_state(spark, sf_dir, ["lineitem", "part"]), name)
     if key not in _FITTED:
         _FITTED[key] = fit()
     return _FITTED[key]

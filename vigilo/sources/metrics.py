@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from vigilo.operators.metrics import epoch_micros
 from vigilo.operators.split import running_total
-from vigilo.sources.tables import read_table
+from vigilo.sources.tables import read_table, written_once
 
 COUNTER = "requests_total"
 GAUGE = "events_value"
@@ -46,9 +46,10 @@ def metric_samples(spark: SparkSession, sf_dir: str, name: str = COUNTER) -> Dat
     if name in (COUNTER, CPU, TRANSMIT):
         # Running sum per (user, type, day), computed by key-range buckets so
         # one busy series-day is still spread over many tasks.
-        events = running_total(
+        # The sums are the metric store's content: written once per application.
+        events = written_once(spark, sf_dir, ["events"], "counters", lambda: running_total(
             events.withColumn("day", F.to_date("ts")).withColumn("t_us", epoch_micros(F.col("ts"))),
-            ["user_id", "event_type", "day"], ["t_us", "event_id"], F.col("value"), "counter")
+            ["user_id", "event_type", "day"], ["t_us", "event_id"], F.col("value"), "counter"))
         value = F.col("counter")
     return events.select(F.lit(name).alias("metric"), _labels().alias("labels"),
                          F.col("ts"), (value * SCALE[name]).alias("value"))

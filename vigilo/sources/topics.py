@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilo.operators.split import stratified_rank
-from vigilo.sources.tables import read_table
+from vigilo.sources.tables import read_table, written_once
 
 PARTITIONS = 9
 
 
 def topic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic: written once per application, as a broker would hold it."""
+    return written_once(spark, sf_dir, ["events"], "topic-records", lambda: _bound(spark, sf_dir))
+
+
+def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type",
                                                   "value"])
     shaped = events.select(
