@@ -81,7 +81,7 @@ def test_building_queries_runs_no_probing_jobs(spark):
     from vigilo.plans import food_queries, metric_queries, scoring_queries
     queries = {**food_queries.QUERIES, **metric_queries.QUERIES, **scoring_queries.QUERIES}
     jobs = lambda: set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
-    for name, tables in (("food_features", 2), ("portion_nutrients", 2), ("stratified_split", 2), ("random_split", 2),
+    for name, tables in (("food_features", 2), ("portion_nutrients", 2), ("random_split", 2),
                          ("metric_select", 1), ("sensor_anomalies", 1)):
         before = jobs()
         queries[name](spark, SF_SMALL)
