@@ -70,6 +70,31 @@ def test_training_beats_word_frequencies_on_other_documents(spark):
     assert lm.log_probabilities(w, c, y).mean() > np.log(share[y]).mean() > lm.log_probabilities(lm.start(), c, y).mean()
 
 
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    """The same rows in 1, 4 and 32 partitions, in other orders, several shards."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 50_000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = []
+    for parts in (1, 4, 32):
+        rows = docs.orderBy(docs.doc_id.desc() if parts == 4 else docs.text).repartition(parts)
+        counts = lm.word_counts(rows).cache()
+        model = lm.fit(rows, counts=counts)
+        words = lm.shares(counts, model[0], model[1]["embed"].shape[1])
+        got.append({r["key"]: r["mean_log_prob"] for r in lm.score(docs, model, words=words).collect()})
+    assert all(got[0][k] == got[i][k] or abs(got[0][k] - got[i][k]) < 0.01 for i in (1, 2) for k in got[0])
+
+
+def test_texts_are_trained_on_as_pieces(monkeypatch):
+    """Contexts and targets of id arrays are those of the texts."""
+    texts = ["a b c a b", "", "c", "a " * 70]
+    words, seen = lm.Words({"a": 1, "b": 2}), []
+    monkeypatch.setattr(lm.Trainer, "step", lambda self, c, y: seen.append((c, y)))
+    monkeypatch.setattr(lm, "PIECE", 30)
+    lm.Trainer(lm.start()).texts([np.array(words.of(t), dtype="<i4") for t in texts])
+    want = [np.concatenate(x) for x in zip(*[p[:2] for p in lm.pieces(words, texts)], strict=True)]
+    assert all(np.array_equal(np.concatenate(a), b) for a, b in zip(zip(*seen, strict=True), want, strict=True))
+
+
 def test_counts_and_empty_table(spark):
     df = spark.createDataFrame([(1, "A a b"), (2, None), (3, "b\na")], "doc_id long, text string")
     assert sorted(map(tuple, lm.word_counts(df).collect())) == [("a", 3), ("b", 2)]

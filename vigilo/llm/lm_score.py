@@ -15,18 +15,23 @@ Counts of the ``HEAD`` most frequent bucketed words (whole ranks of equal counts
 are broadcast.  Rarer words leave the scoring tasks as rows and are joined with
 the table of counts; a word counted once adds log 1 and needs no join.
 
-Training: word counts are gathered from all documents with Spark.  From a start
-fitted to a bounded sample (``START_DOCS``), every task runs one pass of AdaGrad
-over all tokens of its partition in numpy, and the weights, averaged by token
-counts, become the model: every token of the corpus is trained on once.  A
-task sends its weights in blocks, which Spark sums by block, so what is gathered
-follows the number of partitions and no task or driver holds more than one
-model.  The model, whose vocabulary doubles with ``GROWTH`` times the tokens, is
-broadcast for scoring.
+Training: word counts are gathered from all documents with Spark, then every
+document is written as its word ids, with a shard and a round by the hash of its
+key and text.  From a start fitted to the ``START_DOCS`` documents of the smallest
+hashes, each round trains one AdaGrad pass over its part of every shard, in hash
+order, side by side; weights and AdaGrad's sums, averaged by token counts, are
+what the next round begins with.  Every token of the corpus is trained on once.
+The number of shards follows the tokens alone, so the model does not depend on
+how the table is partitioned.  A shard sends its state in blocks, which Spark
+sums by block: no task or driver holds more than one model, and there are
+``SHARDS`` shards at most, however large the corpus.  The model, whose vocabulary
+doubles with ``GROWTH`` times the tokens, is broadcast for scoring.
 
 Null or empty texts have no tokens: log-probability 0, mean null.  Very long
 texts are trained on and scored in pieces that see their neighbours.  Repeated
-rows get equal scores.  Without any token the untrained start is used.
+rows are trained on as often as they stand there and get equal scores; words of
+equal counts are ranked by their text.  Without any token (an empty table, too)
+the untrained start is used.  Columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -49,8 +54,9 @@ VOCABULARY = CLASSES * PER_CLASS
 KNOWN = 640
 LEAST, GROWTH = 1 << 20, 16
 HEAD = 1 << 18
-BATCH, SCORED, RATE = 1 << 13, 1 << 15, 0.15
+BATCH, SCORED, RATE = 1 << 13, 1 << 13, 0.15
 START_DOCS, START_CHARS = 300, 20000
+ROUNDS, SHARD_TOKENS, SHARDS = 2, 1 << 22, 1 << 14
 COUNTED, REMEMBERED = 1 << 19, 1 << 18
 BLOCK = 4096
 PIECE = 1 << 17
@@ -190,30 +196,23 @@ class Codes(dict):
         self.words.clear()
 
 
+def id_pieces(ids: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context ids [n, 2 * SIDE], target ids, text numbers) of all tokens of texts
+    given as ids, ``PIECE`` at a time; boundaries stand around each text."""
+    gap = np.zeros(SIDE, dtype=np.int32)
+    x = np.concatenate([gap, *(p for own in ids for p in (gap, own, gap))])
+    n = np.array([len(own) for own in ids], dtype=np.int64)
+    starts = np.cumsum(n + 2 * SIDE) - n
+    of = np.repeat(np.arange(len(ids)), n)
+    at = np.arange(n.sum()) + (starts - (np.cumsum(n) - n))[of]
+    for s in range(0, len(at), PIECE):
+        own = at[s:s + PIECE]
+        yield np.stack([x[own + d] for d in range(-SIDE, SIDE + 1) if d], axis=1), x[own], of[s:s + PIECE]
+
+
 def pieces(words: Words | Codes, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(context ids [n, 2 * SIDE], target ids, text numbers) of all tokens, about ``PIECE`` at a time."""
-    ids: list[int] = [0] * SIDE
-    runs: list[tuple[int, int, int]] = []
-
-    def cut() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.array(ids, dtype=np.int32)
-        at = np.concatenate([np.arange(a, b) for _, a, b in runs])
-        sides = [x[at + s] for s in range(-SIDE, SIDE + 1) if s]
-        return np.stack(sides, axis=1), x[at], np.repeat([i for i, _, _ in runs], [b - a for _, a, b in runs])
-
-    for i, t in enumerate(texts):
-        own = words.of(t)
-        for s in range(0, len(own), PIECE):
-            e = min(len(own), s + PIECE)
-            ids += own[max(0, s - SIDE):s] if s else []
-            runs.append((i, len(ids), len(ids) + e - s))
-            ids += own[s:e + SIDE]
-            ids += [0] * (2 * SIDE)
-            if len(ids) >= PIECE:
-                yield cut()
-                ids, runs = [0] * SIDE, []
-    if runs:
-        yield cut()
+    """``id_pieces`` of texts."""
+    yield from id_pieces([np.array(words.of(t), dtype=np.int32) for t in texts])
 
 
 def start(seed: int = 1, classes: int = CLASSES, per_class: int = PER_CLASS) -> Weights:
@@ -225,9 +224,15 @@ def start(seed: int = 1, classes: int = CLASSES, per_class: int = PER_CLASS) ->
 _ONES = np.ones(1 << 16, dtype=np.float32)
 
 
-def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tame(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no logit can be too large for exp: hidden values are within 1."""
+    return bool((np.abs(weights).sum(axis=-2) + np.abs(bias)).max() <= 60)
+
+
+def _exp(x: np.ndarray, tame: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(exp, its row sums) of logits, which stay far below the bound."""
-    np.minimum(x, 60, out=x)
+    if not tame:
+        np.minimum(x, 60, out=x)
     np.exp(x, out=x)
     return x, x @ _ONES[:x.shape[1]]
 
@@ -242,16 +247,17 @@ def _hidden(w: Weights, context: np.ndarray) -> np.ndarray:
 def log_probabilities(w: Weights, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log p(word | both sides) of each row."""
     out = np.empty(len(target))
+    tame, tame_words = _tame(w["to_class"], w["class_bias"]), _tame(w["to_word"], w["word_bias"])
     for s in range(0, len(target), SCORED):
         c, y = context[s:s + SCORED], target[s:s + SCORED]
         group, order, ends = _by_class(w, y)
         h, y = _hidden(w, c[order]), y[order]
-        e, total = _exp(h @ w["to_class"] + w["class_bias"])
+        e, total = _exp(h @ w["to_class"] + w["class_bias"], tame)
         p = e[np.arange(len(y)), group[order]] / total
         for k in range(len(ends) - 1):
             a, b = ends[k], ends[k + 1]
             if a < b:
-                e, total = _exp(h[a:b] @ w["to_word"][k] + w["word_bias"][k])
+                e, total = _exp(h[a:b] @ w["to_word"][k] + w["word_bias"][k], tame_words)
                 p[a:b] *= e[np.arange(b - a), y[a:b] % e.shape[1]] / total
         out[s + order] = np.log(np.maximum(p, 1e-30))
     return out
@@ -272,19 +278,19 @@ def gradient(w: Weights, context: np.ndarray, target: np.ndarray) -> Weights:
     group, order, ends = _by_class(w, target)
     context, target, group = context[order], target[order], group[order]
     h = _hidden(w, context)
-    d, total = _exp(h @ w["to_class"] + w["class_bias"])
-    d /= total[:, None]
-    d[np.arange(n), group] -= 1
-    d /= n
+    tame, tame_words = _tame(w["to_class"], w["class_bias"]), _tame(w["to_word"], w["word_bias"])
+    part = np.float32(1 / n)
+    d, total = _exp(h @ w["to_class"] + w["class_bias"], tame)
+    d *= (part / total)[:, None]
+    d[np.arange(n), group] -= part
     g["to_class"], g["class_bias"] = h.T @ d, d.sum(axis=0)
     dh = d @ w["to_class"].T
     for k in range(len(ends) - 1):
         a, b = ends[k], ends[k + 1]
         if a < b:
-            q, total = _exp(h[a:b] @ w["to_word"][k] + w["word_bias"][k])
-            q /= total[:, None]
-            q[np.arange(b - a), target[a:b] % q.shape[1]] -= 1
-            q /= n
+            q, total = _exp(h[a:b] @ w["to_word"][k] + w["word_bias"][k], tame_words)
+            q *= (part / total)[:, None]
+            q[np.arange(b - a), target[a:b] % q.shape[1]] -= part
             g["to_word"][k], g["word_bias"][k] = h[a:b].T @ q, q.sum(axis=0)
             dh[a:b] += q @ w["to_word"][k].T
     dh *= 1 - h * h
@@ -298,11 +304,11 @@ def gradient(w: Weights, context: np.ndarray, target: np.ndarray) -> Weights:
 
 
 class Trainer:
-    """AdaGrad, batch by batch."""
+    """AdaGrad, batch by batch, from weights and (if given) sums of squares."""
 
-    def __init__(self, w: Weights):
+    def __init__(self, w: Weights, seen: Weights | None = None):
         self.w = {k: v.copy() for k, v in w.items()}
-        self.seen = {k: np.full_like(v, 1e-8) for k, v in w.items()}
+        self.seen = {k: v.copy() for k, v in seen.items()} if seen else {k: np.full_like(v, 1e-8) for k, v in w.items()}
         self.n = 0
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
@@ -313,6 +319,10 @@ class Trainer:
                 self.w[k] -= RATE * v / np.sqrt(self.seen[k])
         self.n += len(target)
 
+    def texts(self, ids: list[np.ndarray]) -> None:
+        for context, target, _ in id_pieces(ids):
+            self.step(context, target)
+
 
 def flat(w: Weights) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in SHAPES])
@@ -327,34 +337,132 @@ def shaped(x: np.ndarray, like: dict[str, tuple[int, ...]]) -> Weights:
     return out
 
 
+def _stored(size: int) -> str:
+    """How ids of a vocabulary are stored."""
+    return "<u2" if size <= 1 << 16 else "<i4"
+
+
+def encoded(df: DataFrame, known: dict[str, int], size: int, words: Shares | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, key, hash, ids, n_tokens, part, rest) for every row: the word ids of
+    its text, the sum of the logs of the parts that its words have of their
+    buckets, and the words whose counts have to be joined for that."""
+    few = (words.head, words.n, words.buckets) if words else ([], np.zeros(0), np.zeros(size))
+    sent = df.sparkSession.sparkContext.broadcast((known, few))
+    joined = words is not None and words.rest is not None
+    made: list[Codes] = []
+
+    def run(ids: list, keys: list, hashes: list, texts: list) -> dict[str, list]:
+        known, own = sent.value
+        if not made:
+            made.append(Codes(known, size, *own))
+        codes = made[0]
+        if len(codes.met) > REMEMBERED:
+            codes.forget()
+        of_text = [codes.of(t) for t in texts]
+        n = np.array([len(x) for x in of_text])
+        flat_ = np.array([c for x in of_text for c in x], dtype=np.int64)
+        of = np.repeat(np.arange(len(texts)), n)
+        at, part = codes.tables()
+        raw = at[flat_].astype(_stored(size)).tobytes()
+        ends = np.cumsum(n) * int(_stored(size)[-1])
+        met = flat_ >= codes.fixed
+        out = {"id": ids, "key": keys, "hash": hashes, "n_tokens": pa.array(n),
+               "ids": [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)],
+               "part": pa.array(np.bincount(of, weights=part[flat_], minlength=len(texts)))}
+        of_rest = np.bincount(of[met], minlength=len(texts)) if joined else np.zeros(len(texts), dtype=np.int64)
+        held = pa.array(codes.met, pa.string()).take(pa.array(flat_[met] - codes.fixed if joined else flat_[:0]))
+        return out | {"rest": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(of_rest)), pa.int32()), held)}
+
+    rows = pick(df, key, text)
+    rows = rows.select(F.monotonically_increasing_id().alias("id"), "key", F.xxhash64(F.col("key").cast("string"), "text").alias("hash"), "text")
+    return by_batch_of(rows, run, "id long, key long, hash long, n_tokens long, ids binary, part double, rest array<string>")
+
+
+def start_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> list[str]:
+    """The texts that the start is fitted to: the smallest hashes among those of
+    at most ``START_CHARS``, whatever order the rows come in."""
+    short = pick(df, key, text).filter(F.length("text") <= START_CHARS)
+    by = F.xxhash64(F.lit("start"), F.col("key").cast("string"), "text")
+    return [r["text"] for r in short.orderBy(by, "text").limit(START_DOCS).select("text").collect()]
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What counting leaves: number of tokens, vocabulary and its shape."""
+    n_tokens: int
+    known: dict[str, int]
+    classes: int
+    per_class: int
+
+    @property
+    def size(self) -> int:
+        return self.classes * self.per_class
+
+
+def counted(counts: DataFrame) -> Corpus:
+    n_tokens = counts.agg(F.sum("n")).first()[0] or 0
+    classes, per_class = sizes(n_tokens)
+    return Corpus(n_tokens, vocabulary(counts, KNOWN * classes * per_class // VOCABULARY), classes, per_class)
+
+
+def learned(corpus: Corpus, texts: list[str], ids: DataFrame) -> Weights:
+    """The weights after the start, fitted to ``texts``, and all rounds over
+    the written rows ``ids`` of ``encoded``."""
+    first = Trainer(start(1, corpus.classes, corpus.per_class))
+    for _ in range(3):
+        for c, y, _ in pieces(Words(corpus.known, corpus.size), texts):
+            first.step(c, y)
+    shards = max(1, min(SHARDS, corpus.n_tokens // SHARD_TOKENS))
+    spread = F.pmod(F.col("hash"), F.lit(shards * ROUNDS))
+    state = first.w, first.seen
+    for number in range(ROUNDS if corpus.n_tokens else 0):
+        part = ids.filter((F.floor(spread / shards) == number) & (F.col("n_tokens") > 0))
+        state = trained(part.select((spread % shards).alias("shard"), "hash", "ids"), state) or state
+    return state[0]
+
+
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", counts: DataFrame | None = None) -> tuple[dict[str, int], Weights]:
     """(vocabulary, weights) learned from all rows; ``counts`` are their
     ``word_counts`` if these are at hand."""
-    spark = df.sparkSession
-    rows = pick(df, key, text).filter("text is not null")
-    counts = written(word_counts(rows), "lm-words") if counts is None else counts
-    classes, per_class = sizes(counts.agg(F.sum("n")).first()[0] or 0)
-    size, like = classes * per_class, shapes(classes, per_class)
-    known = vocabulary(counts, KNOWN * size // VOCABULARY)
-    first = Trainer(start(1, classes, per_class))
-    few = rows.filter(F.length("text") <= START_CHARS).limit(START_DOCS).select("text").collect()
-    for _ in range(3):
-        for c, y, _ in pieces(Words(known, size), [r["text"] for r in few]):
-            first.step(c, y)
-    sent = spark.sparkContext.broadcast((known, first.w))
+    corpus = counted(written(word_counts(df, text), "lm-words") if counts is None else counts)
+    ids = written(encoded(df, corpus.known, corpus.size, key=key, text=text), "lm-ids")
+    return corpus.known, learned(corpus, start_texts(df, key, text), ids)
+
+
+def trained(ids: DataFrame, state: tuple[Weights, Weights]) -> tuple[Weights, Weights] | None:
+    """Weights and sums of squares after one round over all shards (none if no
+    text is in it)."""
+    sent = ids.sparkSession.sparkContext.broadcast(state)
+    like = {k: v.shape for k, v in state[0].items()}
+    stored = _stored(like["embed"][1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_, w = sent.value
-        words, trainer = Words(known_, size), Trainer(w)
+        shard, trainer, held, n = None, None, [], 0
+
+        def train() -> None:
+            nonlocal held, n
+            if held:
+                trainer.texts(held)
+            held, n = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if trainer is not None:
+                train()
+                x = np.concatenate([flat(trainer.w), flat(trainer.seen)])
+                parts = [x[s:s + BLOCK].astype("<f4").tobytes() for s in range(0, len(x), BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary()),
+                                                  pa.array([trainer.n] * len(parts), pa.int64())], ["block", "part", "n"])
+
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                for c, y, _ in pieces(words, batch.column("text").slice(s, 512).to_pylist()):
-                    trainer.step(c, y)
-        if trainer.n:
-            x = flat(trainer.w)
-            parts = [x[s:s + BLOCK].astype("<f4").tobytes() for s in range(0, len(x), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary()),
-                                              pa.array([trainer.n] * len(parts), pa.int64())], ["block", "part", "n"])
+            for own, raw in zip(batch.column("shard").to_pylist(), batch.column("ids"), strict=True):
+                if own != shard:
+                    yield from out()
+                    shard, trainer = own, Trainer(*sent.value)
+                held.append(np.frombuffer(raw.as_buffer(), dtype=stored))
+                n += len(held[-1])
+                if n >= PIECE:
+                    train()
+        yield from out()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
@@ -366,58 +474,49 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", counts: DataFram
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(s / n).tobytes() for s, n in sums.values()], pa.binary())],
                                          ["block", "part"])
 
-    trained = in_arrow(rows, run, "block int, part binary, n long")
-    blocks = -(-sum(int(np.prod(s)) for s in like.values()) // BLOCK)
-    mean = in_arrow(trained.repartition(blocks, "block"), add, "block int, part binary").orderBy("block").collect()
+    dealt = ids.repartition("shard").sortWithinPartitions("shard", "hash", "ids")
+    of_shards = in_arrow(dealt.select("shard", "ids"), run, "block int, part binary, n long")
+    total = sum(int(np.prod(s)) for s in like.values())
+    mean = in_arrow(of_shards.repartition(-(-2 * total // BLOCK), "block"), add, "block int, part binary").orderBy("block").collect()
     if not mean:
-        return known, first.w
-    return known, shaped(np.concatenate([np.frombuffer(r["part"], dtype=np.float64) for r in mean]), like)
+        return None
+    x = np.concatenate([np.frombuffer(r["part"], dtype=np.float64) for r in mean])
+    return shaped(x[:total], like), shaped(x[total:], like)
+
+
+def scored(ids: DataFrame, w: Weights, words: Shares | None = None) -> DataFrame:
+    """(key, n_tokens, log_prob, mean_log_prob) of rows of ``encoded`` (written
+    ones if ``words`` has counts to join)."""
+    size = w["embed"].shape[1]
+    sent, stored = ids.sparkSession.sparkContext.broadcast(w), _stored(size)
+
+    def run(ids_: list, keys: list, n_tokens: list, parts: list, raw: list) -> dict[str, list]:
+        total = np.array(parts)
+        for c, y, of in id_pieces([np.frombuffer(x, dtype=stored) for x in raw]):
+            total += np.bincount(of, weights=log_probabilities(sent.value, c, y), minlength=len(raw))
+        return {"id": ids_, "key": keys, "n_tokens": n_tokens, "log_prob": pa.array(total)}
+
+    out = by_batch_of(ids.select("id", "key", "n_tokens", "part", "ids"), run, "id long, key long, n_tokens long, log_prob double")
+    if words is not None and words.rest is not None:
+        more = ids.select("id", F.explode("rest").alias("word")).join(words.rest, "word").groupBy("id").agg(F.sum(F.log("n")).alias("more"))
+        out = out.join(more, "id", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return out.select("key", "n_tokens", "log_prob").withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
 def score(df: DataFrame, model: tuple[dict[str, int], Weights], key: str = "doc_id", text: str = "text", words: Shares | None = None) -> DataFrame:
-    """(key, n_tokens, log_prob, mean_log_prob) for every row.  Without
-    ``words`` a word in a bucket counts as the bucket."""
-    known, size = model[0], model[1]["embed"].shape[1]
-    few = (words.head, words.n, words.buckets) if words else ([], np.zeros(0), np.zeros(size))
-    sent = df.sparkSession.sparkContext.broadcast((model, few))
-    joined = words is not None and words.rest is not None
-    made: list[Codes] = []
-
-    def run(ids: list, keys: list, texts: list) -> dict[str, list]:
-        (known, w), own = sent.value
-        if not made:
-            made.append(Codes(known, size, *own))
-        codes = made[0]
-        if len(codes.met) > REMEMBERED:
-            codes.forget()
-        n, total, rest, of_rest = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), [], np.zeros(len(texts), dtype=np.int64)
-        for c, y, of in pieces(codes, texts):
-            at, part = codes.tables()
-            n += np.bincount(of, minlength=len(texts))
-            total += np.bincount(of, weights=log_probabilities(w, at[c], at[y]) + part[y], minlength=len(texts))
-            if joined:
-                met = y >= codes.fixed
-                rest.append(y[met] - codes.fixed)
-                of_rest += np.bincount(of[met], minlength=len(texts))
-        out = {"id": ids, "key": keys, "n_tokens": pa.array(n), "log_prob": pa.array(total)}
-        if joined:
-            met = pa.array(codes.met, pa.string()).take(pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *rest]), pa.int64()))
-            out["rest"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(of_rest)), pa.int32()), met)
-        return out
-
-    rows = pick(df, key, text).select(F.monotonically_increasing_id().alias("id"), "key", "text")
-    out = by_batch_of(rows, run, "id long, key long, n_tokens long, log_prob double" + (", rest array<string>" if joined else ""))
-    if joined:
-        out = written(out, "lm-scored")
-        more = out.select("id", F.explode("rest").alias("word")).join(words.rest, "word").groupBy("id").agg(F.sum(F.log("n")).alias("more"))
-        out = out.join(more, "id", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
-    return out.select("key", "n_tokens", "log_prob").withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+    """``scored`` of any texts.  Without ``words`` a word in a bucket counts as
+    the bucket."""
+    known, w = model
+    ids = encoded(df, known, w["embed"].shape[1], words, key, text)
+    return scored(written(ids, "lm-ids") if words is not None and words.rest is not None else ids, w, words)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    """``op1_lm``: pseudo-log-likelihood of every document."""
+    """``op1_lm``: pseudo-log-likelihood of every document.  Texts are split into
+    words twice, for counting and for their ids; the rest works on ids."""
     docs = documents(spark, sf_dir)
     counts = written(word_counts(docs), "lm-words")
-    model = fit(docs, counts=counts)
-    words = shares(counts, model[0], model[1]["embed"].shape[1])
-    return score(docs, model, words=words).withColumnRenamed("key", "doc_id")
+    corpus = counted(counts)
+    words = shares(counts, corpus.known, corpus.size)
+    ids = written(encoded(docs, corpus.known, corpus.size, words), "lm-ids")
+    return scored(ids, learned(corpus, start_texts(docs), ids), words).withColumnRenamed("key", "doc_id")
