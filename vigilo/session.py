@@ -22,6 +22,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows go to Python workers in batches bounded in bytes as well as in number.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     # Lenient JSON: a repeated key keeps its last value (message parsing).
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
