@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from vigilo.llm import decontaminate as dc
@@ -60,3 +61,12 @@ def test_edges_and_parts(spark):
 def test_empty_tables(spark):
     check(spark, [(1, "a b")], [])
     check(spark, [], [(1, "a b")])
+
+
+def test_nodes_of_one_automaton(spark):
+    """A part of ``AUTOMATON_BYTES`` stays within ten nodes a byte."""
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(12000))
+    automaton = dc._automaton({w.decode(): [] for w in dc.windows(text)})
+    assert automaton.get_stats()["nodes_count"] <= 10 * len(text)
+    assert 10 * dc.AUTOMATON_BYTES * 50 < 300e6

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from vigilo.llm import simhash
@@ -89,3 +90,17 @@ def test_thresholds_and_code():
         assert sum(t + 1 for t in simhash.thresholds(bits)) == bits + 1
     _, offsets, home = simhash.golay_offsets(3)
     assert offsets.shape[1] == 1 and len(set(home.tolist())) == 2048
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e", 5, 6, 7), (2, "a b c d e", 8, 9, 1), (2, "a b c d e", 8, 9, 1), (3, "x y z", 1, 2, 3)]
+    for names in ("kept_key long, kept_mark long, kept_rows int", "__key long, __mark long, key int", "fp long, root long, component int"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
+        assert sorted(map(tuple, simhash.one_of_each(df).collect())) == [rows[0], rows[3]]
+
+
+def test_keys_are_integers_or_refused(spark):
+    small = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id int, text string")
+    assert {r["component"] for r in simhash.near_duplicates(small).collect()} == {1}
+    with pytest.raises(TypeError, match="has to be an integer"):
+        simhash.near_duplicates(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))

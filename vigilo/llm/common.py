@@ -20,18 +20,34 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", list(columns or (KEY, TEXT)))
 
 
-def pick(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Key and text under fixed names; every other column is left behind."""
-    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+WHOLE = ("bigint", "int", "smallint", "tinyint")
 
 
-#: Bytes of rows handed to a Python worker at once; two workers share an executor.
-BATCH_BYTES = 8 << 20
+def pick(df: DataFrame, key: str, text: str, any_key: bool = False) -> DataFrame:
+    """Key and text under fixed names; every other column is left behind.  Keys
+    are integers and become longs, unless the caller takes ``any_key``."""
+    kind = df.select(F.col(f"`{key}`")).schema[0].dataType.simpleString()
+    own = F.col(f"`{key}`")
+    if kind in WHOLE:
+        own = own.cast("long")
+    elif not any_key:
+        raise TypeError(f"key column {key!r} has to be an integer, not {kind}")
+    return df.select(own.alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with batches bounded in bytes as well as rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """``mapInArrow``; batches are bounded in bytes by ``session.RUNTIME_CONF``."""
     return df.mapInArrow(fn, schema)
 
 

@@ -11,11 +11,14 @@ of the original text.
 Scale: a document is scanned where it was read, so its text is never shuffled
 and a hot source costs nothing.  The test set is the side that is sent to all
 tasks; its size is measured first.  Up to ``automaton_bytes`` of normalised
-test text make one automaton; a larger test set is dealt by item into parts
-of that size, which one document batch after the other passes through, still
-without a shuffle.
-
-Null or empty texts have no words.  An item without words matches nothing; an
+test text make one automaton: ten nodes or less for each of their bytes, some
+fifty bytes each, so 250 MB in a worker at most.  A larger test set is dealt by
+item into parts of that size, one pass over the documents for each; what a pass
+found is written before the next, so a worker never holds two automata.
+
+Null or empty texts have no words; a very long text is scanned whole where it
+lies.  Empty tables give empty results, an empty test set no hits; other columns
+are not read (``clean`` keeps them).  An item without words matches nothing; an
 item whose id is null marks words but is listed nowhere.  Repeated items and
 rows count as they come (a repeated item id is listed once).
 """
@@ -27,11 +30,11 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import by_batch_of, documents, pick, with_columns
+from vigilo.llm.common import by_batch_of, documents, pick, spare, with_columns, written
 from vigilo.sources.tables import read_table
 
 WINDOW = 10
-AUTOMATON_BYTES = 32 << 20
+AUTOMATON_BYTES = 1 << 19
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _WORD_ANY_CASE = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -120,6 +123,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     state = rows.withColumns({"runs": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     for part in range(parts):
         state = _scanned(state, spark.sparkContext.broadcast(_patterns(tests, window, parts, part)))
+        state = written(state, "test-hits") if part < parts - 1 else state
 
     def finish(keys: list, texts: list, runs: list, items: list) -> dict[str, list]:
         pairs = [list(zip(r[::2], r[1::2], strict=True)) for r in runs]
@@ -152,6 +156,7 @@ def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "it
     tests, parts = _tests(bench, item, item_text, automaton_bytes)
     for part in range(parts):
         docs = _unhit(docs, text, docs.sparkSession.sparkContext.broadcast(_patterns(tests, window, parts, part)))
+        docs = written(docs, "test-free") if part < parts - 1 else docs
     return docs
 
 
@@ -163,7 +168,7 @@ def _unhit(docs: DataFrame, text: str, sent) -> DataFrame:
             made.append(_automaton(sent.value))
         return {flag: [bool(scan(t, made[0])[0]) for t in texts]}
 
-    flag = next(f for f in ("hit" + "_" * i for i in range(99)) if f not in docs.columns)
+    flag, = spare(docs, "hit")
     return with_columns(docs, text, run, f"{flag} boolean").filter(~F.col(flag)).drop(flag)
 
 

@@ -109,7 +109,7 @@ def scored(df: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "t
             weight.append(int(gain[of].sum()) // len(of) if len(of) else 0)
         return {"n_words": n_words, "n_features": n_features, "weight": weight}
 
-    rows = pick(df, key, text)
+    rows = pick(df, key, text, any_key=True)
     rows = rows.withColumn("mark", F.xxhash64("text"))
     counted = by_batch_of(rows.select("key", "mark", "text"), lambda keys, marks, texts: {"key": keys, "mark": marks} | run(texts),
                           f"key {rows.schema['key'].dataType.simpleString().replace('bigint', 'long')}, mark long, "

@@ -24,7 +24,10 @@ Null texts and texts without a letter get ``und`` with score 0.  With letters
 but no n-gram known, the language with most training n-grams is returned with
 score 0.  With no training rows at all every text is ``und``.  Rows whose
 label is null are never learned from; a row whose key is null counts as not
-held out.  Ties go to the first label by name.
+held out.  Ties go to the first label by name.  Repeated rows are learned from as
+often as they stand there and predicted alike; very long texts are read piece by
+piece; empty tables give empty results; columns other than those named are not
+read (``label`` keeps them).
 """
 
 from __future__ import annotations
@@ -37,11 +40,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import by_batch_of, documents, pick, with_columns
+from vigilo.llm.common import by_batch_of, documents, pick, with_columns, written
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
-BITS = 18
 FILTER_BITS = 20
 HASHES = 3
 MIN_SHARE = 2e-6
@@ -148,10 +150,6 @@ class Filters:
             out.append((x >> np.uint64(64 - FILTER_BITS)).astype(np.int64))
         return out
 
-    def tables(self) -> np.ndarray:
-        """Mask of languages for every number below ``2^BITS``."""
-        return self.decider().masks(np.arange(1 << BITS))
-
     def decider(self) -> Decider:
         return Decider(self.names, self.fallback, self.false, self.slices)
 
@@ -194,11 +192,11 @@ class Decider:
 def fit(df: DataFrame, lang: str = "lang", text: str = "text") -> Filters:
     """Learn the filters from all labelled rows of ``df``.  What reaches the
     driver is at most ``1 / MIN_SHARE`` n-grams a language."""
-    n = counts(df, lang, text)
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    top = F.max("share").over(Window.partitionBy("cell"))
-    chosen = (n.withColumn("total", F.sum("n").over(Window.partitionBy("lang"))).withColumn("share", share).withColumn("top", top)
-              .filter((F.col("share") >= MIN_SHARE) & (F.col("share") >= REL_SHARE * F.col("top"))))
+    n = written(counts(df, lang, text), "langid-counts")
+    totals = n.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language
+    top = F.max("share").over(Window.partitionBy("cell"))  # over the languages that have an n-gram
+    chosen = (n.join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= MIN_SHARE * REL_SHARE)
+              .withColumn("top", top).filter((F.col("share") >= MIN_SHARE) & (F.col("share") >= REL_SHARE * F.col("top"))))
     rows = chosen.groupBy("lang", "total").agg(F.collect_list("cell").alias("cells")).orderBy("lang").collect()
     order = sorted(range(len(rows)), key=lambda i: (-rows[i]["total"], rows[i]["lang"]))
     return Filters([r["lang"] for r in rows], [np.array(sorted(r["cells"]), dtype=np.int64) for r in rows], order)

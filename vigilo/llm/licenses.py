@@ -239,7 +239,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: list
     the threshold, else 0."""
     made = prepared(TEMPLATES if templates is None else templates, threshold)
     fixed = [(b" " + b" ".join(words(p)) + b" ", label) for p, label in (PHRASES if phrases is None else phrases)]
-    rows = pick(df, key, text).select("key", F.xxhash64("text").alias("mark"), "text")
+    rows = pick(df, key, text, any_key=True).select("key", F.xxhash64("text").alias("mark"), "text")
     kind = rows.schema["key"].dataType.simpleString().replace("bigint", "long")
 
     def run(keys: list, marks: list, texts: list) -> dict[str, list]:

@@ -19,7 +19,10 @@ each written to the shared folder.
 
 Null or blank texts have no words: fingerprint zero, linked like any other.
 Repeated rows each get their own output row.  A null key never becomes a
-component id unless its whole component has none.
+component id unless its whole component has none.  A bit that exactly half of
+the shingles set is 0.  Very long texts are hashed whole, some thousand shingles
+at a time.  Empty tables give empty results; other columns are not read, and
+``one_of_each`` keeps them whatever their names are.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import by_batch_of, documents, in_arrow, pick, written
+from vigilo.llm.common import by_batch_of, documents, in_arrow, pick, spare, written
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 GOLAY_BITS, GOLAY_RADIUS, GOLAY_POLY = 23, 3, 0b101011100011
@@ -296,12 +299,13 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     found = near_duplicates(df, key, text, shingle, max_bits)
     same = found.groupBy("root", "key", "mark").agg(F.count("*").alias("rows"))
     low = same.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark", "rows")).alias("low"))
-    keep = low.select(*[F.col(f"low.{c}").alias(f"__{c}") for c in ("key", "mark", "rows")])
-    kept = df.join(keep, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__mark")))
+    k_key, k_mark, k_rows, k_nth = spare(df, "kept_key", "kept_mark", "kept_rows", "kept_nth")
+    keep = low.select(*[F.col(f"low.{c}").alias(n) for c, n in (("key", k_key), ("mark", k_mark), ("rows", k_rows))])
+    kept = df.join(keep, F.col(f"`{key}`").eqNullSafe(F.col(k_key)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(k_mark)))
     # Equal rows are rare; only those are put in order.
-    by = Window.partitionBy("__key", "__mark").orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in cols if c not in (key, text)], F.lit(0))
-    again = kept.filter("__rows > 1").withColumn("__nth", F.row_number().over(by)).filter("__nth = 1")
-    return kept.filter("__rows = 1").select(*[F.col(f"`{c}`") for c in cols]).unionAll(again.select(*[F.col(f"`{c}`") for c in cols]))
+    by = Window.partitionBy(k_key, k_mark).orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in cols if c not in (key, text)], F.lit(0))
+    again = kept.filter(F.col(k_rows) > 1).withColumn(k_nth, F.row_number().over(by)).filter(F.col(k_nth) == 1)
+    return kept.filter(F.col(k_rows) == 1).select(*[F.col(f"`{c}`") for c in cols]).unionAll(again.select(*[F.col(f"`{c}`") for c in cols]))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

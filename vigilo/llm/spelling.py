@@ -99,7 +99,7 @@ def vocabulary(df: DataFrame, key: str = "doc_id", text: str = "text", least_cha
                     held.clear()
         yield flushed()
 
-    counts = in_arrow(pick(df, key, text), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = in_arrow(pick(df, key, text, any_key=True), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return written(counts.filter(F.col("n") >= least_count), "spelling-words")
 
 
