@@ -40,6 +40,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -165,19 +166,22 @@ class Codes(dict):
 
     def __init__(self, known: dict[str, int], size: int, head: list[str], n: np.ndarray, buckets: np.ndarray):
         super().__init__(known)
-        self.words, self.buckets, self.fixed = Words(known, size), buckets, size + len(head)
+        self.first, self.size, self.buckets, self.fixed = len(known) + 1, size, buckets, size + len(head)
         self.update(zip(head, range(size, self.fixed), strict=True))
-        at = np.array([self.words.__missing__(w) for w in head], dtype=np.int32)
-        self.words.clear()
+        at = self.buckets_of(head)
         self.at = np.concatenate([np.arange(size, dtype=np.int32), at])
         self.own = np.concatenate([np.zeros(size), np.log(n) - np.log1p(buckets[at])])
         self.met: list[str] = []
-        self.met_at: list[int] = []
+        self.met_at = np.zeros(0, dtype=np.int32)
+
+    def buckets_of(self, words: list[str]) -> np.ndarray:
+        crc = zlib.crc32
+        sums = np.array([crc(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.int64)
+        return (self.first + sums % (self.size - self.first)).astype(np.int32)
 
     def __missing__(self, word: str) -> int:
         self[word] = code = self.fixed + len(self.met)
         self.met.append(word)
-        self.met_at.append(self.words.__missing__(word))
         return code
 
     def of(self, text: str | None) -> list[int]:
@@ -186,14 +190,13 @@ class Codes(dict):
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """By code: (id in the network, log of the part of its bucket); a word
         that was met counts as one, its number of occurrences is joined."""
-        met = np.array(self.met_at, dtype=np.int32)
+        self.met_at = met = np.concatenate([self.met_at, self.buckets_of(self.met[len(self.met_at):])])
         return np.concatenate([self.at, met]), np.concatenate([self.own, -np.log1p(self.buckets[met])])
 
     def forget(self) -> None:
         for w in self.met:
             del self[w]
-        self.met, self.met_at = [], []
-        self.words.clear()
+        self.met, self.met_at = [], np.zeros(0, dtype=np.int32)
 
 
 def id_pieces(ids: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -278,20 +281,26 @@ def gradient(w: Weights, context: np.ndarray, target: np.ndarray) -> Weights:
     group, order, ends = _by_class(w, target)
     context, target, group = context[order], target[order], group[order]
     h = _hidden(w, context)
+    # With a constant one as last hidden value the biases are rows of the matrices.
+    h1 = np.concatenate([h, np.ones((n, 1), dtype=h.dtype)], axis=1)
+    to_class = np.concatenate([w["to_class"], w["class_bias"][None]])
+    to_word = np.concatenate([w["to_word"], w["word_bias"][:, None]], axis=1)
     tame, tame_words = _tame(w["to_class"], w["class_bias"]), _tame(w["to_word"], w["word_bias"])
     part = np.float32(1 / n)
-    d, total = _exp(h @ w["to_class"] + w["class_bias"], tame)
+    d, total = _exp(h1 @ to_class, tame)
     d *= (part / total)[:, None]
     d[np.arange(n), group] -= part
-    g["to_class"], g["class_bias"] = h.T @ d, d.sum(axis=0)
+    own = h1.T @ d
+    g["to_class"], g["class_bias"] = own[:-1], own[-1]
     dh = d @ w["to_class"].T
     for k in range(len(ends) - 1):
         a, b = ends[k], ends[k + 1]
         if a < b:
-            q, total = _exp(h[a:b] @ w["to_word"][k] + w["word_bias"][k], tame_words)
+            q, total = _exp(h1[a:b] @ to_word[k], tame_words)
             q *= (part / total)[:, None]
             q[np.arange(b - a), target[a:b] % q.shape[1]] -= part
-            g["to_word"][k], g["word_bias"][k] = h[a:b].T @ q, q.sum(axis=0)
+            own = h1[a:b].T @ q
+            g["to_word"][k], g["word_bias"][k] = own[:-1], own[-1]
             dh[a:b] += q @ w["to_word"][k].T
     dh *= 1 - h * h
     g["shift"] = dh.sum(axis=0)
@@ -359,8 +368,8 @@ def encoded(df: DataFrame, known: dict[str, int], size: int, words: Shares | Non
         if len(codes.met) > REMEMBERED:
             codes.forget()
         of_text = [codes.of(t) for t in texts]
-        n = np.array([len(x) for x in of_text])
-        flat_ = np.array([c for x in of_text for c in x], dtype=np.int64)
+        n = np.array([len(x) for x in of_text], dtype=np.int64)
+        flat_ = np.fromiter(chain.from_iterable(of_text), dtype=np.int64, count=int(n.sum()))
         of = np.repeat(np.arange(len(texts)), n)
         at, part = codes.tables()
         raw = at[flat_].astype(_stored(size)).tobytes()
