@@ -52,21 +52,44 @@ def test_coder_round_trip():
     ids = np.zeros((6, 500), dtype=np.uint32)
     for i, r in enumerate(rows):
         ids[i, :len(r)] = r
-    coded = tf.code(ids, lengths, 65536)
-    back = tf.decode(coded, lengths, 65536)
+    alike = tf.Order0.of(65536)
+    coded = tf.code(ids, lengths, alike)
+    back = tf.decode(coded, lengths, alike)
     assert all(back[i, :n].tolist() == rows[i] for i, n in enumerate(lengths))
     # A block does not depend on the others of its group, and predictable ids take few bytes.
-    assert tf.code(ids[5:], lengths[5:], 65536)[0] == coded[5] and len(coded[5]) < 150 < 900 < len(coded[2])
-    assert tf.decode([], np.zeros(0, int), 5).size == 0
+    assert tf.code(ids[5:], lengths[5:], alike)[0] == coded[5] and len(coded[5]) < 150 < 900 < len(coded[2])
+    assert tf.decode([], np.zeros(0, int), tf.Order0.of(5)).size == 0
+    for counts in (np.bincount(np.concatenate([np.array(r) for r in rows]), minlength=65536), np.eye(1, 65536, 3, dtype=np.int64)[0] * 10**12):
+        order0 = tf.Order0.of(counts)
+        assert tf.Order0.from_bytes(order0.to_bytes()).crc == order0.crc and order0.size.sum() == 1 << order0.bits
+        back = tf.decode(tf.code(ids, lengths, order0), lengths, order0)
+        assert all(back[i, :n].tolist() == rows[i] for i, n in enumerate(lengths))
+
+
+def test_bits_an_id(spark, tmp_path):
+    """The whole files, documents' tables and order 0 with them, against the
+    entropy of the ids' frequencies."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    path = tf.write(docs, bpe.default_path(), str(tmp_path / "f"))
+    n = tf.id_counts(tf.encoded(docs, bpe.default_path()), 49408)
+    n = n[n > 0]
+    entropy = -(n / n.sum() * np.log2(n / n.sum())).sum()
+    rows = spark.read.parquet(path)
+    bits = 8 * rows.selectExpr("sum(length(payload))").first()[0] / n.sum()
+    print("bits an id", bits, "entropy", entropy)
+    assert rows.selectExpr("sum(n_ids)").first()[0] == n.sum() and bits < entropy + 1
 
 
 def test_damaged_blocks_are_found():
     docs = np.array([(5, tf.LAST_PIECE, 0, 0, 3)], dtype=tf._DOC)
-    value = tf.payload(docs, tf.code(np.array([[3, 4, 1]], dtype=np.uint32), np.array([3]), 10)[0], 10)
-    assert tf.opened(value)[0]["key"].tolist() == [5]
+    order0 = tf.Order0.of(10)
+    value = tf.payload(docs, tf.code(np.array([[3, 4, 1]], dtype=np.uint32), np.array([3]), order0)[0], order0)
+    assert tf.opened(value, order0)[0]["key"].tolist() == [5]
+    with pytest.raises(ValueError, match="another order 0"):
+        tf.opened(value, tf.Order0.of(11))
     for bad in (value[:-1], value[:9] + bytes([value[9] ^ 4]) + value[10:], b"", value[:20]):
         with pytest.raises(ValueError):
-            tf.opened(bad)
+            tf.opened(bad, order0)
 
 
 def test_crc_of_pieces():
