@@ -16,18 +16,27 @@ written as Parquet and read again as the next stage's ``docs``.  Stages:
 
 Columns stay those of ``documents`` until the last stage, which adds
 ``n_tokens``, ``ids``, ``ids_sha256`` and ``decoded_sha256``.  Further input
-columns are dropped by the first stage.  Empty tables give empty results.
+columns, whatever their names, are dropped by the first stage.  Empty tables give
+empty results.  Null and empty texts have no language and go in stage 1.
+Repeated rows share a component, of which stage 2 keeps one; of rows that share
+the smallest id the one with the smallest text hash stays.  A null id comes last
+there.  Very long texts go through every stage whole.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilo.llm import bpe, decontaminate, langid, pii, simhash
 from vigilo.llm.common import documents, written
+from vigilo.session import apply_runtime_conf
 from vigilo.sources.tables import read_table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -52,12 +61,20 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.tokenized(docs.select(*COLUMNS), bpe.default_path())
 
 
+def _set(stage: Stage) -> Stage:
+    """The stage under the library's session settings."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(apply_runtime_conf(spark), docs, sf_dir)
+    return run_stage
+
+
 STAGES = [
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("decontaminate", decontaminated),
-    ("personal_data", personal_data),
-    ("tokenize", tokenize),
+    ("language", _set(language)),
+    ("near_duplicates", _set(near_duplicates)),
+    ("decontaminate", _set(decontaminated)),
+    ("personal_data", _set(personal_data)),
+    ("tokenize", _set(tokenize)),
 ]
 
 #: No SQL: language filters, fingerprints, automaton and merges have none.
