@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from vigilo.llm import suffix_dedup as sd
 
@@ -53,6 +54,9 @@ def test_overlaps_of_random_pieces(spark):
     check(spark, rows)
     check(spark, rows, length=30, prefix=6)
     check(spark, rows, piece_bytes=150, chunk_bytes=2000, bucket_bytes=1500)
+    # More buckets than one chunk deals its rows among: tasks deal them again; prefixes open early.
+    check(spark, rows, chunk_bytes=2000, bucket_bytes=500, fan=5, hot=2, held_rows=300)
+    check(spark, rows, length=30, prefix=6, bucket_bytes=500, fan=3, hot=3, held_rows=100)
 
 
 def test_edges_and_periodic_texts(spark):
@@ -69,6 +73,57 @@ def test_empty_table(spark):
 def test_pack_round_trip():
     keys, marks = np.array([5, -3, 2 ** 62]), np.array([1, 2 ** 31, 7], dtype=np.uint32)
     rows = {"kh": np.array([9, 2 ** 63 + 5, 3], dtype=np.uint64), "doc": np.array([2, 0, 2]), "at": np.array([7, 0, 2 ** 31]), "n": np.array([1, 255, 3])}
-    got, tail = sd.unpack(sd.pack(keys, marks, rows, b"xyz"), ("kh", "doc", "at", "n"))
-    assert tail == b"xyz" and got["key"].tolist() == [2 ** 62, 5, 2 ** 62] and got["mark"].tolist() == [7, 1, 7]
+    got = sd.unpack(sd.pack(keys, marks, rows), ("kh", "doc", "at", "n"))
+    assert got["key"].tolist() == [2 ** 62, 5, 2 ** 62] and got["mark"].tolist() == [7, 1, 7]
     assert got["kh"].tolist() == rows["kh"].tolist() and got["at"].tolist() == [7, 0, 2 ** 31] and got["n"].tolist() == [1, 255, 3]
+
+
+def lines_with_neighbours(n, line, seed=5):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    return [(d, f"{word()} {line} {word()}") for d in range(n)]
+
+
+LINE = "this line stands in every document, each time with other neighbours, so"
+
+
+def test_frequent_line_with_other_neighbours(spark):
+    rows = lines_with_neighbours(400, LINE)
+    for how in ({}, {"chunk_bytes": 3000}, {"chunk_bytes": 3000, "bucket_bytes": 500, "fan": 4, "held_rows": 200}):
+        check(spark, rows, **how)
+
+
+def packed_rows(found, kind, names):
+    """Rows of one kind by bucket, from record batches."""
+    out = {}
+    for batch in found:
+        for b, k, v in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "value")), strict=True):
+            if k == kind:
+                out[b] = out.get(b, 0) + len(sd.unpack(v, names)["key"])
+    return out
+
+
+def text_batches(rows, size=500):
+    return (pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows[s:s + size]], pa.int64()), pa.array([t for _, t in rows[s:s + size]])], ["key", "text"])
+            for s in range(0, len(rows), size))
+
+
+def test_frequent_line_fills_no_bucket():
+    rows = lines_with_neighbours(20000, LINE)
+    n = 100
+    first = list(sd._round_one(text_batches(rows), n, 50, 20, sd.PIECE, 1 << 20, sd.HOT))
+    sizes = packed_rows(first, sd.ROWS, sd._BLOCK)
+    assert max(sizes.values()) < 1.5 * np.median(list(sizes.values()))
+    # Round 2: the strings of the line's blocks, dealt by their own hashes.
+    blocks = [(d, 40, t.encode()[40:152]) for d, t in rows[:5000]]
+    keys, marks = np.arange(5000), np.zeros(5000, dtype=np.uint32)
+    parts = [sd._rows(sd._sifted_strings(keys, marks, sd.strings(blocks[s:s + 1000], 50), n, 50)) for s in range(0, 5000, 1000)]
+    sizes = packed_rows(parts, sd.STRINGS, sd._STRING)
+    assert len(sizes) == n and max(sizes.values()) < 1.5 * np.median(list(sizes.values()))
+
+
+def test_rows_of_a_chunk_are_bounded():
+    rnd = random.Random(3)
+    rows = [(d, "".join(rnd.choice("abcdefghij ") for _ in range(1000))) for d in range(2000)]
+    value = sum(b.num_rows for b in sd._round_one(text_batches(rows), sd.FAN, 50, 20, sd.PIECE, sd.CHUNK, sd.HOT))
+    assert value <= 3 * sd.FAN

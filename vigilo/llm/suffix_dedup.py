@@ -18,16 +18,24 @@ block of at most ``2 * length - prefix`` bytes.  The rounds:
    the smallest document repeat.
 2. What remains (equal prefixes in different blocks, a few per cent) goes on to
    rank ``length`` bytes: the blocks' bytes are fetched by document, every
-   string in them is ranked, and again all but the smallest document's repeat.
+   string in them is ranked by its own hash, and again all but the smallest
+   document's repeat.
 
-Ranks are pairs of 64-bit hashes (prefix and block or string), not dense
-integers, so no global count is needed between rounds.
+Ranks are hashes (64 bits of the prefix and 64 of the block, 64 and 32 bits of
+the string), not dense integers, so no global count is needed between rounds.
 
 Scale: each task first decides what repeats within its own chunk of documents
 and sends one row per distinct block and chunk on, so a very frequent string is
-at most one row per chunk at its rank.  Rows travel as compressed columns in
-one binary value per chunk and bucket; buckets are sized from the input.  Text
-is shuffled once, compressed, for round 2 and the removal together.
+at most one row per chunk at its rank.  A prefix with many different blocks (a
+frequent line with other neighbours each time) needs no ranking: its chunk sends
+one marker for it and hands its blocks to round 2, where strings are dealt by
+their hashes.  Rows travel as compressed columns in one binary value per chunk
+and bucket.  Buckets are sized from the input, but a chunk deals its rows among
+at most ``FAN`` of them; a task of more input than that deals what it received
+into finer buckets by itself, deciding once more what repeats in it, and judges
+them one after the other.  So the rows of a chunk, the number of shuffle
+partitions and the memory of a task are bounded at every size of the input.
+Text is shuffled once, compressed, for round 2 and the removal together.
 
 Null texts are empty.  A null key is larger than all others.  Rows with equal
 keys never remove from each other; rows are told apart by key and text.
@@ -51,6 +59,9 @@ LENGTH, PREFIX = 50, 20
 PIECE = 1 << 19          # bytes hashed at once
 CHUNK = 8 << 20          # bytes of text that one task decides on its own
 BUCKET_BYTES = 6 << 20  # bytes of text per bucket
+FAN = 8192               # buckets, and shuffle partitions, that one chunk deals its rows among
+HOT = 8                  # different blocks of a prefix in one chunk that open it at once
+STRINGS_HELD = 1 << 20   # strings that one task decides on its own
 NULL_KEY = np.iinfo(np.int64).max
 _BASE = 6364136223846793005
 _U = np.uint64
@@ -126,10 +137,10 @@ def anchors(data: bytes, bounds: np.ndarray, length: int, prefix: int) -> tuple[
     return kh[m], block, doc, first, count
 
 
-_COLUMNS = {"kh": 8, "block": 8, "doc": 4, "at": 4, "n": 1}
+_COLUMNS = {"kh": 8, "block": 8, "tag": 4, "doc": 4, "at": 4, "n": 1}
 
 
-def pack(keys: np.ndarray, marks: np.ndarray, rows: dict[str, np.ndarray], tail: bytes = b"") -> bytes:
+def pack(keys: np.ndarray, marks: np.ndarray, rows: dict[str, np.ndarray]) -> bytes:
     """Columns of rows, with the documents they name, as one compressed value."""
     out = []
     used, doc = np.unique(rows["doc"], return_inverse=True)
@@ -141,15 +152,14 @@ def pack(keys: np.ndarray, marks: np.ndarray, rows: dict[str, np.ndarray], tail:
         if width > 1:
             raw = np.diff(raw, prepend=raw[:1] * 0)
         out.append(np.ascontiguousarray(raw.view(np.uint8).reshape(-1, width).T).tobytes())
-    head = struct.pack("<III", len(used), len(doc), len(tail))
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(out) + tail)
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<II", len(used), len(doc)) + b"".join(out))
 
 
-def unpack(value: bytes, names: tuple[str, ...]) -> tuple[dict[str, np.ndarray], bytes]:
+def unpack(value: bytes, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     """Rows packed by ``pack``: key, mark and the named columns of each."""
     data = zstandard.ZstdDecompressor().decompress(value)
-    n_docs, n, tail = struct.unpack_from("<III", data)
-    at = 12
+    n_docs, n = struct.unpack_from("<II", data)
+    at = 8
 
     def column(size: int, width: int) -> np.ndarray:
         nonlocal at
@@ -162,7 +172,7 @@ def unpack(value: bytes, names: tuple[str, ...]) -> tuple[dict[str, np.ndarray],
     keys, marks = column(n_docs, 8).view(np.int64), column(n_docs, 4)
     rows = {c: column(n, _COLUMNS[c]) for c in names}
     doc = rows.pop("doc").astype(np.int64)
-    return {"key": keys[doc], "mark": marks[doc], **rows}, data[len(data) - tail:]
+    return {"key": keys[doc], "mark": marks[doc], **rows}
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,12 +197,16 @@ def _grouped(*columns: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def repeats(kh: np.ndarray, block: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows whose whole block is in a smaller document, rows to be judged string by string)."""
+def repeats(kh: np.ndarray, block: np.ndarray, key: np.ndarray, opened: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows whose whole block is in a smaller document, rows to be judged
+    string by string).  Prefixes in ``opened`` are known to have other blocks
+    elsewhere."""
     order = np.argsort(kh, kind="stable")
     same = np.zeros(len(kh), dtype=bool)
     same[1:] = kh[order[1:]] == kh[order[:-1]]
     same[:-1] |= same[1:]
+    if opened is not None and len(opened):
+        same |= np.isin(kh[order], opened)
     rows = order[same]
     none = np.zeros(0, dtype=np.int64)
     if not len(rows):
@@ -206,7 +220,10 @@ def repeats(kh: np.ndarray, block: np.ndarray, key: np.ndarray) -> tuple[np.ndar
     lo, hi = np.full(grp[-1] + 1, NULL_KEY), np.full(grp[-1] + 1, np.iinfo(np.int64).min)
     np.minimum.at(lo, grp, d)
     np.maximum.at(hi, grp[~later], d[~later])
-    return rows[later], rows[~later & (classes > 1)[grp] & (lo < hi)[grp]]
+    still = (classes > 1) & (lo < hi)
+    if opened is not None and len(opened):
+        still |= np.isin(k[np.searchsorted(grp, np.arange(grp[-1] + 1))], opened)
+    return rows[later], rows[~later & still[grp]]
 
 
 def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -235,7 +252,7 @@ def _rows(parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
                                        pa.array([p[2] for p in parts], pa.binary())], ["bucket", "kind", "value"])
 
 
-ROWS, SPANS, OPEN = 0, 1, 2
+ROWS, SPANS, OPEN, STRINGS = 0, 1, 2, 3
 _SCHEMA = "bucket int, kind int, value binary"
 
 
@@ -260,25 +277,56 @@ def _span_rows(keys: np.ndarray, marks: np.ndarray, doc: np.ndarray, start: np.n
     return out
 
 
-def _round_one(batches: Iterator[pa.RecordBatch], n: int, length: int, prefix: int, piece_bytes: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+def _open_rows(keys: np.ndarray, marks: np.ndarray, doc: np.ndarray, at: np.ndarray, count: np.ndarray, n: int) -> list:
+    """Blocks to be judged string by string as packed rows, per bucket of documents."""
+    return [(b, OPEN, pack(keys, marks, {"doc": doc[p], "at": at[p], "n": count[p]})) for b, p in _by_bucket(_doc_buckets(keys, marks, n)[doc])]
+
+
+def _sifted(keys: np.ndarray, marks: np.ndarray, r: dict[str, np.ndarray], n: int, length: int, hot: int) -> list:
+    """What blocks of some documents decide among themselves (spans), the
+    blocks of prefixes with at least ``hot`` different blocks (open, with one
+    marker of no strings a prefix), and the distinct blocks of the others by
+    prefix bucket."""
+    marker = r["n"] == 0
+    opened = np.unique(r["kh"][marker])
+    real = np.nonzero(~marker)[0]
+    kh, block, doc, at, count = (r[c][real] for c in ("kh", "block", "doc", "at", "n"))
+    at, count = at.astype(np.int64), count.astype(np.int64)
+    later, _ = repeats(kh, block, keys[doc])
+    keep = np.ones(len(kh), dtype=bool)
+    keep[later] = False
+    out = _span_rows(keys, marks, *merged(doc[later], at[later], at[later] + count[later] - 1 + length), n, length)
+    rest = np.nonzero(keep)[0]
+    rest = rest[np.argsort(kh[rest], kind="stable")]
+    values, first, size = np.unique(kh[rest], return_index=True, return_counts=True)
+    many = np.repeat(size >= hot, size)
+    opens = rest[many]
+    if len(opens):
+        out += _open_rows(keys, marks, doc[opens], at[opens], count[opens], n)
+    new = ~np.isin(values[size >= hot], opened)
+    marks_of = rest[first[size >= hot][new]]
+    old = np.nonzero(marker)[0]
+    old = old[np.unique(r["kh"][old], return_index=True)[1]]
+    rest = rest[~many]
+    zero = np.zeros(len(marks_of) + len(old), dtype=np.int64)
+    send = {"kh": np.concatenate([kh[rest], kh[marks_of], r["kh"][old]]), "block": np.concatenate([block[rest], zero.view(_U)]),
+            "doc": np.concatenate([doc[rest], doc[marks_of], r["doc"][old]]), "at": np.concatenate([at[rest], zero]),
+            "n": np.concatenate([count[rest], zero])}
+    by = np.argsort(send["kh"], kind="stable")
+    send = {c: v[by] for c, v in send.items()}
+    out += [(b, ROWS, pack(keys, marks, {c: v[p] for c, v in send.items()})) for b, p in _by_bucket(_prefix_buckets(send["kh"], n))]
+    return out
+
+
+def _round_one(batches: Iterator[pa.RecordBatch], n: int, length: int, prefix: int, piece_bytes: int, chunk_bytes: int, hot: int) -> Iterator[pa.RecordBatch]:
     """What a task decides on its own, and its distinct blocks by prefix bucket."""
     keys, marks, found, held = [], [], [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal keys, marks, found, held
         if found:
-            k, m = np.array(keys, dtype=np.int64), np.array(marks, dtype=np.uint32)
-            kh, block, doc, at, count = (np.concatenate(c) for c in zip(*found, strict=True))
-            later, _ = repeats(kh, block, k[doc])
-            keep = np.ones(len(kh), dtype=bool)
-            keep[later] = False
-            out = _span_rows(k, m, *merged(doc[later], at[later], at[later] + count[later] - 1 + length), n, length)
-            rest = np.nonzero(keep)[0]
-            rest = rest[np.argsort(kh[rest], kind="stable")]
-            for b, part in _by_bucket(_prefix_buckets(kh[rest], n)):
-                r = rest[part]
-                out.append((b, ROWS, pack(k, m, {"kh": kh[r], "block": block[r], "doc": doc[r], "at": at[r], "n": count[r]})))
-            yield _rows(out)
+            rows = dict(zip(("kh", "block", "doc", "at", "n"), (np.concatenate(c) for c in zip(*found, strict=True)), strict=True))
+            yield _rows(_sifted(np.array(keys, dtype=np.int64), np.array(marks, dtype=np.uint32), rows, n, length, hot))
         keys, marks, found, held = [], [], [], 0
 
     def gather(raws: list[tuple[int, int, bytes]]) -> None:
@@ -328,9 +376,9 @@ def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[t
         yield now, held
 
 
-def _joined(values: list[bytes], names: tuple[str, ...]) -> tuple[dict[str, np.ndarray], list[bytes]]:
+def _joined(values: list[bytes], names: tuple[str, ...]) -> dict[str, np.ndarray]:
     parts = [unpack(v, names) for v in values]
-    return {c: np.concatenate([p[0][c] for p in parts]) for c in parts[0][0]}, [p[1] for p in parts]
+    return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
 def _numbered(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -343,25 +391,60 @@ def _numbered(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
     return rows["key"][first], rows["mark"][first], doc
 
 
-def _judge(batches: Iterator[pa.RecordBatch], n: int, length: int) -> Iterator[pa.RecordBatch]:
+_BLOCK, _RUN, _STRING = ("kh", "block", "doc", "at", "n"), ("doc", "at", "n"), ("kh", "tag", "doc", "at")
+
+
+def _finer(batches: Iterator[pa.RecordBatch], n: int, parts: int, kind: int, length: int, hot: int, held_rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one kind from ``n`` buckets dealt into ``n * parts`` ones, in the
+    task that holds them; other kinds go along."""
+    names = {ROWS: _BLOCK, STRINGS: _STRING}.get(kind, _RUN)
+    fine = n * parts
+    values, held = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal values, held
+        if values:
+            r = _joined(values, names)
+            keys, marks, r["doc"] = _numbered(r)
+            if kind == ROWS:
+                out = _sifted(keys, marks, r, fine, length, hot)
+            elif kind == STRINGS:
+                out = _sifted_strings(keys, marks, r, fine, length)
+            else:
+                out = [(b, kind, pack(keys, marks, {c: r[c][p] for c in names})) for b, p in _by_bucket(_doc_buckets(keys, marks, fine)[r["doc"]])]
+            yield _rows(out)
+        values, held = [], 0
+
+    for batch in batches:
+        for b, k, value in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "value")), strict=True):
+            if k != kind:
+                yield _rows([(b * parts, k, value)])
+                continue
+            values.append(value)
+            held += len(value)
+            if held >= held_rows * 16:
+                yield from flush()
+    yield from flush()
+
+
+def _judge(batches: Iterator[pa.RecordBatch], n: int, parts: int, length: int) -> Iterator[pa.RecordBatch]:
     """Round 1 at a bucket of prefixes: decided spans and open blocks, by document bucket."""
     for own, values in _buckets_of(batches):
-        # Spans decided at the source came by the bucket of their documents and stay there.
-        out = [(own, k, v) for k, v in values if k == SPANS]
+        # What was decided before came by the bucket of its documents and stays there.
+        out = [(own // parts, k, v) for k, v in values if k != ROWS]
         rows = [v for k, v in values if k == ROWS]
         if rows:
-            r, _ = _joined(rows, ("kh", "block", "doc", "at", "n"))
-            later, still = repeats(r["kh"], r["block"], r["key"])
+            r = _joined(rows, _BLOCK)
+            opened = np.unique(r["kh"][r["n"] == 0])
+            r = {c: v[r["n"] > 0] for c, v in r.items()}
+            later, still = repeats(r["kh"], r["block"], r["key"], opened)
             at, count = r["at"].astype(np.int64), r["n"].astype(np.int64)
-            some = {c: v[later] for c, v in r.items()}
             if len(later):
-                keys, marks, doc = _numbered(some)
+                keys, marks, doc = _numbered({c: v[later] for c, v in r.items()})
                 out += _span_rows(keys, marks, doc, at[later], at[later] + count[later] - 1 + length, n, length)
             if len(still):
                 keys, marks, doc = _numbered({c: v[still] for c, v in r.items()})
-                for b, part in _by_bucket(_doc_buckets(keys, marks, n)[doc]):
-                    p = still[part]
-                    out.append((b, OPEN, pack(keys, marks, {"kh": r["kh"][p], "doc": doc[part], "at": at[p], "n": count[p]})))
+                out += _open_rows(keys, marks, doc, at[still], count[still], n)
         if out:
             yield _rows(out)
 
@@ -369,8 +452,7 @@ def _judge(batches: Iterator[pa.RecordBatch], n: int, length: int) -> Iterator[p
 def _per_document(batches: Iterator[pa.RecordBatch], length: int, kind: int) -> Iterator[pa.RecordBatch]:
     """One row per document: its spans (united) or its open blocks."""
     for _, values in _buckets_of(batches):
-        names = ("doc", "at", "n") if kind == SPANS else ("kh", "doc", "at", "n")
-        r, _ = _joined([v for _, v in values], names)
+        r = _joined([v for k, v in values if k == kind], _RUN)
         keys, marks, doc = _numbered(r)
         at, count = r["at"].astype(np.int64), r["n"].astype(np.int64)
         if kind == SPANS:
@@ -379,7 +461,7 @@ def _per_document(batches: Iterator[pa.RecordBatch], length: int, kind: int) ->
         else:
             order = np.lexsort((at, doc))
             doc = doc[order]
-            cols = np.stack([r["kh"][order].view(np.int64), at[order], count[order]], axis=1)
+            cols = np.stack([at[order], count[order]], axis=1)
         cut = np.searchsorted(doc, np.arange(len(keys) + 1))
         for s in range(0, len(keys), 4096):
             e = min(len(keys), s + 4096)
@@ -401,73 +483,84 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 pa.array([k is None for k in keys]), pa.array([zip_.compress(r) for r in raws], pa.binary())], ["key", "mark", "no_key", "zipped"])
 
 
-def _open_blocks(batches: Iterator[pa.RecordBatch], n: int, length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of open blocks, back to their prefix buckets."""
+def _sifted_strings(keys: np.ndarray, marks: np.ndarray, r: dict[str, np.ndarray], n: int, length: int) -> list:
+    """What strings of some documents decide among themselves, and the distinct ones by bucket."""
+    later, _ = repeats(r["kh"], r["tag"], keys[r["doc"]])
+    out = _string_spans(keys, marks, r["doc"][later], r["at"][later], n, length)
+    keep = np.ones(len(r["kh"]), dtype=bool)
+    keep[later] = False
+    rest = np.nonzero(keep)[0]
+    rest = rest[np.argsort(r["kh"][rest], kind="stable")]
+    out += [(b, STRINGS, pack(keys, marks, {c: r[c][rest[p]] for c in _STRING})) for b, p in _by_bucket(_buckets(r["kh"][rest], n))]
+    return out
+
+
+def _string_spans(keys: np.ndarray, marks: np.ndarray, doc: np.ndarray, at: np.ndarray, n: int, length: int) -> list:
+    at = at.astype(np.int64)
+    return _span_rows(keys, marks, *merged(doc, at, at + length), n, length)
+
+
+def strings(blocks: list[tuple[int, int, bytes]], length: int) -> dict[str, np.ndarray]:
+    """Every string of (document number, offset, bytes) blocks: its two hashes, document and offset."""
+    size = np.array([len(b) for _, _, b in blocks], dtype=np.int64)
+    base = np.cumsum(size) - size
+    count = size - length + 1
+    row = np.repeat(np.arange(len(blocks)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    start = base[row] + nth
+    h = Hashed(np.frombuffer(b"".join([b for _, _, b in blocks]), dtype=np.uint8))
+    whole, half = h.of(start, start + length), h.of(start, start + length // 2)
+    return {"kh": _mix(whole), "tag": (_mix(half ^ _U(0xA0761D6478BD642F)) >> _U(32)).astype(np.uint32),
+            "doc": np.array([d for d, _, _ in blocks], dtype=np.int64)[row], "at": np.array([a for _, a, _ in blocks], dtype=np.int64)[row] + nth}
+
+
+def _open_strings(batches: Iterator[pa.RecordBatch], n: int, length: int, held_rows: int) -> Iterator[pa.RecordBatch]:
+    """The strings of open blocks: what a task decides on its own, and its distinct strings by bucket."""
     unzip = zstandard.ZstdDecompressor()
-    keys, marks, rows, held = [], [], [], 0
+    keys, marks, found, wait, size, held = [], [], [], [], 0, 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal keys, marks, rows, held
-        if rows:
-            k, m = np.array(keys, dtype=np.int64), np.array(marks, dtype=np.uint32)
-            kh = np.array([r[0] for r in rows], dtype=np.int64).view(_U)
-            doc, at, count = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
-            out = []
-            for b, part in _by_bucket(_prefix_buckets(kh, n)):
-                part = part[np.argsort(kh[part], kind="stable")]
-                out.append((b, OPEN, pack(k, m, {"kh": kh[part], "doc": doc[part], "at": at[part], "n": count[part]},
-                                          b"".join([rows[i][4] for i in part]))))
-            yield _rows(out)
-        keys, marks, rows, held = [], [], [], 0
+        nonlocal keys, marks, found, held
+        if found:
+            r = {c: np.concatenate([f[c] for f in found]) for c in _STRING}
+            yield _rows(_sifted_strings(np.array(keys, dtype=np.int64), np.array(marks, dtype=np.uint32), r, n, length))
+        keys, marks, found, held = [], [], [], 0
+
+    def gather() -> None:
+        nonlocal wait, size, held
+        if wait:
+            found.append(strings(wait, length))
+            held += len(found[-1]["kh"])
+        wait, size = [], 0
 
     for batch in batches:
         for key, mark, zipped, value in zip(*(batch.column(c).to_pylist() for c in ("key", "mark", "zipped", "list")), strict=True):
+            if held + size >= held_rows:
+                gather()
+                yield from flush()
             raw = unzip.decompress(zipped)
             keys.append(key)
             marks.append(mark)
-            for kh, at, count in np.frombuffer(value, dtype=np.int64).reshape(-1, 3).tolist():
-                part = raw[at:at + count - 1 + length]
-                rows.append((kh, len(keys) - 1, at, count, part))
-                held += len(part)
-            if held >= CHUNK:
-                yield from flush()
+            for at, count in np.frombuffer(value, dtype=np.int64).reshape(-1, 2).tolist():
+                wait.append((len(keys) - 1, at, raw[at:at + count - 1 + length]))
+                size += count
+                if size >= PIECE:
+                    gather()
+    gather()
     yield from flush()
 
 
-def _judge_strings(batches: Iterator[pa.RecordBatch], n: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Round 2: every string of the open blocks ranked in full."""
-    for _, values in _buckets_of(batches):
-        r, tails = _joined([v for _, v in values], ("kh", "doc", "at", "n"))
-        order = np.argsort(r["kh"], kind="stable")
-        count = r["n"].astype(np.int64)
-        sizes = count - 1 + length
-        offset = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(tails), dtype=np.uint8)
-        # Whole groups of equal prefixes at a time, within a bound on strings.
-        cut, size = [0], 0
-        for i in range(len(order)):
-            size += int(count[order[i]])
-            if size >= PIECE and i + 1 < len(order) and r["kh"][order[i]] != r["kh"][order[i + 1]]:
-                cut.append(i + 1)
-                size = 0
-        out = []
-        for s, e in zip(cut, [*cut[1:], len(order)], strict=True):
-            rows = order[s:e]
-            row = np.repeat(np.arange(len(rows)), count[rows])
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
-            used = np.concatenate([data[offset[i]:offset[i] + sizes[i]] for i in rows]) if len(rows) else data[:0]
-            base = np.cumsum(sizes[rows]) - sizes[rows]
-            start = base[row] + nth
-            h = _mix(Hashed(used).of(start, start + length))
-            kh, key = r["kh"][rows][row], r["key"][rows][row]
-            by = np.lexsort((key, h, kh))
-            cls = _grouped(kh[by], h[by])
-            first = np.searchsorted(cls, np.arange(cls[-1] + 1))
-            later = by[key[by] > key[by][first][cls]]
+def _judge_strings(batches: Iterator[pa.RecordBatch], n: int, parts: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Round 2 at a bucket of strings: those that are in a smaller document."""
+    for own, values in _buckets_of(batches):
+        out = [(own // parts, k, v) for k, v in values if k != STRINGS]
+        some = [v for k, v in values if k == STRINGS]
+        if some:
+            r = _joined(some, _STRING)
+            later, _ = repeats(r["kh"], r["tag"], r["key"])
             if len(later):
-                keys, marks, doc = _numbered({"key": key[later], "mark": r["mark"][rows][row][later]})
-                at = r["at"].astype(np.int64)[rows][row][later] + nth[later]
-                out += _span_rows(keys, marks, *merged(doc, at, at + length), n, length)
+                keys, marks, doc = _numbered({c: v[later] for c, v in r.items()})
+                out += _string_spans(keys, marks, doc, r["at"][later], n, length)
         if out:
             yield _rows(out)
 
@@ -491,26 +584,32 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, prefix: int = PREFIX,
-                   bucket_bytes: int = BUCKET_BYTES, piece_bytes: int = PIECE, chunk_bytes: int = CHUNK) -> DataFrame:
+                   bucket_bytes: int = BUCKET_BYTES, piece_bytes: int = PIECE, chunk_bytes: int = CHUNK, fan: int = FAN,
+                   hot: int = HOT, held_rows: int = STRINGS_HELD) -> DataFrame:
     """(key, n_bytes, spans, kept): per input row its size, the removed byte
     spans [start, end) as a flat list, and the bytes that stay."""
     assert length - 255 < prefix < length
     spark = df.sparkSession
     rows = pick(df, key, text)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes)))
-
-    def in_buckets(some: DataFrame) -> DataFrame:
-        return some.repartition(n, "bucket").sortWithinPartitions("bucket")
-
-    blocks = in_arrow(rows, lambda it: _round_one(it, n, length, prefix, piece_bytes, chunk_bytes), _SCHEMA)
-    judged = written(in_arrow(in_buckets(blocks), lambda it: _judge(it, n, length), _SCHEMA), "repeats-judged")
+    wanted = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes)))
+    n = min(wanted, fan)
+    parts = -(-wanted // n)
+
+    def in_buckets(some: DataFrame, kind: int) -> DataFrame:
+        dealt = some.repartition(n, "bucket")
+        if parts > 1:
+            dealt = in_arrow(dealt, lambda it: _finer(it, n, parts, kind, length, hot, held_rows), _SCHEMA)
+        return dealt.sortWithinPartitions("bucket")
+
+    blocks = in_arrow(rows, lambda it: _round_one(it, n, length, prefix, piece_bytes, chunk_bytes, hot), _SCHEMA)
+    judged = written(in_arrow(in_buckets(blocks, ROWS), lambda it: _judge(it, n, parts, length), _SCHEMA), "repeats-judged")
     texts = in_arrow(rows, _packed_texts, "key long, mark long, no_key boolean, zipped binary")
     per_document = "key long, mark long, list binary"
-    still = in_arrow(in_buckets(judged.filter(F.col("kind") == OPEN)), lambda it: _per_document(it, length, OPEN), per_document)
-    opened = in_arrow(texts.join(still, ["key", "mark"]), lambda it: _open_blocks(it, n, length), _SCHEMA)
-    strings = in_arrow(in_buckets(opened), lambda it: _judge_strings(it, n, length), _SCHEMA)
-    spans = in_arrow(in_buckets(judged.filter(F.col("kind") == SPANS).unionAll(strings)),
+    still = in_arrow(in_buckets(judged.filter(F.col("kind") == OPEN), OPEN), lambda it: _per_document(it, length, OPEN), per_document)
+    opened = in_arrow(texts.join(still, ["key", "mark"]), lambda it: _open_strings(it, n, length, held_rows), _SCHEMA)
+    found = in_arrow(in_buckets(opened, STRINGS), lambda it: _judge_strings(it, n, parts, length), _SCHEMA)
+    spans = in_arrow(in_buckets(judged.filter(F.col("kind") == SPANS).unionAll(found), SPANS),
                      lambda it: _per_document(it, length, SPANS), per_document)
     return in_arrow(texts.join(spans, ["key", "mark"], "left"), _removed, "key long, n_bytes long, spans array<long>, kept binary")
 
