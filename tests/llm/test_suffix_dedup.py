@@ -114,7 +114,7 @@ def test_frequent_line_fills_no_bucket():
     first = list(sd._round_one(text_batches(rows), n, 50, 20, sd.PIECE, 1 << 20, sd.HOT))
     sizes = packed_rows(first, sd.ROWS, sd._BLOCK)
     assert max(sizes.values()) < 1.5 * np.median(list(sizes.values()))
-    # Round 2: the strings of the line's blocks, dealt by their own hashes.
+    # Round 3: the strings of the line's blocks, dealt by their own hashes.
     blocks = [(d, 40, t.encode()[40:152]) for d, t in rows[:5000]]
     keys, marks = np.arange(5000), np.zeros(5000, dtype=np.uint32)
     parts = [sd._rows(sd._sifted_strings(keys, marks, sd.strings(blocks[s:s + 1000], 50), n, 50)) for s in range(0, 5000, 1000)]

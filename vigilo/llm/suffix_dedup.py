@@ -16,10 +16,12 @@ block of at most ``2 * length - prefix`` bytes.  The rounds:
    Spark, sorted within.  A prefix that is unique leaves, with all its strings.
    Equal blocks (prefix and block hash) are decided at once: all but those of
    the smallest document repeat.
-2. What remains (equal prefixes in different blocks, a few per cent) goes on to
-   rank ``length`` bytes: the blocks' bytes are fetched by document, every
-   string in them is ranked by its own hash, and again all but the smallest
-   document's repeat.
+2. What remains (equal prefixes in different blocks, a few per cent) is ranked at
+   a larger length: its bytes are fetched by document, each block is halved,
+   and a half is ranked by the bytes that all its strings share around the
+   anchor (35 of 50).  Unique ones leave, equal halves are decided.
+3. What is still open is ranked at ``length`` bytes: every string by its own
+   hash, and again all but the smallest document's repeat.
 
 Ranks are hashes (64 bits of the prefix and 64 of the block, 64 and 32 bits of
 the string), not dense integers, so no global count is needed between rounds.
@@ -28,14 +30,14 @@ Scale: each task first decides what repeats within its own chunk of documents
 and sends one row per distinct block and chunk on, so a very frequent string is
 at most one row per chunk at its rank.  A prefix with many different blocks (a
 frequent line with other neighbours each time) needs no ranking: its chunk sends
-one marker for it and hands its blocks to round 2, where strings are dealt by
-their hashes.  Rows travel as compressed columns in one binary value per chunk
+one marker for it and hands its blocks on, in the end to round 3, where strings
+are dealt by their hashes.  Rows travel as compressed columns in one binary value per chunk
 and bucket.  Buckets are sized from the input, but a chunk deals its rows among
 at most ``FAN`` of them; a task of more input than that deals what it received
 into finer buckets by itself, deciding once more what repeats in it, and judges
 them one after the other.  So the rows of a chunk, the number of shuffle
 partitions and the memory of a task are bounded at every size of the input.
-Text is shuffled once, compressed, for round 2 and the removal together.
+Text is shuffled once, compressed, for the later rounds and the removal together.
 
 Null texts are empty.  A null key is larger than all others.  Rows with equal
 keys never remove from each other; rows are told apart by key and text.
@@ -45,7 +47,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -428,7 +430,7 @@ def _finer(batches: Iterator[pa.RecordBatch], n: int, parts: int, kind: int, len
 
 
 def _judge(batches: Iterator[pa.RecordBatch], n: int, parts: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Round 1 at a bucket of prefixes: decided spans and open blocks, by document bucket."""
+    """Rounds 1 and 2 at a bucket of ranks: decided spans and open blocks, by document bucket."""
     for own, values in _buckets_of(batches):
         # What was decided before came by the bucket of its documents and stays there.
         out = [(own // parts, k, v) for k, v in values if k != ROWS]
@@ -514,28 +516,53 @@ def strings(blocks: list[tuple[int, int, bytes]], length: int) -> dict[str, np.n
             "doc": np.array([d for d, _, _ in blocks], dtype=np.int64)[row], "at": np.array([a for _, a, _ in blocks], dtype=np.int64)[row] + nth}
 
 
-def _open_strings(batches: Iterator[pa.RecordBatch], n: int, length: int, held_rows: int) -> Iterator[pa.RecordBatch]:
-    """The strings of open blocks: what a task decides on its own, and its distinct strings by bucket."""
+def halves(blocks: list[tuple[int, int, bytes]], length: int, prefix: int) -> dict[str, np.ndarray]:
+    """The two halves of (document number, offset, bytes) blocks, by where their
+    strings have the anchor: ranked by the bytes around it that all strings of
+    the half share."""
+    size = np.array([len(b) for _, _, b in blocks], dtype=np.int64)
+    base = np.cumsum(size) - size
+    count = size - length + 1
+    doc, offset = (np.array([b[i] for b in blocks], dtype=np.int64) for i in (0, 1))
+    h = Hashed(np.frombuffer(b"".join([b for _, _, b in blocks]), dtype=np.uint8))
+    inner = base[:, None] + np.arange(length - prefix + 1)
+    m = base + (_mix(h.of(inner, inner + prefix)) & _U((1 << 64) - (1 << 24))).argmin(axis=1)
+    mid = (length - prefix) // 2
+    left = np.clip(m - base - mid, 0, count)  # strings with more than mid bytes before the anchor
+    out = []
+    for first, n, lo, hi, side in ((base, left, m - mid - 1, m + prefix, 1), (base + left, count - left, m, m + length - mid, 2)):
+        some = np.nonzero(n > 0)[0]
+        first, n, lo, hi, at = first[some], n[some], lo[some], hi[some], m[some]
+        whole = h.of(first, first + n - 1 + length)
+        out.append({"kh": _mix(h.of(lo, hi) ^ (_U(0xA0761D6478BD642F) * _U(side))),
+                    "block": _mix(whole * _U(31) + (at - first).astype(_U) * _U(1000003) + n.astype(_U)),
+                    "doc": doc[some], "at": (offset - base)[some] + first, "n": n})
+    return {c: np.concatenate([o[c] for o in out]) for c in _BLOCK}
+
+
+def _of_blocks(batches: Iterator[pa.RecordBatch], rank: Callable, sift: Callable, length: int, held_rows: int) -> Iterator[pa.RecordBatch]:
+    """Open blocks of documents ranked anew (``rank``): what a task decides on
+    its own, and the rest by bucket (``sift``)."""
     unzip = zstandard.ZstdDecompressor()
     keys, marks, found, wait, size, held = [], [], [], [], 0, 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal keys, marks, found, held
         if found:
-            r = {c: np.concatenate([f[c] for f in found]) for c in _STRING}
-            yield _rows(_sifted_strings(np.array(keys, dtype=np.int64), np.array(marks, dtype=np.uint32), r, n, length))
+            r = {c: np.concatenate([f[c] for f in found]) for c in found[0]}
+            yield _rows(sift(np.array(keys, dtype=np.int64), np.array(marks, dtype=np.uint32), r))
         keys, marks, found, held = [], [], [], 0
 
     def gather() -> None:
         nonlocal wait, size, held
         if wait:
-            found.append(strings(wait, length))
-            held += len(found[-1]["kh"])
+            found.append(rank(wait))
+            held += len(found[-1]["doc"])
         wait, size = [], 0
 
     for batch in batches:
         for key, mark, zipped, value in zip(*(batch.column(c).to_pylist() for c in ("key", "mark", "zipped", "list")), strict=True):
-            if held + size >= held_rows:
+            if held >= held_rows:
                 gather()
                 yield from flush()
             raw = unzip.decompress(zipped)
@@ -543,7 +570,7 @@ def _open_strings(batches: Iterator[pa.RecordBatch], n: int, length: int, held_r
             marks.append(mark)
             for at, count in np.frombuffer(value, dtype=np.int64).reshape(-1, 2).tolist():
                 wait.append((len(keys) - 1, at, raw[at:at + count - 1 + length]))
-                size += count
+                size += count - 1 + length
                 if size >= PIECE:
                     gather()
     gather()
@@ -551,7 +578,7 @@ def _open_strings(batches: Iterator[pa.RecordBatch], n: int, length: int, held_r
 
 
 def _judge_strings(batches: Iterator[pa.RecordBatch], n: int, parts: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Round 2 at a bucket of strings: those that are in a smaller document."""
+    """Round 3 at a bucket of strings: those that are in a smaller document."""
     for own, values in _buckets_of(batches):
         out = [(own // parts, k, v) for k, v in values if k != STRINGS]
         some = [v for k, v in values if k == STRINGS]
@@ -602,15 +629,22 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
             dealt = in_arrow(dealt, lambda it: _finer(it, n, parts, kind, length, hot, held_rows), _SCHEMA)
         return dealt.sortWithinPartitions("bucket")
 
-    blocks = in_arrow(rows, lambda it: _round_one(it, n, length, prefix, piece_bytes, chunk_bytes, hot), _SCHEMA)
-    judged = written(in_arrow(in_buckets(blocks, ROWS), lambda it: _judge(it, n, parts, length), _SCHEMA), "repeats-judged")
     texts = in_arrow(rows, _packed_texts, "key long, mark long, no_key boolean, zipped binary")
     per_document = "key long, mark long, list binary"
-    still = in_arrow(in_buckets(judged.filter(F.col("kind") == OPEN), OPEN), lambda it: _per_document(it, length, OPEN), per_document)
-    opened = in_arrow(texts.join(still, ["key", "mark"]), lambda it: _open_strings(it, n, length, held_rows), _SCHEMA)
-    found = in_arrow(in_buckets(opened, STRINGS), lambda it: _judge_strings(it, n, parts, length), _SCHEMA)
-    spans = in_arrow(in_buckets(judged.filter(F.col("kind") == SPANS).unionAll(found), SPANS),
-                     lambda it: _per_document(it, length, SPANS), per_document)
+
+    def judged(blocks: DataFrame, name: str) -> DataFrame:
+        return written(in_arrow(in_buckets(blocks, ROWS), lambda it: _judge(it, n, parts, length), _SCHEMA), name)
+
+    def ranked(open_blocks: DataFrame, rank: Callable, sift: Callable) -> DataFrame:
+        still = in_arrow(in_buckets(open_blocks.filter(F.col("kind") == OPEN), OPEN), lambda it: _per_document(it, length, OPEN), per_document)
+        return in_arrow(texts.join(still, ["key", "mark"]), lambda it: _of_blocks(it, rank, sift, length, held_rows), _SCHEMA)
+
+    one = judged(in_arrow(rows, lambda it: _round_one(it, n, length, prefix, piece_bytes, chunk_bytes, hot), _SCHEMA), "repeats-prefixes")
+    two = judged(ranked(one, lambda blocks: halves(blocks, length, prefix), lambda k, m, r: _sifted(k, m, r, n, length, hot)), "repeats-halves")
+    three = ranked(two, lambda blocks: strings(blocks, length), lambda k, m, r: _sifted_strings(k, m, r, n, length))
+    last = in_arrow(in_buckets(three, STRINGS), lambda it: _judge_strings(it, n, parts, length), _SCHEMA)
+    decided = one.unionAll(two).filter(F.col("kind") == SPANS).unionAll(last)
+    spans = in_arrow(in_buckets(decided, SPANS), lambda it: _per_document(it, length, SPANS), per_document)
     return in_arrow(texts.join(spans, ["key", "mark"], "left"), _removed, "key long, n_bytes long, spans array<long>, kept binary")
 
 
