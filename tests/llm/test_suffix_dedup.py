@@ -4,6 +4,8 @@ import random
 import numpy as np
 import pyarrow as pa
 
+import doubling
+
 from vigilo.llm import suffix_dedup as sd
 
 
@@ -127,3 +129,13 @@ def test_rows_of_a_chunk_are_bounded():
     rows = [(d, "".join(rnd.choice("abcdefghij ") for _ in range(1000))) for d in range(2000)]
     value = sum(b.num_rows for b in sd._round_one(text_batches(rows), sd.FAN, 50, 20, sd.PIECE, sd.CHUNK, sd.HOT))
     assert value <= 3 * sd.FAN
+
+
+def test_equal_to_plain_prefix_doubling(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    gone = {}
+    for d, p in doubling.starts(df.filter("doc_id % 3 > 0")).collect():
+        gone.setdefault(d, set()).update(range(p, p + 50))
+    for r in sd.remove_repeats(df.filter("doc_id % 3 > 0")).collect():
+        spans = list(zip(r.spans[::2], r.spans[1::2], strict=True))
+        assert {i for a, b in spans for i in range(a, b)} == gone.get(r.key, set())

@@ -530,11 +530,11 @@ def halves(blocks: list[tuple[int, int, bytes]], length: int, prefix: int) -> di
     mid = (length - prefix) // 2
     left = np.clip(m - base - mid, 0, count)  # strings with more than mid bytes before the anchor
     out = []
-    for first, n, lo, hi, side in ((base, left, m - mid - 1, m + prefix, 1), (base + left, count - left, m, m + length - mid, 2)):
+    for first, n, lo, hi, side in ((base, left, m - mid - 1, m + prefix, 0xA0761D6478BD642F), (base + left, count - left, m, m + length - mid, 0xE7037ED1A0B428DB)):
         some = np.nonzero(n > 0)[0]
         first, n, lo, hi, at = first[some], n[some], lo[some], hi[some], m[some]
         whole = h.of(first, first + n - 1 + length)
-        out.append({"kh": _mix(h.of(lo, hi) ^ (_U(0xA0761D6478BD642F) * _U(side))),
+        out.append({"kh": _mix(h.of(lo, hi) ^ _U(side)),
                     "block": _mix(whole * _U(31) + (at - first).astype(_U) * _U(1000003) + n.astype(_U)),
                     "doc": doc[some], "at": (offset - base)[some] + first, "n": n})
     return {c: np.concatenate([o[c] for o in out]) for c in _BLOCK}
