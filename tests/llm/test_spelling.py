@@ -76,6 +76,15 @@ def test_chains_of_forms(spark):
     assert max(len({want[w][2] for w in want}), 1) >= 1 and any(x[1] and want[x[1]][1] for x in want.values())
 
 
+def test_equal_counts_of_words_that_differ_in_length(spark):
+    # In the group of the middle piece the middles are "ab" and "abx": a prefix comes
+    # first, but with the tail behind them "..abxzzz" stands before "..abzzz".
+    text = lambda w, n: " ".join([w] * n)
+    docs = [(None, text("mmaxzzz", 2)), (None, text("mmabzzz", 40)), (None, text("mmabxzzz", 40))]
+    want = {x[0]: x for x in check(spark, docs)}
+    assert want["mmaxzzz"][1] == "mmabxzzz" and want["mmaxzzz"][4] == 2
+
+
 def test_edges(spark):
     check(spark, [(1, None), (2, ""), (3, "1 2 3"), (None, "Zeppelin zeppelin “zeppelin” zeppelîn"), (None, "Zeppelin zeppelin “zeppelin” zeppelîn"),
                   (4, "straße straßen STRASSEN ÀÉÎÕÜÿ×÷ ÀÉÎÕÜÿ×÷ naïveté naïvete 日本語zeppelin日本語"), (5, "aaaaaaa aaaaaaaa " * 3),

@@ -174,9 +174,10 @@ class Index:
         return out
 
 
-def near_in_group(rows: list[tuple], last: bool, width: int) -> dict[str, list]:
+def near_in_group(rows: list[tuple], last: bool, width: int, tail: str = "") -> dict[str, list]:
     """{middle: [near words, count of the best, best middle]} of rows (mid, n,
-    asks, told)."""
+    asks, told).  Equal counts: the first word in code-point order; middles differ
+    in length, so they are compared with the group's ``tail`` behind them."""
     told = [(mid, n) for mid, n, _, t in rows if t]
     asking = [(mid, n) for mid, n, a, _ in rows if a]
     out: dict[str, list] = {}
@@ -186,7 +187,7 @@ def near_in_group(rows: list[tuple], last: bool, width: int) -> dict[str, list]:
     def note(mid: str, n: int, other: str) -> None:
         held = out.setdefault(mid, [0, 0, ""])
         held[0] += 1
-        if n > held[1] or n == held[1] and other < held[2]:
+        if n > held[1] or n == held[1] and other + tail < held[2] + tail:
             held[1], held[2] = n, other
 
     index = Index([mid for mid, _ in told], width)
@@ -233,7 +234,7 @@ def near_words(words: DataFrame, least_chars: int = LEAST_CHARS, pieces: int = P
                 at += size
                 for (m, piece, head, tail), of in own.items():
                     if len(of) > 1:
-                        for mid, (n, best_n, best) in near_in_group(of, piece == pieces - 1, m - len(head) - len(tail)).items():
+                        for mid, (n, best_n, best) in near_in_group(of, piece == pieces - 1, m - len(head) - len(tail), tail).items():
                             for c, v in zip(out, (head + mid + tail, n, best_n, head + best + tail), strict=True):
                                 out[c].append(v)
             if out["word"]:
