@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilo.operators import grids as GR
 from vigilo.operators import metrics as MT
+from vigilo.operators import split as SP
 
 S = 1_000_000
 
@@ -90,3 +91,16 @@ def test_no_samples(spark):
 def test_a_series_is_spread_over_chunks_by_two_shuffles(spark):
     plan = GR.rate_grid(_samples(spark, _data(1)), 0, 15000 * S, 60 * S, 300 * S, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_window_tasks_follow_the_rows(spark, monkeypatch):
+    rows = _data(1)
+    df = _samples(spark, rows)
+    args = (0, 14_400 * S, 600 * S, 900 * S)
+    want = {(r["labels"]["pod"], r["ts"], r["rate"]) for r in GR.rate_grid(df, *args).collect()}
+    monkeypatch.setattr(SP, "TASK_ROWS", 100)
+    out = GR.rate_grid(df, *args)
+    assert out.rdd.getNumPartitions() == -(-3 * len(rows) // 100) > 30
+    assert {(r["labels"]["pod"], r["ts"], r["rate"]) for r in out.collect()} == want
+    total = SP.running_total(df.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))), ["metric"], ["t"], F.lit(1).cast("long"), "k")
+    assert total.rdd.getNumPartitions() == -(-len(rows) // 100) > 10

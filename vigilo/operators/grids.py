@@ -14,8 +14,9 @@ Scale: time is cut into chunks and all windows run per (series, chunk), so a
 series of any length is spread over tasks.  A look-back reaches at most ``reach``
 into the chunk before; samples that close to a chunk's end are also put into the
 next one as context.  Grid times are made per (series, chunk) that holds samples,
-so a series costs nothing where it is silent.  Two shuffles: the (series, chunk)
-pairs, which are aggregated first, and the merged sequence.
+so a series costs nothing where it is silent.  Two shuffles: the samples' (series,
+chunk) pairs and the merged sequence.  The number of their tasks follows from the
+number of samples, so the memory of one stays the same.
 
 Samples without a value (NULL or NaN) are no samples.  Of samples of one series
 at the same time the one with the largest value counts last.
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilo.operators.metrics import MICROS, _by_series, epoch_micros, label
+from vigilo.operators.split import window_parts
 
 SERIES = ["metric", "series", "chunk"]
 
@@ -43,13 +45,15 @@ def _merged(df: DataFrame, start_us: int, end_us: int, step_us: int, reach_us: i
     samples = samples.withColumn("chunk", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
     first = F.greatest(F.lit(start_us), F.lit(start_us) + F.ceil((F.col("chunk") * chunk_us - start_us) / F.lit(step_us)) * step_us)
     last = F.least(F.lit(end_us), (F.col("chunk") + 1) * chunk_us - 1)
-    pairs = samples.groupBy(*SERIES).agg(F.any_value("labels").alias("labels"))
+    # Each sample makes up to two rows and a grid time or more.
+    tasks = window_parts(df.sparkSession, 3 * df.count())
+    pairs = samples.select(*SERIES, "labels").repartition(tasks, *SERIES).groupBy(*SERIES).agg(F.any_value("labels").alias("labels"))
     steps = (pairs.withColumns({"first": first, "last": last}).where("first <= last")
              .select(*SERIES, "labels", F.explode(F.sequence("first", "last", F.lit(step_us))).alias("t_us"))
              .select(*SERIES, "labels", "t_us", F.lit(None).cast("double").alias("value"), F.lit(True).alias("at_step")))
     rows = samples.select(*SERIES, F.lit(None).cast(df.schema["labels"].dataType).alias("labels"), "t_us", "value",
                           F.lit(False).alias("at_step"))
-    return rows.unionByName(steps)
+    return rows.unionByName(steps).repartition(tasks, *SERIES)
 
 
 def _time(t_us: Column) -> Column:

@@ -33,6 +33,15 @@ from vigilo.session import scratch_path
 
 HASH_BITS, MOST_BUCKET_BITS = 60, 20
 SEGMENTS = 64
+#: Rows that one task sorts in a window; the number of tasks follows from it.
+TASK_ROWS = 100_000
+
+
+def window_parts(spark, rows: int) -> int:
+    """Tasks for windows over ``rows`` rows, so that the memory of one does not
+    grow with the table.  Left to itself adaptive execution makes about one task
+    a core of any shuffle, up to 64 MB of compressed rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
 
 
 def portable_hash(keys: list[str], seed: int = 42) -> Column:
@@ -48,15 +57,15 @@ def hash_split(df: DataFrame, keys: list[str], train_fraction: float = 0.8,
     return df.withColumn(name, F.when(portable_hash(keys, seed) % 10_000 < cut, "train").otherwise("test"))
 
 
-def _segments(df: DataFrame, lead: str) -> tuple[list[int], int]:
-    """(quantiles of ``lead``, sub-buckets per segment) from one aggregation.
+def _segments(df: DataFrame, lead: str) -> tuple[list[int], int, int]:
+    """(quantiles of ``lead``, sub-buckets per segment, rows) from one aggregation.
 
     Segments between approximate quantiles hold like numbers of rows
     whatever the values are, so an outlier key only widens its own; cut
     evenly they make about sqrt(n) buckets in all."""
     at = [i / SEGMENTS for i in range(SEGMENTS + 1)]
     row = df.agg(F.percentile_approx(F.col(lead).cast("long"), at, 1000).alias("q"), F.count(F.lit(1)).alias("n")).first()
-    return sorted(set(row["q"] or [])), max(1, math.isqrt(int(row["n"])) // SEGMENTS)
+    return sorted(set(row["q"] or [])), max(1, math.isqrt(int(row["n"])) // SEGMENTS), int(row["n"])
 
 
 def _bucket(lead: str, quantiles: list[int], parts: int) -> Column:
@@ -88,24 +97,24 @@ def running_total(df: DataFrame, groups: list[str], order: list[str], value: Col
     one-row-per-bucket aggregates) plus a running sum inside (group,
     bucket).  NULL groups are a group; a NULL ``order[0]`` comes first.
     """
-    quantiles, parts = _segments(df, order[0])
+    quantiles, parts, rows = _segments(df, order[0])
+    tasks = window_parts(df.sparkSession, rows)
     bucketed = df.withColumn("__bucket", _bucket(order[0], quantiles, parts)).withColumn("__v", value)
     sums = bucketed.groupBy(*groups, "__bucket").agg(F.sum("__v").alias("__s"))
     earlier = Window.partitionBy(*groups).orderBy("__bucket") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sums.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__bucket").alias("__b"),
-                          (F.sum("__s").over(earlier) - F.col("__s")).alias("__offset"),
+    # One key of all columns: in a struct NULLs are equal, and the join and the
+    # window behind it share its partitions.
+    place = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)], F.col("__bucket").alias("b"))
+    offsets = sums.select(place.alias("__place"), (F.sum("__s").over(earlier) - F.col("__s")).alias("__offset"),
                           F.sum("__s").over(Window.partitionBy(*groups)).alias("__group_total"))
     # ``offsets`` is an aggregate: AQE sees its real size after its shuffle
     # and broadcasts it when small, keeping the shuffle join when not.
-    on = F.col("__bucket") == F.col("__b")
-    for i, g in enumerate(groups):
-        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    joined = bucketed.join(offsets, on).drop("__b", *[f"__g{i}" for i in range(len(groups))])
-    inner = Window.partitionBy(*groups, "__bucket").orderBy(*order) \
+    joined = bucketed.withColumn("__place", place).repartition(tasks, "__place").join(offsets.repartition(tasks, "__place"), "__place")
+    inner = Window.partitionBy("__place").orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (joined.withColumn(name, F.col("__offset") + F.sum("__v").over(inner))
-            .drop("__bucket", "__offset", "__v"))
+    total = joined.withColumn(name, F.col("__offset") + F.sum("__v").over(inner))
+    return total.select(*df.columns, "__group_total", name)
 
 
 def stratified_rank(df: DataFrame, strata: list[str], order: list[str], name: str = "rank") -> DataFrame:
