@@ -58,3 +58,24 @@ def test_fits_are_deterministic(spark):
     c1 = ml.fit(ml.scaled_kmeans(), clean, ml.CLUSTER_COLUMNS).stages[-1].clusterCenters()
     c2 = ml.fit(ml.scaled_kmeans(), clean, ml.CLUSTER_COLUMNS).stages[-1].clusterCenters()
     assert all((x == y).all() for x, y in zip(c1, c2))
+
+
+def test_forest_fit_makes_no_more_tasks_than_slots_and_rows_need(spark):
+    class Last:
+        getFeaturesCol, hasParam = staticmethod(lambda: "id"), staticmethod(lambda name: name == "numTrees")
+
+        def fit(self, rows):
+            seen.append(rows.rdd.getNumPartitions())
+
+    class Stages:
+        getStages = staticmethod(lambda: [Last()])
+
+    seen, slots = [], spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        ml.fit(Stages(), spark.range(1000), ["id"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [slots]
+    assert ml.fit_partitions(spark, 0) == slots and ml.fit_partitions(spark, slots * ml.FIT_ROWS + 1) == 2 * slots
