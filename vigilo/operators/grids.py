@@ -47,7 +47,7 @@ def _merged(df: DataFrame, start_us: int, end_us: int, step_us: int, reach_us: i
     last = F.least(F.lit(end_us), (F.col("chunk") + 1) * chunk_us - 1)
     # Each sample makes up to two rows and a grid time or more.
     tasks = window_parts(df.sparkSession, 3 * df.count())
-    pairs = samples.select(*SERIES, "labels").repartition(tasks, *SERIES).groupBy(*SERIES).agg(F.any_value("labels").alias("labels"))
+    pairs = samples.select(*SERIES, "labels").repartition(tasks, "series", "chunk").groupBy(*SERIES).agg(F.any_value("labels").alias("labels"))
     steps = (pairs.withColumns({"first": first, "last": last}).where("first <= last")
              .select(*SERIES, "labels", F.explode(F.sequence("first", "last", F.lit(step_us))).alias("t_us"))
              .select(*SERIES, "labels", "t_us", F.lit(None).cast("double").alias("value"), F.lit(True).alias("at_step")))
