@@ -79,3 +79,45 @@ def test_forest_fit_makes_no_more_tasks_than_slots_and_rows_need(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen == [slots]
     assert ml.fit_partitions(spark, 0) == slots and ml.fit_partitions(spark, slots * ml.FIT_ROWS + 1) == 2 * slots
+
+
+def test_trees_grow_in_groups_of_few_tasks_and_make_one_forest(spark, monkeypatch):
+    from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+    seen, plain = [], RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, rows: (
+        seen.append((rows.rdd.getNumPartitions(), self.getNumTrees(), self.getSeed())), plain(self, rows))[1])
+    rows = spark.range(400).selectExpr(*[f"id % {7 + i} * 1.0 as {c}" for i, c in enumerate(ml.NUTRITION_FEATURES)],
+                                       "id % 7 * 10.0 + id % 8 as calories")
+    model = ml.fit(ml.nutrition_forest(num_trees=10, max_depth=4), rows, [*ml.NUTRITION_FEATURES, "calories"])
+    assert {tasks for tasks, _, _ in seen} == {1} and len({seed for _, _, seed in seen}) == len(seen) > 1
+    forest = model.stages[-1]
+    assert isinstance(forest, RandomForestRegressionModel)
+    assert sum(trees for _, trees, _ in seen) == forest.getNumTrees == len(forest.trees) == 10
+    assert (forest.getSeed(), forest.getMaxDepth(), forest.numFeatures) == (ml.SEED, 4, 12)
+    assert abs(sum(v for _, v in ml.importances(model, ml.NUTRITION_FEATURES)) - 1) < 1e-9
+    assert len({tree.toDebugString.split("\n", 1)[1] for tree in forest.trees}) > 1
+    path = scratch_path(spark, "grouped-forest")
+    ml.save(model, path)
+    out = ml.load(path).transform(model.transform(rows).withColumnRenamed("prediction", "first").drop("features"))
+    assert out.where("abs(prediction - first) > 1e-9 or abs(prediction - calories) > 40").count() == 0
+
+
+def test_tree_groups_keep_all_trees_and_none_alone():
+    for trees in (1, 2, 3, 50, 100):
+        for rows in (0, 10, ml.TREE_ROWS + 1, 200 * ml.TREE_ROWS):
+            for slots in (1, 3, 12):
+                tasks, beside, groups = ml.tree_groups(trees, rows, slots)
+                assert sum(groups) == trees and min(groups) >= min(2, trees) and max(groups) <= ml.TREES_AT_ONCE
+                assert tasks * ml.TREE_ROWS >= rows and tasks * beside >= slots
+
+
+def test_a_fit_runs_the_plan_behind_its_rows_once(spark):
+    for pipeline, inputs in ((ml.scaled_kmeans(k=2), ml.CLUSTER_COLUMNS),
+                             (ml.calorie_forest(num_trees=4, max_depth=2),
+                              [*ml.CALORIE_NUMERIC, *ml.CALORIE_CATEGORICAL, "calories"])):
+        met = spark.sparkContext.accumulator(0)
+        row = F.udf(lambda i: met.add(1) or float(i % 9), "double")("id")
+        rows = spark.range(300).select(*[(row if c == inputs[0] else F.col("id") % 5).cast(
+            "string" if c in ml.CALORIE_CATEGORICAL else "double").alias(c) for c in inputs])
+        ml.fit(pipeline, rows, inputs)
+        assert met.value == 300
