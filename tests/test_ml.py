@@ -121,3 +121,19 @@ def test_a_fit_runs_the_plan_behind_its_rows_once(spark):
             "string" if c in ml.CALORIE_CATEGORICAL else "double").alias(c) for c in inputs])
         ml.fit(pipeline, rows, inputs)
         assert met.value == 300
+
+
+def test_kmeans_passes_make_two_tasks_a_slot_or_as_many_as_the_rows_need(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+    seen, plain = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, rows: (seen.append((rows.rdd.getNumPartitions(), rows.count())), plain(self, rows))[1])
+    slots, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        for pipeline, inputs in ((ml.scaled_kmeans(k=2), ml.CLUSTER_COLUMNS), (ml.nutrition_clusters(k=2), ml.NUTRITION_PROFILE)):
+            rows = spark.range(300).select(*[(F.col("id") % (3 + i)).cast("double").alias(c) for i, c in enumerate(inputs)])
+            ml.fit(pipeline, rows, inputs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [(2 * slots, 300)] * 2
+    assert ml.pass_partitions(spark, 10 * slots * ml.FIT_ROWS) == 10 * slots

@@ -151,6 +151,13 @@ def fit_partitions(spark, rows: int) -> int:
     return slots * max(1, -(-rows // (slots * FIT_ROWS)))
 
 
+def pass_partitions(spark, rows: int) -> int:
+    """Two tasks for each slot, or more of at most ``FIT_ROWS`` rows: k-means
+    makes some thirty passes over its rows, and a pass over few rows costs the
+    start of its tasks."""
+    return max(2 * max(1, spark.sparkContext.defaultParallelism), -(-rows // FIT_ROWS))
+
+
 def tree_groups(trees: int, rows: int, slots: int) -> tuple[int, int, list[int]]:
     """Tasks of one fit, fits side by side, and the trees of each fit.
 
@@ -192,10 +199,11 @@ def fit_forest(forest: RandomForestRegressor, rows: DataFrame, n_rows: int) -> R
 
 def fit(pipeline: Pipeline, train: DataFrame, inputs: list[str], partitions: int | None = None) -> PipelineModel:
     """Fit on the named columns of the training rows, spread over
-    ``partitions`` tasks (default: :func:`fit_partitions` for a forest, else the
-    session's shuffle partitions).
+    ``partitions`` tasks (default: :func:`fit_partitions` for a forest, else
+    :func:`pass_partitions`).
 
-    The named columns are persisted once if a feature stage has to be fitted,
+    The named columns are persisted once if they are read again (by a feature
+    stage that has to be fitted, or after the count that k-means is dealt by),
     and then what the last stage reads (feature vector and label) for its many
     passes, so that the plan behind the rows is run once.  MEMORY_AND_DISK: a
     lost executor's blocks are recomputed from the plan, nothing is lost."""
@@ -203,11 +211,15 @@ def fit(pipeline: Pipeline, train: DataFrame, inputs: list[str], partitions: int
     *features, last = pipeline.getStages()
     forest, again = last.hasParam("numTrees"), any(isinstance(stage, Estimator) for stage in features)
     frame = train.select(*inputs)
-    if not forest:
-        frame = frame.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    held = [frame := frame.persist(StorageLevel.MEMORY_AND_DISK)] if again else []
+    held = [frame := frame.persist(StorageLevel.MEMORY_AND_DISK)] if again or not forest else []
     try:
-        n_rows = frame.count() if forest else 0
+        n_rows = frame.count()
+        if not forest:
+            frame = frame.repartition(partitions or pass_partitions(spark, n_rows))
+            if again:
+                held.append(frame := frame.persist(StorageLevel.MEMORY_AND_DISK))
+                frame.count()
+                held.pop(0).unpersist()
         fitted = []
         for stage in features:
             fitted.append(stage.fit(frame) if isinstance(stage, Estimator) else stage)
@@ -216,7 +228,7 @@ def fit(pipeline: Pipeline, train: DataFrame, inputs: list[str], partitions: int
         if forest:
             rows = rows.repartition(partitions or fit_partitions(spark, n_rows))
         held.append(rows := rows.persist(StorageLevel.MEMORY_AND_DISK))
-        if again:
+        if len(held) > 1:
             rows.count()
             held.pop(0).unpersist()
         model = fit_forest(last, rows, n_rows) if isinstance(last, RandomForestRegressor) else last.fit(rows)
