@@ -137,3 +137,21 @@ def test_kmeans_passes_make_two_tasks_a_slot_or_as_many_as_the_rows_need(spark,
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen == [(2 * slots, 300)] * 2
     assert ml.pass_partitions(spark, 10 * slots * ml.FIT_ROWS) == 10 * slots
+
+
+def test_rows_of_a_deep_forest_lie_in_the_order_of_one_trees_leaves(spark, monkeypatch):
+    from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+    monkeypatch.setattr(ml, "FIT_ROWS", 100)
+    seen, plain, guides, guide = [], RandomForestRegressor.fit, [], DecisionTreeRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, rows: (
+        seen.append([(tuple(r["features"]), r["calories"]) for r in rows.collect()]), plain(self, rows))[1])
+    monkeypatch.setattr(DecisionTreeRegressor, "fit", lambda self, rows: guides.append(guide(self, rows)) or guides[-1])
+    rows = spark.range(400).selectExpr(*[f"id * 37 % {7 + i} * 1.0 as {c}" for i, c in enumerate(ml.NUTRITION_FEATURES)],
+                                       "id % 7 * 10.0 + id % 8 as calories")
+    model = ml.fit(ml.nutrition_forest(num_trees=4, max_depth=ml.ORDERED_DEPTH), rows, [*ml.NUTRITION_FEATURES, "calories"])
+    held = sorted((tuple(r[:-1]), r[-1]) for r in rows.collect())
+    assert all(sorted(each) == held and each == seen[0] for each in seen)   # every row, in one order
+    from pyspark.ml.linalg import Vectors
+    leaves = [guides[0].predictLeaf(Vectors.dense(x)) for x, _ in seen[0]]
+    assert leaves == sorted(leaves) and len(set(leaves)) > 2
+    assert model.stages[-1].getNumTrees == 4
