@@ -111,6 +111,18 @@ def test_tree_groups_keep_all_trees_and_none_alone():
                 assert tasks * ml.TREE_ROWS >= rows and tasks * beside >= slots
 
 
+def test_a_forest_of_many_rows_is_grown_in_few_fits():
+    # As many fits as TREES_AT_ONCE asks for, one at a time, once rows fill the slots.
+    for rows in (8 * ml.TREE_ROWS, 44 * ml.TREE_ROWS):
+        tasks, beside, groups = ml.tree_groups(50, rows, 12, depth=10, min_instances=1)
+        assert (beside, groups) == (1, [25, 25]) and tasks % 12 == 0
+    assert ml.tree_groups(50, 2_000_000, 12, depth=10, min_instances=1)[2] == [25, 25]
+    # Deep trees over few rows: one task a fit, and no slot is given a second fit.
+    assert ml.tree_groups(100, 2_000_000, 12)[:2] == (1, 12) and len(ml.tree_groups(100, 2_000_000, 12)[2]) == 12
+    # Fewer trees at once where the cache would not hold the rows of all fits.
+    assert ml.tree_groups(100, 2_000_000, 12, room=1e9)[1] < 12
+
+
 def test_a_fit_runs_the_plan_behind_its_rows_once(spark):
     for pipeline, inputs in ((ml.scaled_kmeans(k=2), ml.CLUSTER_COLUMNS),
                              (ml.calorie_forest(num_trees=4, max_depth=2),

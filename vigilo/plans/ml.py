@@ -18,6 +18,7 @@ Two parameter sets mirror the two batch jobs:
 
 from __future__ import annotations
 
+import math
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -50,8 +51,13 @@ TREE_PASS_MEMORY_MB = 1024
 # Training rows that one task holds through the passes of a fit.
 FIT_ROWS = 250_000
 # Rows that one task holds through the passes over some trees of a forest, and
-# the most trees grown in one go: a cached row has eight bytes for each of them.
+# the most trees grown in one go: a cached row has twelve bytes for each of them.
 TREE_ROWS, TREES_AT_ONCE = 3_000_000, 25
+# What a fit costs, as measured: seconds a row to bin and sample it and to go by
+# it in one pass, whatever the trees; bytes of a node's statistics; seconds to
+# send and merge a byte, or to read again one that the cache could not hold; bytes
+# of a cached row beside its trees.
+ROW_SECONDS, PASS_SECONDS, NODE_BYTES, BYTE_SECONDS, ROW_BYTES = 9e-6, 1e-6, 6_000, 1e-8, 180
 # Forests at least this deep get their rows in the order of one tree's leaves,
 # which has this depth.
 ORDERED_DEPTH, ORDER_DEPTH = 12, 10
@@ -162,16 +168,46 @@ def pass_partitions(spark, rows: int) -> int:
     return max(2 * max(1, spark.sparkContext.defaultParallelism), -(-rows // FIT_ROWS))
 
 
-def tree_groups(trees: int, rows: int, slots: int) -> tuple[int, int, list[int]]:
+def cache_room(spark) -> float:
+    """Bytes that the cluster's heaps can hold of rows through the passes of a
+    fit, beside the statistics."""
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    if sc.master.startswith("local"):
+        heap = _memory_mb(conf.get("spark.driver.memory", "1g"))
+    else:
+        executors = max(1, sc.defaultParallelism // max(1, int(conf.get("spark.executor.cores", "1"))))
+        heap = executors * _memory_mb(conf.get("spark.executor.memory", "1g"))
+    return 0.4 * heap * 1024 * 1024
+
+
+def tree_groups(trees: int, rows: int, slots: int, depth: int = 15, min_instances: int = 5,
+                room: float = math.inf) -> tuple[int, int, list[int]]:
     """Tasks of one fit, fits side by side, and the trees of each fit.
 
-    A pass costs open nodes times tasks, so some trees are grown by as few
-    tasks as hold the rows, and other trees beside them fill the slots.  No
-    fit has one tree alone: MLlib shows such a tree all features."""
-    tasks = max(1, -(-rows // TREE_ROWS))
-    beside = -(-slots // tasks) + (slots % tasks > 0)
-    fits = max(1, min(trees // 2, max(2 * beside if beside > 1 else 1, -(-trees // TREES_AT_ONCE))))
-    return tasks, beside, [trees // fits + (i < trees % fits) for i in range(fits)]
+    Every fit bins, samples and caches all rows and goes by each of them in every
+    pass, so fits are dear where rows are many; every task of a fit makes and
+    sends the statistics of all its open nodes, so tasks are dear where trees
+    are deep.  Of the ways to fill the slots the one that costs least is taken,
+    with what the cache can not hold read again in each pass.  No fit has one
+    tree alone: MLlib shows such a tree all features."""
+    least = -(-rows // TREE_ROWS)
+    nodes = min(1 << (depth + 1), 2 * rows // max(1, min_instances) + 1)
+    slots = max(1, slots)
+
+    def way(beside: int) -> tuple[float, int, int, list[int]]:
+        tasks = max(1, slots // beside, least)
+        tasks = -(-tasks // slots) * slots if tasks > slots else tasks   # whole waves
+        fits = beside * -(-max(1, -(-trees // TREES_AT_ONCE)) // beside)
+        fits = max(1, min(fits, trees // 2))
+        groups = [trees // fits + (i < trees % fits) for i in range(fits)]
+        held = min(beside, fits) * rows * (ROW_BYTES + 12 * groups[0])
+        cost = (fits * rows * (ROW_SECONDS + depth * PASS_SECONDS) + trees * nodes * NODE_BYTES * tasks * BYTE_SECONDS
+                + -(-fits // beside) * depth * max(0.0, held - room) * BYTE_SECONDS)
+        waves = -(-tasks * beside // slots) * slots / (tasks * beside)   # slots that stand idle in the last one
+        return cost * waves, tasks, beside, groups
+
+    return min(way(b) for b in range(1, slots + 1) if slots % b == 0)[1:]
 
 
 def leaf_order(forest: RandomForestRegressor, frame: DataFrame, parts: int) -> DataFrame:
@@ -196,7 +232,8 @@ def fit_forest(forest: RandomForestRegressor, rows: DataFrame, n_rows: int) -> R
     (:func:`tree_groups`), each group with bootstrap samples of its own seed.
     The trees are put together as the model that one fit would give."""
     sc = rows.sparkSession.sparkContext
-    tasks, beside, groups = tree_groups(forest.getNumTrees(), n_rows, sc.defaultParallelism)
+    tasks, beside, groups = tree_groups(forest.getNumTrees(), n_rows, sc.defaultParallelism, forest.getMaxDepth(),
+                                        forest.getMinInstancesPerNode(), cache_room(rows.sparkSession))
     seeds = [forest.getSeed() + 1_000_003 * i for i in range(len(groups))]
     shared = rows.coalesce(tasks)
 
