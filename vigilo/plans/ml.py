@@ -1,8 +1,9 @@
 """MLlib pipelines for calorie regression and nutrient clustering.
 
-All fitting is MLlib's distributed training (tree statistics and k-means
-centre updates are aggregated across partitions); scoring is a narrow
-``transform``.  Only fitted parameters (centres, trees, label lists,
+All fitting is distributed: MLlib's training (tree statistics and k-means
+centre updates are aggregated across partitions) and, for forests of many
+rows, ``operators/forest.py``, which makes the same kind of model; scoring is
+a narrow ``transform``.  Only fitted parameters (centres, trees, label lists,
 scaler moments) and one-row summaries reach the driver.
 
 Two parameter sets mirror the two batch jobs:
